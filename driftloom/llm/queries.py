@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
+from .decontaminate import SQL as DECONTAMINATE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,10 +30,36 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return against_next(read(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mix(docs).drop("text")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contained
+
+    return contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("row")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .toxicity import fit, held_out, score
+
+    docs = read(spark, sf_dir, "documents")
+    model = fit(docs, read(spark, sf_dir, "labels"))
+    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
+
+
 QUERIES: dict[str, Query] = {
     "op4_warc": op4_warc,
     "op6_sharding": op6_sharding,
+    "op8_mixing": op8_mixing,
+    "op9_decontamination": op9_decontamination,
+    "op10_toxicity": op10_toxicity,
     "op7_fingerprints": op7_fingerprints,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op9_decontamination": DECONTAMINATE_SQL}
