@@ -26,11 +26,10 @@ KMER = 6
 PICKS = 2
 N_HASHES = 64
 #: k-mers whose hashes are compared at a time; bounds memory for very long texts.
-BLOCK = 1 << 15
+BLOCK = 1 << 12
 
 _RNG = np.random.default_rng(20190701)
 _MULT = _RNG.integers(0, 2**32, N_HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_ADD = _RNG.integers(0, 2**32, N_HASHES, dtype=np.uint64).astype(np.uint32)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -61,18 +60,20 @@ def signature(points: np.ndarray) -> np.ndarray:
         return np.zeros(N_HASHES, dtype=np.uint32)
     low = (base >> np.uint64(32)).astype(np.uint32)
     picks = min(PICKS, len(base))
-    chosen = np.empty((N_HASHES, picks), dtype=np.int64)
-    for j in range(N_HASHES):
-        best: list[tuple[int, int]] = []
-        for at in range(0, len(low), BLOCK):
-            # odd multiplication and xor are bijections of 32 bits, so ties need equal ``low``
-            h = (low[at:at + BLOCK] ^ _ADD[j]) * _MULT[j]
-            h ^= h >> np.uint32(15)
-            for _ in range(min(picks, len(h))):
-                i = int(h.argmin())
-                best.append((int(h[i]), at + i))
-                h[i] = np.uint32(0xFFFFFFFF)
-        chosen[j] = sorted(i for _, i in sorted(best)[:picks])  # back into the order of the text
+    rows = np.arange(N_HASHES)
+    least, where = [], []
+    for at in range(0, len(low), BLOCK):
+        # odd multipliers are bijections of 32 bits, so ties need equal ``low``
+        h = np.multiply.outer(_MULT, low[at:at + BLOCK])
+        for _ in range(min(picks, h.shape[1])):
+            i = h.argmin(axis=1)
+            least.append(h[rows, i])
+            where.append(i + at)
+            h[rows, i] = np.uint32(0xFFFFFFFF)
+    chosen = np.stack(where, axis=1)
+    if chosen.shape[1] > picks:
+        chosen = np.take_along_axis(chosen, np.argsort(np.stack(least, axis=1), axis=1, kind="stable")[:, :picks], axis=1)
+    chosen.sort(axis=1)  # back into the order of the text
     value = np.arange(1, N_HASHES + 1, dtype=np.uint64)
     for c in range(picks):
         value = _mix(value * np.uint64(0x9E3779B97F4A7C15) ^ base[chosen[:, c]])
