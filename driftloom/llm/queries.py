@@ -12,12 +12,36 @@ from .decontaminate import SQL as DECONTAMINATE_SQL
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: For these test tables only; a deployment passes its own secret.
+PII_KEY = b"test-tables"
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .licenses import document_path, inherit, scan
+
+    docs = read(spark, sf_dir, "documents")
+    files = docs.select("doc_id", "text", document_path(F.col("doc_id"), F.col("source")).alias("path"))
+    return inherit(files, scan(files))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
     return round_trip(read(spark, sf_dir, "pages"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import collisions, pseudonymize
+
+    docs = read(spark, sf_dir, "documents")
+    clash = collisions(docs, PII_KEY).limit(1).collect()
+    if clash:
+        raise ValueError(f"surrogates are not distinct: {clash}")
+    return pseudonymize(docs, PII_KEY)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
@@ -54,7 +78,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_licenses": op2_licenses,
     "op4_warc": op4_warc,
+    "op5_pii": op5_pii,
     "op6_sharding": op6_sharding,
     "op8_mixing": op8_mixing,
     "op9_decontamination": op9_decontamination,
