@@ -12,6 +12,12 @@ from .decontaminate import SQL as DECONTAMINATE_SQL
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import join_classes
+
+    return join_classes(read(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
 #: For these test tables only; a deployment passes its own secret.
 PII_KEY = b"test-tables"
 
@@ -78,6 +84,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_jaccard": op1_jaccard,
     "op2_licenses": op2_licenses,
     "op4_warc": op4_warc,
     "op5_pii": op5_pii,
