@@ -42,6 +42,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
         return
 
 
+def drop_table(spark: SparkSession, name: str) -> None:
+    """Drop a scratch table; nothing happens once the session is gone."""
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    except Exception:  # noqa: BLE001  the gateway may be closed at exit
+        return
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends here."""
     spark = df.sparkSession

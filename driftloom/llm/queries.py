@@ -32,6 +32,12 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inherit(files, scan(files))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
@@ -64,7 +70,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return mix(docs).drop("text")
+    return mix(docs)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +92,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_jaccard": op1_jaccard,
     "op2_licenses": op2_licenses,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_warc": op4_warc,
     "op5_pii": op5_pii,
     "op6_sharding": op6_sharding,
