@@ -29,8 +29,8 @@ def topic_of(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
     n = F.length(t)
     marks = n - F.length(F.translate(t, "#*$%&", ""))
-    bars = n - F.length(F.translate(t, "|", ""))
-    breaks = n - F.length(F.translate(t, "\n", ""))
+    bars = n - F.length(F.replace(t, F.lit("|"), F.lit("")))
+    breaks = n - F.length(F.replace(t, F.lit("\n"), F.lit("")))
     return (F.when(bars * 40 > n, "table").when(marks * 20 > n, "marked").when(breaks * 60 > n, "listing")
             .when(n < 400, "short").otherwise("prose"))
 
@@ -95,19 +95,32 @@ def mix(docs: DataFrame, *, topic: Column | None = None, temper: dict[str, float
 
     A null source or language is a value of its own.  An empty text has no token,
     probability 1 if its cell has no token at all, else its cell's.  Repeated rows
-    share their id's draw.  An empty table gives an empty result.
+    share their id's draw.  An empty table gives an empty result.  The text is
+    read once and left out of the result; ``draw`` returns whole rows.
     """
+    return _mix(docs, "text" in docs.columns, topic, temper, keep, seed)
+
+
+def draw(docs: DataFrame, *, topic: Column | None = None, temper: dict[str, float] = TEMPER, keep: float = KEEP, seed: int = 23) -> DataFrame:
+    """The selected rows of ``docs``, all columns as they were."""
+    return _mix(docs, False, topic, temper, keep, seed).filter("__selected").select(docs.columns)
+
+
+def _mix(docs: DataFrame, narrow: bool, topic: Column | None, temper: dict[str, float], keep: float, seed: int) -> DataFrame:
+    new = {x: x if narrow else f"__{x}" for x in ("topic", "n_tokens", "weight", "probability", "selected")}
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
-    marked = docs.withColumns({"topic": topic if topic is not None else topic_of(F.col("text")), "n_tokens": tokens_of(F.col("text")), "__s": name("source"), "__l": name("lang")})
-    cells = materialize(marked.groupBy(F.col("__s").alias("source"), F.col("__l").alias("lang"), "topic")
-                        .agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")), "mix-cells")
+    marked = docs.withColumns({new["topic"]: topic if topic is not None else topic_of(F.col("text")), new["n_tokens"]: tokens_of(F.col("text")), "__s": name("source"), "__l": name("lang")})
+    if narrow:
+        marked = materialize(marked.drop("text"), "mix-marked")
+    cells = materialize(marked.groupBy(F.col("__s").alias("source"), F.col("__l").alias("lang"), F.col(new["topic"]).alias("topic"))
+                        .agg(F.sum(new["n_tokens"]).alias("tokens"), F.count("*").alias("docs")), "mix-cells")
     table, _ = rake(cells, targets(cells, temper))
     table = table.withColumn("rate", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0))
     top = table.agg(F.max("rate")).first()[0] or 0.0
     table = table.withColumn("rate", F.col("rate") / F.lit(top or 1.0))
     scale = rate_scale(table, keep)
     odds = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(min(scale, 1e30)) * F.col("rate"))).otherwise(1.0)
-    drawn = table.select(F.col("source").alias("__s"), F.col("lang").alias("__l"), F.col("topic").alias("__topic"), "weight", odds.alias("probability"))
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) / F.lit(float(1 << 53))
-    return (marked.join(drawn, (F.col("topic") == F.col("__topic")) & (marked["__s"] == drawn["__s"]) & (marked["__l"] == drawn["__l"]))
-            .drop("__s", "__l", "__topic").withColumn("selected", draw < F.col("probability")))
+    drawn = table.select(F.col("source").alias("__s"), F.col("lang").alias("__l"), F.col("topic").alias("__t"), F.col("weight").alias(new["weight"]), odds.alias(new["probability"]))
+    chance = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) / F.lit(float(1 << 53))
+    return (marked.withColumn("__t", F.col(new["topic"])).join(drawn, ["__s", "__l", "__t"]).drop("__s", "__l", "__t")
+            .withColumn(new["selected"], chance < F.col(new["probability"])))
