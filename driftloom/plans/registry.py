@@ -1,10 +1,8 @@
-"""Queries over the test tables and their SQL."""
+"""All queries over the test tables and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import queries_episodes  # noqa: F401
+from .base import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
