@@ -18,20 +18,21 @@ A set is held as sorted 64-bit hashes; sets are compared exactly on these.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions, utf8
 from .components import components
 
-#: Members of a leaf; a task joins two at most.
-LEAF = 256
-#: Pivots that a family gets on average.
-PIVOTS = 8
+#: Members of a leaf, about; a task joins two at most.
+LEAF = 1024
+#: Pivots that a family gets on average: about one a leaf, between these bounds.
+LEAST_PIVOTS, MOST_PIVOTS = 2, 16
 #: Cells of more members are cut again with pivots of their own, so many times.
 CELL, DEPTH = 8192, 2
 #: Bytes of pivot sets that are broadcast at most; more are joined by exchange.
@@ -80,36 +81,39 @@ def shingles(raw: bytes, words: int) -> np.ndarray:
     return np.unique(_mix(values + (ends - starts).astype(np.uint64)))
 
 
-def _ring(n: int) -> int:
-    return n.bit_length() - 1
+def _rings(n: int, num: int, den: int) -> list[int]:
+    """Rings of half octaves of set sizes: that of ``n`` and those of the smaller sets it can link with."""
+    ring = lambda x: (x * x).bit_length() - 1  # noqa: E731  2 ** (ring / 2) <= x < 2 ** ((ring + 1) / 2)
+    return list(range(ring(max(1, -(-num * n // den))), ring(n) + 1))
 
 
 def signatures(grams: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Hashes of the non-empty parts of a set, for each ring of sizes it can link in.
+    """Hashes of non-empty parts of a set, for each ring of sizes it can link in.
 
     Linked sets x, y with |x| <= |y| differ in at most ``(den - num) * |x| // num``
-    grams and are joined in the ring of |x|.  A set with more non-empty parts than
-    that is strong: one of its parts is whole in y.  Weak sets, rare, also use
-    twice the parts, and so on; two sets share all rounds up to the first strong one.
+    grams and are joined in the ring of |x|.  Each set sends its first ``limit + 1``
+    non-empty parts, ``limit`` that bound: of the set whose last part comes first, one
+    part is whole in the other, which sends it too.  A set with fewer non-empty parts,
+    rare, also uses twice as many, and so on; two sets share all rounds up to the
+    first one that is enough for either.
     """
     n = len(grams)
     if not n:
         return np.empty(0, dtype=np.uint64)
-    rings = {_ring(n), _ring(max(1, -(-num * n // den)))}
     inner, out = _mix(grams ^ _U(0xA5A5A5A55A5A5A5A)), []
-    for ring in rings:
-        low = 1 << ring
-        top = min(n, 2 * low - 1)
-        limit = (den - num) * top // num
-        parts, turn = int(2 * low * (den - num) / num * 1.13) + 1, 0
+    for ring in _rings(n, num, den):
+        top = math.isqrt((1 << (ring + 1)) - 1)  # the greatest size of the ring
+        limit = (den - num) * min(n, top) // num
+        parts, turn = int(top * (den - num) / num * 1.04) + 1, 0
         while True:
-            at = (grams >> _U(13)) % _U(parts)
-            at = at.astype(np.int64)
+            at = ((grams >> _U(13)) % _U(parts)).astype(np.int64)
             sums = np.zeros(parts, dtype=np.uint64)
             np.add.at(sums, at, inner)
             used = np.flatnonzero(np.bincount(at, minlength=parts))
+            enough = len(used) > limit
+            used = used[:limit + 1]
             out.append(_mix(_mix(sums[used] + used.astype(np.uint64) * _U(0xD1B54A32D192ED03)) + _U(64 * ring + turn)))
-            if len(used) > limit or turn > 40:
+            if enough or turn > 40:
                 break
             parts, turn = 2 * parts, turn + 1
     return np.concatenate(out)
@@ -293,12 +297,12 @@ def _join_leaves(tasks: DataFrame, num: int, den: int) -> DataFrame:
 def _distances(members: DataFrame, by: str) -> DataFrame:
     """(by, doc_id, pivot, d): exact distances of all members to the pivots of their group.
 
-    Every member is a pivot with a seeded chance that gives ``PIVOTS`` on average; the
-    least member is one always.
+    Every member is a pivot with a seeded chance; the least member is one always.
     """
     stats = members.groupBy(by).agg(F.count("*").alias("size"), F.min("doc_id").alias("least"))
     chance = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(77)), 11) / F.lit(float(1 << 53))
-    pivots = (members.join(stats, by).filter((chance < PIVOTS / F.col("size")) | (F.col("doc_id") == F.col("least")))
+    wanted = F.greatest(F.lit(LEAST_PIVOTS), F.least(F.lit(MOST_PIVOTS), F.col("size") / LEAF))
+    pivots = (members.join(stats, by).filter((chance < wanted / F.col("size")) | (F.col("doc_id") == F.col("least")))
               .select(by, F.col("doc_id").alias("pivot"), F.col("grams_array").alias("pivot_grams")).dropDuplicates([by, "pivot"]))
     held = pivots.agg(F.sum(F.size("pivot_grams") * 8)).first()[0] or 0
     side = F.broadcast(pivots) if held <= PIVOT_BYTES else pivots
@@ -324,11 +328,15 @@ def _block_tasks(large: DataFrame, num: int, den: int) -> DataFrame:
         inner = materialize(_distances(again, "group"), "join-inner")
         finer = inner.groupBy("group", "doc_id").agg(F.min(F.struct("d", "pivot")).alias("n")).select(F.col("group.family").alias("family"), "doc_id", F.col("n.pivot").alias("sub"), F.col("n.d").alias("sd"))
         cells = cells.join(finer, ["family", "doc_id"], "left").select("family", "doc_id", F.when(F.col("sub").isNull(), F.col("cell")).otherwise(F.concat("cell", F.array("sub"))).alias("cell"), F.coalesce("sd", "d").alias("d"))
-    slot = F.floor(F.col("d") / (radius / 2)).cast("int")
-    cells = materialize(cells.withColumn("slot", slot), "join-cells")
-    counts = cells.groupBy("family", "cell", "slot").agg(F.ceil(F.count("*") * 1.25 / LEAF).alias("cuts"))
-    blocks = materialize(cells.join(counts, ["family", "cell", "slot"])
-                         .select("family", "doc_id", F.xxhash64("family", "cell", "slot", F.pmod(F.xxhash64("doc_id", F.lit(3)), "cuts")).alias("block")), "join-blocks")
+    # a cell's blocks: runs of distance slots that hold a leaf's worth; a fuller slot is cut by hash
+    cells = materialize(cells.withColumn("slot", F.floor(F.col("d") * 64).cast("int")), "join-cells")
+    counts = cells.groupBy("family", "cell", "slot").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("family", "cell").orderBy("slot"))
+    cuts = counts.select("family", "cell", "slot", F.floor((before - F.col("n")) / LEAF).alias("run"), F.ceil(F.col("n") * 0.9 / LEAF).alias("cuts"))
+    salt = F.when(F.col("cuts") > 1, F.pmod(F.xxhash64("doc_id", F.lit(3)), "cuts")).otherwise(0)
+    whole = F.when(F.col("cuts") > 1, F.col("slot")).otherwise(-1)
+    blocks = materialize(cells.join(cuts, ["family", "cell", "slot"])
+                         .select("family", "doc_id", F.xxhash64("family", "cell", "run", whole, salt).alias("block")), "join-blocks")
     # windows: the range of distances of each block to each pivot of its family
     ranges = materialize(blocks.join(near, ["family", "doc_id"]).groupBy("family", "block", "pivot").agg(F.min("d").alias("lo"), F.max("d").alias("hi")), "join-ranges")
     left = ranges.select("family", "pivot", F.col("block").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"))
@@ -371,7 +379,8 @@ def join_classes(docs: DataFrame, *, words: int = 5, num: int = 8, den: int = 10
             held = [shingles(x.as_py(), words).tobytes() for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, pa.binary())], ["family", "doc_id", "grams"])
 
-    members = docs.select("doc_id", utf8(F.col("text")).alias("raw")).join(families, "doc_id").select("family", "doc_id", "raw")
+    # families grow with the table: a merge join at any size, so that cost stays in proportion
+    members = docs.select("doc_id", utf8(F.col("text")).alias("raw")).join(families.hint("merge"), "doc_id").select("family", "doc_id", "raw")
     sets = materialize(members.mapInArrow(as_grams, "family long, doc_id long, grams binary").filter(F.length("grams") > 0), "join-sets")
     sized = materialize(sets.groupBy("family").agg(F.count("*").alias("size")), "join-sizes")
     small = sets.join(sized.filter(F.col("size") <= LEAF).select("family"), "family", "left_semi").select(F.concat(F.lit("f/"), F.col("family").cast("string")).alias("task"), F.lit(0).alias("side"), "doc_id", "grams")
