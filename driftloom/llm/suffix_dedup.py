@@ -33,17 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize, partitions, shared_dir, utf8
+from .common import drop_table, free_shuffles, materialize, partitions, shared_dir, utf8
 
 LENGTH = 100
 KMER = 40
 #: Bytes on either side of an anchor that a string around it can have.
 SIDE = LENGTH - KMER
 WIDTH = KMER + 2 * SIDE
-#: Bytes of text that a run is made of.
-RUN_BYTES = 8 << 20
+#: Bytes of text that a run of anchors, and one of suffixes, is made of.
+RUN_BYTES, SUFFIX_RUN_BYTES = 8 << 20, 4 << 20
 #: A k-mer is hot beyond so many occurrences, or one in so many of all anchors: that bounds the list of them.
-HOT, HOT_SHARE = 4096, 200_000
+HOT, HOT_SHARE = 1 << 16, 200_000
 
 _U = np.uint64
 _TABLE = np.random.default_rng(2718).integers(0, 2**64, 256, dtype=np.uint64)
@@ -140,9 +140,12 @@ def _anchor_runs(parts: int):
         yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.int32()), pa.array(keys, types[2]), pa.array(runs, types[3])], names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, found, size = [], [], 0
+        ids, found, size, last = [], [], 0, None
         for batch in batches:
             for ident, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if ident == last:  # rows come by id: a repeated one
+                    continue
+                last = ident
                 text = np.frombuffer(raw.as_buffer(), dtype=np.uint8)
                 ids.append(ident)
                 found.append(anchors(text))
@@ -212,10 +215,12 @@ def _suffix_runs(parts: int, hot: np.ndarray):
         which, doc, pos, left, right = which[ok], doc[ok], pos[ok], left[ok], right[ok]
         if not len(doc):
             return
-        step = np.concatenate((np.arange(KMER + SIDE), -1 - np.arange(SIDE)))
-        at = (base[which] + pos)[:, None] + step[None, :]
+        step = np.concatenate((np.arange(KMER + SIDE), -1 - np.arange(SIDE))).astype(np.int32)
+        at = (base[which] + pos).astype(np.int32)[:, None] + step[None, :]
         inside = np.concatenate((np.broadcast_to(np.arange(KMER + SIDE) < (KMER + right)[:, None], (len(doc), KMER + SIDE)), np.arange(SIDE) < left[:, None]), axis=1)
-        keys = np.where(inside, buffer[np.where(inside, at, 0)], np.uint8(0))
+        at[~inside] = len(buffer) - 1  # a zero byte
+        keys = buffer[at]
+        del at, inside
         full = np.concatenate((keys, left.astype(np.uint8)[:, None], right.astype(np.uint8)[:, None]), axis=1)
         order = np.lexsort((pos, doc, *np.ascontiguousarray(np.pad(full, ((0, 0), (0, -full.shape[1] % 8)))).view(">u8").T[::-1]))
         full, keys, doc, pos, left, right = full[order], keys[order], doc[order], pos[order], left[order], right[order]
@@ -251,14 +256,17 @@ def _suffix_runs(parts: int, hot: np.ndarray):
             yield rows(len(out_p), part=out_p, run=out_r)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, places, size = [], [], [], 0
+        ids, texts, places, size, last = [], [], [], 0, None
         for batch in batches:
             for ident, raw, pos in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if ident == last:
+                    continue
+                last = ident
                 ids.append(ident)
                 texts.append(np.frombuffer(raw.as_buffer(), dtype=np.uint8))
                 places.append(np.unique(pos.values.to_numpy(zero_copy_only=False)))
                 size += len(texts[-1]) + 100 * len(places[-1])
-                if size >= RUN_BYTES:
+                if size >= SUFFIX_RUN_BYTES:
                     yield from close(ids, texts, places)
                     ids, texts, places, size = [], [], [], 0
             texts = [t.copy() for t in texts]  # the batch's memory goes
@@ -467,17 +475,18 @@ def remove_repeats(docs: DataFrame, *, with_text: bool = False) -> DataFrame:
     shared_dir(spark)
     parts = partitions(spark)
     key = F.coalesce("doc_id", F.lit(-(2**63)))
-    texts = docs.select("doc_id", key.alias("id"), utf8(F.col("text")).alias("raw"))
-    # bucketed by id: the three joins with small tables below don't move the texts again
+    texts = docs.select("doc_id", key.alias("id"), utf8(F.col("text")).alias("raw")).withColumn("print", F.sha2("raw", 256))
+    # bucketed and sorted by id: the merge joins with narrow tables below, on id alone, don't move the texts again
     name = f"driftloom_texts_{uuid.uuid4().hex}"
     atexit.register(drop_table, spark, name)
-    (texts.repartition(parts, "id").write.bucketBy(parts, "id").sortBy("id").option("compression", "zstd").saveAsTable(name))
-    table = spark.table(name).withColumn("print", F.sha2("raw", 256))
-    prints = table.select("id", "print", (F.length("raw") >= LENGTH).alias("long")).groupBy("id").agg(F.min("print").alias("print"), F.max("long").alias("long"))
+    (texts.repartition(parts, "id").write.bucketBy(parts, "id").sortBy("id").saveAsTable(name))
+    free_shuffles(spark)
+    table = spark.table(name)
+    prints = table.select("id", "print", (F.length("raw") >= LENGTH).alias("long")).groupBy("id").agg(F.min("print").alias("own"), F.max("long").alias("long"))
     prints = materialize(prints, "dedup-prints")
-    least = prints.groupBy("print").agg(F.min("id").alias("id"))
-    prints = materialize(prints.join(least.select("print", F.col("id").alias("first")), "print").withColumn("copy", F.col("id") != F.col("first")).select("id", "print", "copy", "long"), "dedup-copies")
-    first = table.join(prints.filter("not copy and long").select("id", "print"), ["id", "print"], "left_semi").select("id", "raw").dropDuplicates(["id"])
+    least = prints.groupBy("own").agg(F.min("id").alias("first"))
+    prints = materialize(prints.join(least, "own").withColumn("copy", F.col("id") != F.col("first")).select("id", "own", "copy", "long"), "dedup-copies")
+    first = table.join(prints.filter("not copy and long").select("id", "own").hint("merge"), "id").filter("print <= own").select("id", "raw")  # own is the least; an equality would become a join key and move the texts
 
     runs = first.mapInArrow(_anchor_runs(parts), "doc_id long, pos int, part int, run binary")
     runs = materialize(runs, "dedup-anchors")
@@ -487,8 +496,9 @@ def remove_repeats(docs: DataFrame, *, with_text: bool = False) -> DataFrame:
     found = met.filter("doc_id is not null").select("doc_id", "pos").unionByName(runs.filter("doc_id is not null").select("doc_id", "pos"))
     places = found.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("pos").alias("pos"))  # at most one for each byte of the text
 
-    pieces = first.join(places, "id").select("id", "raw", "pos").mapInArrow(_suffix_runs(parts, hot), "part int, run binary, doc_id long, start int, stop int, h1 long, h2 long")
+    pieces = first.join(places.hint("merge"), "id").select("id", "raw", "pos").mapInArrow(_suffix_runs(parts, hot), "part int, run binary, doc_id long, start int, stop int, h1 long, h2 long")
     pieces = materialize(pieces, "dedup-suffixes")
+    free_shuffles(spark)
     spans = pieces.filter("stop is not null").select("doc_id", "start", "stop")
     merged = pieces.filter("run is not null").select("part", "run").repartition(parts, "part").mapInArrow(_merge, "doc_id long, start int, stop int")
     spans = spans.unionByName(merged)
@@ -497,7 +507,7 @@ def remove_repeats(docs: DataFrame, *, with_text: bool = False) -> DataFrame:
         one = strings.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("one"), F.count("*").alias("n")).filter("n > 1").drop("n")
         spans = spans.unionByName(strings.join(one, ["h1", "h2"]).filter(F.struct("doc_id", "start") > F.col("one")).select("doc_id", "start", (F.col("start") + LENGTH).alias("stop")))
     spans = materialize(spans.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "dedup-spans")
-    last = table.join(prints.join(spans, "id", "left").select("id", F.col("print").alias("own"), "copy", "spans"), "id")
+    last = table.join(prints.join(spans, "id", "left").select("id", "own", "copy", "spans").hint("merge"), "id")
     same = F.col("print") == F.col("own")
     last = last.select("doc_id", "raw", (same & F.col("copy")).alias("copy"), F.when(same, F.col("spans")).alias("spans"))
     return last.mapInArrow(_cut(with_text), RESULT if with_text else RESULT.replace(", kept binary", ""))
