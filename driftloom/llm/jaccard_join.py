@@ -2,15 +2,17 @@
 
 1.  *Regions.*  Hash classes cut every set into about as many parts as a linked
     pair can differ in, plus one: of two linked sets at least one non-empty part
-    is equal.  Sets with an equal part share a region; regions that meet form a
-    family, so every link lies inside one family.
-2.  *Voronoi cells.*  In a family too large for one task, some members become
+    is equal.  Sets with an equal part share a region, whose least member leads it.
+2.  *Sieve.*  A parity sketch bounds the symmetric difference of two sets from
+    below.  In the group of each leader, pairs beyond the bound fall out, and what
+    still hangs together forms a family: every link lies inside one family.
+3.  *Voronoi cells.*  In a family too large for one task, some members become
     pivots and every member gets its exact distance to each; it belongs to the cell
     of the nearest pivot.  Cells are cut into blocks along that distance; the cut
     recurs, with pivots of its own, in cells that are still large.
-3.  *Windows.*  |d(x,p) - d(y,p)| <= d(x,y): a block is replicated to another one
+4.  *Windows.*  |d(x,p) - d(y,p)| <= d(x,y): a block is replicated to another one
     only if their distance ranges are within the radius for every pivot.
-4.  *Leaves.*  Two blocks, or one small family, are joined exactly in one task of
+5.  *Leaves.*  Two blocks, or one small family, are joined exactly in one task of
     bounded size, which returns a spanning forest of its links, not all pairs.
 
 A set is held as sorted 64-bit hashes; sets are compared exactly on these.
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, utf8
+from .common import free_shuffles, materialize, partitions, utf8
 from .components import components
 
 #: Members of a leaf, about; a task joins two at most.
@@ -119,7 +121,16 @@ def signatures(grams: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-MAP_SCHEMA = "doc_id long, n long, print string, local long, part int, run binary"
+#: Bits of a parity sketch: bit i is the parity of the grams of hash class i.
+SKETCH_BITS = 1024
+
+
+def parity_sketch(grams: np.ndarray) -> bytes:
+    """Two sketches differ in at most as many bits as the sets differ in grams."""
+    return np.packbits(np.bincount(((grams >> _U(40)) % _U(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
+
+
+MAP_SCHEMA = "doc_id long, n long, print string, local long, sketch binary, part int, run binary"
 #: Texts that a run is made of.
 RUN_BYTES = 8 << 20
 
@@ -143,11 +154,11 @@ def _regions(words: int, num: int, den: int, parts: int):
     """Per text: its id, set size, set print and the first copy of the batch; per batch: runs of signatures."""
     import hashlib
 
-    names = ["doc_id", "n", "print", "local", "part", "run"]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.binary()]
+    names = ["doc_id", "n", "print", "local", "sketch", "part", "run"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
 
-    def out(ids, sizes, prints, locals_, part, runs):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids, sizes, prints, locals_, part, runs), types, strict=True)], names)
+    def out(*cols):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
     def close(ids: list[int], sigs: list[np.ndarray]) -> pa.RecordBatch | None:
         if not ids:
@@ -163,7 +174,7 @@ def _regions(words: int, num: int, den: int, parts: int):
                 keys.append(p)
                 runs.append(_pack(known[who], counts, every[cuts[p]:cuts[p + 1]]))
         none = [None] * len(keys)
-        return out(none, none, none, none, keys, runs)
+        return out(none, none, none, none, none, keys, runs)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,14 +184,15 @@ def _regions(words: int, num: int, den: int, parts: int):
                 raw = raw.as_py()
                 grams = shingles(raw, words)
                 mark = hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
-                local = ident
+                local, sketch = ident, None
                 if ident is not None and len(grams):
                     local = first.setdefault(mark, ident)
                     if local == ident:
+                        sketch = parity_sketch(grams)
                         ids.append(ident)
                         sigs.append(signatures(grams, num, den))
                         size += len(raw)
-                rows.append((ident, len(grams), mark.hex(), local, int.from_bytes(mark[:4], "big") % parts, None))
+                rows.append((ident, len(grams), mark.hex(), local, sketch, int.from_bytes(mark[:4], "big") % parts, None))
                 if size >= RUN_BYTES:
                     yield close(ids, sigs)
                     ids, sigs, size = [], [], 0
@@ -195,16 +207,16 @@ def _regions(words: int, num: int, den: int, parts: int):
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of texts as they are; for each region of a part, edges from its least member."""
     held: dict[int, list[bytes]] = {}
-    names = ["doc_id", "n", "print", "local", "other"]
+    names = ["doc_id", "n", "print", "local", "sketch", "other"]
     for batch in batches:
-        part, run = batch.column(4).to_pylist(), batch.column(5)
+        part, run = batch.column(5).to_pylist(), batch.column(6)
         texts = pa.array([not x.is_valid for x in run], pa.bool_())
         for p, x in zip(part, run, strict=True):
             if x.is_valid:
                 held.setdefault(p, []).append(x.as_py())
         rows = batch.filter(texts)
         if len(rows):
-            yield pa.RecordBatch.from_arrays([*rows.columns[:4], pa.nulls(len(rows), pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([*rows.columns[:5], pa.nulls(len(rows), pa.int64())], names)
     for p in list(held):
         ids, sigs = (np.concatenate(x) for x in zip(*map(_unpack, held.pop(p)), strict=True))
         order = np.lexsort((ids, sigs))
@@ -214,7 +226,30 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.unique(np.column_stack((ids, lead))[ids != lead], axis=0)
         if len(pairs):
             none = pa.nulls(len(pairs), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), none, pa.nulls(len(pairs), pa.string()), none, pa.array(pairs[:, 1])], names)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), none, pa.nulls(len(pairs), pa.string()), none, pa.nulls(len(pairs), pa.binary()), pa.array(pairs[:, 1])], names)
+
+
+def _forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Spanning forest of a symmetric adjacency matrix, breadth first."""
+    new, out = np.ones(len(near), dtype=bool), []
+    for start in range(len(near)):
+        if not new[start]:
+            continue
+        new[start], todo = False, [start]
+        while todo:
+            i = todo.pop()
+            found = np.flatnonzero(near[i] & new)
+            new[found] = False
+            out += [(i, int(j)) for j in found]
+            todo += found.tolist()
+    return out
+
+
+def sieve_forest(sketches: np.ndarray, sizes: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Spanning forest of the pairs that their sketches (0/1 rows) don't rule out."""
+    ones = sketches.sum(1)
+    apart = ones[:, None] + ones[None, :] - 2 * (sketches @ sketches.T)
+    return _forest(apart <= (den - num) * np.minimum(sizes[:, None], sizes[None, :]) // num)
 
 
 def linked_forest(sets: list[np.ndarray], split: int, num: int, den: int) -> list[tuple[int, int]]:
@@ -240,54 +275,71 @@ def linked_forest(sets: list[np.ndarray], split: int, num: int, den: int) -> lis
         block = np.zeros((len(sets), step), dtype=np.float32)
         block[owner[i:j], column[i:j] - lo] = 1
         common += block[a] @ block[b].T
-    union = sizes[a][:, None] + sizes[b][None, :] - common
-    x, y = np.nonzero(den * common >= num * union)
-    parent = list(range(len(sets)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    out = []
-    for i, j in zip(x.tolist(), (y + split).tolist(), strict=True):
-        p, q = root(i), root(j)
-        if p != q:
-            parent[p] = q
-            out.append((i, j))
-    return out
+    links = den * common >= num * (sizes[a][:, None] + sizes[b][None, :] - common)
+    if not split:
+        return _forest(links)
+    near = np.zeros((len(sets), len(sets)), dtype=bool)
+    near[a, b], near[b, a] = links, links.T
+    return _forest(near)
 
 
-def _leaves(num: int, den: int):
-    """Sorted rows (task, side, doc_id, grams): edges of each task's spanning forest."""
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
-    def solve(rows: list[tuple]) -> list[tuple[int, int]]:
-        rows.sort(key=lambda r: (r[1], r[2]))
-        split = sum(r[1] == 0 for r in rows) if rows[-1][1] else 0
-        if rows[0][1]:
-            return []
-        forest = linked_forest([np.frombuffer(r[3], dtype=np.uint64) for r in rows], split, num, den)
-        return [(rows[i][2], rows[j][2]) for i, j in forest if rows[i][2] != rows[j][2]]
+
+def _by_key(solve):
+    """Rows sorted by their first column, one group at a time, to edges."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, held = None, []
+        key, held = None, []
         for batch in batches:
             found = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != task:
+            for row in zip(*(_values(c) for c in batch.columns), strict=True):
+                if row[0] != key:
                     if held:
                         found += solve(held)
-                    task, held = row[0], []
+                    key, held = row[0], []
                 held.append(row)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
+                yield _edges(found)
         if held and (found := solve(held)):
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
+            yield _edges(found)
 
     return work
 
 
+def _values(column: pa.Array) -> list:
+    """Python values; lists of numbers as arrays of their own."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    flat, cuts = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [flat[i:j].copy() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _leaves(num: int, den: int):
+    """Rows (task, side, doc_id, grams) of one task to the edges of its spanning forest."""
+
+    def solve(rows: list[tuple]) -> list[tuple[int, int]]:
+        rows.sort(key=lambda r: (r[1], r[2]))
+        split = sum(r[1] == 0 for r in rows) if rows[-1][1] else 0
+        if rows[0][1]:
+            return []
+        forest = linked_forest([r[3] for r in rows], split, num, den)
+        return [(rows[i][2], rows[j][2]) for i, j in forest if rows[i][2] != rows[j][2]]
+
+    return _by_key(solve)
+
+
+def _sieve(num: int, den: int):
+    """Rows (lead, doc_id, n, sketch) of one leader to edges of what may be linked."""
+
+    def solve(rows: list[tuple]) -> list[tuple[int, int]]:
+        bits = np.unpackbits(np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
+        return [(rows[i][1], rows[j][1]) for i, j in sieve_forest(bits, np.array([r[2] for r in rows]), num, den)]
+
+    return _by_key(solve)
+
+
 def _join_leaves(tasks: DataFrame, num: int, den: int) -> DataFrame:
     """``tasks``: rows (task, side, doc_id, grams), each task of two leaves at most."""
     n = 4 * partitions(tasks.sparkSession)
@@ -303,28 +355,25 @@ def _distances(members: DataFrame, by: str) -> DataFrame:
     chance = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(77)), 11) / F.lit(float(1 << 53))
     wanted = F.greatest(F.lit(LEAST_PIVOTS), F.least(F.lit(MOST_PIVOTS), F.col("size") / LEAF))
     pivots = (members.join(stats, by).filter((chance < wanted / F.col("size")) | (F.col("doc_id") == F.col("least")))
-              .select(by, F.col("doc_id").alias("pivot"), F.col("grams_array").alias("pivot_grams")).dropDuplicates([by, "pivot"]))
+              .select(by, F.col("doc_id").alias("pivot"), F.col("grams").alias("pivot_grams")).dropDuplicates([by, "pivot"]))
     held = pivots.agg(F.sum(F.size("pivot_grams") * 8)).first()[0] or 0
     side = F.broadcast(pivots) if held <= PIVOT_BYTES else pivots
-    common = F.size(F.array_intersect("grams_array", "pivot_grams"))
+    common = F.size(F.array_intersect("grams", "pivot_grams"))
     return (members.join(side, by).withColumn("common", common)
-            .select(by, "doc_id", "pivot", (1 - F.col("common") / (F.size("grams_array") + F.size("pivot_grams") - F.col("common"))).alias("d")))
+            .select(by, "doc_id", "pivot", (1 - F.col("common") / (F.size("grams") + F.size("pivot_grams") - F.col("common"))).alias("d")))
 
 
 def _block_tasks(large: DataFrame, num: int, den: int) -> DataFrame:
     """Leaf tasks of the families in ``large`` (family, doc_id, grams): blocks whose windows meet."""
-    spark = large.sparkSession
     radius = 1 - num / den + 1e-9
-    # JVM-side arrays for the distances; eight bytes a gram, as in ``grams``
-    arrays = materialize(large.withColumn("grams_array", F.transform(F.sequence(F.lit(0), F.expr("length(grams) div 8 - 1")), lambda i: F.conv(F.hex(F.substring("grams", i * 8 + 1, F.lit(8))), 16, -10).cast("long"))), "join-arrays")
-    near = materialize(_distances(arrays, "family"), "join-distances")
+    near = materialize(_distances(large, "family"), "join-distances")
     cells = near.groupBy("family", "doc_id").agg(F.min(F.struct("d", "pivot")).alias("n")).select("family", "doc_id", F.array("n.pivot").alias("cell"), F.col("n.d").alias("d"))
     for _ in range(DEPTH):
         big = cells.groupBy("family", "cell").count().filter(F.col("count") > CELL).select("family", "cell")
         if not big.limit(1).count():
             break
         cells = materialize(cells, "join-cells")
-        again = arrays.join(cells.join(big, ["family", "cell"], "left_semi"), ["family", "doc_id"]).withColumn("group", F.struct("family", "cell"))
+        again = large.join(cells.join(big, ["family", "cell"], "left_semi"), ["family", "doc_id"]).withColumn("group", F.struct("family", "cell"))
         inner = materialize(_distances(again, "group"), "join-inner")
         finer = inner.groupBy("group", "doc_id").agg(F.min(F.struct("d", "pivot")).alias("n")).select(F.col("group.family").alias("family"), "doc_id", F.col("n.pivot").alias("sub"), F.col("n.d").alias("sd"))
         cells = cells.join(finer, ["family", "doc_id"], "left").select("family", "doc_id", F.when(F.col("sub").isNull(), F.col("cell")).otherwise(F.concat("cell", F.array("sub"))).alias("cell"), F.coalesce("sd", "d").alias("d"))
@@ -363,25 +412,35 @@ def join_classes(docs: DataFrame, *, words: int = 5, num: int = 8, den: int = 10
     spark = docs.sparkSession
     parts = partitions(spark)
     rows = docs.select("doc_id", utf8(F.col("text")).alias("raw")).mapInArrow(_regions(words, num, den, parts), MAP_SCHEMA)
-    met = materialize(rows.repartition(parts, "part").mapInArrow(_meet, "doc_id long, n long, print string, local long, other long"), "join-met")
-    texts = met.filter("n is not null").drop("other")
+    met = materialize(rows.repartition(parts, "part").mapInArrow(_meet, "doc_id long, n long, print string, local long, sketch binary, other long"), "join-met")
+    texts = met.filter("n is not null").drop("other")  # ``sketch`` only where the row leads its batch
     # equal sets are one class; a batch has sent one member of each, the rest hang on it
     heads = texts.filter("n > 0 and doc_id = local").select("doc_id", "print").distinct()
     classes = heads.join(heads.groupBy("print").agg(F.min("doc_id").alias("rep")), "print").groupBy("doc_id").agg(F.min("rep").alias("rep"))
     classes = materialize(classes, "join-classes")
     near = met.filter("other is not null").select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
-    near = (near.join(classes.select(F.col("doc_id").alias("a"), F.col("rep").alias("x")), "a")
-            .join(classes.select(F.col("doc_id").alias("b"), F.col("rep").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
-    families = materialize(components(near), "join-families").select(F.col("node").alias("doc_id"), F.col("label").alias("family"))
+    near = (near.join(classes.select(F.col("doc_id").alias("a"), F.col("rep").alias("doc_id")), "a")
+            .join(classes.select(F.col("doc_id").alias("b"), F.col("rep").alias("lead")), "b").filter("doc_id <> lead").select("lead", "doc_id").distinct())
+    near = materialize(near, "join-near")
+    heads = materialize(texts.filter("sketch is not null").select("doc_id", "n", "sketch").join(classes.select("doc_id", "rep"), "doc_id").filter("doc_id = rep").drop("rep").dropDuplicates(["doc_id"]), "join-heads")
+    groups = materialize(near.groupBy("lead").agg(F.count("*").alias("size")), "join-groups")
+    few = near.join(groups.filter(F.col("size") < LEAF).select("lead"), "lead", "left_semi")
+    few = few.unionByName(few.select("lead", F.col("lead").alias("doc_id")).distinct()).join(heads, "doc_id").select("lead", "doc_id", "n", "sketch")
+    sieved = few.repartition(4 * parts, "lead").sortWithinPartitions("lead").mapInArrow(_sieve(num, den), "a long, b long")
+    # a leader of more than a leaf keeps its star; its family goes to the Voronoi step
+    many = near.join(groups.filter(F.col("size") >= LEAF).select("lead"), "lead", "left_semi").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
+    families = materialize(components(sieved.unionByName(many)), "join-families").select(F.col("node").alias("doc_id"), F.col("label").alias("family"))
 
     def as_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [shingles(x.as_py(), words).tobytes() for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, pa.binary())], ["family", "doc_id", "grams"])
+            held = [shingles(x.as_py(), words).view(np.int64) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, pa.list_(pa.int64()))], ["family", "doc_id", "grams"])
 
+    free_shuffles(spark)
     # families grow with the table: a merge join at any size, so that cost stays in proportion
     members = docs.select("doc_id", utf8(F.col("text")).alias("raw")).join(families.hint("merge"), "doc_id").select("family", "doc_id", "raw")
-    sets = materialize(members.mapInArrow(as_grams, "family long, doc_id long, grams binary").filter(F.length("grams") > 0), "join-sets")
+    sets = materialize(members.mapInArrow(as_grams, "family long, doc_id long, grams array<long>").filter(F.size("grams") > 0), "join-sets")
+    free_shuffles(spark)
     sized = materialize(sets.groupBy("family").agg(F.count("*").alias("size")), "join-sizes")
     small = sets.join(sized.filter(F.col("size") <= LEAF).select("family"), "family", "left_semi").select(F.concat(F.lit("f/"), F.col("family").cast("string")).alias("task"), F.lit(0).alias("side"), "doc_id", "grams")
     big = sized.filter(F.col("size") > LEAF).select("family")
