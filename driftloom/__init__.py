@@ -1 +1,15 @@
 """One-class anomaly analytics over trajectories, on Spark DataFrames."""
+
+from __future__ import annotations
+
+import os
+from pathlib import Path
+
+
+def on_workers(spark) -> None:
+    """Has Python workers find this package where it lies, if the session's own path doesn't lead there."""
+    root = str(Path(__file__).resolve().parent.parent)
+    env = spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([root, *known])
