@@ -9,17 +9,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from driftloom import on_workers
 from driftloom.llm import common, decontaminate, jaccard_join, mixing, sharding, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The model is fitted on labelled rows of ``docs`` outside the held-out fold."""
+    on_workers(spark)
     model = toxicity.fit(docs, common.read(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, model)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five words, Jaccard 0.8; the least doc_id of a group stays."""
+    on_workers(spark)
     return jaccard_join.keep_one(docs, words=5, num=8, den=10)
 
 
