@@ -28,7 +28,9 @@ MAX_TRAINING_ROWS = 12_000
 #: Terms kept, those with most evidence first; part of the model's size bound.
 MAX_TERMS = 4_000
 MIN_CONTEXTS, MIN_STEM_CONTEXTS, MIN_STEM_WORDS = 3, 5, 3
-#: Documents labelled clean that may hold a term, for each context in a toxic one.
+#: A term is in so many toxic documents that a word without meaning would be in none but these with this chance.
+CHANCE = 1e-5
+#: A term's share of the clean documents is at most so much of its share of the toxic ones.
 CLEAN_SHARE = 0.02
 STEM_LENGTHS = range(4, 8)
 FUZZY_LENGTH = 5
@@ -194,29 +196,39 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING_
 
 
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Terms of toxic texts with a hash of their context; terms of clean texts with a count."""
+    """Terms of toxic texts with hashes of their context, form and document; terms of clean texts with a count of documents."""
     import xxhash
 
+    names, types = ["term", "stem", "context", "form", "doc", "clean"], (pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names)
+
     for batch in batches:
-        toxic: dict[tuple[str, bool, int, int], None] = {}
+        toxic: dict[tuple, None] = {}
         clean: Counter[tuple[str, bool]] = Counter()
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             tokens = words_of(text)
             if label:
+                doc = xxhash.xxh64_intdigest(text or "") >> 1
                 for a, w, b in zip(["", *tokens], tokens, [*tokens[1:], ""]):  # noqa: B905
                     at, form = xxhash.xxh64_intdigest(f"{a} {b}") >> 1, xxhash.xxh64_intdigest(w) >> 1
-                    toxic[(w, False, at, form)] = None
+                    toxic[(w, False, at, form, doc)] = None
                     for k in STEM_LENGTHS:
                         if len(w) > k:
-                            toxic[(w[:k], True, at, form)] = None
+                            toxic[(w[:k], True, at, form, doc)] = None
             else:
                 forms = set(tokens)
                 clean.update((w, False) for w in forms)
                 clean.update({(w[:k], True) for w in forms for k in STEM_LENGTHS if len(w) > k})
-        rows = [(*k, 0) for k in toxic] + [(w, s, None, None, n) for (w, s), n in clean.items()]
-        if rows:
-            cols = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["term", "stem", "context", "form", "clean"])
+            if len(toxic) > 50_000:
+                yield rows([(*k, 0) for k in toxic])
+                toxic.clear()
+            if len(clean) > 200_000:
+                yield rows([(w, s, None, None, None, n) for (w, s), n in clean.items()])
+                clean.clear()
+        if toxic or clean:
+            yield rows([(*k, 0) for k in toxic] + [(w, s, None, None, None, n) for (w, s), n in clean.items()])
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING_ROWS) -> Model:
@@ -231,13 +243,19 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING_ROWS) -> M
     n_toxic, n_clean = sum(n for k, n in counts.items() if k), sum(n for k, n in counts.items() if not k)
     if not n_toxic or not n_clean:
         return Model()
-    terms = (rows.select("text", F.col("toxic").cast("boolean").alias("toxic")).mapInArrow(_term_rows, "term string, stem boolean, context long, form long, clean long")
-             .groupBy("term", "stem").agg(F.approx_count_distinct("context", 0.02).alias("contexts"), F.approx_count_distinct("form", 0.02).alias("forms"), F.sum("clean").alias("clean")))
-    enough = F.when(F.col("stem"), (F.col("contexts") >= MIN_STEM_CONTEXTS) & (F.col("forms") >= MIN_STEM_WORDS)).otherwise(F.col("contexts") >= MIN_CONTEXTS)
+    raw = materialize(rows.select("text", F.col("toxic").cast("boolean").alias("toxic")).mapInArrow(_term_rows, "term string, stem boolean, context long, form long, doc long, clean long"), "toxic-terms")
     rate = CLEAN_SHARE * n_clean / n_toxic
-    kept = (terms.filter(enough & (F.length("term") >= 3) & (F.col("clean") <= F.col("contexts") * rate))
+    # plain sums first: only terms that can still pass get distinct counts
+    sums = raw.groupBy("term", "stem").agg(F.count("context").alias("rows"), F.sum("clean").alias("clean"))
+    sums = sums.filter((F.col("rows") >= MIN_CONTEXTS) & (F.length("term") >= 3) & (F.col("clean") <= F.col("rows") * rate)).drop("rows")
+    distinct = lambda c: F.approx_count_distinct(c, 0.02).alias(f"{c}s")
+    terms = raw.filter("context is not null").join(sums.withColumnRenamed("clean", "in_clean"), ["term", "stem"]).groupBy("term", "stem").agg(distinct("context"), distinct("form"), distinct("doc"), F.max("in_clean").alias("clean"))
+    least_docs = max(MIN_CONTEXTS, math.ceil(math.log(CHANCE) / math.log(n_toxic / (n_toxic + n_clean))))
+    enough = F.when(F.col("stem"), (F.col("contexts") >= MIN_STEM_CONTEXTS) & (F.col("forms") >= MIN_STEM_WORDS)).otherwise(F.col("contexts") >= MIN_CONTEXTS)
+    # copies of a document share their contexts, and one document can hold many: both must be several
+    kept = (terms.filter(enough & (F.col("docs") >= least_docs) & (F.col("clean") <= F.col("docs") * rate))
             .orderBy(F.desc("contexts"), "stem", "term").limit(MAX_TERMS).collect())
-    weight = lambda r: math.log((r["contexts"] + 0.5) / n_toxic) - math.log((r["clean"] + 0.5) / n_clean)
+    weight = lambda r: math.log((r["docs"] + 0.5) / n_toxic) - math.log((r["clean"] + 0.5) / n_clean)
     words = {r["term"]: max(0.1, weight(r)) for r in kept if not r["stem"]}
     stems = {r["term"]: max(0.1, weight(r)) for r in kept if r["stem"]}
     model = Model(words, stems)
