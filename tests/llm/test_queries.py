@@ -22,7 +22,7 @@ def test_query_runs_over_its_whole_table(spark, name):
 @pytest.mark.parametrize("name", sorted(Q.SQL))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "pages"):
         con.sql(f"create view {t} as select * from '{MORE}/{t}.parquet'")
     a, b = Q.QUERIES[name](spark, MORE).toPandas(), con.sql(Q.SQL[name]).df()
     key = sorted(a.columns)
