@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, materialize, partitions, utf8
+from .common import free_shuffles, materialize, partitions, small_batches, utf8
 from .components import components
 
 #: Members of a leaf, about; a task joins two at most.
-LEAF = 1024
+LEAF = 512
 #: Pivots that a family gets on average: about one a leaf, between these bounds.
 LEAST_PIVOTS, MOST_PIVOTS = 2, 16
 #: Cells of more members are cut again with pivots of their own, so many times.
@@ -151,7 +151,7 @@ def _unpack(run: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _regions(words: int, num: int, den: int, parts: int):
-    """Per text: its id, set size, set print and the first copy of the batch; per batch: runs of signatures."""
+    """Per text: its id, set size, set print and the first copy that the task has seen; per batch: runs of signatures."""
     import hashlib
 
     names = ["doc_id", "n", "print", "local", "sketch", "part", "run"]
@@ -177,8 +177,10 @@ def _regions(words: int, num: int, den: int, parts: int):
         return out(none, none, none, none, none, keys, runs)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: dict[bytes, int] = {}
         for batch in batches:
-            first: dict[bytes, int] = {}
+            if len(first) > 100_000:
+                first.clear()
             rows, ids, sigs, size = [], [], [], 0
             for ident, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = raw.as_py()
@@ -304,6 +306,7 @@ def _by_key(solve):
                 yield _edges(found)
         if held and (found := solve(held)):
             yield _edges(found)
+        pa.default_memory_pool().release_unused()
 
     return work
 
@@ -410,11 +413,12 @@ def join_classes(docs: DataFrame, *, words: int = 5, num: int = 8, den: int = 10
     null component.  ``doc_id`` names a document: rows that repeat one share its component.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     parts = partitions(spark)
     rows = docs.select("doc_id", utf8(F.col("text")).alias("raw")).mapInArrow(_regions(words, num, den, parts), MAP_SCHEMA)
     met = materialize(rows.repartition(parts, "part").mapInArrow(_meet, "doc_id long, n long, print string, local long, sketch binary, other long"), "join-met")
     texts = met.filter("n is not null").drop("other")  # ``sketch`` only where the row leads its batch
-    # equal sets are one class; a batch has sent one member of each, the rest hang on it
+    # equal sets are one class; a task has sent one member of each or a few, the rest hang on it
     heads = texts.filter("n > 0 and doc_id = local").select("doc_id", "print").distinct()
     classes = heads.join(heads.groupBy("print").agg(F.min("doc_id").alias("rep")), "print").groupBy("doc_id").agg(F.min("rep").alias("rep"))
     classes = materialize(classes, "join-classes")
