@@ -145,27 +145,55 @@ def mmd2(df: DataFrame, vector: str, key: str, label: Column, kernel: Kernel, n:
     return agg.select((F.col("s11") / (F.col("n1") * (F.col("n1") - 1)) + F.col("s00") / (F.col("n0") * (F.col("n0") - 1)) - 2 * F.col("s10") / (F.col("n1") * F.col("n0"))).alias("mmd2"))
 
 
-def mmd_permutation(df: DataFrame, vector: str, key: str, label: Column, kernel: Kernel, permutations: int = 200, seed: int = 0, n: int = 1000) -> DataFrame:
-    """(mmd2, null_mean, null_sd, z) against permuted labels; replicates are spread over tasks."""
+def _labelled_gram(df: DataFrame, vector: str, key: str, label: Column, kernel: Kernel, n: int) -> tuple[np.ndarray, np.ndarray]:
     rows = subsample(df.select(key, vector, label.cast("int").alias("y")), min(n, CAP), 0, key)
     keys, m = reference(rows, vector, key)
     lab = {r[key]: r["y"] for r in rows.select(key, "y").collect()}
-    y, g = np.array([lab[k] for k in keys], dtype=float), kernel(m, m)
+    g = kernel(m, m)
     np.fill_diagonal(g, 0.0)
+    return np.array([lab[k] for k in keys], dtype=float), g
+
+
+def _mmd2(g: np.ndarray, y: np.ndarray) -> float:
+    a, b = y.sum(), (1 - y).sum()
+    return float(y @ g @ y / (a * (a - 1)) + (1 - y) @ g @ (1 - y) / (b * (b - 1)) - 2 * y @ g @ (1 - y) / (a * b))
 
-    def stat(v: np.ndarray) -> float:
-        a, b = v.sum(), (1 - v).sum()
-        return v @ g @ v / (a * (a - 1)) + (1 - v) @ g @ (1 - v) / (b * (b - 1)) - 2 * v @ g @ (1 - v) / (a * b)
+
+def _replicates(df: DataFrame, n: int, fn: Callable[[int], float]) -> DataFrame:
+    """(v): ``fn`` of the replicate numbers, spread over tasks."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"v": [stat(np.random.default_rng([seed, int(i)]).permutation(y)) for i in b["id"]]})
+            yield pd.DataFrame({"v": [fn(int(i)) for i in b["id"]]})
+
+    return df.sparkSession.range(n).mapInPandas(work, "v double")
+
 
-    null, own = df.sparkSession.range(permutations).mapInPandas(work, "v double"), stat(y)
-    out = null.agg(F.avg("v").alias("null_mean"), F.stddev_pop("v").alias("null_sd")).withColumn("mmd2", F.lit(float(own)))
+def mmd_permutation(df: DataFrame, vector: str, key: str, label: Column, kernel: Kernel, permutations: int = 200, seed: int = 0, n: int = 1000) -> DataFrame:
+    """(mmd2, null_mean, null_sd, z) against permuted labels."""
+    y, g = _labelled_gram(df, vector, key, label, kernel, n)
+    null = _replicates(df, permutations, lambda i: _mmd2(g, np.random.default_rng([seed, i]).permutation(y)))
+    out = null.agg(F.avg("v").alias("null_mean"), F.stddev_pop("v").alias("null_sd")).withColumn("mmd2", F.lit(_mmd2(g, y)))
     return out.select("mmd2", "null_mean", "null_sd", ((F.col("mmd2") - F.col("null_mean")) / F.col("null_sd")).alias("z"))
 
 
+def mmd_interval(df: DataFrame, vector: str, key: str, label: Column, kernel: Kernel, replicates: int = 200, seed: int = 0, n: int = 1000, share: float = 0.8) -> DataFrame:
+    """The permutation test with the 5th and 95th percentile of its z over class-balanced subsamples."""
+    y, g = _labelled_gram(df, vector, key, label, kernel, n)
+    ones, zeros = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    k = min(max(30, int(share * min(len(ones), len(zeros)))), len(ones), len(zeros))
+
+    def part(i: int) -> float:
+        rng = np.random.default_rng([seed + 1, i])
+        at = np.concatenate((rng.choice(ones, k, False), rng.choice(zeros, k, False)))
+        return _mmd2(g[np.ix_(at, at)], y[at])
+
+    test = mmd_permutation(df, vector, key, label, kernel, replicates, seed, n)
+    parts = _replicates(df, replicates, part).agg(F.percentile("v", F.lit(0.05)).alias("lo"), F.percentile("v", F.lit(0.95)).alias("hi"))
+    z = lambda c: (F.col(c) - F.col("null_mean")) / F.col("null_sd")
+    return test.crossJoin(F.broadcast(parts)).select("mmd2", "z", z("lo").alias("z_low"), z("hi").alias("z_high"))
+
+
 def two_nn_dimension(df: DataFrame, vector: str, key: str, discard: float = 0.1, n: int = CAP) -> DataFrame:
     """Intrinsic dimension from ratios of the two nearest distances, the top share discarded, line through 0."""
     from pyspark.sql import Window

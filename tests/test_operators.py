@@ -188,3 +188,23 @@ def test_experiment_runs_without_failures(spark):
     r = experiment.run_experiment(s, e)
     row = r.metrics.first()
     assert row.n_failed == 0 and row.detection_rate is None and 0 <= row.fpr <= 1
+
+
+def test_volumes_and_smoothed_moments(spark):
+    from driftloom.operators import volume as V
+
+    disc = lambda x: (x * x).sum(1)
+    centres = RNG.normal(scale=0.5, size=(100, 2))
+    v = V.importance_volume(spark, disc, 1.0, [-2, -2], [2, 2], centres, V.proposal_width(centres), 50_000)
+    assert abs(v.value - np.pi) < 5 * v.se + 0.02
+    inside = np.array([r.x for r in V.proposals(spark, disc, 1.0, 5000, low=[-2, -2], high=[2, 2]).collect()])
+    assert (disc(inside) <= 1).all() and abs(len(inside) / 5000 - np.pi / 16) < 0.03
+    p = np.array([[1.0, 0.3], [-0.5, 0.2]])
+    z = RNG.normal(size=(400_000, 2)) * 0.4
+    feats = B.features_np((p[:, None, :] + z[None]).reshape(-1, 2), 2)
+    want = feats.T @ feats / len(z)
+    assert np.allclose(V.smoothed_moments(p, 2, 0.4), want, atol=0.05)
+    r = np.sqrt(RNG.uniform(size=400_000))[:, None] * 0.4
+    t = RNG.uniform(0, 2 * np.pi, 400_000)
+    feats = B.features_np((p[:, None, :] + (r * np.column_stack((np.cos(t), np.sin(t))))[None]).reshape(-1, 2), 2)
+    assert np.allclose(V.smoothed_moments(p, 2, 0.4, "ball", mean=True), feats.T @ feats / len(feats), atol=0.02)
