@@ -26,10 +26,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Scratch paths in the order in which they were made, with their names.
+_MADE: list[tuple[str, str]] = []
+
+
+def made() -> int:
+    """A mark for ``drop_made``."""
+    return len(_MADE)
+
+
+def drop_made(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the scratch tables made since a mark but for those named in ``keep``."""
+    for name, path in _MADE[since:]:
+        if name not in keep:
+            drop_path(spark, path)
+    _MADE[since:] = [x for x in _MADE[since:] if x[0] in keep]
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder; it is deleted when the driver ends."""
     path = f"{shared_dir(spark).rstrip('/')}/driftloom-{name}-{uuid.uuid4().hex}"
     atexit.register(drop_path, spark, path)
+    _MADE.append((name, path))
     return path
 
 

@@ -28,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, materialize, partitions, small_batches, utf8
+from .common import drop_made, free_shuffles, made, materialize, partitions, small_batches, utf8
 from .components import components
 
 #: Members of a leaf, about; a task joins two at most.
-LEAF = 512
+LEAF = 1024
 #: Pivots that a family gets on average: about one a leaf, between these bounds.
 LEAST_PIVOTS, MOST_PIVOTS = 2, 16
+#: Grams whose incidences a leaf holds at a time.
+SLICE_GRAMS = 250_000
 #: Cells of more members are cut again with pivots of their own, so many times.
 CELL, DEPTH = 8192, 2
 #: Bytes of pivot sets that are broadcast at most; more are joined by exchange.
@@ -151,7 +153,7 @@ def _unpack(run: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _regions(words: int, num: int, den: int, parts: int):
-    """Per text: its id, set size, set print and the first copy that the task has seen; per batch: runs of signatures."""
+    """Per text: its id, set size, set print and the first copy that the task has seen; per 8 MB of texts: runs of signatures."""
     import hashlib
 
     names = ["doc_id", "n", "print", "local", "sketch", "part", "run"]
@@ -178,10 +180,11 @@ def _regions(words: int, num: int, den: int, parts: int):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first: dict[bytes, int] = {}
+        ids, sigs, size = [], [], 0
         for batch in batches:
             if len(first) > 100_000:
                 first.clear()
-            rows, ids, sigs, size = [], [], [], 0
+            rows = []
             for ident, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = raw.as_py()
                 grams = shingles(raw, words)
@@ -194,14 +197,14 @@ def _regions(words: int, num: int, den: int, parts: int):
                         ids.append(ident)
                         sigs.append(signatures(grams, num, den))
                         size += len(raw)
-                rows.append((ident, len(grams), mark.hex(), local, sketch, int.from_bytes(mark[:4], "big") % parts, None))
+                rows.append((ident, len(grams), mark.hex(), local, sketch, (ident or 0) * 2654435761 % 2**32 * parts >> 32, None))  # texts need no company: they are spread by id
                 if size >= RUN_BYTES:
                     yield close(ids, sigs)
                     ids, sigs, size = [], [], 0
             if rows:
                 yield out(*zip(*rows, strict=True))
-            if ids:
-                yield close(ids, sigs)
+        if ids:
+            yield close(ids, sigs)
 
     return work
 
@@ -259,24 +262,28 @@ def linked_forest(sets: list[np.ndarray], split: int, num: int, den: int) -> lis
 
     Intersections are counted by products of incidence matrices over slices of the grams.
     """
+    sets = [s.view(np.uint64) for s in sets]
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    owner, grams = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
-    _, column, count = np.unique(grams, return_inverse=True, return_counts=True)
-    shared = count > 1
-    renumbered = np.cumsum(shared) - 1
-    keep = shared[column]
-    owner, column = owner[keep], renumbered[column[keep]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    a = slice(0, split or len(sets))
-    b = slice(split, len(sets))
-    common = np.zeros((a.stop, len(sets) - split), dtype=np.float64)
-    step = 4096
-    for lo in range(0, int(shared.sum()), step):
-        i, j = np.searchsorted(column, (lo, lo + step))
-        block = np.zeros((len(sets), step), dtype=np.float32)
-        block[owner[i:j], column[i:j] - lo] = 1
-        common += block[a] @ block[b].T
+    a, b = slice(0, split or len(sets)), slice(split, len(sets))
+    common = np.zeros((a.stop, len(sets) - split), dtype=np.float32)
+    # sets are sorted: ranges of hash values are slices of each, and bound what is held at a time
+    turns = int(sizes.sum()) // SLICE_GRAMS + 1
+    bounds = np.array([i * 2**64 // turns for i in range(1, turns)], dtype=np.uint64)
+    cuts = [np.concatenate(([0], np.searchsorted(s, bounds), [len(s)])) for s in sets]
+    for k in range(turns):
+        owner = np.repeat(np.arange(len(sets)), [c[k + 1] - c[k] for c in cuts])
+        _, column, count = np.unique(np.concatenate([s[c[k]:c[k + 1]] for s, c in zip(sets, cuts, strict=True)]), return_inverse=True, return_counts=True)
+        shared = count > 1
+        keep = shared[column]
+        owner, column = owner[keep], (np.cumsum(shared) - 1)[column[keep]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        for lo in range(0, int(shared.sum()), 2048):
+            i, j = np.searchsorted(column, (lo, lo + 2048))
+            block = np.zeros((len(sets), 2048), dtype=np.float32)
+            block[owner[i:j], column[i:j] - lo] = 1
+            common += block[a] @ block[b].T
+    common = common.astype(np.float64)
     links = den * common >= num * (sizes[a][:, None] + sizes[b][None, :] - common)
     if not split:
         return _forest(links)
@@ -345,8 +352,7 @@ def _sieve(num: int, den: int):
 
 def _join_leaves(tasks: DataFrame, num: int, den: int) -> DataFrame:
     """``tasks``: rows (task, side, doc_id, grams), each task of two leaves at most."""
-    n = 4 * partitions(tasks.sparkSession)
-    return tasks.repartition(n, "task").sortWithinPartitions("task").select("task", "side", "doc_id", "grams").mapInArrow(_leaves(num, den), "a long, b long")
+    return tasks.repartition(partitions(tasks.sparkSession), "task").sortWithinPartitions("task").select("task", "side", "doc_id", "grams").mapInArrow(_leaves(num, den), "a long, b long")
 
 
 def _distances(members: DataFrame, by: str) -> DataFrame:
@@ -401,7 +407,7 @@ def _block_tasks(large: DataFrame, num: int, den: int) -> DataFrame:
     sides = [pairs.select(task, F.col(s).alias("block"), F.lit(i).alias("side")) for i, s in enumerate("ab")]
     wanted = sides[0].unionByName(sides[1].join(pairs.filter("a = b").select(task), "task", "left_anti"))
     # one cell's block against itself has one side
-    return wanted.join(blocks.select("block", "doc_id"), "block").join(large.select("doc_id", "grams").dropDuplicates(["doc_id"]), "doc_id").select("task", "side", "doc_id", "grams")
+    return wanted.join(blocks.select("block", "doc_id"), "block").join(large.select("doc_id", "grams"), "doc_id").select("task", "side", "doc_id", "grams")
 
 
 def join_classes(docs: DataFrame, *, words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -413,8 +419,8 @@ def join_classes(docs: DataFrame, *, words: int = 5, num: int = 8, den: int = 10
     null component.  ``doc_id`` names a document: rows that repeat one share its component.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    parts = partitions(spark)
+    small_batches(spark, 500)
+    parts, mark = partitions(spark), made()
     rows = docs.select("doc_id", utf8(F.col("text")).alias("raw")).mapInArrow(_regions(words, num, den, parts), MAP_SCHEMA)
     met = materialize(rows.repartition(parts, "part").mapInArrow(_meet, "doc_id long, n long, print string, local long, sketch binary, other long"), "join-met")
     texts = met.filter("n is not null").drop("other")  # ``sketch`` only where the row leads its batch
@@ -430,7 +436,7 @@ def join_classes(docs: DataFrame, *, words: int = 5, num: int = 8, den: int = 10
     groups = materialize(near.groupBy("lead").agg(F.count("*").alias("size")), "join-groups")
     few = near.join(groups.filter(F.col("size") < LEAF).select("lead"), "lead", "left_semi")
     few = few.unionByName(few.select("lead", F.col("lead").alias("doc_id")).distinct()).join(heads, "doc_id").select("lead", "doc_id", "n", "sketch")
-    sieved = few.repartition(4 * parts, "lead").sortWithinPartitions("lead").mapInArrow(_sieve(num, den), "a long, b long")
+    sieved = few.repartition(parts, "lead").sortWithinPartitions("lead").mapInArrow(_sieve(num, den), "a long, b long")
     # a leader of more than a leaf keeps its star; its family goes to the Voronoi step
     many = near.join(groups.filter(F.col("size") >= LEAF).select("lead"), "lead", "left_semi").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
     families = materialize(components(sieved.unionByName(many)), "join-families").select(F.col("node").alias("doc_id"), F.col("label").alias("family"))
@@ -454,7 +460,10 @@ def join_classes(docs: DataFrame, *, words: int = 5, num: int = 8, den: int = 10
     links = materialize(_join_leaves(tasks, num, den), "join-links")
     found = components(links).select(F.col("node").alias("rep"), F.col("label").alias("component"))
     placed = classes.join(found, "rep", "left").select(F.col("doc_id").alias("local"), F.coalesce("component", "rep").alias("component"))
-    return texts.join(placed, "local", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = texts.join(placed, "local", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = materialize(out, "join-out")
+    drop_made(spark, mark, ("join-out",))
+    return out
 
 
 def keep_one(docs: DataFrame, *, words: int = 5, num: int = 8, den: int = 10) -> DataFrame:

@@ -236,8 +236,9 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING_ROWS) -> M
 
     Without toxic or without clean training rows the model knows no term and every score is near 0.
     """
-    from .common import materialize
+    from .common import drop_made, made, materialize
 
+    mark = made()
     rows = materialize(training_rows(docs, labels, limit), "toxic-train")
     counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n_toxic, n_clean = sum(n for k, n in counts.items() if k), sum(n for k, n in counts.items() if not k)
@@ -272,6 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING_ROWS) -> M
     model = Model(words, stems, frozenset(r["word"] for r in clean))
     held = rows.filter(~half).select("text", "toxic").mapInArrow(_evidence_rows(model), "evidence double, toxic int").toPandas()
     model.bias, model.slope = logistic(np.log1p(held["evidence"].to_numpy(float)), held["toxic"].to_numpy(float))
+    drop_made(docs.sparkSession, mark)
     return model
 
 
