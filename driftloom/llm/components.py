@@ -12,7 +12,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b): label is the least node it reaches.
 
     A round links, for each node, its larger neighbours and then its smaller ones to
-    the least; it ends when every edge leads to a least node.  A step is a
+    the least; it ends when every node hangs on one node and that on none.  A step is a
     pre-aggregated minimum and a join on the node, and each round is written to the
     shared folder, so neither a hub nor a long lineage meets in one place.
     """
@@ -27,8 +27,10 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         after = (hung.select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(hung.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
         after = materialize(after, "stars")
-        # stable once no target of an edge hangs on another node
-        moved = after.select(F.col("b").alias("x")).distinct().join(after.select(F.col("a").alias("x")).distinct(), "x", "left_semi").limit(1).count()
+        # stable once no target of an edge hangs on another node and none hangs on two
+        chained = after.select(F.col("b").alias("x")).distinct().join(after.select(F.col("a").alias("x")).distinct(), "x", "left_semi")
+        forked = after.groupBy(F.col("a").alias("x")).agg(F.count("*").alias("n")).filter("n > 1").select("x")
+        moved = chained.unionByName(forked).limit(1).count()
         now = after
         if not moved:
             break

@@ -64,6 +64,37 @@ def test_components_of_a_path_and_a_star(spark):
     assert C.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def least_of(edges):
+    """Union-find: the least node that each node reaches."""
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((top(a), top(b)))
+        up[b] = a
+    return {x: top(x) for x in list(up)}
+
+
+def shuffled_edges(seed, sizes, tree):
+    """Paths or trees over ids in random order."""
+    rng = random.Random(seed)
+    ids, edges = rng.sample(range(1000), sum(sizes)), []
+    for n in sizes:
+        part, ids = ids[:n], ids[n:]
+        edges += [(part[i], part[rng.randrange(i) if tree else i - 1]) for i in range(1, n)]
+    return edges
+
+
+@pytest.mark.parametrize("edges", [[(1, 3), (3, 4), (4, 6), (6, 2)], shuffled_edges(1, [6, 10], False), shuffled_edges(2, [6, 7, 8], True), shuffled_edges(3, [40], True)])
+def test_components_equal_union_find(spark, edges):
+    rows = C.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(rows) == len({r.node for r in rows}) and {r.node: r.label for r in rows} == least_of(edges)
+
+
 # 1
 
 
