@@ -9,24 +9,91 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pairs import CAP, Kernel, band_pairs, reference, squared_distances
+from .pairs import CAP, Kernel, band_pairs, squared_distances
+
+
+def _split(x: np.ndarray, size: int) -> tuple[list, list[tuple[np.ndarray, np.ndarray]]]:
+    """k-d cells of about ``size`` of the points: (tree, corners); the outer cells are open."""
+    corners: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def grow(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> list:
+        k = int(np.ptp(x, axis=0).argmax()) if len(x) else 0
+        values = np.sort(x[:, k]) if len(x) else x
+        if len(x) <= size or values[0] == values[-1]:
+            corners.append((low, high))
+            return [len(corners) - 1]
+        cut = float(min(values[len(x) // 2], values[values < values[-1]][-1]))
+        under, over = high.copy(), low.copy()
+        under[k] = over[k] = cut
+        return [k, cut, grow(x[x[:, k] <= cut], low, under), grow(x[x[:, k] > cut], over, high)]
+
+    return grow(x, np.full(x.shape[1], -np.inf), np.full(x.shape[1], np.inf)), corners
+
+
+def _cell(tree: list, x: np.ndarray) -> np.ndarray:
+    if len(tree) == 1:
+        return np.full(len(x), tree[0])
+    under, out = x[:, tree[0]] <= tree[1], np.zeros(len(x), dtype=np.int64)
+    out[under], out[~under] = _cell(tree[2], x[under]), _cell(tree[3], x[~under])
+    return out
+
+
+def _nearest_in_cell(rows: DataFrame, points: DataFrame, key: str, kind: str) -> DataFrame:
+    """(key, v, match, d2) of each row and the points of its cell; a cell of many rows is met in parts."""
+    sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / CAP).alias("parts"))
+    left = rows.join(sizes, "cell").select("cell", F.pmod(F.xxhash64(key), F.col("parts")).alias("part"), key, "v")
+    ends = sizes.select(F.col("cell").alias("of"), F.col("parts").alias("ends"))
+    right = points.join(ends, F.col("cell") == F.col("of")).select(F.col("of").alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ends") - 1)).alias("slot"), "match", F.col("v").alias("y"))
+
+    def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({key: a[key][:0], "v": a["v"][:0], "match": [], "d2": []})
+        b = b.sort_values("match")  # of equally near ones the least
+        x, y = (np.array(c.tolist(), dtype=float) for c in (a["v"], b["y"]))
+        at, d2 = np.zeros(len(x), dtype=np.int64), np.zeros(len(x))
+        for i in range(0, len(x), 256):
+            d = sum(np.square(x[i:i + 256, k, None] - y[None, :, k]) for k in range(x.shape[1]))
+            at[i:i + 256], d2[i:i + 256] = d.argmin(1), d.min(1)
+        return pd.DataFrame({key: a[key], "v": a["v"], "match": b["match"].to_numpy()[at], "d2": d2})
+
+    return left.groupBy("cell", "part").cogroup(right.groupBy("at", "slot")).applyInPandas(work, f"{key} {kind}, v array<double>, match long, d2 double")
 
 
 def nearest_match(left: DataFrame, right: DataFrame, key: str, params: Sequence[str], n: int = CAP) -> DataFrame:
-    """(key, match, distance): for each left row the nearest of at most ``n`` right rows, parameters standardized by the right."""
-    moments = right.agg(*[F.avg(p) for p in params], *[F.stddev_pop(p) for p in params]).first()
-    k = len(params)
-    scaled = lambda df: df.select(key, F.array(*[(F.col(p) - moments[i]) / (moments[k + i] or 1.0) for i, p in enumerate(params)]).alias("v"))
-    keys, m = reference(scaled(right), "v", key, n)
+    """(key, match, distance): for each left row (one a key) the nearest of all right rows, parameters standardized by the right.
 
-    def work(batches):
+    The right rows are dealt to k-d cells of about ``n``, cut by a sample.  The nearest in a row's
+    own cell bounds its distance; all cells within the bound are searched, so the result is exact.
+    """
+    moments = right.agg(*[F.avg(p) for p in params], *[F.stddev_pop(p) for p in params]).first()
+    k, kind = len(params), dict(left.dtypes)[key]
+    scaled = lambda df: df.select(key, F.array(*[(F.col(p) - moments[i]) / (moments[k + i] or 1.0) for i, p in enumerate(params)]).alias("v")).filter(~F.exists("v", lambda x: x.isNull()))
+    points = scaled(right).groupBy("v").agg(F.min(key).cast("long").alias("match"))  # equal points count once
+    total, per_cell = points.count(), 64
+    share = min(1.0, per_cell / n)
+    sample = points.filter(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < int(share * (1 << 20))) if total > n else points.limit(0)
+    tree, corners = _split(np.array([r["v"] for r in sample.select("v").collect()], dtype=float).reshape(-1, k), per_cell)
+    low, high = (np.array(c) for c in zip(*corners, strict=True))
+
+    def own(batches):
         for pdf in batches:
             if len(pdf):
-                d = squared_distances(np.array(pdf["v"].tolist(), dtype=float), m)
-                i = d.argmin(1)
-                yield pd.DataFrame({key: pdf[key], "match": keys[i], "distance": np.sqrt(d[np.arange(len(d)), i])})
+                yield pdf.assign(cell=_cell(tree, np.array(pdf["v"].tolist(), dtype=float)))
 
-    return scaled(left).filter(~F.exists("v", lambda x: x.isNull())).mapInPandas(work, f"{key} {dict(left.dtypes)[key]}, match long, distance double")
+    def reached(batches):
+        for pdf in batches:
+            for i in range(0, len(pdf), 1000):
+                part = pdf.iloc[i:i + 1000]
+                x = np.array(part["v"].tolist(), dtype=float)
+                d2 = sum(np.square(np.maximum(np.maximum(low[None, :, j] - x[:, j, None], x[:, j, None] - high[None, :, j]), 0.0)) for j in range(k))
+                row, cell = np.nonzero(d2 <= part["d2"].to_numpy()[:, None])
+                yield pd.DataFrame({key: part[key].to_numpy()[row], "v": part["v"].to_numpy()[row], "cell": cell})
+
+    points = points.mapInPandas(own, "v array<double>, match long, cell long")
+    bound = _nearest_in_cell(scaled(left).mapInPandas(own, f"{key} {kind}, v array<double>, cell long"), points, key, kind)
+    rows = bound.mapInPandas(reached, f"{key} {kind}, v array<double>, cell long").cache()
+    best = _nearest_in_cell(rows, points, key, kind).groupBy(key).agg(F.min(F.struct("d2", "match")).alias("best"))
+    return best.select(key, F.col("best.match").alias("match"), F.sqrt("best.d2").alias("distance"))
 
 
 def forward_divergence(states: DataFrame, episodes: DataFrame, channel: str, params: Sequence[str], tol: Sequence[float], start: int, steps: int) -> DataFrame:

@@ -208,3 +208,15 @@ def test_volumes_and_smoothed_moments(spark):
     t = RNG.uniform(0, 2 * np.pi, 400_000)
     feats = B.features_np((p[:, None, :] + (r * np.column_stack((np.cos(t), np.sin(t))))[None]).reshape(-1, 2), 2)
     assert np.allclose(V.smoothed_moments(p, 2, 0.4, "ball", mean=True), feats.T @ feats / len(feats), atol=0.02)
+
+
+def test_nearest_match_searches_all_right_rows(spark):
+    from driftloom.operators import matching as Y
+
+    right, left = RNG.normal(size=(6000, 2)).round(2), np.vstack((RNG.normal(size=(800, 2)).round(2), [[30.0, -30.0]]))
+    frame = lambda x, first: spark.createDataFrame([(first + i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id long, a double, b double")
+    y, x = ((v - right.mean(0)) / right.std(0) for v in (right, left))
+    d = np.sqrt(((x[:, None, :] - y[None]) ** 2).sum(2))
+    for n in (4000, 300):
+        got = {r.id: (r.match, r.distance) for r in Y.nearest_match(frame(left, 10_000), frame(right, 0), "id", ["a", "b"], n).collect()}
+        assert len(got) == len(left) and all(abs(got[10_000 + i][1] - d[i].min()) < 1e-9 and abs(d[i, got[10_000 + i][0]] - d[i].min()) < 1e-9 for i in range(len(left)))
