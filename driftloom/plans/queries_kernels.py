@@ -280,10 +280,9 @@ def farthest_point_centres(spark, d):
 
 @query()
 def tucker_error(spark, d):
-    w = W.sliding(line_states(spark, d), ["quantity", "price", "discount", "tax"], 20, 20).filter("end < 100")
-    x = np.array(w.orderBy("ep", "end").limit(500).select("w").toPandas()["w"].map(lambda a: [list(r) for r in a]).tolist(), dtype=float)
-    x = (x - x.mean((0, 1))) / x.std((0, 1))
-    return spark.createDataFrame([(k, R.tucker13(x, 2 * k, k)[3]) for k in (1, 2, 3, 4)], "rank long, error double")
+    w = W.sliding(line_states(spark, d), ["quantity", "price", "discount", "tax"], 20, 20)
+    n, s, g = R.second_moment(w.select(F.flatten("w").alias("w")), "w")
+    return spark.createDataFrame([(k, R.tucker13_error(n, s, g, 4, 2 * k, k)) for k in (1, 2, 3, 4)], "rank long, error double")
 
 
 @query()

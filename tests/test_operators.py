@@ -220,3 +220,15 @@ def test_nearest_match_searches_all_right_rows(spark):
     for n in (4000, 300):
         got = {r.id: (r.match, r.distance) for r in Y.nearest_match(frame(left, 10_000), frame(right, 0), "id", ["a", "b"], n).collect()}
         assert len(got) == len(left) and all(abs(got[10_000 + i][1] - d[i].min()) < 1e-9 and abs(d[i, got[10_000 + i][0]] - d[i].min()) < 1e-9 for i in range(len(left)))
+
+
+def test_tucker_error_is_that_of_all_windows(spark):
+    from driftloom.plans import base, registry
+
+    sf = "/root/testdata/sf0.01"
+    w = W.sliding(base.line_states(spark, sf), ["quantity", "price", "discount", "tax"], 20, 20).select("w").toPandas()["w"]
+    x = np.array(w.map(lambda a: [list(r) for r in a]).tolist(), dtype=float)
+    x = (x - x.mean((0, 1))) / x.std((0, 1))
+    assert len(x) > 500
+    got = {r["rank"]: r["error"] for r in registry.QUERIES["tucker_error"](spark, sf).collect()}
+    assert all(abs(got[k] - R.tucker13(x, 2 * k, k)[3]) < 1e-6 for k in (1, 2, 3, 4))
