@@ -1,11 +1,21 @@
 """Benchmark decontamination by size-partitioned MinHash containment (DataFrame only).
 
-An item counts as contained in a document if 4/5 of its distinct five-word
-shingles are.  Items are partitioned by their number of shingles n; a partition's
-items are sketched by their k = n - ceil(0.8 n) + 1 shingles of least hash.  A
-document that misses all k has at most n - k < 0.8 n of them, so looking up the
-sketches in all shingles of the document finds every contained item, whatever the
-document's length.  Found pairs are then verified on the exact shingles.
+An item counts as contained in a document if 4/5 of its distinct five-word shingles
+are (an item of fewer words is one shingle of them all).
+
+*Sizes.*  Items are partitioned by their number of shingles, in powers of two.
+*Signatures.*  The MinHash signature of an item of n shingles that may miss m of them
+(m = n - ceil(0.8 n)) holds its s = min(n, 2 m + 1) shingles of least hash.  A partition
+has a threshold: the greatest hash of its signatures.  The signature of a document for
+a partition is all its shingle hashes up to the threshold, whatever its length.
+*Search.*  A document that contains the item misses at most m of the s, so at least
+s - m of them are in the document's signature: pairs with fewer matches are out, and no
+contained item is missed.  *Verification* counts the exact shingles, as text, of the
+pairs that are left.
+
+Rows are told apart by id and text: repeated rows count as one, rows that share only an
+id stay apart, and so do items.  A null id is a value.  Null and empty texts contain
+nothing and no item without words is contained.  Very long texts are searched whole.
 """
 
 from __future__ import annotations
@@ -13,13 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch
 
 SHINGLE = 5
 #: Least share of an item's shingles, as a fraction.
 SHARE = (4, 5)
-#: Sketch rows up to which they are broadcast (about 40 bytes each); more are joined by exchange.
+#: Signature rows up to which they are broadcast (about 40 bytes each); more are joined by exchange.
 BROADCAST_ROWS = 500_000
+FOUND = "doc_id long, item_id long, n_shingles long, n_shared long, containment double"
 
 
 def words_of(text: Column) -> Column:
@@ -35,72 +46,90 @@ def shingle_hashes(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, every).otherwise(F.array().cast("array<bigint>"))
 
 
+def shingle_texts(words: Column, n: int) -> Column:
+    """All runs of ``n`` words, each joined by spaces."""
+    at = F.sequence(F.lit(0), F.size(words) - n)
+    return F.when(F.size(words) >= n, F.transform(at, lambda i: F.concat_ws(" ", *[words[i + j] for j in range(n)]))).otherwise(F.array().cast("array<string>"))
+
+
 def item_shingles(items: DataFrame) -> DataFrame:
-    """Distinct rows (item, item_id, h, n, rank, k): rank by hash, k the sketch size.
-
-    An item of fewer than five words is one shingle of them all; one without words has none.
-    """
-    split = items.select("item_id", words_of(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    long = split.filter(F.size("w") >= SHINGLE).select("item_id", "w", F.explode(shingle_hashes(F.col("w"), SHINGLE)).alias("h"))
-    short = split.filter(F.size("w") < SHINGLE)
-    short = short.select("item_id", "w", F.coalesce(*[F.when(F.size("w") == n, F.xxhash64(F.lit(n), *[F.col("w")[j] for j in range(n)])) for n in range(1, SHINGLE)]).alias("h"))
-    rows = long.unionByName(short).select(F.xxhash64("item_id", "w").alias("item"), "item_id", "h", F.least(F.size("w"), F.lit(SHINGLE)).alias("len")).distinct()
-    w = Window.partitionBy("item")
-    ranked = rows.withColumns({"n": F.count("*").over(w), "rank": F.row_number().over(w.orderBy("h"))})
+    """Distinct rows (item, item_id, len, h, gram): the shingles of every item with words; ``item`` is a hash of its id and words."""
+    split = items.select("item_id", words_of(F.col("text")).alias("w")).filter(F.size("w") > 0).withColumn("len", F.least(F.size("w"), F.lit(SHINGLE)))
+    by_length = [split.filter(F.col("len") == n).select("item_id", "w", "len", F.explode(F.arrays_zip(shingle_hashes(F.col("w"), n).alias("h"), shingle_texts(F.col("w"), n).alias("gram"))).alias("s")) for n in range(1, SHINGLE + 1)]
+    rows = by_length[0]
+    for more in by_length[1:]:
+        rows = rows.unionByName(more)
+    return rows.select(F.xxhash64("item_id", "w").alias("item"), "item_id", "len", "s.h", "s.gram").distinct()
+
+
+def signatures(shingles: DataFrame) -> DataFrame:
+    """(size, len, item, item_id, n, need, least, h): the signature of each item, ``least`` of it to be found."""
+    whole = Window.partitionBy("item")
+    ranked = shingles.withColumns({"n": F.count("*").over(whole), "rank": F.row_number().over(whole.orderBy("h", "gram"))})
     need = F.floor((F.col("n") * SHARE[0] + SHARE[1] - 1) / SHARE[1])
-    return ranked.withColumns({"need": need, "k": F.col("n") - need + 1})
+    sized = ranked.withColumns({"need": need, "miss": F.col("n") - need}).withColumn("s", F.least(F.col("n"), 2 * F.col("miss") + 1))
+    return sized.filter("rank <= s").select(F.ceil(F.log2("n")).cast("int").alias("size"), "len", "item", "item_id", "n", "need", (F.col("s") - F.col("miss")).alias("least"), "h")
 
 
 def _bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(row, doc_id, item_id, n_shingles, n_shared, containment) of every contained item.
-
-    ``row`` is a hash of id and text, so repeated rows are one and rows that only
-    share an id stay apart; a null id is a value.  Null and empty texts contain nothing.
-    """
-    shingles = materialize(item_shingles(items), "bench")
-    lengths = sorted(r["len"] for r in shingles.select("len").distinct().collect())  # 1 .. 5
+def _contained(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``contained`` with ``print``, a hash of the text that tells rows of one id apart."""
     spark = docs.sparkSession
-    if not lengths:
-        return spark.createDataFrame([], "row long, doc_id long, item_id long, n_shingles long, n_shared long, containment double")
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
-
-    def exploded(rows: DataFrame) -> DataFrame:
-        split = rows.withColumn("w", words_of(F.col("text"))).drop("text")
-        every = [shingle_hashes(F.col("w"), n) for n in lengths]
-        return split.withColumn("h", F.explode(F.concat(*every) if len(every) > 1 else every[0])).drop("w")
+    tables = Scratch(spark, "decontaminate")
+    shingles = tables.keep(item_shingles(items), "items")
+    sketch = tables.keep(signatures(shingles), "signatures")
+    # one row for each size and length of shingles: some dozens
+    bounds = sketch.groupBy("size", "len").agg(F.max("h").alias("top"), F.count("*").alias("rows")).collect()
+    if not bounds:
+        return spark.createDataFrame([], f"print long, {FOUND}")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("print"), "text")
+    split = keyed.withColumn("w", words_of(F.col("text"))).drop("text")
+
+    # documents' signatures up to the greatest threshold of each length, before anything moves
+    tops = {n: max(b["top"] for b in bounds if b["len"] == n) for n in sorted({b["len"] for b in bounds})}
+    up_to = lambda top: lambda h: h <= top
+    low = [F.filter(shingle_hashes(F.col("w"), n), up_to(top)) for n, top in tops.items()]
+    mine = split.select("doc_id", "print", F.explode(F.array_distinct(F.concat(*low))).alias("h"))
+    total = sum(b["rows"] for b in bounds)
+    pairs = mine.join(_bounded(sketch, total), "h").groupBy("doc_id", "print", "item").agg(F.count("*").alias("hits"), F.first("least").alias("least"))
+    found = tables.keep(pairs.filter("hits >= least").select("doc_id", "print", "item"), "found")
+
+    # verification on the text of the shingles: only the documents and items that were found
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["print"] == b["print"])
+    marked = found.select("doc_id", "print").distinct().withColumnsRenamed({"doc_id": "f_id", "print": "f_print"})
+    suspects = split.join(marked, split["doc_id"].eqNullSafe(marked["f_id"]) & (split["print"] == marked["f_print"]), "left_semi").dropDuplicates(["doc_id", "print"])
+    grams = suspects.select("doc_id", "print", F.explode(F.array_distinct(F.concat(*[shingle_texts(F.col("w"), n) for n in tops]))).alias("gram"))
+    counted = shingles.groupBy("item").agg(F.count("*").alias("n"))
+    wanted = shingles.select("item", "item_id", "gram").join(_bounded(counted, total), "item")
+    exact = grams.join(_bounded(wanted, shingles.count()), "gram").groupBy("doc_id", "print", "item", "item_id", "n").agg(F.count("*").alias("n_shared"))
+    exact = exact.filter(SHARE[1] * F.col("n_shared") >= SHARE[0] * F.col("n"))
+    return (exact.join(found, same(exact, found) & (exact["item"] == found["item"]), "left_semi")
+            .select("print", "doc_id", "item_id", F.col("n").alias("n_shingles"), "n_shared", (F.col("n_shared") / F.col("n")).alias("containment")))
 
-    sketch = shingles.filter("rank <= k").select("h", "item")
-    rows_in_sketch = sketch.count()
-    found = (exploded(keyed.select("row", "text")).join(_bounded(sketch.groupBy("h").agg(F.collect_list("item").alias("items")), rows_in_sketch), "h")
-             .select("row", F.explode("items").alias("item")).distinct())
-    found = materialize(found, "bench-found")
 
-    # verification: only the documents that were found, and only the items found in each
-    suspects = keyed.join(found.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
-    full = shingles.select("h", "item", "item_id", "n", "need")
-    pairs = exploded(suspects).distinct().join(_bounded(full, shingles.count()), "h").join(found, ["row", "item"], "left_semi")
-    return (pairs.groupBy("row", "doc_id", "item", "item_id", "n", "need").agg(F.count("*").alias("n_shared")).filter("n_shared >= need")
-            .select("row", "doc_id", "item_id", F.col("n").alias("n_shingles"), "n_shared", (F.col("n_shared") / F.col("n")).alias("containment")))
+def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, n_shingles, n_shared, containment) of every contained item of ``items`` (item_id, text)."""
+    return _contained(docs, items).drop("print")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that contain no item, all columns as they were."""
-    hit = contained(docs, items).select(F.col("row").alias("__row")).distinct()
-    return docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(hit, "__row", "left_anti").drop("__row")
+    """The rows of ``docs`` that contain no item, all columns as they were, whatever their names."""
+    hit = _contained(docs, items).select(F.col("doc_id").alias("__hit_id"), F.col("print").alias("__hit_print")).distinct()
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["__hit_id"]) & (F.xxhash64(docs["text"]) == hit["__hit_print"]), "left_anti")
 
 
 SQL = """
-WITH iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
-dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM documents),
-ish AS (SELECT DISTINCT item_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS s
+WITH iw AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
+dw AS (SELECT DISTINCT doc_id, text, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM documents),
+ish AS (SELECT DISTINCT item_id, w, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS s
         FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM iw WHERE len(w) > 0)),
-n AS (SELECT item_id, count(*) AS n FROM ish GROUP BY item_id),
-ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
-       FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM dw WHERE len(w) >= 5))
+n AS (SELECT item_id, w, count(*) AS n FROM ish GROUP BY item_id, w),
+lens AS (SELECT DISTINCT least(len(w), 5) AS k FROM iw WHERE len(w) > 0),
+ds AS (SELECT DISTINCT doc_id, text, array_to_string(w[i:i + k - 1], ' ') AS s
+       FROM (SELECT doc_id, text, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dw, lens WHERE len(w) >= k))
 SELECT doc_id, item_id, n AS n_shingles, count(*) AS n_shared, count(*) / n AS containment
-FROM ds JOIN ish USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVING 5 * count(*) >= 4 * n
+FROM ds JOIN ish USING (s) JOIN n USING (item_id, w) GROUP BY doc_id, text, item_id, w, n HAVING 5 * count(*) >= 4 * n
 """

@@ -1,19 +1,24 @@
 """Exact Jaccard join of word n-gram sets as a metric-space join.
 
-1.  *Regions.*  Hash classes cut every set into about as many parts as a linked
-    pair can differ in, plus one: of two linked sets at least one non-empty part
-    is equal.  Sets with an equal part share a region, whose least member leads it.
-2.  *Sieve.*  A parity sketch bounds the symmetric difference of two sets from
-    below.  In the group of each leader, pairs beyond the bound fall out, and what
-    still hangs together forms a family: every link lies inside one family.
-3.  *Voronoi cells.*  In a family too large for one task, some members become
-    pivots and every member gets its exact distance to each; it belongs to the cell
-    of the nearest pivot.  Cells are cut into blocks along that distance; the cut
-    recurs, with pivots of its own, in cells that are still large.
-4.  *Windows.*  |d(x,p) - d(y,p)| <= d(x,y): a block is replicated to another one
-    only if their distance ranges are within the radius for every pivot.
-5.  *Leaves.*  Two blocks, or one small family, are joined exactly in one task of
-    bounded size, which returns a spanning forest of its links, not all pairs.
+Jaccard distance is a metric, and sets link within the radius 1 - num / den.
+
+1.  *Pivots.*  Word n-gram sets of unrelated texts are at distance 1 from each other,
+    so pivots must be found where sets are near.  Hash classes cut every set into
+    about as many parts as a linked pair can differ in, plus one: of two linked sets
+    at least one non-empty part is equal.  Of the sets with an equal part the least
+    member is the pivot.  A parity sketch, which bounds the symmetric difference from
+    below, takes out what can't be near its pivot's other sets; what still hangs
+    together over common pivots is a region, and every link lies inside one region.
+2.  *Voronoi cells.*  In a region some members become pivots, every member gets its
+    exact distance to each and belongs to the cell of the nearest one.  Members within
+    the radius of a pivot are linked through it and need no comparison.
+3.  *Windows.*  |d(x,p) - d(y,p)| <= d(x,y) for every pivot p, and d(y,p) - d(y,q) is
+    at most twice the radius for members y of the cell of q that link into the cell
+    of p: only boundary documents that both allow are replicated to another cell.
+4.  *Recursion.*  Cells are cut again with pivots of their own until they are small;
+    cells and their boundaries are then joined exactly.  Regions up to ``LEAF`` do
+    this inside one task (``metric_forest``), larger ones first as blocks over many
+    tasks (``_block_tasks``).  Tasks return a spanning forest of links, not all pairs.
 
 A set is held as sorted 64-bit hashes; sets are compared exactly on these.
 """
@@ -28,11 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_made, free_shuffles, made, materialize, partitions, small_batches, utf8
+from .common import Scratch, join_hot, partitions, parts_for, text_bytes, utf8
 from .components import components
 
-#: Members of a leaf, about; a task joins two at most.
+#: Members of a leaf, about, a long text counting as several; a task joins two at most.
 LEAF = 1024
+#: Grams that make a text count once more.
+MEMBER_GRAMS = 8192
+#: Members up to which a cell is joined set by set.
+FEW = 24
+#: Blocks of a region that meet all others of it in one task.
+BLOCKS = 64
 #: Pivots that a family gets on average: about one a leaf, between these bounds.
 LEAST_PIVOTS, MOST_PIVOTS = 2, 16
 #: Grams whose incidences a leaf holds at a time.
@@ -117,8 +128,10 @@ def signatures(grams: np.ndarray, num: int, den: int) -> np.ndarray:
             enough = len(used) > limit
             used = used[:limit + 1]
             out.append(_mix(_mix(sums[used] + used.astype(np.uint64) * _U(0xD1B54A32D192ED03)) + _U(64 * ring + turn)))
-            if enough or turn > 40:
+            if enough:
                 break
+            if turn > 60:
+                raise RuntimeError("a set does not fall into enough parts")  # distinct hashes always do
             parts, turn = 2 * parts, turn + 1
     return np.concatenate(out)
 
@@ -210,20 +223,19 @@ def _regions(words: int, num: int, den: int, parts: int):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of texts as they are; for each region of a part, edges from its least member."""
-    held: dict[int, list[bytes]] = {}
+    """Rows of texts as they are; for each group of equal signatures of a part, edges from its least member.
+
+    Rows come by part, and one part is held at a time.
+    """
+    held: list[bytes] = []
+    now = None
     names = ["doc_id", "n", "print", "local", "sketch", "other"]
-    for batch in batches:
-        part, run = batch.column(5).to_pylist(), batch.column(6)
-        texts = pa.array([not x.is_valid for x in run], pa.bool_())
-        for p, x in zip(part, run, strict=True):
-            if x.is_valid:
-                held.setdefault(p, []).append(x.as_py())
-        rows = batch.filter(texts)
-        if len(rows):
-            yield pa.RecordBatch.from_arrays([*rows.columns[:5], pa.nulls(len(rows), pa.int64())], names)
-    for p in list(held):
-        ids, sigs = (np.concatenate(x) for x in zip(*map(_unpack, held.pop(p)), strict=True))
+
+    def close() -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        ids, sigs = (np.concatenate(x) for x in zip(*map(_unpack, held), strict=True))
+        held.clear()
         order = np.lexsort((ids, sigs))
         ids, sigs = ids[order], sigs[order]
         first = np.flatnonzero(np.concatenate(([True], sigs[1:] != sigs[:-1])))
@@ -233,6 +245,19 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             none = pa.nulls(len(pairs), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), none, pa.nulls(len(pairs), pa.string()), none, pa.nulls(len(pairs), pa.binary()), pa.array(pairs[:, 1])], names)
 
+    for batch in batches:
+        part, run = batch.column(5).to_pylist(), batch.column(6)
+        for p, x in zip(part, run, strict=True):
+            if x.is_valid:
+                if p != now:
+                    yield from close()
+                    now = p
+                held.append(x.as_py())
+        rows = batch.filter(pa.array([not x.is_valid for x in run], pa.bool_()))
+        if len(rows):
+            yield pa.RecordBatch.from_arrays([*rows.columns[:5], pa.nulls(len(rows), pa.int64())], names)
+    yield from close()
+
 
 def _forest(near: np.ndarray) -> list[tuple[int, int]]:
     """Spanning forest of a symmetric adjacency matrix, breadth first."""
@@ -292,6 +317,72 @@ def linked_forest(sets: list[np.ndarray], split: int, num: int, den: int) -> lis
     return _forest(near)
 
 
+def pivot_distances(sets: list[np.ndarray], pivots: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(common grams, Jaccard distances) of all sets to the pivots among them, both exact."""
+    sets = [s.view(np.uint64) for s in sets]
+    sizes = np.array([len(s) for s in sets])
+    flat, ends = np.concatenate(sets), np.cumsum(sizes)
+    common = np.zeros((len(sets), len(pivots)), dtype=np.int64)
+    for k, p in enumerate(pivots):
+        at = np.minimum(np.searchsorted(sets[p], flat), len(sets[p]) - 1)
+        hits = np.concatenate(([0], np.cumsum(sets[p][at] == flat)))
+        common[:, k] = hits[ends] - hits[ends - sizes]
+    union = sizes[:, None] + sizes[pivots][None, :] - common
+    return common, 1 - common / union
+
+
+def metric_forest(sets: list[np.ndarray], num: int, den: int, few: int | None = None) -> list[tuple[int, int]]:
+    """Spanning forest of the links among non-empty ``sets``: pivots, Voronoi cells, windows, recursion.
+
+    A cell that its pivots can't divide is joined set by set.
+    """
+    few, n = few or FEW, len(sets)
+    if n <= few:
+        return linked_forest(sets, 0, num, den) if n > 1 else []
+    sizes, radius, up = np.array([len(s) for s in sets]), 1 - num / den + 1e-9, list(range(n))
+    out: list[tuple[int, int]] = []
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def link(i: int, j: int) -> None:
+        a, b = top(i), top(j)
+        if a != b:
+            up[b] = a
+            out.append((i, j))
+
+    def labels(at: np.ndarray) -> set[int]:
+        return {top(int(i)) for i in at}
+
+    wanted = max(2, min(MOST_PIVOTS, n // few))
+    pivots = [i * n // wanted for i in range(wanted)]
+    common, d = pivot_distances(sets, pivots)
+    union = sizes[:, None] + sizes[pivots][None, :] - common
+    for i, k in zip(*np.nonzero(den * common >= num * union), strict=True):
+        link(pivots[k], int(i))
+    home = d.argmin(1)
+    for k in range(wanted):
+        cell = np.flatnonzero(home == k)
+        if not len(cell):
+            continue
+        # inside the cell
+        if len(labels(cell)) > 1:
+            inner = linked_forest([sets[i] for i in cell], 0, num, den) if len(cell) == n else metric_forest([sets[i] for i in cell], num, den, few)
+            for i, j in inner:
+                link(int(cell[i]), int(cell[j]))
+        # over its boundary: members of later cells that every window lets in
+        inside = ((d >= d[cell].min(0) - radius) & (d <= d[cell].max(0) + radius)).all(1) & (d[:, k] - d[np.arange(n), home] <= 2 * radius)
+        guests = np.flatnonzero(inside & (home > k))
+        if len(guests) and len(labels(cell) | labels(guests)) > 1:
+            for i, j in linked_forest([sets[i] for i in (*cell, *guests)], len(cell), num, den):
+                at = np.concatenate((cell, guests))
+                link(int(at[i]), int(at[j]))
+    return out
+
+
 def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
@@ -334,7 +425,8 @@ def _leaves(num: int, den: int):
         split = sum(r[1] == 0 for r in rows) if rows[-1][1] else 0
         if rows[0][1]:
             return []
-        forest = linked_forest([r[3] for r in rows], split, num, den)
+        sets = [r[3] for r in rows]
+        forest = linked_forest(sets, split, num, den) if split else metric_forest(sets, num, den)
         return [(rows[i][2], rows[j][2]) for i, j in forest if rows[i][2] != rows[j][2]]
 
     return _by_key(solve)
@@ -355,59 +447,72 @@ def _join_leaves(tasks: DataFrame, num: int, den: int) -> DataFrame:
     return tasks.repartition(partitions(tasks.sparkSession), "task").sortWithinPartitions("task").select("task", "side", "doc_id", "grams").mapInArrow(_leaves(num, den), "a long, b long")
 
 
-def _distances(members: DataFrame, by: str) -> DataFrame:
-    """(by, doc_id, pivot, d): exact distances of all members to the pivots of their group.
+def _distances(tables: Scratch, members: DataFrame, by: str, num: int, den: int) -> DataFrame:
+    """(by, doc_id, pivot, d, linked): exact distances of all members to the pivots of their group.
 
     Every member is a pivot with a seeded chance; the least member is one always.
     """
-    stats = members.groupBy(by).agg(F.count("*").alias("size"), F.min("doc_id").alias("least"))
+    stats = tables.keep(members.groupBy(by).agg(F.count("*").alias("size"), F.min("doc_id").alias("least")), "pivot-stats")
     chance = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(77)), 11) / F.lit(float(1 << 53))
     wanted = F.greatest(F.lit(LEAST_PIVOTS), F.least(F.lit(MOST_PIVOTS), F.col("size") / LEAF))
-    pivots = (members.join(stats, by).filter((chance < wanted / F.col("size")) | (F.col("doc_id") == F.col("least")))
+    pivots = (join_hot(members, stats, by, "size").filter((chance < wanted / F.col("size")) | (F.col("doc_id") == F.col("least")))
               .select(by, F.col("doc_id").alias("pivot"), F.col("grams").alias("pivot_grams")).dropDuplicates([by, "pivot"]))
+    pivots = tables.keep(pivots, "pivots")
     held = pivots.agg(F.sum(F.size("pivot_grams") * 8)).first()[0] or 0
     side = F.broadcast(pivots) if held <= PIVOT_BYTES else pivots
     common = F.size(F.array_intersect("grams", "pivot_grams"))
+    union = F.size("grams") + F.size("pivot_grams") - F.col("common")
     return (members.join(side, by).withColumn("common", common)
-            .select(by, "doc_id", "pivot", (1 - F.col("common") / (F.size("grams") + F.size("pivot_grams") - F.col("common"))).alias("d")))
+            .select(by, "doc_id", "pivot", (1 - F.col("common") / union).alias("d"), (F.lit(den) * F.col("common") >= F.lit(num) * union).alias("linked")))
+
 
+def _block_tasks(tables: Scratch, large: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(leaf tasks, links) of the regions in ``large`` (family, doc_id, grams).
 
-def _block_tasks(large: DataFrame, num: int, den: int) -> DataFrame:
-    """Leaf tasks of the families in ``large`` (family, doc_id, grams): blocks whose windows meet."""
+    Links are those of members to pivots within the radius; leaf tasks are the pairs
+    of blocks whose windows meet and whose members aren't all one class by then.
+    """
     radius = 1 - num / den + 1e-9
-    near = materialize(_distances(large, "family"), "join-distances")
+    near = tables.keep(_distances(tables, large, "family", num, den), "distances")
+    stars = near.filter("linked and doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
+    balls = tables.keep(components(stars), "balls").select(F.col("node").alias("doc_id"), F.col("label").cast("string").alias("ball"))
     cells = near.groupBy("family", "doc_id").agg(F.min(F.struct("d", "pivot")).alias("n")).select("family", "doc_id", F.array("n.pivot").alias("cell"), F.col("n.d").alias("d"))
     for _ in range(DEPTH):
+        cells = tables.keep(cells, "cells")
         big = cells.groupBy("family", "cell").count().filter(F.col("count") > CELL).select("family", "cell")
         if not big.limit(1).count():
             break
-        cells = materialize(cells, "join-cells")
-        again = large.join(cells.join(big, ["family", "cell"], "left_semi"), ["family", "doc_id"]).withColumn("group", F.struct("family", "cell"))
-        inner = materialize(_distances(again, "group"), "join-inner")
+        big = F.broadcast(big)  # cells of more than CELL members: at most one for so many rows
+        again = tables.keep(large.join(cells.join(big, ["family", "cell"], "left_semi"), ["family", "doc_id"]).withColumn("group", F.struct("family", "cell")), "again")
+        inner = tables.keep(_distances(tables, again, "group", num, den), "inner")
         finer = inner.groupBy("group", "doc_id").agg(F.min(F.struct("d", "pivot")).alias("n")).select(F.col("group.family").alias("family"), "doc_id", F.col("n.pivot").alias("sub"), F.col("n.d").alias("sd"))
         cells = cells.join(finer, ["family", "doc_id"], "left").select("family", "doc_id", F.when(F.col("sub").isNull(), F.col("cell")).otherwise(F.concat("cell", F.array("sub"))).alias("cell"), F.coalesce("sd", "d").alias("d"))
-    # a cell's blocks: runs of distance slots that hold a leaf's worth; a fuller slot is cut by hash
-    cells = materialize(cells.withColumn("slot", F.floor(F.col("d") * 64).cast("int")), "join-cells")
-    counts = cells.groupBy("family", "cell", "slot").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("family", "cell").orderBy("slot"))
-    cuts = counts.select("family", "cell", "slot", F.floor((before - F.col("n")) / LEAF).alias("run"), F.ceil(F.col("n") * 0.9 / LEAF).alias("cuts"))
+    # a cell's blocks: runs of distance slots of one ball that hold a leaf's worth; a fuller slot is cut by hash
+    weights = large.select("family", "doc_id", (1 + F.size("grams") / MEMBER_GRAMS).alias("w"))
+    placed = tables.keep(cells.join(balls, "doc_id", "left").join(weights, ["family", "doc_id"])
+                         .select("family", "doc_id", "cell", F.coalesce("ball", F.lit("-")).alias("ball"), F.floor(F.col("d") * 64).cast("int").alias("slot"), "w"), "placed")
+    at = ["family", "cell", "ball", "slot"]
+    counts = placed.groupBy(*at).agg(F.count("*").alias("n"), F.sum("w").alias("w"))
+    before = F.sum("w").over(Window.partitionBy("family", "cell", "ball").orderBy("slot"))
+    cuts = tables.keep(counts.select(*at, "n", F.floor((before - F.col("w")) / LEAF).alias("run"), F.ceil(F.col("w") * 0.9 / LEAF).alias("cuts")), "cuts")
     salt = F.when(F.col("cuts") > 1, F.pmod(F.xxhash64("doc_id", F.lit(3)), "cuts")).otherwise(0)
     whole = F.when(F.col("cuts") > 1, F.col("slot")).otherwise(-1)
-    blocks = materialize(cells.join(cuts, ["family", "cell", "slot"])
-                         .select("family", "doc_id", F.xxhash64("family", "cell", "run", whole, salt).alias("block")), "join-blocks")
+    blocks = tables.keep(join_hot(placed, cuts, at).select("family", "doc_id", "ball", F.xxhash64("family", "cell", "ball", "run", whole, salt).alias("block")), "blocks")
     # windows: the range of distances of each block to each pivot of its family
-    ranges = materialize(blocks.join(near, ["family", "doc_id"]).groupBy("family", "block", "pivot").agg(F.min("d").alias("lo"), F.max("d").alias("hi")), "join-ranges")
-    left = ranges.select("family", "pivot", F.col("block").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"))
-    right = ranges.select("family", "pivot", F.col("block").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
-    apart = F.greatest(F.col("blo") - F.col("ahi"), F.col("alo") - F.col("bhi"))
-    meet = (left.join(right, ["family", "pivot"]).filter("a <= b").groupBy("family", "a", "b").agg(F.max(apart).alias("apart"))
-            .filter(F.col("apart") <= radius).select("family", "a", "b"))
+    ranges = blocks.join(near, ["family", "doc_id"]).groupBy("family", "block", "ball", "pivot").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    spans = tables.keep(ranges.groupBy("family", "block", "ball").agg(F.sort_array(F.collect_list(F.struct("pivot", "lo", "hi"))).alias("r")), "spans")  # a row a block, some MOST_PIVOTS ranges
+    salts = spans.groupBy("family").agg(F.ceil(F.count("*") / BLOCKS).alias("salts"))
+    salted = tables.keep(spans.join(salts, "family"), "salted")
+    left = salted.select("family", F.pmod(F.xxhash64("block"), "salts").alias("salt"), F.col("block").alias("a"), F.col("ball").alias("aball"), F.col("r").alias("ar"))
+    right = salted.select("family", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("block").alias("b"), F.col("ball").alias("bball"), F.col("r").alias("br"))
+    apart = F.array_max(F.zip_with("ar", "br", lambda x, y: F.greatest(y["lo"] - x["hi"], x["lo"] - y["hi"])))
+    one_class = (F.col("aball") == F.col("bball")) & (F.col("aball") != "-")
+    pairs = tables.keep(left.join(right, ["family", "salt"]).filter((F.col("a") <= F.col("b")) & ~one_class).filter(apart <= radius).select("family", "a", "b"), "pairs")
     task = F.concat_ws("/", F.lit("b"), "family", "a", "b").alias("task")
-    pairs = materialize(meet, "join-pairs")
     sides = [pairs.select(task, F.col(s).alias("block"), F.lit(i).alias("side")) for i, s in enumerate("ab")]
-    wanted = sides[0].unionByName(sides[1].join(pairs.filter("a = b").select(task), "task", "left_anti"))
     # one cell's block against itself has one side
-    return wanted.join(blocks.select("block", "doc_id"), "block").join(large.select("doc_id", "grams"), "doc_id").select("task", "side", "doc_id", "grams")
+    wanted = sides[0].unionByName(sides[1].join(pairs.filter("a = b").select(task), "task", "left_anti"))
+    return wanted.join(blocks.select("block", "doc_id"), "block").join(large.select("doc_id", "grams"), "doc_id").select("task", "side", "doc_id", "grams"), stars
 
 
 def join_classes(docs: DataFrame, *, words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -416,58 +521,67 @@ def join_classes(docs: DataFrame, *, words: int = 5, num: int = 8, den: int = 10
     Two documents link when ``den * |intersection| >= num * |union|`` of their sets;
     a component's id is its least doc_id.  Null and empty texts have an empty set
     and are linked with nothing; a row without doc_id links with nothing and has a
-    null component.  ``doc_id`` names a document: rows that repeat one share its component.
+    null component.  ``doc_id`` names a document: rows that repeat one share its
+    component.  Texts of any length count whole, other columns play no part, and an
+    empty table gives none.
     """
     spark = docs.sparkSession
-    small_batches(spark, 500)
-    parts, mark = partitions(spark), made()
+    tables = Scratch(spark, "jaccard")
+    parts = parts_for(spark, text_bytes(docs))
     rows = docs.select("doc_id", utf8(F.col("text")).alias("raw")).mapInArrow(_regions(words, num, den, parts), MAP_SCHEMA)
-    met = materialize(rows.repartition(parts, "part").mapInArrow(_meet, "doc_id long, n long, print string, local long, sketch binary, other long"), "join-met")
+    met = rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_meet, "doc_id long, n long, print string, local long, sketch binary, other long")
+    met = tables.keep(met, "met", batch=500)
     texts = met.filter("n is not null").drop("other")  # ``sketch`` only where the row leads its batch
     # equal sets are one class; a task has sent one member of each or a few, the rest hang on it
     heads = texts.filter("n > 0 and doc_id = local").select("doc_id", "print").distinct()
     classes = heads.join(heads.groupBy("print").agg(F.min("doc_id").alias("rep")), "print").groupBy("doc_id").agg(F.min("rep").alias("rep"))
-    classes = materialize(classes, "join-classes")
+    classes = tables.keep(classes, "classes")
     near = met.filter("other is not null").select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
-    near = (near.join(classes.select(F.col("doc_id").alias("a"), F.col("rep").alias("doc_id")), "a")
-            .join(classes.select(F.col("doc_id").alias("b"), F.col("rep").alias("lead")), "b").filter("doc_id <> lead").select("lead", "doc_id").distinct())
-    near = materialize(near, "join-near")
-    heads = materialize(texts.filter("sketch is not null").select("doc_id", "n", "sketch").join(classes.select("doc_id", "rep"), "doc_id").filter("doc_id = rep").drop("rep").dropDuplicates(["doc_id"]), "join-heads")
-    groups = materialize(near.groupBy("lead").agg(F.count("*").alias("size")), "join-groups")
-    few = near.join(groups.filter(F.col("size") < LEAF).select("lead"), "lead", "left_semi")
-    few = few.unionByName(few.select("lead", F.col("lead").alias("doc_id")).distinct()).join(heads, "doc_id").select("lead", "doc_id", "n", "sketch")
+    near = tables.keep(near.join(classes.select(F.col("doc_id").alias("a"), F.col("rep").alias("doc_id")), "a").select("doc_id", "b"), "near-pivots")
+    led = tables.keep(near.groupBy("b").agg(F.count("*").alias("n")).join(classes.select(F.col("doc_id").alias("b"), F.col("rep").alias("lead")), "b"), "led")
+    near = tables.keep(join_hot(near, led, "b").filter("doc_id <> lead").select("lead", "doc_id").distinct(), "near")
+    heads = tables.keep(texts.filter("sketch is not null").select("doc_id", "n", "sketch").join(classes.select("doc_id", "rep"), "doc_id").filter("doc_id = rep").drop("rep").dropDuplicates(["doc_id"]), "heads")
+    groups = tables.keep(near.groupBy("lead").agg(F.count("*").alias("size")), "groups")
+    sized = join_hot(near, groups, "lead", "size")
+    few = sized.filter(F.col("size") < LEAF).select("lead", "doc_id")
+    few = few.unionByName(groups.filter(F.col("size") < LEAF).select("lead", F.col("lead").alias("doc_id"))).join(heads, "doc_id").select("lead", "doc_id", "n", "sketch")
     sieved = few.repartition(parts, "lead").sortWithinPartitions("lead").mapInArrow(_sieve(num, den), "a long, b long")
-    # a leader of more than a leaf keeps its star; its family goes to the Voronoi step
-    many = near.join(groups.filter(F.col("size") >= LEAF).select("lead"), "lead", "left_semi").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
-    families = materialize(components(sieved.unionByName(many)), "join-families").select(F.col("node").alias("doc_id"), F.col("label").alias("family"))
+    # a pivot of more than a leaf keeps its star; its region goes through blocks
+    many = sized.filter(F.col("size") >= LEAF).select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
+    families = components(tables.keep(sieved.unionByName(many), "sieved", batch=500)).select(F.col("node").alias("doc_id"), F.col("label").alias("family"))
+    tables.drop("near", "near-pivots", "led", "heads")
 
     def as_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = [shingles(x.as_py(), words).view(np.int64) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, pa.list_(pa.int64()))], ["family", "doc_id", "grams"])
 
-    free_shuffles(spark)
     # families grow with the table: a merge join at any size, so that cost stays in proportion
     members = docs.select("doc_id", utf8(F.col("text")).alias("raw")).join(families.hint("merge"), "doc_id").select("family", "doc_id", "raw")
-    sets = materialize(members.mapInArrow(as_grams, "family long, doc_id long, grams array<long>").filter(F.size("grams") > 0), "join-sets")
-    free_shuffles(spark)
-    sized = materialize(sets.groupBy("family").agg(F.count("*").alias("size")), "join-sizes")
-    small = sets.join(sized.filter(F.col("size") <= LEAF).select("family"), "family", "left_semi").select(F.concat(F.lit("f/"), F.col("family").cast("string")).alias("task"), F.lit(0).alias("side"), "doc_id", "grams")
-    big = sized.filter(F.col("size") > LEAF).select("family")
-    tasks = small
-    if big.limit(1).count():
-        tasks = tasks.unionByName(_block_tasks(materialize(sets.join(big, "family", "left_semi"), "join-large"), num, den))
-    links = materialize(_join_leaves(tasks, num, den), "join-links")
+    sets = tables.keep(members.mapInArrow(as_grams, "family long, doc_id long, grams array<long>").filter(F.size("grams") > 0), "sets", batch=500)
+    sized = tables.keep(sets.groupBy("family").agg(F.count("*").alias("size"), F.sum(1 + F.size("grams") / MEMBER_GRAMS).alias("weight")), "sizes")
+    known = join_hot(sets, sized, "family", "size")
+    tasks = known.filter(F.col("weight") <= LEAF).select(F.concat(F.lit("f/"), F.col("family").cast("string")).alias("task"), F.lit(0).alias("side"), "doc_id", "grams")
+    stars = None
+    if sized.filter(F.col("weight") > LEAF).limit(1).count():
+        large = tables.keep(known.filter(F.col("weight") > LEAF).select("family", "doc_id", "grams"), "large")
+        more, stars = _block_tasks(tables, large, num, den)
+        tasks = tasks.unionByName(more)
+    links = _join_leaves(tasks, num, den)
+    links = tables.keep(links if stars is None else links.unionByName(stars), "links", batch=500)
     found = components(links).select(F.col("node").alias("rep"), F.col("label").alias("component"))
     placed = classes.join(found, "rep", "left").select(F.col("doc_id").alias("local"), F.coalesce("component", "rep").alias("component"))
     out = texts.join(placed, "local", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    out = materialize(out, "join-out")
-    drop_made(spark, mark, ("join-out",))
+    out = tables.keep(out, "out")
+    tables.clear(keep=("out",))
     return out
 
 
 def keep_one(docs: DataFrame, *, words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """``docs`` with the least doc_id of each component; rows that repeat it count as one."""
+    """``docs`` with the least doc_id of each component; rows that repeat it count as one.
+
+    Rows without doc_id stay.  All columns stay as they were.
+    """
     keep = join_classes(docs.select("doc_id", "text"), words=words, num=num, den=den).filter("doc_id is not null and doc_id = component_id").select("doc_id").distinct()
     named = docs.filter("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter("doc_id is null"))

@@ -128,6 +128,8 @@ def against_next(docs: DataFrame) -> DataFrame:
     document is its own next.  The ids are cut into ranges at approximate
     quantiles; a range gets the first row of the range after it as a sentinel,
     so that no window spans the table and one exchange of the texts is enough.
+    Null texts are empty, texts of any length count whole, other columns play no
+    part, and an empty table gives none.
     """
     spark = docs.sparkSession
     base = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__id"), "doc_id", utf8(F.col("text")).alias("raw"))
@@ -147,11 +149,11 @@ def against_next(docs: DataFrame) -> DataFrame:
     # one row a range: its greatest id, which opens it
     tops = {r["range"]: r["top"] for r in ranged.groupBy("range").agg(F.max("__id").alias("top")).collect()}
     used = sorted(tops, reverse=True)
-    before = {tops[r]: used[i - 1] for i, r in enumerate(used)}  # the range that ends just before this one; around the end
-    owner = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
+    # the range that ends just before each opening id; around the end for the first: one row a range
+    openers = spark.createDataFrame([(tops[r], used[i - 1]) for i, r in enumerate(used)], "__id long, range int")
     # of rows that share the greatest id, the greatest text opens the range
-    firsts = (base.filter(F.col("__id").isin([int(x) for x in before])).groupBy("__id").agg(F.max("raw").alias("raw"))
-              .select("__id", F.lit(None).cast("long").alias("doc_id"), "raw", owner[F.col("__id")].alias("range"), F.lit(True).alias("sentinel")))
+    firsts = base.join(F.broadcast(openers), "__id").groupBy("__id", "range").agg(F.max("raw").alias("raw"))
+    firsts = firsts.select("__id", F.lit(None).cast("long").alias("doc_id"), "raw", "range", F.lit(True).alias("sentinel"))
     dealt = ranged.withColumn("sentinel", F.lit(False)).unionByName(firsts)
     lined = dealt.repartition(len(used), "range").sortWithinPartitions(F.desc("range"), F.asc("sentinel"), F.desc("__id"), F.desc("raw"))
 

@@ -1,27 +1,39 @@
 """Surrogates for personal data: keyed, of the same type and format, injective.
 
-Detected entities are e-mail addresses, telephone numbers, IPv4 addresses, payment
-cards (valid check digit), IBANs, secrets that are assigned to a name, and persons
-after a form of address.  A surrogate is a keyed permutation of the entity within
-its own format: every position keeps its kind (digit, letter of a script, hex),
-check digits are made anew, case and punctuation stay.  A permutation never maps
-two entities to one, so distinct entities stay distinct and every mention of an
-entity gets the same surrogate on any executor without a shared table.
-``collisions`` proves this over a whole table.
+Detected entities are e-mail addresses, telephone numbers, social security numbers,
+IPv4 and IPv6 addresses, payment cards (valid check digit), IBANs, secrets that are
+assigned to a name, and persons: names after a form of address, listed given names
+before another name, and later mentions of a family name found in the same text.
+
+A surrogate is a keyed permutation of the entity within its own format: every position
+keeps its kind (digit, hex, letter of a script; in names vowel or consonant), check
+digits are made anew, case and punctuation stay.  Listed names go to listed names of
+their gender; other names keep the ending that tells the gender.  A permutation never
+maps two entities to one, so distinct entities stay distinct and every mention of an
+entity gets the same surrogate on any executor without a shared table.  The written
+result is checked all the same; entities that do share a surrogate get another key
+until none do.
+
+Null and empty texts stay as they are, texts of any length are read whole, repeated
+rows each get their result, other columns play no part, an empty table gives none.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
+import ipaddress
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: Given names by script and gender, and family names by script.
 GIVEN = {
     ("latin", "f"): "Anna Maria Laura Sophie Emma Julia Clara Elena Alice Marta Ingrid Camille Lucia Hannah Grace Olivia Nora Ruth Teresa Paula".split(),
@@ -36,18 +48,54 @@ FAMILY = {
 #: Forms of address and the gender they tell.
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Dr": "", "Prof": "", "господин": "m", "госпожа": "f"}
 COUNTRY_CODES = ("1", "7", "33", "34", "39", "41", "43", "44", "49")
-ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ")
-PLACE = {c: (a, i) for a, letters in enumerate(ALPHABETS) for i, c in enumerate(letters)}
+ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþąćčďęěğıłńňœřśşšťůűźżž")
+#: The same for names: vowels and consonants of a script apart, so that a name stays one that can be spoken.
+SOUNDS = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "ъь", "αεηιουω", "βγδζθκλμνξπρστφχψ", "àáâãäåæèéêëìíîïòóôõöøùúûüýąęěıœůű", "çðñþćčďğłńňřśşšťźżž")
+#: First and last code points of scripts without case.
+RANGES = ((0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x05D0, 0x05EA), (0x0621, 0x064A))
+#: Endings that tell the gender or kind of a name, the longest that fits stays.
+ENDINGS = ("ская", "ский", "ова", "ева", "ина", "ов", "ев", "ин", "ая", "ий", "ия", "а", "я", "ska", "ski", "ova", "eva", "ina", "mann", "son", "sen", "ia", "er", "ez", "us", "os", "is", "a", "e", "o", "i")
 ROUNDS = 6
 
 EMAIL = re.compile(r"(?<![\w.+-])[\w](?:[\w.+-]*[\w+-])?@(?:[\w](?:[\w-]*[\w])?\.)+[A-Za-z]{2,}(?![\w])")
 IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)")
+IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:|:)(?:[0-9A-Fa-f]{0,4}:){1,6}[0-9A-Fa-f]{0,4}(?![\w:])")
 CARD = re.compile(r"(?<![\w+.-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d)")
 PHONE = re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?|\(\d{2,4}\)[ .-]?)\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?![\w])")
+DOMESTIC = re.compile(r"(?<![\w.+-])(?:[2-9]\d{2}[ .-]\d{3}[.-]\d{4}|0\d{2,4}[ /-]\d{3,4} ?\d{3,4})(?![\w]|[.-]\d)")
+SSN = re.compile(r"(?<![\w.-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w]|-\d)")
 IBAN = re.compile(r"(?<![\w])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\w])")
 SECRET = re.compile(r"(?i)\b(?:api[_-]?key|access[_-]?key|secret|token|password|passwd)\b\s*[=:]\s*[\"']?([A-Za-z0-9+/_-]{12,})")
-PERSON = re.compile(r"\b(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\b\.? ([^\W\d_][^\W\d_'-]+)(?: ([^\W\d_][^\W\d_'-]+))?")
-KINDS = ("email", "card", "iban", "phone", "ip", "secret", "person")
+NAME = r"[^\W\d_][^\W\d_'-]*(?:['-][^\W\d_]+)*"
+PERSON = re.compile(r"\b(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + rf")\b\.? ({NAME})(?: ({NAME}))?")
+GIVEN_NAMES = {n: k for k, names in GIVEN.items() for n in names}
+UNTITLED = re.compile(r"\b(" + "|".join(sorted(GIVEN_NAMES)) + rf") ({NAME})")
+WORD = re.compile(NAME)
+KINDS = ("email", "card", "iban", "ssn", "phone", "ip", "secret", "person")
+
+
+@lru_cache(1 << 12)
+def place(c: str, sounds: bool = False) -> tuple[int, int, int] | None:
+    """(alphabet, index, size) of a small letter, digit or sign; None if it is in no alphabet."""
+    table = SOUNDS if sounds else ALPHABETS
+    for a, letters in enumerate(table):
+        i = letters.find(c)
+        if i >= 0:
+            return a, i, len(letters)
+    for r, (lo, hi) in enumerate(RANGES):
+        if lo <= ord(c) <= hi:
+            return len(table) + r, ord(c) - lo, hi - lo + 1
+    return None
+
+
+def letter(alphabet: int, i: int, sounds: bool = False) -> str:
+    table = SOUNDS if sounds else ALPHABETS
+    return table[alphabet][i] if alphabet < len(table) else chr(RANGES[alphabet - len(table)][0] + i)
+
+
+def is_name(word: str | None) -> bool:
+    """A capital at the start, or a script that has none."""
+    return bool(word) and (word[0].isupper() or (word[0].lower() == word[0].upper() and len(word) > 1))
 
 
 def luhn(digits: str) -> int:
@@ -85,18 +133,15 @@ class Keyed:
                 v[i] = (v[i] + x) % radix[i]
         return v
 
-    def letters(self, text: str, tweak: str, alphabet: str | None = None) -> str:
-        """Letters and digits permuted in place; case, punctuation and unknown scripts stay."""
+    def letters(self, text: str, tweak: str, alphabet: str | None = None, sounds: bool = False) -> str:
+        """Letters and digits permuted in place; case, punctuation and unknown signs stay."""
         folded = [c.lower() if len(c.lower()) == 1 else c for c in text]
-        if alphabet:
-            at = [i for i, c in enumerate(folded) if c in alphabet]
-            values, kinds = [alphabet.index(folded[i]) for i in at], [alphabet] * len(at)
-        else:
-            at = [i for i, c in enumerate(folded) if c in PLACE]
-            values, kinds = [PLACE[folded[i]][1] for i in at], [ALPHABETS[PLACE[folded[i]][0]] for i in at]
-        new, out = self.permute(values, [len(k) for k in kinds], tweak), list(text)
-        for i, k, x in zip(at, kinds, new, strict=True):
-            out[i] = k[x].upper() if text[i] != folded[i] else k[x]
+        places = [((0, alphabet.find(c), len(alphabet)) if c in alphabet else None) if alphabet else place(c, sounds) for c in folded]
+        at = [i for i, p in enumerate(places) if p]
+        new, out = self.permute([places[i][1] for i in at], [places[i][2] for i in at], f"{tweak}|{[places[i][0] for i in at]}"), list(text)
+        for i, x in zip(at, new, strict=True):
+            made = alphabet[x] if alphabet else letter(places[i][0], x, sounds)
+            out[i] = made.upper() if text[i] != folded[i] else made
         return "".join(out)
 
     def digits(self, text: str, tweak: str, check=None) -> str:
@@ -109,15 +154,20 @@ class Keyed:
         it = iter(new)
         return "".join(str(next(it)) if c.isdigit() else c for c in text)
 
-    def name(self, word: str, known: list[str], tweak: str) -> str:
-        """A name of the list goes to another of the list, any other name to one outside of it."""
+    def name(self, word: str, known: list[str], tweak: str, others: frozenset[str] = frozenset()) -> str:
+        """A name of the list goes to another of the list, any other name to one in no list with the same ending."""
         if word in known:
             order = sorted(known, key=lambda x: hmac.new(self.key, f"{tweak}|{x}".encode(), hashlib.sha256).digest())
             return order[(order.index(word) + 1) % len(order)]
-        new = self.letters(word, tweak)
-        while new in known:  # a walk along the permutation's cycle stays a bijection
-            new = self.letters(new, tweak)
-        return new
+        end = next((e for e in ENDINGS if word.lower().endswith(e) and len(word) >= len(e) + 2), "")
+        stem, tail = word[:len(word) - len(end)], word[len(word) - len(end):]
+        new = stem
+        while True:  # a walk along the permutation's cycle stays a bijection
+            new = self.letters(new, f"{tweak}|{end}", sounds=True)
+            # the stem and its ending must come apart at the same place again
+            cut = next((e for e in ENDINGS if (new + tail).lower().endswith(e) and len(new + tail) >= len(e) + 2), "")
+            if new + tail not in others and cut == end:
+                return new + tail
 
     def _surrogate(self, kind: str, text: str) -> str:
         if kind == "email":
@@ -134,9 +184,20 @@ class Keyed:
             it = iter(plain[:2] + iban_check(plain[:2], account) + account)
             return "".join(c if c == " " else next(it) for c in text)
         if kind == "phone":
-            code = next((c for c in COUNTRY_CODES if text.startswith("+") and re.match(rf"\+{c}(?!\d)", text)), "")
+            code = country_code(text)
             cut = len(code) + 1 if code else 0
             return text[:cut] + self.digits(text[cut:], "phone")
+        if kind == "ssn":
+            new = self.digits(text, "ssn")
+            while not SSN.fullmatch(new):
+                new = self.digits(new, "ssn")
+            return new
+        if kind == "ip" and ":" in text:
+            old = ipaddress.IPv6Address(text)
+            groups = [int(x, 16) for x in old.exploded.split(":")]
+            new = ipaddress.IPv6Address(":".join(f"{x:x}" for x in [groups[0], *self.permute(groups[1:], [1 << 16] * 7, f"ip6|{groups[0]}")]))
+            plain = new.compressed if "::" in text else ":".join(f"{int(x, 16):x}" for x in new.exploded.split(":"))
+            return plain.upper() if text.upper() == text and text.lower() != text else plain
         if kind == "ip":
             octets = [int(x) for x in text.split(".")]
             fixed = 1 if octets[0] == 10 else 2 if octets[:2] == [192, 168] else 0
@@ -150,15 +211,23 @@ class Keyed:
         if kind == "secret":
             hexa = re.fullmatch(r"[0-9a-fA-F]+", text)
             return self.letters(text, "secret", "0123456789abcdef") if hexa and (text.lower() == text or text.upper() == text) else self.letters(text, "secret")
+        if kind == "person":
+            return self.person(text)
         return text
 
-    def person(self, title: str, given: str, family: str | None) -> tuple[str, str | None]:
-        script = "cyrillic" if re.match("[а-яёА-ЯЁ]", given) else "latin"
-        if family is None:
-            return self.name(given, FAMILY[script], "family"), None
-        known = [g for g in "fm" if given in GIVEN[script, g]]
-        gender = known[0] if known else TITLES[title] or "m"
-        return self.name(given, GIVEN[script, gender], f"given{gender if known else ''}"), self.name(family, FAMILY[script], "family")
+    def person(self, text: str) -> str:
+        """The surrogate of a given and a family name, or of a single name: the title plays no part, so mentions agree."""
+        words = text.split(" ")
+        script = "cyrillic" if re.match("[а-яёА-ЯЁ]", words[-1]) else "latin"
+        listed = frozenset(FAMILY["latin"] + FAMILY["cyrillic"])
+        if len(words) == 1 and words[0] not in GIVEN_NAMES:
+            return self.name(words[0], FAMILY[script], "family", listed)
+        given = self.name(words[0], GIVEN.get(GIVEN_NAMES.get(words[0]), []), "given", frozenset(GIVEN_NAMES))
+        return " ".join([given, *[self.name(w, FAMILY[script], "family", listed) for w in words[1:]]])
+
+
+def country_code(text: str) -> str:
+    return next((c for c in COUNTRY_CODES if re.match(rf"\+{c}(?!\d)", text)), "")
 
 
 def public(octets: list[int]) -> bool:
@@ -167,92 +236,163 @@ def public(octets: list[int]) -> bool:
     return not (a in (0, 10, 127, 255) or (a, b) == (192, 168) or octets == [255] * 4)
 
 
+def _numbers(text: str) -> Iterator[tuple[int, int, str]]:
+    for m in CARD.finditer(text):
+        d = re.sub(r"\D", "", m[0])
+        if luhn(d[:-1]) == int(d[-1]):
+            yield *m.span(), "card"
+    for m in IBAN.finditer(text):
+        plain = m[0].replace(" ", "")
+        if iban_check(plain[:2], plain[4:]) == plain[2:4]:
+            yield *m.span(), "iban"
+    yield from ((*m.span(), "ssn") for m in SSN.finditer(text))
+    for pattern in (PHONE, DOMESTIC):
+        yield from ((*m.span(), "phone") for m in pattern.finditer(text) if 7 <= sum(c.isdigit() for c in m[0]) <= 15)
+    for m in IP.finditer(text):
+        octets = [int(x) for x in m[0].split(".")]
+        if (public(octets) or octets[0] == 10 or octets[:2] == [192, 168]) and not re.search(r"(?i)(?:\bv|version|release)\s*$", text[max(0, m.start() - 10):m.start()]):
+            yield *m.span(), "ip"
+
+
+def _addresses(text: str) -> Iterator[tuple[int, int, str]]:
+    for m in IP6.finditer(text):
+        try:
+            ipaddress.IPv6Address(m[0])
+        except ValueError:
+            continue
+        if any(c.isdigit() for c in m[0]):
+            yield *m.span(), "ip"
+
+
+def _persons(text: str) -> Iterator[tuple[int, int, str]]:
+    for m in PERSON.finditer(text):
+        if is_name(m[1]):
+            yield m.start(1), m.end(2) if is_name(m[2]) else m.end(1), "person"
+    for m in UNTITLED.finditer(text):
+        if m[2][0].isupper():
+            yield *m.span(), "person"
+
+
 def detect(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind), disjoint, by start; where two overlap the earlier kind of ``KINDS`` wins."""
+    """(start, end, kind), disjoint, by start; where two overlap the earlier kind of ``KINDS`` wins, then the earlier start."""
     found: list[tuple[int, int, str]] = []
     if "@" in text:
         found += [(*m.span(), "email") for m in EMAIL.finditer(text)]
     if re.search(r"\d", text):
-        found += [(*m.span(), "card") for m in CARD.finditer(text) if luhn((d := re.sub(r"\D", "", m[0]))[:-1]) == int(d[-1])]
-        for m in IBAN.finditer(text):
-            plain = m[0].replace(" ", "")
-            if iban_check(plain[:2], plain[4:]) == plain[2:4]:
-                found.append((*m.span(), "iban"))
-        found += [(*m.span(), "phone") for m in PHONE.finditer(text) if 7 <= sum(c.isdigit() for c in m[0]) <= 15]
-        for m in IP.finditer(text):
-            octets = [int(x) for x in m[0].split(".")]
-            if (public(octets) or octets[0] == 10 or octets[:2] == [192, 168]) and not re.search(r"(?i)(?:\bv|version|release)\s*$", text[max(0, m.start() - 10):m.start()]):
-                found.append((*m.span(), "ip"))
+        found += _numbers(text)
+    if ":" in text:
+        found += _addresses(text)
     if "=" in text or ":" in text:
         found += [(*m.span(1), "secret") for m in SECRET.finditer(text) if re.search(r"\d", m[1])]
-    if any(t in text for t in TITLES):
-        for m in PERSON.finditer(text):
-            if m[2][0].isupper():
-                end = m.end(3) if m[3] and m[3][0].isupper() else m.end(2)
-                found.append((m.start(2), end, "person"))
+    found += _persons(text)
+    starts: list[int] = []
     out: list[tuple[int, int, str]] = []
-    for s, e, k in sorted(found, key=lambda x: (KINDS.index(x[2]), x[0])):
-        if all(e <= a or s >= b for a, b, _ in out):
-            out.append((s, e, k))
-    return sorted(out)
 
+    def take(span: tuple[int, int, str]) -> None:
+        i = bisect.bisect_right(starts, span[0])
+        if (i == 0 or out[i - 1][1] <= span[0]) and (i == len(out) or span[1] <= out[i][0]):
+            starts.insert(i, span[0])
+            out.insert(i, span)
 
-def replace(text: str, keyed: Keyed) -> tuple[str, list[tuple[str, int, str, str]]]:
+    for span in sorted(found, key=lambda x: (KINDS.index(x[2]), x[0], -x[1])):
+        take(span)
+    families = {w for s, e, k in out if k == "person" for w in text[s:e].split(" ")[-1:] if len(w) > 2}
+    if families:  # later mentions of a person by family name
+        first = next(s for s, _, k in out if k == "person")
+        for m in WORD.finditer(text, first):
+            if m[0] in families:
+                take((*m.span(), "person"))
+    return out
+
+
+def canonical(kind: str, text: str) -> str:
+    """What two mentions of one entity share."""
+    if kind == "phone":
+        code = country_code(text)
+        return f"{code}:" + re.sub(r"\D", "", text[len(code) + 1 if code else 0:])
+    if kind in ("card", "ssn"):
+        return re.sub(r"\D", "", text)
+    if kind == "ip" and ":" in text:
+        return ipaddress.IPv6Address(text).exploded
+    return text if kind in ("person", "secret") else text.replace(" ", "").lower()
+
+
+def entity_id(key: bytes, kind: str, text: str) -> str:
+    """A keyed digest by which mentions of an entity are known without its text."""
+    return hmac.new(key, f"{kind}|{canonical(kind, text)}".encode(), hashlib.sha256).hexdigest()[:32]
+
+
+def replace(text: str, surrogate: Callable[[str, str], str]) -> tuple[str, list[tuple[str, int, str, str]]]:
     """The text with surrogates, and (kind, start in the input, entity, surrogate) of each."""
     parts, at, log = [], 0, []
     for s, e, kind in detect(text):
         entity = text[s:e]
-        if kind == "person":
-            title = re.search(r"(\w+)\.? $", text[:s])[1]
-            given, family = (entity.split(" ", 1) + [None])[:2]
-            new = " ".join(x for x in keyed.person(title, given, family) if x)
-        else:
-            new = keyed.surrogate(kind, entity)
+        new = surrogate(kind, entity)
         parts += [text[at:s], new]
         log.append((kind, s, entity, new))
         at = e
     return "".join([*parts, text[at:]]), log
 
 
-ENTITY = "array<struct<kind:string,start:int,length:int,surrogate:string>>"
-
+ENTITY = "array<struct<kind:string,start:int,length:int,surrogate:string,entity:string>>"
+FORMS = "array<struct<kind:string,entity:string,form:string>>"
 
-def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
-    """doc_id, clean_text and its entities for every row; null and empty texts stay as they are.
 
-    One pass without exchange.  Entities are compared without regard to case, a
-    telephone number by its digits; a surrogate equals its entity with the chance
-    of one in the format's size.
-    """
-    types = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32()), ("surrogate", pa.string())]))
+def _rewrite(key: bytes, make: Callable[[bytes], Keyed]):
+    """Rows (doc_id, text, tries) to (doc_id, clean_text, entities, print, forms); ``tries`` counts the new keys of an entity."""
+    entities = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32()), ("surrogate", pa.string()), ("entity", pa.string())]))
+    forms = pa.list_(pa.struct([("kind", pa.string()), ("entity", pa.string()), ("form", pa.string())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keyed = Keyed(key)
+        keyed = [make(key)]
         for batch in batches:
-            done = [(None, []) if t is None else replace(t, keyed) for t in batch.column(1).to_pylist()]
-            logs = [[{"kind": k, "start": s, "length": len(e), "surrogate": n} for k, s, e, n in log] for _, log in done]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in done], pa.string()), pa.array(logs, types)], ["doc_id", "clean_text", "entities"])
+            texts, logs, marks = [], [], []
+            for text, tries in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                again = {x["entity"]: x["tries"] for x in tries or []}
 
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id long, clean_text string, entities {ENTITY}")
+                def surrogate(kind: str, entity: str, again: dict = again) -> str:
+                    n = again.get(entity_id(key, kind, entity), 0) if again else 0
+                    while len(keyed) <= n:
+                        keyed.append(make(hmac.new(key, str(len(keyed)).encode(), hashlib.sha256).digest()))
+                    return keyed[n].surrogate(kind, entity)
 
+                clean, log = (text, []) if not text else replace(text, surrogate)
+                ids = [entity_id(key, k, e) for k, _, e, _ in log]
+                texts.append(clean)
+                logs.append([{"kind": k, "start": s, "length": len(e), "surrogate": n, "entity": i} for (k, s, e, n), i in zip(log, ids, strict=True)])
+                marks.append([dict(zip(("kind", "entity", "form"), x, strict=True)) for x in sorted({(k, i, hashlib.sha256(canonical(k, n).encode()).hexdigest()[:32]) for (k, _, _, n), i in zip(log, ids, strict=True)})])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(logs, entities), batch.column(3), pa.array(marks, forms)], ["doc_id", "clean_text", "entities", "print", "forms"])
 
-def canonical(kind: str, text: str) -> str:
-    """What two mentions of one entity share."""
-    if kind in ("card", "phone"):
-        code = next((c for c in COUNTRY_CODES if kind == "phone" and re.match(rf"\+{c}(?!\d)", text)), "")
-        return re.sub(r"\D", "", text[len(code) + 1 if code else 0:])
-    return text if kind in ("person", "secret") else text.lower()
+    return work
 
 
-def collisions(docs: DataFrame, key: bytes) -> DataFrame:
-    """(kind, surrogate, entities) for surrogates that stand for more than one entity: empty if all is well."""
+def collisions(written: DataFrame) -> DataFrame:
+    """(kind, entity) of entities whose surrogate another one, of lesser id, has too: empty if all is well."""
+    known = written.select(F.explode("forms").alias("f")).select("f.*").distinct()
+    shared = known.groupBy("kind", "form").agg(F.min("entity").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    return known.join(shared, ["kind", "form"]).filter("entity <> least").select("kind", "entity").distinct()
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keyed = Keyed(key)
-        for batch in batches:
-            pairs = {(k, hashlib.sha256(canonical(k, e).encode()).hexdigest(), canonical(k, n)) for t in batch.column(0).to_pylist() if t for k, _, e, n in replace(t, keyed)[1]}
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*sorted(pairs), strict=True)], ["kind", "entity", "surrogate"])
 
-    found = docs.select("text").mapInArrow(work, "kind string, entity string, surrogate string").distinct()
-    return found.groupBy("kind", "surrogate").agg(F.count("*").alias("entities")).filter("entities > 1")
+def pseudonymize(docs: DataFrame, key: bytes, *, make: Callable[[bytes], Keyed] = Keyed, rounds: int = 20) -> DataFrame:
+    """doc_id, clean_text and its entities for every row of ``docs`` (doc_id, text).
+
+    One pass without exchange; the check that surrogates are distinct reads the
+    narrow list of entities.  Only if two entities share a surrogate are the texts
+    that hold the later one read again, with a new key for it.
+    """
+    tables = Scratch(docs.sparkSession, "pii")
+    source = docs.select("doc_id", "text", F.xxhash64("text").alias("print"))
+    schema = f"doc_id long, clean_text string, entities {ENTITY}, print long, forms {FORMS}"
+    none = F.lit(None).cast("array<struct<entity:string,tries:int>>")
+    out = tables.keep(source.select("doc_id", "text", none.alias("tries"), "print").mapInArrow(_rewrite(key, make), schema), "clean", batch=500)
+    tries = None
+    for _ in range(rounds):
+        moved = tables.keep(collisions(out).select("entity", F.lit(1).alias("tries")), "moved")
+        if not moved.limit(1).count():
+            return out.select("doc_id", "clean_text", "entities")
+        tries = tables.keep(moved if tries is None else tries.unionByName(moved).groupBy("entity").agg(F.sum("tries").cast("int").alias("tries")), "tries")
+        marks = out.select("print", F.explode("forms").alias("f")).select("print", "f.entity").distinct().join(tries, "entity")
+        by_text = marks.groupBy("print").agg(F.collect_list(F.struct("entity", "tries")).alias("tries"))  # at most the entities of a text
+        again = source.join(by_text, "print").select("doc_id", "text", "tries", "print").mapInArrow(_rewrite(key, make), schema)
+        out = tables.keep(out.join(by_text.select("print"), "print", "left_anti").select("doc_id", "clean_text", "entities", "print", "forms").unionByName(again), "clean", batch=500)
+    raise RuntimeError(f"surrogates are not distinct after {rounds} rounds")

@@ -45,13 +45,9 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii import collisions, pseudonymize
+    from .pii import pseudonymize
 
-    docs = read(spark, sf_dir, "documents")
-    clash = collisions(docs, PII_KEY).limit(1).collect()
-    if clash:
-        raise ValueError(f"surrogates are not distinct: {clash}")
-    return pseudonymize(docs, PII_KEY)
+    return pseudonymize(read(spark, sf_dir, "documents"), PII_KEY)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +72,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contained
 
-    return contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("row")
+    return contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

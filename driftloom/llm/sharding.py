@@ -4,9 +4,10 @@ Rows are shuffled by a seeded hash within each source, ranked there, and sorted
 by fractional rank ``(rank - 1/2) / rows of the source``; that order interleaves
 the sources in proportion, so equal cuts of it have the mixture of the whole.
 
-No global sort takes place.  Both rankings are made in two steps: counts per
-(source, slice of the hash range) and their running sum give the rank at which a
-slice starts, and a window over the slice alone ranks its few thousand rows.
+No global sort takes place.  Both rankings are made in steps: counts per (source,
+slice of the hash range) are summed in blocks of slices, running sums over blocks and
+inside each block give the rank at which a slice starts, and a window over the slice
+alone ranks its few hundred rows.  Keys are written once, without the texts.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that one slice of a ranking holds on average.
-SLICE_ROWS = 2000
+from .common import Scratch
+
+#: Rows that one slice of a ranking holds on average, and slices of a block.
+SLICE_ROWS, BLOCK_SLICES = 512, 1024
 HASH_BITS = 52
 
 
@@ -25,9 +28,17 @@ def _key(seed: int, cols: list[str]) -> Column:
 
 
 def _starts(counted: DataFrame, by: list[str]) -> DataFrame:
-    """Rows before each slice, within ``by``, from the slices' counts ``__n``."""
-    w = Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    return counted.withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0)))
+    """Rows before each slice, within ``by``, from the slices' counts ``__n``.
+
+    A running sum over blocks and one inside each block: the longest window has
+    rows / (SLICE_ROWS * BLOCK_SLICES) rows.
+    """
+    before = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocked = counted.withColumn("__block", F.floor(F.col("__slice") / BLOCK_SLICES))
+    blocks = blocked.groupBy(*by, "__block").agg(F.sum("__n").alias("__n"))
+    starts = blocks.withColumn("__start", before(Window.partitionBy(*by).orderBy("__block"))).drop("__n")
+    inside = Window.partitionBy(*by, "__block").orderBy("__slice")
+    return blocked.withColumn("__before", before(inside)).join(starts, [*by, "__block"]).withColumn("__before", F.col("__before") + F.col("__start")).drop("__start", "__block")
 
 
 def interleave(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", *, tie_cols: tuple[str, ...] = (),
@@ -37,15 +48,19 @@ def interleave(df: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     Shards are equal cuts: their row counts are at most one apart, and each has
     every source within a few rows of its share.  A null source is a source of
     its own; a null id is hashed like a value.  Repeated rows tie on id and hash;
-    they get neighbouring positions, and which of two identical rows comes first
-    has no effect.  An empty table gives an empty result.  ``df`` should be
-    narrow: all of its columns go through three exchanges.
+    they get neighbouring positions (and share a slice), and which of two identical
+    rows comes first has no effect.  An empty table gives an empty result.  Input
+    columns named ``position``, ``shard`` or ``slot`` are replaced.  ``df`` should be
+    narrow: all of its columns are written once and go through three exchanges.
     """
+    tables = Scratch(df.sparkSession, "sharding")
+    df = df.drop("position", "shard", "slot")
+    df = tables.keep(df.withColumn("__key", _key(seed, [id_col, *tie_cols])), "keys")
     total = df.count()
     slices = max(1, total // SLICE_ROWS)
     shift = (1 << HASH_BITS) // slices + 1
     src = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-"))
-    keyed = df.withColumns({"__src": src, "__key": _key(seed, [id_col, *tie_cols])}).withColumn("__slice", F.floor(F.col("__key") / shift))
+    keyed = df.withColumn("__src", src).withColumn("__slice", F.floor(F.col("__key") / shift))
     order = [F.col(c) for c in (id_col, *tie_cols)]
 
     sliced = keyed.groupBy("__src", "__slice").agg(F.count("*").alias("__n"))
@@ -59,7 +74,7 @@ def interleave(df: DataFrame, id_col: str = "doc_id", source_col: str = "source"
 
     # the same two steps over all rows: fractional ranks fill 0 .. 1 evenly
     tops = ranked.groupBy("__slice").agg(F.count("*").alias("__n"))
-    tops = _starts(tops.withColumn("__all", F.lit(0)), ["__all"]).select("__slice", "__before")
+    tops = _starts(tops.withColumn("__all", F.lit(0)), ["__all"]).select("__slice", "__before")  # counts of blocks, not rows
     w = Window.partitionBy("__slice").orderBy("__frac", F.xxhash64(F.lit(seed), "__src"), "__key", *order)
     placed = (ranked.withColumn("__in", F.row_number().over(w)).join(tops, "__slice")
               .withColumn("position", F.col("__before") + F.col("__in") - 1))
@@ -73,7 +88,8 @@ def shard_documents(docs: DataFrame, *, n_shards: int = 24, seed: int = 17) -> D
     """The manifest of a document table: one row for each row of ``docs``.
 
     ``size`` is the UTF-8 length plus 8 (null: 8), ``text_crc32`` the checksum of
-    the bytes.  The law is ``rows``; ``grown_shard`` is null.
+    the bytes of the whole text, however long.  The law is ``rows``; ``grown_shard``
+    is null.  Other columns of ``docs`` play no part.
     """
     raw = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     narrow = docs.select("doc_id", F.col("source").alias("__stratum"),

@@ -12,10 +12,10 @@ a document of smaller id or before in the same one.
     the sorted run and sends it to the part of its k-mer.
 4.  *Merge.*  A part merges its runs with a loser tree over longest common
     prefixes: streams are compared from the prefix on that they are known to share.
-    Suffixes of one k-mer come out together, and the strings of each that an earlier
-    one has too are its spans.
-5.  *Hot k-mers* don't meet in one task: their strings are hashed, and the first
-    occurrence of each is a pre-aggregated minimum.
+    Suffixes of one k-mer come out together with the prefixes that they share; what a
+    suffix shares with an earlier one, by these prefixes, are its spans.
+5.  *Hot k-mers* don't meet in one task: their strings are told by 128 bits of hash,
+    and the first occurrence of each is a pre-aggregated minimum.
 
 Whole copies of a text are told by SHA-256 first; only the least id takes part.
 """
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, free_shuffles, materialize, partitions, shared_dir, utf8
+from .common import FREE_SHUFFLES, Scratch, drop_table, join_hot, parts_for, settings, text_bytes, utf8
 
 LENGTH = 100
 KMER = 40
@@ -168,15 +168,25 @@ def _unpack_anchors(run: bytes) -> tuple[np.ndarray, ...]:
     return h.view(np.uint64).ravel(), doc, pos, np.frombuffer(rest, np.uint32, n, 12 * n)
 
 
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The runs of each part of rows (part, run) that come by part; one part is held at a time."""
+    now, held = None, []
+    for batch in batches:
+        for p, run in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if p != now and held:
+                yield held
+                held = []
+            now = p
+            held.append(run.as_py())
+    if held:
+        yield held
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, pos) of anchors whose k-mer another run has too; (hash, count) of frequent k-mers."""
     names = ["doc_id", "pos", "hash", "count"]
-    held: dict[int, list[bytes]] = {}
-    for batch in batches:
-        for p, run in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            held.setdefault(p, []).append(run.as_py())
-    for p in list(held):
-        h, doc, pos, count = (np.concatenate(x) for x in zip(*map(_unpack_anchors, held.pop(p)), strict=True))
+    for held in _by_part(batches):
+        h, doc, pos, count = (np.concatenate(x) for x in zip(*map(_unpack_anchors, held), strict=True))
         order = np.argsort(h, kind="stable")
         h, doc, pos, count = h[order], doc[order], pos[order], count[order].astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
@@ -358,45 +368,67 @@ def merge_runs(runs: list[Iterator[tuple[int, Suffix]]]) -> Iterator[tuple[int,
             node //= 2
 
 
-def repeated(group: list[Suffix]) -> list[tuple[int, int, int]]:
-    """(doc, start, stop) of what each suffix of one k-mer shares, as strings of ``LENGTH`` bytes, with an earlier one."""
-    group = sorted(group, key=lambda s: s[1:3])
+def repeated(group: list[Suffix], shared: list[int]) -> list[tuple[int, int, int]]:
+    """(doc, start, stop) of what each suffix of one k-mer shares, as strings of ``LENGTH`` bytes, with an earlier one.
+
+    ``shared[i]`` is the prefix that the merge knows suffix i to share with the one
+    before it.  The least of these between two suffixes is what they share after the
+    k-mer; if they share all of that side, it goes on into the bytes before it, which
+    otherwise are met in order of their own, so that nothing known is compared again.
+    """
+    n, reach = len(group), KMER + SIDE
     out = []
-    if len(group) <= 8:
-        for i in range(1, len(group)):
-            key, doc, pos, left, right = group[i]
-            for other, _, _, oleft, oright in group[:i]:
-                after = min(common_prefix(key, other, KMER) - KMER, right, oright)
-                mine, theirs = key[KMER + SIDE:], other[KMER + SIDE:]
-                diff = int.from_bytes(mine, "big") ^ int.from_bytes(theirs, "big")
-                before = min((8 * SIDE - diff.bit_length()) // 8, left, oleft)
+    if n <= 8:
+        for i in range(n):
+            least = WIDTH
+            for j in range(i + 1, n):
+                least = min(least, shared[j])
+                a, b = group[i], group[j]
+                after = min(least - KMER, SIDE, a[4], b[4])
+                if after + min(a[3], b[3]) < SIDE:
+                    continue
+                before = least - reach if least >= reach else _tail_prefix(a[0][reach:], b[0][reach:])
+                before = min(before, a[3], b[3])
                 if before + after >= SIDE:
+                    _, doc, pos, _, _ = max(a, b, key=lambda s: s[1:3])
                     out.append((doc, pos - before, pos + KMER + after))
         return out
-    keys = np.frombuffer(b"".join(s[0] for s in group), dtype=np.uint8).reshape(-1, WIDTH)
-    left, right = (np.array([s[c] for s in group]) for c in (3, 4))
-    text = np.concatenate((keys[:, :KMER - 1 - WIDTH:-1][:, :SIDE], keys[:, :KMER + SIDE]), axis=1)
-    # text is: SIDE bytes before (padded in front), k-mer, SIDE bytes after
+    # classes of equal bytes: after the k-mer by the merge's prefixes, before it by those of a sorted order of their own
+    tails = [s[0][reach:] for s in group]
+    order = sorted(range(n), key=tails.__getitem__)
+    prior = [0] + [_tail_prefix(tails[a], tails[b]) for a, b in zip(order, order[1:])]  # noqa: B905
+    right_known, left_known = np.array(shared), np.array(prior)
+    place = np.empty(n, dtype=np.int64)
+    place[order] = np.arange(n)
+    age = np.lexsort(([s[2] for s in group], [s[1] for s in group]))  # earliest first
+    rank = np.empty(n, dtype=np.int64)
+    rank[age] = np.arange(n)
+    left, right = np.array([s[3] for s in group]), np.array([s[4] for s in group])
     for o in range(SIDE + 1):
-        valid = np.flatnonzero((left >= o) & (right >= SIDE - o))
-        if len(valid) < 2:
+        ok = (left >= o) & (right >= SIDE - o)
+        if ok.sum() < 2:
             continue
-        strings = np.ascontiguousarray(text[valid, SIDE - o:SIDE - o + LENGTH]).view(f"V{LENGTH}").ravel()
-        seen: set[bytes] = set()
-        for i, s in zip(valid.tolist(), (x.tobytes() for x in strings), strict=True):
-            if s in seen:
-                _, doc, pos, _, _ = group[i]
-                out.append((doc, pos - o, pos - o + LENGTH))
-            else:
-                seen.add(s)
+        after = np.cumsum(right_known < KMER + SIDE - o)
+        before = np.cumsum(left_known < o)[place]
+        code = after * (n + 1) + before
+        valid = np.flatnonzero(ok)
+        valid = valid[np.argsort(rank[valid], kind="stable")]
+        _, first = np.unique(code[valid], return_index=True)
+        again = np.ones(len(valid), dtype=bool)
+        again[first] = False
+        for i in valid[again]:
+            _, doc, pos, _, _ = group[i]
+            out.append((doc, pos - o, pos - o + LENGTH))
     return out
 
 
+def _tail_prefix(a: bytes, b: bytes) -> int:
+    """Length of the common prefix of the bytes before two k-mers."""
+    diff = int.from_bytes(a, "big") ^ int.from_bytes(b, "big")
+    return (8 * len(a) - diff.bit_length()) // 8
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, list[bytes]] = {}
-    for batch in batches:
-        for p, run in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            held.setdefault(p, []).append(run.as_py())
     found: dict[int, list[tuple[int, int]]] = {}
     n = 0
 
@@ -405,21 +437,23 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found.clear()
         return pa.RecordBatch.from_arrays(_spans(*zip(*merged, strict=True)), ["doc_id", "start", "stop"])
 
-    for p in list(held):
+    for held in _by_part(batches):
         group: list[Suffix] = []
-        for shared, suffix in merge_runs([read_run(r) for r in held.pop(p)]):
+        known: list[int] = []
+        for shared, suffix in merge_runs([read_run(r) for r in held]):
             if shared < KMER and group:
                 if len(group) > 1:
-                    for d, s, e in repeated(group):
+                    for d, s, e in repeated(group, known):
                         found.setdefault(d, []).append((s, e))
                         n += 1
-                group = []
+                group, known = [], []
             group.append(suffix)
+            known.append(shared)
             if n > 200_000:
                 yield flush()
                 n = 0
         if len(group) > 1:
-            for d, s, e in repeated(group):
+            for d, s, e in repeated(group, known):
                 found.setdefault(d, []).append((s, e))
                 n += 1
     if found:
@@ -469,44 +503,49 @@ def remove_repeats(docs: DataFrame, *, with_text: bool = False) -> DataFrame:
     A null text is empty; texts below ``LENGTH`` bytes keep all.  Rows that repeat an
     id and its text are one document and get the same result.  A null id counts as
     less than any other.  If an id has several texts, the one of least SHA-256 is the
-    document's; the others are kept whole and nothing is held against them.
+    document's; the others are kept whole and nothing is held against them.  Other
+    columns play no part; an empty table gives none.
     """
     spark = docs.sparkSession
-    shared_dir(spark)
-    parts = partitions(spark)
+    tables = Scratch(spark, "dedup")
+    parts = parts_for(spark, text_bytes(docs))
     key = F.coalesce("doc_id", F.lit(-(2**63)))
     texts = docs.select("doc_id", key.alias("id"), utf8(F.col("text")).alias("raw")).withColumn("print", F.sha2("raw", 256))
     # bucketed and sorted by id: the merge joins with narrow tables below, on id alone, don't move the texts again
     name = f"driftloom_texts_{uuid.uuid4().hex}"
     atexit.register(drop_table, spark, name)
-    (texts.repartition(parts, "id").write.bucketBy(parts, "id").sortBy("id").saveAsTable(name))
-    free_shuffles(spark)
+    with settings(spark, {FREE_SHUFFLES: "true"}):
+        buckets = min(parts, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+        texts.repartition(buckets, "id").write.bucketBy(buckets, "id").sortBy("id").option("path", tables.path("texts")).saveAsTable(name)
     table = spark.table(name)
     prints = table.select("id", "print", (F.length("raw") >= LENGTH).alias("long")).groupBy("id").agg(F.min("print").alias("own"), F.max("long").alias("long"))
-    prints = materialize(prints, "dedup-prints")
-    least = prints.groupBy("own").agg(F.min("id").alias("first"))
-    prints = materialize(prints.join(least, "own").withColumn("copy", F.col("id") != F.col("first")).select("id", "own", "copy", "long"), "dedup-copies")
+    prints = tables.keep(prints, "prints")
+    least = tables.keep(prints.groupBy("own").agg(F.min("id").alias("first"), F.count("*").alias("n")), "least")
+    prints = tables.keep(join_hot(prints, least, "own").withColumn("copy", F.col("id") != F.col("first")).select("id", "own", "copy", "long"), "copies")
     first = table.join(prints.filter("not copy and long").select("id", "own").hint("merge"), "id").filter("print <= own").select("id", "raw")  # own is the least; an equality would become a join key and move the texts
 
-    runs = first.mapInArrow(_anchor_runs(parts), "doc_id long, pos int, part int, run binary")
-    runs = materialize(runs, "dedup-anchors")
-    met = materialize(runs.filter("run is not null").select("part", "run").repartition(parts, "part").mapInArrow(_candidates, "doc_id long, pos int, hash long, count long"), "dedup-candidates")
+    def by_part(runs: DataFrame) -> DataFrame:
+        return runs.filter("run is not null").select("part", "run").repartition(parts, "part").sortWithinPartitions("part")
+
+    runs = tables.keep(first.mapInArrow(_anchor_runs(parts), "doc_id long, pos int, part int, run binary"), "anchors")
+    met = tables.keep(by_part(runs).mapInArrow(_candidates, "doc_id long, pos int, hash long, count long"), "candidates")
     frequent = met.filter("hash is not null").orderBy(F.desc("count")).limit(HOT_SHARE).select("hash").collect()  # a bounded list
     hot = np.array([r["hash"] for r in frequent], dtype=np.int64).view(np.uint64)
     found = met.filter("doc_id is not null").select("doc_id", "pos").unionByName(runs.filter("doc_id is not null").select("doc_id", "pos"))
     places = found.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("pos").alias("pos"))  # at most one for each byte of the text
 
     pieces = first.join(places.hint("merge"), "id").select("id", "raw", "pos").mapInArrow(_suffix_runs(parts, hot), "part int, run binary, doc_id long, start int, stop int, h1 long, h2 long")
-    pieces = materialize(pieces, "dedup-suffixes")
-    free_shuffles(spark)
+    pieces = tables.keep(pieces, "suffixes")
+    tables.drop("anchors", "candidates")
     spans = pieces.filter("stop is not null").select("doc_id", "start", "stop")
-    merged = pieces.filter("run is not null").select("part", "run").repartition(parts, "part").mapInArrow(_merge, "doc_id long, start int, stop int")
-    spans = spans.unionByName(merged)
+    spans = spans.unionByName(by_part(pieces).mapInArrow(_merge, "doc_id long, start int, stop int"))
     if len(hot):
         strings = pieces.filter("h1 is not null").select("h1", "h2", "doc_id", "start")
-        one = strings.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("one"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        spans = spans.unionByName(strings.join(one, ["h1", "h2"]).filter(F.struct("doc_id", "start") > F.col("one")).select("doc_id", "start", (F.col("start") + LENGTH).alias("stop")))
-    spans = materialize(spans.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "dedup-spans")
+        one = strings.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("one"), F.count("*").alias("n")).filter("n > 1")
+        met_again = join_hot(strings, tables.keep(one, "first-strings"), ["h1", "h2"])
+        spans = spans.unionByName(met_again.filter(F.struct("doc_id", "start") > F.col("one")).select("doc_id", "start", (F.col("start") + LENGTH).alias("stop")))
+    spans = tables.keep(spans.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
+    tables.drop("suffixes")
     last = table.join(prints.join(spans, "id", "left").select("id", "own", "copy", "spans").hint("merge"), "id")
     same = F.col("print") == F.col("own")
     last = last.select("doc_id", "raw", (same & F.col("copy")).alias("copy"), F.when(same, F.col("spans")).alias("spans"))

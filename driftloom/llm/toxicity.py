@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: Labelled rows that the model is fitted on, at most about so many (hash sample).
 MAX_TRAINING_ROWS = 12_000
-#: Terms kept, those with most evidence first; part of the model's size bound.
-MAX_TERMS = 4_000
 MIN_CONTEXTS, MIN_STEM_CONTEXTS, MIN_STEM_WORDS = 3, 5, 3
 #: A term is in so many toxic documents that a word without meaning would be in none but these with this chance.
 CHANCE = 1e-5
@@ -232,30 +232,27 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING_ROWS) -> Model:
-    """Learns terms, look-alikes and the curve.  What comes to the driver is bounded by the parameters above.
+    """Learns terms, look-alikes and the curve.  All terms that pass come to the driver: they are bounded by the training rows.
 
     Without toxic or without clean training rows the model knows no term and every score is near 0.
     """
-    from .common import drop_made, made, materialize
-
-    mark = made()
-    rows = materialize(training_rows(docs, labels, limit), "toxic-train")
+    tables = Scratch(docs.sparkSession, "toxicity")
+    rows = tables.keep(training_rows(docs, labels, limit), "train")
     counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n_toxic, n_clean = sum(n for k, n in counts.items() if k), sum(n for k, n in counts.items() if not k)
     if not n_toxic or not n_clean:
         return Model()
-    raw = materialize(rows.select("text", F.col("toxic").cast("boolean").alias("toxic")).mapInArrow(_term_rows, "term string, stem boolean, context long, form long, doc long, clean long"), "toxic-terms")
+    raw = tables.keep(rows.select("text", F.col("toxic").cast("boolean").alias("toxic")).mapInArrow(_term_rows, "term string, stem boolean, context long, form long, doc long, clean long"), "terms")
     rate = CLEAN_SHARE * n_clean / n_toxic
     # plain sums first: only terms that can still pass get distinct counts
     sums = raw.groupBy("term", "stem").agg(F.count("context").alias("rows"), F.sum("clean").alias("clean"))
     sums = sums.filter((F.col("rows") >= MIN_CONTEXTS) & (F.length("term") >= 3) & (F.col("clean") <= F.col("rows") * rate)).drop("rows")
-    distinct = lambda c: F.approx_count_distinct(c, 0.02).alias(f"{c}s")
+    distinct = lambda c: F.count_distinct(c).alias(f"{c}s")
     terms = raw.filter("context is not null").join(sums.withColumnRenamed("clean", "in_clean"), ["term", "stem"]).groupBy("term", "stem").agg(distinct("context"), distinct("form"), distinct("doc"), F.max("in_clean").alias("clean"))
     least_docs = max(MIN_CONTEXTS, math.ceil(math.log(CHANCE) / math.log(n_toxic / (n_toxic + n_clean))))
     enough = F.when(F.col("stem"), (F.col("contexts") >= MIN_STEM_CONTEXTS) & (F.col("forms") >= MIN_STEM_WORDS)).otherwise(F.col("contexts") >= MIN_CONTEXTS)
     # copies of a document share their contexts, and one document can hold many: both must be several
-    kept = (terms.filter(enough & (F.col("docs") >= least_docs) & (F.col("clean") <= F.col("docs") * rate))
-            .orderBy(F.desc("contexts"), "stem", "term").limit(MAX_TERMS).collect())
+    kept = terms.filter(enough & (F.col("docs") >= least_docs) & (F.col("clean") <= F.col("docs") * rate)).orderBy("stem", "term").collect()
     weight = lambda r: math.log((r["docs"] + 0.5) / n_toxic) - math.log((r["clean"] + 0.5) / n_clean)
     words = {r["term"]: max(0.1, weight(r)) for r in kept if not r["stem"]}
     stems = {r["term"]: max(0.1, weight(r)) for r in kept if r["stem"]}
@@ -273,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING_ROWS) -> M
     model = Model(words, stems, frozenset(r["word"] for r in clean))
     held = rows.filter(~half).select("text", "toxic").mapInArrow(_evidence_rows(model), "evidence double, toxic int").toPandas()
     model.bias, model.slope = logistic(np.log1p(held["evidence"].to_numpy(float)), held["toxic"].to_numpy(float))
-    drop_made(docs.sparkSession, mark)
+    tables.clear()
     return model
 
 
@@ -305,7 +302,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, evidence, score and predicted of every whole text; null and empty texts have no evidence.
 
     One pass without exchange; the model goes along with the task, its size is
-    bounded by ``MAX_TERMS`` and the training sample.
+    bounded by the training sample.  Repeated rows are scored each for itself, other
+    columns play no part, an empty table gives none.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

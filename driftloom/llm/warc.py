@@ -1,6 +1,6 @@
 """WARC archives with one Zstandard frame per record and a shared dictionary.
 
-An archive starts with a skippable frame that carries the dictionary, itself a
+Every archive starts with a skippable frame that carries its dictionary, itself a
 Zstandard frame; each record follows as one frame.  Archives are written from
 Arrow batches to the folder that driver and executors share, rolled over at a
 fixed number of payload bytes, and read back as binary files.
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import Scratch, qualified
 
 #: Fixed values of the formats.
 DICT_MAGIC = 0x184D2A5D
@@ -104,22 +104,25 @@ def decode_record(raw: bytes) -> dict:
             "target_uri": fields.get("warc-target-uri"), "payload": payload if kind == "response" else None}
 
 
-def pack_archive(records: list[bytes]) -> bytes:
-    """A whole archive; without dictionary if there is too little to train on."""
+def dictionary(records: list[bytes]):
+    """A dictionary for these records: a trained one, or their own first bytes where training finds too little."""
     import zstandard as zstd
 
-    head, cdict = b"", None
     samples = [r[:DICT_RECORD_BYTES] for r in records[:DICT_RECORDS]]
-    if len(samples) >= 8 and sum(map(len, samples)) >= 8 * DICT_BYTES:
-        try:
-            cdict = zstd.train_dictionary(DICT_BYTES, samples, level=3)
-        except zstd.ZstdError:  # samples too alike to train on
-            cdict = None
-    if cdict is not None:
-        body = zstd.ZstdCompressor(level=3).compress(cdict.as_bytes())
-        head = struct.pack("<II", DICT_MAGIC, len(body)) + body
+    try:
+        return zstd.train_dictionary(DICT_BYTES, samples, level=3)
+    except (zstd.ZstdError, ValueError):  # too few samples, or too alike
+        return zstd.ZstdCompressionDict(b"".join(samples)[:DICT_BYTES], dict_type=zstd.DICT_TYPE_RAWCONTENT)
+
+
+def pack_archive(records: list[bytes]) -> bytes:
+    """A whole archive: the dictionary in a skippable frame, then one frame for each record."""
+    import zstandard as zstd
+
+    cdict = dictionary(records)
+    body = zstd.ZstdCompressor(level=3).compress(cdict.as_bytes())
     packer = zstd.ZstdCompressor(level=3, dict_data=cdict, write_content_size=True, write_checksum=True)
-    return head + b"".join(map(packer.compress, records))
+    return struct.pack("<II", DICT_MAGIC, len(body)) + body + b"".join(map(packer.compress, records))
 
 
 def unpack_archive(data: bytes) -> Iterator[bytes]:
@@ -180,11 +183,12 @@ def write_archives(pages: DataFrame, path: str) -> DataFrame:
     listed in the result, so a task that runs twice leaves no double records.
     """
     planned = plan_records(pages).select("page_id", "url", "html", "__refers")
+    path = qualified(pages.sparkSession, path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        store, root = fs.FileSystem.from_uri(path)
 
         def close(records: list[bytes]) -> pa.RecordBatch:
             name, data = f"part-{uuid.uuid4().hex}.warc.zst", pack_archive(records)
@@ -235,12 +239,15 @@ def read_archives(spark: SparkSession, path: str, names: DataFrame | None = None
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes all ``pages`` as archives and returns what is read back, without payloads."""
+    """Writes all ``pages`` (page_id, url, html) as archives and returns what is read back, without payloads.
+
+    Null payloads are empty, null and repeated page_ids are kept, a payload of any
+    length is one record, other columns play no part, an empty table gives none.
+    """
     spark = pages.sparkSession
-    path = scratch(spark, "warc")
-    listed = scratch(spark, "warc-list")
-    write_archives(pages, f"{path}").write.parquet(listed)
-    names = spark.read.schema("name string, records long, bytes long").parquet(listed)
+    tables = Scratch(spark, "warc")
+    path = tables.path("archives")
+    names = tables.keep(write_archives(pages, path), "listed")
     if not names.limit(1).count():
         return spark.createDataFrame([], RECORD_SCHEMA).drop("payload", "target_uri")
     conf = "spark.sql.sources.binaryFile.maxLength"
