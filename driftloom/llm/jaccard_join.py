@@ -37,7 +37,7 @@ from .common import Scratch, join_hot, partitions, parts_for, text_bytes, utf8
 from .components import components
 
 #: Members of a leaf, about, a long text counting as several; a task joins two at most.
-LEAF = 1024
+LEAF = 256
 #: Grams that make a text count once more.
 MEMBER_GRAMS = 8192
 #: Members up to which a cell is joined set by set.
