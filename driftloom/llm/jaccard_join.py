@@ -136,13 +136,17 @@ def signatures(grams: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-#: Bits of a parity sketch: bit i is the parity of the grams of hash class i.
-SKETCH_BITS = 1024
+#: Bits of a parity sketch: at least and at most so many, about one a gram between.
+SKETCH_BITS, MOST_BITS = 1024, 1 << 16
 
 
 def parity_sketch(grams: np.ndarray) -> bytes:
-    """Two sketches differ in at most as many bits as the sets differ in grams."""
-    return np.packbits(np.bincount(((grams >> _U(40)) % _U(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
+    """Bit i is the parity of the grams of hash class i: two sketches differ in at most as many bits as the sets in grams.
+
+    Longer sets have longer sketches; a longer one folds to a shorter one's length.
+    """
+    bits = min(MOST_BITS, max(SKETCH_BITS, 1 << (len(grams) - 1).bit_length()))
+    return np.packbits(np.bincount(((grams >> _U(40)) % _U(bits)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
 MAP_SCHEMA = "doc_id long, n long, print string, local long, sketch binary, part int, run binary"
@@ -275,11 +279,21 @@ def _forest(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def sieve_forest(sketches: np.ndarray, sizes: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Spanning forest of the pairs that their sketches (0/1 rows) don't rule out."""
-    ones = sketches.sum(1)
-    apart = ones[:, None] + ones[None, :] - 2 * (sketches @ sketches.T)
-    return _forest(apart <= (den - num) * np.minimum(sizes[:, None], sizes[None, :]) // num)
+def sieve_forest(sketches: list[bytes], sizes: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Spanning forest of the pairs that their sketches don't rule out; a pair is compared at the shorter sketch's length."""
+    lengths, n = np.array([len(s) for s in sketches]), len(sketches)
+    may = np.zeros((n, n), dtype=bool)
+    bound = (den - num) * np.minimum(sizes[:, None], sizes[None, :]) // num
+    for length in np.unique(lengths):
+        mine, longer = np.flatnonzero(lengths == length), np.flatnonzero(lengths >= length)
+        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(sketches[i], np.uint8).reshape(-1, length), axis=0) for i in longer])
+        short, apart = folded[lengths[longer] == length], np.zeros((len(mine), len(longer)), dtype=np.float32)
+        for lo in range(0, length, 512):  # 4096 bits at a time
+            x, y = (np.unpackbits(s[:, lo:lo + 512], axis=1).astype(np.float32) for s in (short, folded))
+            apart += x.sum(1)[:, None] + y.sum(1)[None, :] - 2 * (x @ y.T)
+        at = np.ix_(mine, longer)
+        may[at] = apart <= bound[at]
+    return _forest(may | may.T)
 
 
 def linked_forest(sets: list[np.ndarray], split: int, num: int, den: int) -> list[tuple[int, int]]:
@@ -436,8 +450,8 @@ def _sieve(num: int, den: int):
     """Rows (lead, doc_id, n, sketch) of one leader to edges of what may be linked."""
 
     def solve(rows: list[tuple]) -> list[tuple[int, int]]:
-        bits = np.unpackbits(np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
-        return [(rows[i][1], rows[j][1]) for i, j in sieve_forest(bits, np.array([r[2] for r in rows]), num, den)]
+        forest = sieve_forest([r[3] for r in rows], np.array([r[2] for r in rows]), num, den)
+        return [(rows[i][1], rows[j][1]) for i, j in forest]
 
     return _by_key(solve)
 
@@ -507,12 +521,15 @@ def _block_tasks(tables: Scratch, large: DataFrame, num: int, den: int) -> tuple
     right = salted.select("family", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("block").alias("b"), F.col("ball").alias("bball"), F.col("r").alias("br"))
     apart = F.array_max(F.zip_with("ar", "br", lambda x, y: F.greatest(y["lo"] - x["hi"], x["lo"] - y["hi"])))
     one_class = (F.col("aball") == F.col("bball")) & (F.col("aball") != "-")
-    pairs = tables.keep(left.join(right, ["family", "salt"]).filter((F.col("a") <= F.col("b")) & ~one_class).filter(apart <= radius).select("family", "a", "b"), "pairs")
-    task = F.concat_ws("/", F.lit("b"), "family", "a", "b").alias("task")
-    sides = [pairs.select(task, F.col(s).alias("block"), F.lit(i).alias("side")) for i, s in enumerate("ab")]
-    # one cell's block against itself has one side
-    wanted = sides[0].unionByName(sides[1].join(pairs.filter("a = b").select(task), "task", "left_anti"))
-    return wanted.join(blocks.select("block", "doc_id"), "block").join(large.select("doc_id", "grams"), "doc_id").select("task", "side", "doc_id", "grams"), stars
+    pairs = tables.keep(left.join(right, ["family", "salt"]).filter((F.col("a") <= F.col("b")) & ~one_class).filter(apart <= radius).select("a", "b", "ar", "br", F.concat_ws("/", F.lit("b"), "family", "a", "b").alias("task")), "pairs")
+    # a task gets the members of either block that lie in the windows of the other; a block against itself has one side
+    sides = pairs.select("task", F.lit(0).alias("side"), F.col("a").alias("block"), F.when(F.col("a") != F.col("b"), F.col("br")).alias("r"))
+    sides = sides.unionByName(pairs.filter("a <> b").select("task", F.lit(1).alias("side"), F.col("b").alias("block"), F.col("ar").alias("r")))
+    at = near.groupBy("family", "doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pivot", "d"))), lambda x: x["d"]).alias("ds"))
+    members = tables.keep(blocks.join(at, ["family", "doc_id"]).select("block", "doc_id", "ds"), "members")
+    inside = F.col("r").isNull() | ~F.exists(F.zip_with("ds", "r", lambda d, r: (d < r["lo"] - radius) | (d > r["hi"] + radius)), lambda out: out)
+    wanted = sides.join(members, "block").filter(inside).select("task", "side", "doc_id")
+    return wanted.join(large.select("doc_id", "grams"), "doc_id").select("task", "side", "doc_id", "grams"), stars
 
 
 def join_classes(docs: DataFrame, *, words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
