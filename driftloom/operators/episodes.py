@@ -194,3 +194,65 @@ def periodic(amplitude: float, period: float, phase: float = 0.0) -> Column:
 
 def impulse(force: float, start: int, length: int) -> Column:
     return F.when(F.col("t").between(start, start + length - 1), force).otherwise(0.0)
+
+
+def bias(channel: str, offset: float) -> Column:
+    return F.col(channel) + offset
+
+
+def _normal(seed: int) -> Column:
+    """A standard normal draw by hash of (ep, t): the same on any executor."""
+    u = lambda k: (F.shiftrightunsigned(F.xxhash64("ep", "t", F.lit(seed), F.lit(k)), 11) + 1) / F.lit(float((1 << 53) + 1))
+    return F.sqrt(-2 * F.log(u(0))) * F.cos(2 * 3.141592653589793 * u(1))
+
+
+def noise(channel: str, sd: float, seed: int = 0) -> Column:
+    """Sensor or actuator noise."""
+    return F.col(channel) + sd * _normal(seed)
+
+
+def constant_force(force: float) -> Column:
+    return F.lit(force)
+
+
+def wandering_force(states: DataFrame, most: float, smoothness: float = 0.95, seed: int = 0, out: str = "force") -> DataFrame:
+    """``states`` with an AR(1) force within ``-most`` and ``most``: smoothness * before + (1 - smoothness) * draw."""
+    import numpy as np
+    import pandas as pd
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t", kind="stable")
+        now, force = 0.0, np.empty(len(pdf))
+        for i, z in enumerate(pdf.pop("__z").to_numpy(float)):
+            now = smoothness * now + (1 - smoothness) * z * most
+            force[i] = min(most, max(-most, now))
+        return pdf.assign(**{out: force})
+
+    drawn = states.withColumn("__z", _normal(seed))
+    return drawn.groupBy("ep").applyInPandas(work, f"{states.schema.simpleString()[7:-1]},{out} double")
+
+
+def composite(states: DataFrame, channel: str, transforms: Sequence) -> DataFrame:
+    """Disturbances one after another: each is a function of a channel's name to a Column."""
+    for change in transforms:
+        states = states.withColumn(channel, change(channel))
+    return states
+
+
+def collect_survivors(draw, n: int, rounds: int = 20):
+    """Episodes that survive, from ``draw(round)`` until there are ``n``: rejection sampling with an error after ``rounds``."""
+    kept = None
+    for i in range(rounds):
+        more = survived(draw(i))
+        kept = more if kept is None else kept.unionByName(more)
+        if kept.count() >= n:
+            return kept.orderBy(shuffled("ep", 0), "ep").limit(n)
+    raise ValueError(f"fewer than {n} survivors after {rounds} rounds")
+
+
+def continue_survivors(episodes: DataFrame, later: DataFrame) -> DataFrame:
+    """Survivors with the failure that a longer run (ep, fail, n_steps) has found; failures stay, unknown ones stay censored."""
+    more = later.select("ep", F.col("fail").alias("__fail"), F.col("n_steps").alias("__n"))
+    joined = episodes.join(more, "ep", "left")
+    open_end = F.col("fail") == F.col("n_steps")
+    return joined.withColumns({"fail": F.when(open_end, F.coalesce("__fail", "fail")).otherwise(F.col("fail")), "n_steps": F.when(open_end, F.coalesce("__n", "n_steps")).otherwise(F.col("n_steps"))}).drop("__fail", "__n")

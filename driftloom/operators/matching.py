@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -9,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pairs import CAP, Kernel, band_pairs, squared_distances
+from .pairs import BLOCK_ROWS as CAP
+from .pairs import Kernel, band_pairs, squared_distances
 
 
 def _split(x: np.ndarray, size: int) -> tuple[list, list[tuple[np.ndarray, np.ndarray]]]:
@@ -59,14 +61,15 @@ def _nearest_in_cell(rows: DataFrame, points: DataFrame, key: str, kind: str) ->
     return left.groupBy("cell", "part").cogroup(right.groupBy("at", "slot")).applyInPandas(work, f"{key} {kind}, v array<double>, match long, d2 double")
 
 
-def nearest_match(left: DataFrame, right: DataFrame, key: str, params: Sequence[str], n: int = CAP) -> DataFrame:
-    """(key, match, distance): for each left row (one a key) the nearest of all right rows, parameters standardized by the right.
+def nearest_match(left: DataFrame, right: DataFrame, key: str, params: Sequence[str], n: int = CAP, scale: bool = True) -> DataFrame:
+    """(key, match, distance): for each left row (one a key) the nearest of all right rows, parameters standardized by the right (``scale``).
 
     The right rows are dealt to k-d cells of about ``n``, cut by a sample.  The nearest in a row's
     own cell bounds its distance; all cells within the bound are searched, so the result is exact.
     """
     moments = right.agg(*[F.avg(p) for p in params], *[F.stddev_pop(p) for p in params]).first()
     k, kind = len(params), dict(left.dtypes)[key]
+    moments = moments if scale else [0.0] * k + [1.0] * k
     scaled = lambda df: df.select(key, F.array(*[(F.col(p) - moments[i]) / (moments[k + i] or 1.0) for i, p in enumerate(params)]).alias("v")).filter(~F.exists("v", lambda x: x.isNull()))
     points = scaled(right).groupBy("v").agg(F.min(key).cast("long").alias("match"))  # equal points count once
     total, per_cell = points.count(), 64
@@ -109,6 +112,23 @@ def forward_divergence(states: DataFrame, episodes: DataFrame, channel: str, par
     return d.groupBy((F.col("t") - start).alias("s")).agg(F.avg(F.log("d")).alias("mean_log"), F.count("*").alias("n"))
 
 
+def slope_interval(curves: DataFrame, replicates: int = 200, seed: int = 0, share: float = 0.9) -> DataFrame:
+    """(slope, low, high): slope of mean log distance over steps, with a bootstrap interval over pairs.
+
+    ``curves`` has (a, b, s, log_d).  A pair's weight in a replicate is a Poisson draw
+    by hash, so replicates are sums of one pass and no resample is laid out.
+    """
+    u = lambda r: (F.shiftrightunsigned(F.xxhash64("a", "b", F.lit(seed), r), 11) + 1) / F.lit(float(1 << 53))
+    edges = np.cumsum([np.exp(-1) / math.factorial(k) for k in range(8)])
+    weight = lambda v: sum((v > float(e)).cast("int") for e in edges)
+    many = curves.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates)))).withColumn("w", F.when(F.col("r") == 0, 1).otherwise(weight(u(F.col("r")))))
+    steps = many.groupBy("r", "s").agg((F.sum(F.col("w") * F.col("log_d")) / F.sum("w")).alias("m"))
+    slopes = steps.groupBy("r").agg(F.regr_slope("m", "s").alias("slope"))
+    tail = (1 - share) / 2
+    spread = F.percentile(F.when(F.col("r") > 0, F.col("slope")), [tail, 1 - tail])
+    return slopes.agg(F.max(F.when(F.col("r") == 0, F.col("slope"))).alias("slope"), spread.alias("p")).select("slope", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
+
+
 def divergence_slope(curve: DataFrame) -> DataFrame:
     return curve.agg(F.regr_slope("mean_log", "s").alias("slope"))
 
@@ -132,7 +152,7 @@ def per_step_gram(states: DataFrame, channels: Sequence[str], kernel: Kernel, st
 def mmd_per_step(gram: DataFrame, labels: DataFrame) -> DataFrame:
     """(t, mmd2): unbiased squared MMD at each step from Gram rows i <= j and episode labels 0/1."""
     y = labels.select("ep", "y")
-    g = gram.filter("i < j").join(F.broadcast(y.withColumnsRenamed({"ep": "i", "y": "yi"})), "i").join(F.broadcast(y.withColumnsRenamed({"ep": "j", "y": "yj"})), "j")
+    g = gram.filter("i < j").join(y.withColumnsRenamed({"ep": "i", "y": "yi"}), "i").join(y.withColumnsRenamed({"ep": "j", "y": "yj"}), "j")
     pair = lambda a, b: F.when((F.col("yi") == a) & (F.col("yj") == b), F.col("k"))
     means = g.groupBy("t").agg(F.avg(pair(1, 1)).alias("k11"), F.avg(pair(0, 0)).alias("k00"), F.avg(F.coalesce(pair(1, 0), pair(0, 1))).alias("k10"))
     return means.select("t", (F.col("k11") + F.col("k00") - 2 * F.col("k10")).alias("mmd2"))
@@ -151,7 +171,16 @@ def hausdorff(a: np.ndarray, b: np.ndarray) -> float:
     return float(max(d.min(1).max(), d.min(0).max()))
 
 
-def level_set_distance(grid: DataFrame, channels: Sequence[str], score_a: str, level_a: float, score_b: str, level_b: float) -> float:
-    """Hausdorff distance of the accepted parts of a grid under two scores; the grid is bounded by CAP points."""
-    part = lambda c, v: np.array(grid.filter(F.col(c) <= v).select(*channels).limit(CAP).collect(), dtype=float).reshape(-1, len(channels))
-    return hausdorff(part(score_a, level_a), part(score_b, level_b))
+def level_set_distance(grid: DataFrame, channels: Sequence[str], score_a: str, level_a: float, score_b: str, level_b: float) -> tuple[float | None, float]:
+    """(Hausdorff distance, share of b's points outside a) of the accepted parts of a grid under two scores.
+
+    Nearest points are searched in cells, so the grid may be of any size; the
+    distance is null if a part is empty.
+    """
+    marked = grid.withColumn("__id", F.monotonically_increasing_id()).select("__id", *channels, (F.col(score_a) <= level_a).alias("__in_a"), (F.col(score_b) <= level_b).alias("__in_b")).cache()
+    a, b = marked.filter("__in_a"), marked.filter("__in_b")
+    n_a, n_b, out = marked.agg(F.sum(F.col("__in_a").cast("int")), F.sum(F.col("__in_b").cast("int")), F.sum((F.col("__in_b") & ~F.col("__in_a")).cast("int"))).first()
+    far = lambda p, q: nearest_match(p, q, "__id", channels, scale=False).agg(F.max("distance")).first()[0]
+    distance = max(far(a, b), far(b, a)) if n_a and n_b else None
+    marked.unpersist()
+    return distance, (out or 0) / max(n_b or 0, 1)

@@ -14,6 +14,64 @@ from pyspark.sql import functions as F
 FLOOR = 1e-8
 
 
+def slices(df: DataFrame, value: str, n: int = 256) -> DataFrame:
+    """``df`` with ``__slice``: rows by ranges of ``value``, cut at approximate quantiles, equal values together; nulls last."""
+    cuts = df.filter(F.col(value).isNotNull()).agg(F.percentile_approx(value, [i / n for i in range(1, n)], 50 * n)).first()[0] or []
+    cuts = sorted(set(cuts))
+    # the cut below a value by bisection: about log2(n) comparisons
+    def at(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(value) <= F.lit(cuts[mid]), at(lo, mid)).otherwise(at(mid + 1, hi))
+
+    return df.withColumn("__slice", at(0, len(cuts)))
+
+
+def running(df: DataFrame, value: str, sums: Sequence[str], descending: bool = False) -> DataFrame:
+    """``df`` (one row a value) with ``<c>_run``: sums of c over all rows up to this one in the order of ``value``.
+
+    Counts of slices of the order give what lies before a slice, a window inside the
+    slice the rest: no window holds the table.
+    """
+    cut = slices(df, value)
+    side = F.desc if descending else F.asc
+    totals = cut.groupBy("__slice").agg(*[F.sum(c).alias(f"__{c}") for c in sums])
+    before = Window.partitionBy(F.lit(0)).orderBy(side("__slice")).rowsBetween(Window.unboundedPreceding, -1)  # some hundred slices
+    starts = totals.select("__slice", *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}_before") for c in sums])
+    inside = Window.partitionBy("__slice").orderBy(side(value)).rowsBetween(Window.unboundedPreceding, 0)
+    out = cut.withColumns({f"{c}_run": F.sum(c).over(inside) for c in sums}).join(F.broadcast(starts), "__slice")
+    return out.withColumns({f"{c}_run": F.col(f"{c}_run") + F.col(f"__{c}_before") for c in sums}).drop("__slice", *[f"__{c}_before" for c in sums])
+
+
+def ranked(df: DataFrame, value: str) -> DataFrame:
+    """``df`` with ``rank`` from 1 in the order of ``value``; equal values in any order, but each its own rank."""
+    counts = df.groupBy(value).agg(F.count("*").alias("__n"))
+    run = running(counts, value, ["__n"]).select(value, F.explode(F.sequence(F.col("__n_run") - F.col("__n") + 1, F.col("__n_run"))).alias("rank"))
+    return run  # rows of one value are alike but for their rank
+
+
+def quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> list[float | None]:
+    """Exact linear quantiles: ranks come from counts of slices, and only the values at the wanted ranks reach the driver."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    n = df.filter(F.col(value).isNotNull()).count()
+    if not n:
+        return [None] * len(shares)
+    wanted = sorted({r for s in shares for r in (math.floor(s * (n - 1) + 1e-12), min(math.floor(s * (n - 1) + 1e-12) + 1, n - 1))})
+    holds = F.lit(False)
+    for r in wanted:
+        holds = holds | ((F.col("c_run") > r) & (F.col("c_run") - F.col("c") <= r))
+    found = sorted((row["c_run"], row["c"], row["v"]) for row in running(counts, "v", ["c"]).filter(holds).collect())
+    at = lambda r: next(v for run, c, v in found if run - c <= r < run)
+    out = []
+    for s in shares:
+        pos = s * (n - 1)
+        lo = math.floor(pos + 1e-12)
+        a, b = at(lo), at(min(lo + 1, n - 1))
+        out.append(float(a + (b - a) * max(pos - lo, 0.0)))
+    return out
+
+
 def znorm_by_end(reference: DataFrame) -> DataFrame:
     """(end, mean, sd): moments of the reference scores at each step; nulls are skipped."""
     return reference.groupBy("end").agg(F.avg("score").alias("mean"), (F.stddev_pop("score") + FLOOR).alias("sd"))
@@ -33,8 +91,7 @@ def conformal_level(n: int, alpha: float) -> float:
 def max_conformal_threshold(scores: DataFrame, alpha: float, col: str = "z") -> float:
     """Linear quantile of the episodes' greatest scores at the conformal level; two scalars reach the driver."""
     top = scores.groupBy("ep").agg(F.max(col).alias("m")).filter("m is not null")
-    q = conformal_level(top.count(), alpha)
-    return top.agg(F.percentile("m", F.lit(q))).first()[0]
+    return quantiles(top, "m", [conformal_level(top.count(), alpha)])[0]
 
 
 def conformal_order_statistic(scores: DataFrame, alpha: float, col: str = "score") -> float:
@@ -42,7 +99,7 @@ def conformal_order_statistic(scores: DataFrame, alpha: float, col: str = "score
     n = scores.filter(F.col(col).isNotNull()).count()
     k = min(math.ceil((n + 1) * (1 - alpha)), n)
     # the k-th least is the exact quantile whose linear position is an integer
-    return scores.agg(F.percentile(col, F.lit((k - 1) / (n - 1) if n > 1 else 0.0))).first()[0]
+    return quantiles(scores, col, [(k - 1) / (n - 1) if n > 1 else 0.0])[0]
 
 
 def first_alarms(scores: DataFrame, episodes: DataFrame, threshold: float, col: str = "z") -> DataFrame:
@@ -83,9 +140,10 @@ def edr_and_lead(leads: DataFrame) -> DataFrame:
 
 
 def channel_stats(states: DataFrame, channels: Sequence[str]) -> DataFrame:
-    long = states.select(F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("v")) for c in channels])).alias("s")).select("s.channel", "s.v")
-    return long.groupBy("channel").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.min("v").alias("min"), F.max("v").alias("max"),
-                                       *[F.percentile("v", F.lit(q)).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)])
+    """(channel, mean, sd, min, max, q25, q50, q75): one pass for the moments; quantiles by slices, a channel at a time."""
+    row = states.agg(*[f(c).alias(f"{n}_{c}") for c in channels for n, f in (("mean", F.avg), ("sd", F.stddev_pop), ("min", F.min), ("max", F.max))]).first()
+    out = [(c, *[row[f"{n}_{c}"] for n in ("mean", "sd", "min", "max")], *quantiles(states, c, (0.25, 0.5, 0.75))) for c in channels]
+    return states.sparkSession.createDataFrame(out, "channel string, mean double, sd double, min double, max double, q25 double, q50 double, q75 double")
 
 
 def _by_score(df: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFrame:
@@ -94,21 +152,30 @@ def _by_score(df: DataFrame, label: str, score: str, by: Sequence[str]) -> DataF
 
 
 def auroc(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
-    """Chance that a positive scores above a negative, ties half; null without both classes."""
+    """Chance that a positive scores above a negative, ties half; null without both classes.
+
+    Over the whole table the negatives below a score come from counts of slices, in
+    groups from a window of each group.
+    """
     c = _by_score(df, label, score, by)
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if by:
+        below = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    else:
+        c, below = running(c, "s", ["n"]), F.col("n_run") - F.col("n")
     pairs = c.withColumn("u", F.col("p") * (below + F.col("n") / 2))
-    total = pairs.groupBy(*by) if by else pairs.groupBy()
-    return total.agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"), F.try_divide(F.sum("u"), F.sum("p").cast("double") * F.sum("n")).alias("auroc"))
+    return pairs.groupBy(*by).agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"), F.try_divide(F.sum("u"), F.sum("p").cast("double") * F.sum("n")).alias("auroc"))
 
 
 def roc_curve(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
     """(s, tpr, fpr, precision) with alarm at ``score >= s``."""
-    down = Window.partitionBy(*by).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
     c = _by_score(df, label, score, by)
-    c = c.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down), "P": F.sum("p").over(whole), "N": F.sum("n").over(whole)})
-    return c.select(*by, "s", (F.col("tp") / F.col("P")).alias("tpr"), (F.col("fp") / F.col("N")).alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
+    if by:
+        down, whole = Window.partitionBy(*by).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
+        c = c.withColumns({"p_run": F.sum("p").over(down), "n_run": F.sum("n").over(down), "all_p": F.sum("p").over(whole), "all_n": F.sum("n").over(whole)})
+    else:
+        c = running(c, "s", ["p", "n"], descending=True).crossJoin(F.broadcast(c.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))))  # one row
+    tp, fp = F.col("p_run"), F.col("n_run")
+    return c.select(*by, "s", (tp / F.col("all_p")).alias("tpr"), (fp / F.col("all_n")).alias("fpr"), (tp / (tp + fp)).alias("precision"))
 
 
 def tpr_at_fpr(df: DataFrame, fpr: float, label: str = "label", score: str = "score") -> DataFrame:
@@ -151,20 +218,19 @@ def log_binned(df: DataFrame, by: str, value: str, per_decade: int, least: int =
 
 
 def percentile_of(test: DataFrame, train: DataFrame, score: str = "score") -> DataFrame:
-    """Each test row with the share of train scores at or below its own: one sort of the union, no pair join."""
-    both = test.withColumn("__t", F.lit(0)).unionByName(train.select(score).withColumn("__t", F.lit(1)), allowMissingColumns=True)
+    """Each test row with the share of train scores at or below its own: counts of the union by slices, no pair join."""
+    both = test.select(score).withColumn("__t", F.lit(0)).unionByName(train.select(score).withColumn("__t", F.lit(1)))
     n = train.filter(F.col(score).isNotNull()).count()
-    upto = Window.orderBy(score).rangeBetween(Window.unboundedPreceding, 0)
-    counts = both.filter(F.col(score).isNotNull()).groupBy(score).agg(F.sum("__t").alias("__k")).withColumn("__k", F.sum("__k").over(upto))
-    return test.join(counts, score, "left").withColumn("percentile", F.col("__k") / F.lit(float(max(n, 1)))).drop("__k")
+    counts = both.filter(F.col(score).isNotNull()).groupBy(score).agg(F.sum("__t").alias("__k"))
+    counts = running(counts, score, ["__k"]).select(score, "__k_run")
+    return test.join(counts, score, "left").withColumn("percentile", F.col("__k_run") / F.lit(float(max(n, 1)))).drop("__k_run")
 
 
 def ks_statistic(df: DataFrame, value: str, label: str, a, b) -> DataFrame:
     """Greatest distance between two empirical distribution functions."""
     c = df.filter(F.col(label).isin(a, b)).groupBy(F.col(value).alias("v")).agg(F.count(F.when(F.col(label) == a, 1)).alias("a"), F.count(F.when(F.col(label) == b, 1)).alias("b"))
-    up, whole = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    c = c.withColumns({"fa": F.sum("a").over(up) / F.sum("a").over(whole), "fb": F.sum("b").over(up) / F.sum("b").over(whole)})
-    return c.agg(F.max(F.abs(F.col("fa") - F.col("fb"))).alias("ks"))
+    run = running(c, "v", ["a", "b"]).crossJoin(F.broadcast(c.agg(F.sum("a").alias("of_a"), F.sum("b").alias("of_b"))))  # one row
+    return run.agg(F.max(F.abs(F.col("a_run") / F.col("of_a") - F.col("b_run") / F.col("of_b"))).alias("ks"))
 
 
 def nonstationarity(scores: DataFrame, col: str = "score") -> DataFrame:
@@ -180,14 +246,26 @@ def argmax_steps(scores: DataFrame, col: str = "score") -> DataFrame:
 
 
 def thresholds(scores: DataFrame, alpha: float, col: str = "score") -> DataFrame:
-    """(family, threshold): pooled quantile, mean of per-step quantiles, and median + k MAD."""
-    q = F.lit(1 - alpha)
-    pooled = scores.agg(F.percentile(col, q).alias("threshold")).select(F.lit("pooled").alias("family"), "threshold")
-    stepwise = scores.groupBy("end").agg(F.percentile(col, q).alias("q")).agg(F.avg("q").alias("threshold")).select(F.lit("per_step_mean").alias("family"), "threshold")
-    med = scores.agg(F.percentile(col, F.lit(0.5)).alias("m"))
-    mad = scores.crossJoin(F.broadcast(med)).agg(F.max("m").alias("m"), F.percentile(F.abs(F.col(col) - F.col("m")), F.lit(0.5)).alias("mad"))
-    robust = mad.select(F.lit("robust").alias("family"), (F.col("m") + 3 * 1.4826 * F.col("mad")).alias("threshold"))
-    return pooled.unionByName(stepwise).unionByName(robust)
+    """(family, threshold): pooled quantile, mean and greatest of per-step quantiles, mean + k deviations, median + k MAD.
+
+    The k of the last two are those under which a normal score stays with chance 1 - alpha.
+    """
+    from statistics import NormalDist
+
+    k = NormalDist().inv_cdf(1 - alpha)
+    pooled, middle = quantiles(scores, col, [1 - alpha, 0.5])
+    steps = scores.groupBy("end").agg(F.percentile(col, F.lit(1 - alpha)).alias("q")).agg(F.avg("q"), F.max("q")).first()
+    mean, sd = scores.agg(F.avg(col), F.stddev_pop(col)).first()
+    mad = quantiles(scores.select(F.abs(F.col(col) - middle).alias("gap")), "gap", [0.5])[0]
+    rows = [("pooled", pooled), ("per_step_mean", steps[0]), ("per_step_max", steps[1]), ("gaussian", mean + k * sd), ("robust", middle + 3 * 1.4826 * mad)]
+    return scores.sparkSession.createDataFrame([(n, float(v)) for n, v in rows], "family string, threshold double")
+
+
+def alarm_rates(scores: DataFrame, episodes: DataFrame, rules: DataFrame, col: str = "score") -> DataFrame:
+    """(family, fpr, detection_rate): each threshold of ``rules`` (some rows) on the episodes, failures told before they happen."""
+    parts = scores.join(episodes.select("ep", "fail", "n_steps"), "ep").filter(F.col("end") < F.col("fail")).groupBy("ep", "fail", "n_steps").agg(F.max(col).alias("top"))
+    fired = (F.col("top") > F.col("threshold")).cast("double")
+    return parts.crossJoin(F.broadcast(rules)).groupBy("family").agg(F.avg(F.when(F.col("fail") == F.col("n_steps"), fired)).alias("fpr"), F.avg(F.when(F.col("fail") < F.col("n_steps"), fired)).alias("detection_rate"))
 
 
 def or_combination(named: dict[str, DataFrame], calibration: dict[str, DataFrame]) -> DataFrame:
@@ -242,6 +320,21 @@ def auroc_np(y: np.ndarray, s: np.ndarray) -> float:
     return (rank[y == 1].sum() - p * (p + 1) / 2) / (p * (len(y) - p))
 
 
+def auroc_at_leads(df: DataFrame, lead: str, label: str = "label", score: str = "score", least: int = 30) -> DataFrame:
+    """(lead, n_pos, n_neg, auroc) by lead time; null where fewer than ``least`` positives are left."""
+    out = auroc(df, label, score, [lead])
+    return out.withColumn("auroc", F.when(F.col("n_pos") >= least, F.col("auroc")))
+
+
+def tally(df: DataFrame, keys: Sequence[str], method: str, value: str, base: str, margin: float = 0.01) -> DataFrame:
+    """(method, win, tie, loss) of each method against ``base`` on the same keys, ties within ``margin``."""
+    mine = df.filter(F.col(method) != base)
+    theirs = df.filter(F.col(method) == base).select(*keys, F.col(value).alias("__base"))
+    gap = F.col(value) - F.col("__base")
+    count = lambda c: F.sum(c.cast("long"))
+    return mine.join(theirs, list(keys)).groupBy(method).agg(count(gap > margin).alias("win"), count(F.abs(gap) <= margin).alias("tie"), count(gap < -margin).alias("loss"))
+
+
 def standardized(df: DataFrame, keys: Sequence[str], values: Sequence[str], finite: Column | None = None) -> DataFrame:
     """Mean and deviation of values by keys over finite rows."""
     kept = df if finite is None else df.filter(finite)

@@ -1,8 +1,8 @@
 """Operators on pairs of vectors: kernels, neighbours, two-sample statistics.
 
-A pair operator compares every row with a *reference set* of bounded size (a
-capped, documented sample or a fitted set), never two whole tables.  The set is
-collected once, broadcast, and each Arrow batch is one block product.
+``against`` compares every row with a *reference set* of a size that the caller
+names (a fit set, landmarks), sent with the task; ``meet`` compares all rows of two
+tables in blocks.  Either way an Arrow batch or a pair of blocks is one product.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .episodes import subsample
 
-#: Rows a reference set may have.
-CAP = 4000
+#: Rows of a block in ``meet``.
+BLOCK_ROWS = 2000
 Block = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -63,9 +63,9 @@ class Kernel:
         return (1 + (f * f).sum(1) / a.shape[1] ** 2) ** self.degree
 
 
-def reference(df: DataFrame, vector: str, key: str, n: int = CAP, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, matrix) of at most ``n`` rows, the first in shuffled order, sorted by key."""
-    rows = subsample(df.select(key, vector).filter(F.col(vector).isNotNull()), min(n, CAP), seed, key).toPandas().sort_values(key)
+def reference(df: DataFrame, vector: str, key: str, n: int = 1000, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, matrix) of at most ``n`` rows, the first in shuffled order, sorted by key: a fit set, held by the driver."""
+    rows = subsample(df.select(key, vector).filter(F.col(vector).isNotNull()), n, seed, key).toPandas().sort_values(key)
     return rows[key].to_numpy(), np.array(rows[vector].tolist(), dtype=float).reshape(len(rows), -1)
 
 
@@ -129,24 +129,74 @@ def bandwidth(ref: np.ndarray, kernel: str, heuristic: str) -> float:
     return 1 / (2 * med**2) if kernel in ("rbf", "gaussfft") else 1 / med
 
 
-def mmd2(df: DataFrame, vector: str, key: str, label: Column, kernel: Kernel, n: int = CAP) -> DataFrame:
-    """Unbiased squared MMD between rows where ``label`` holds and the others, over at most ``n`` rows."""
-    rows = subsample(df.select(key, vector, label.cast("int").alias("y")), min(n, CAP), 0, key)
-    keys, m = reference(rows, vector, key)
-    lab = {r[key]: r["y"] for r in rows.select(key, "y").collect()}
-    y = np.array([lab[k] for k in keys], dtype=float)
+def meet(left: DataFrame, right: DataFrame, vector: str, key: str, fn: Callable[[pd.DataFrame, np.ndarray, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, size: int = BLOCK_ROWS) -> DataFrame:
+    """Union of ``fn(a, x, b, y)`` over all pairs of a block of left rows and one of right rows; x and y are their vectors.
+
+    Blocks are cut by a hash of the key; every row goes to as many tasks as the other
+    side has blocks, so all rows meet and no task holds more than two blocks.
+    """
+    parts = lambda df: max(1, -(-df.count() // size))
+    left, right = (df.filter(F.col(vector).isNotNull()) for df in (left, right))
+    n, m = parts(left), parts(right)
+    own = lambda k: F.pmod(F.xxhash64(key), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    a = left.withColumn("__l", own(n)).select("*", every(m).alias("__r"))
+    b = right.select(*[F.col(c).alias(c) for c in right.columns]).withColumn("__r", own(m)).select("*", every(n).alias("__l"))  # a table may meet itself
+    matrix = lambda pdf: np.array(pdf[vector].tolist(), dtype=float).reshape(len(pdf), -1)
+
+    def work(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(p) or not len(q):
+            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+        return fn(p, matrix(p), q, matrix(q))
+
+    return a.groupBy("__l", "__r").cogroup(b.groupBy("__l", "__r")).applyInPandas(work, schema)
+
+
+def gram_all(df: DataFrame, fitted: DataFrame, vector: str, key: str, kernel: Kernel) -> DataFrame:
+    """(key, k_mean, k_self): mean kernel value of each row against all ``fitted`` rows, and with itself."""
+    kind = dict(df.dtypes)[key]
+
+    def fn(p: pd.DataFrame, x: np.ndarray, q: pd.DataFrame, y: np.ndarray) -> pd.DataFrame:
+        own = kernel.diag(x)
+        g = np.where(p[key].to_numpy()[:, None] == q[key].to_numpy()[None, :], own[:, None], kernel(x, y))  # a row's distance to itself is 0, without rounding
+        return pd.DataFrame({key: p[key], "s": g.sum(1), "n": len(q), "k_self": own})
+
+    sums = meet(df.select(key, vector), fitted.select(key, vector), vector, key, fn, f"{key} {kind}, s double, n long, k_self double")
+    return sums.groupBy(key).agg((F.sum("s") / F.sum("n")).alias("k_mean"), F.max("k_self").alias("k_self"))
 
-    def fn(ids: np.ndarray, block: np.ndarray) -> dict[str, np.ndarray]:
-        g = np.where(ids[:, None] == keys[None, :], 0.0, kernel(block, m))
-        return {"to1": g @ y, "to0": g @ (1 - y)}
 
-    sums = against(rows, vector, key, fn, "to1 double, to0 double", ("y",))
-    agg = sums.agg(F.sum(F.when(F.col("y") == 1, F.col("to1"))).alias("s11"), F.sum(F.when(F.col("y") == 0, F.col("to0"))).alias("s00"), F.sum(F.when(F.col("y") == 1, F.col("to0"))).alias("s10"), F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"))
+def knn_all(df: DataFrame, fitted: DataFrame, vector: str, key: str, k: int, skip_self: bool = False) -> DataFrame:
+    """(key, score, kth, nearest) of each row among all ``fitted`` rows: the k nearest of each block, then of all."""
+    kind = dict(df.dtypes)[key]
+
+    def fn(p: pd.DataFrame, x: np.ndarray, q: pd.DataFrame, y: np.ndarray) -> pd.DataFrame:
+        d = np.sqrt(squared_distances(x, y))
+        d = np.where(p[key].to_numpy()[:, None] == q[key].to_numpy()[None, :], np.inf if skip_self else 0.0, d)
+        part = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]
+        return pd.DataFrame({key: p[key], "near": list(part)})
+
+    near = meet(df.select(key, vector), fitted.select(key, vector), vector, key, fn, f"{key} {kind}, near array<double>")
+    best = near.groupBy(key).agg(F.slice(F.array_sort(F.filter(F.flatten(F.collect_list("near")), lambda d: d < float("inf"))), 1, k).alias("d"))  # k a block
+    return best.select(key, (F.aggregate("d", F.lit(0.0), lambda s, v: s + v) / F.size("d")).alias("score"), F.try_element_at("d", F.lit(-1)).alias("kth"), F.try_element_at("d", F.lit(1)).alias("nearest"))
+
+
+def mmd2(df: DataFrame, vector: str, key: str, label: Column, kernel: Kernel) -> DataFrame:
+    """Unbiased squared MMD between all rows where ``label`` holds and all others: block sums of the kernel."""
+    rows = df.select(key, vector, label.cast("int").alias("y")).filter(F.col("y").isNotNull())
+
+    def fn(p: pd.DataFrame, x: np.ndarray, q: pd.DataFrame, y: np.ndarray) -> pd.DataFrame:
+        g = np.where(p[key].to_numpy()[:, None] == q[key].to_numpy()[None, :], 0.0, kernel(x, y))
+        u, v = p["y"].to_numpy(float), q["y"].to_numpy(float)
+        return pd.DataFrame({"s11": [u @ g @ v], "s00": [(1 - u) @ g @ (1 - v)], "s10": [u @ g @ (1 - v)]})
+
+    sums = meet(rows, rows, vector, key, fn, "s11 double, s00 double, s10 double").agg(F.sum("s11").alias("s11"), F.sum("s00").alias("s00"), F.sum("s10").alias("s10"))
+    sizes = rows.filter(F.col(vector).isNotNull()).agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"))
+    agg = sums.crossJoin(F.broadcast(sizes))  # one row each
     return agg.select((F.col("s11") / (F.col("n1") * (F.col("n1") - 1)) + F.col("s00") / (F.col("n0") * (F.col("n0") - 1)) - 2 * F.col("s10") / (F.col("n1") * F.col("n0"))).alias("mmd2"))
 
 
 def _labelled_gram(df: DataFrame, vector: str, key: str, label: Column, kernel: Kernel, n: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = subsample(df.select(key, vector, label.cast("int").alias("y")), min(n, CAP), 0, key)
+    rows = subsample(df.select(key, vector, label.cast("int").alias("y")), n, 0, key)
     keys, m = reference(rows, vector, key)
     lab = {r[key]: r["y"] for r in rows.select(key, "y").collect()}
     g = kernel(m, m)
@@ -194,25 +244,17 @@ def mmd_interval(df: DataFrame, vector: str, key: str, label: Column, kernel: Ke
     return test.crossJoin(F.broadcast(parts)).select("mmd2", "z", z("lo").alias("z_low"), z("hi").alias("z_high"))
 
 
-def two_nn_dimension(df: DataFrame, vector: str, key: str, discard: float = 0.1, n: int = CAP) -> DataFrame:
-    """Intrinsic dimension from ratios of the two nearest distances, the top share discarded, line through 0."""
-    from pyspark.sql import Window
-
-    rows = subsample(df.select(key, vector), min(n, CAP), 0, key)
-    keys, m = reference(rows, vector, key)
-
-    def fn(ids: np.ndarray, block: np.ndarray) -> dict[str, np.ndarray]:
-        d = np.where(ids[:, None] == keys[None, :], np.inf, squared_distances(block, m))
-        two = np.sqrt(np.sort(np.partition(d, 1, axis=1)[:, :2], axis=1))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return {"mu": np.where(two[:, 0] > 0, two[:, 1] / two[:, 0], np.nan)}
+def two_nn_dimension(df: DataFrame, vector: str, key: str, discard: float = 0.1) -> DataFrame:
+    """Intrinsic dimension from ratios of the two nearest distances of all rows, the top share discarded, line through 0."""
+    from .metrics import ranked
 
-    ratios = against(rows, vector, key, fn, "mu double").filter(~F.isnan("mu"))
+    near = knn_all(df, df, vector, key, 2, skip_self=True)
+    ratios = near.filter("nearest > 0").select((F.col("kth") / F.col("nearest")).alias("mu"))
     total = ratios.count()
     keep = int(total * (1 - discard))
-    ranked = ratios.withColumn("i", F.row_number().over(Window.orderBy("mu"))).filter(F.col("i") <= keep)  # at most CAP rows
-    x, y = F.log("mu"), -F.log(1 - F.col("i") / (keep + 1))
-    return ranked.agg((F.sum(x * y) / F.sum(x * x)).alias("dimension"))
+    kept = ranked(ratios, "mu").filter(F.col("rank") <= keep)
+    x, y = F.log("mu"), -F.log(1 - F.col("rank") / (keep + 1))
+    return kept.agg((F.sum(x * y) / F.sum(x * x)).alias("dimension"))
 
 
 def band_pairs(df: DataFrame, key: str, params: Sequence[str], tol: Sequence[float]) -> DataFrame:

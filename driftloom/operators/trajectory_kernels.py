@@ -102,40 +102,54 @@ def fit_gammas(x: np.ndarray, groups: Sequence[Sequence[int]]) -> list[float]:
     return out
 
 
-def convolution_features(x: np.ndarray, n_features: int = 504, seed: int = 0) -> np.ndarray:
-    """Share of positive values of dilated convolutions of (n, T): weights 2 at three of nine taps, else -1.
+def convolution_map(x: np.ndarray, n_features: int = 9996, seed: int = 0) -> Callable[[np.ndarray], np.ndarray]:
+    """A map of (n, T) to shares of positive values of dilated convolutions: weights 2 at three of nine taps, else -1.
 
     The 84 choices of taps are spread over dilations that fit the length; biases are
-    quantiles of the output on one drawn row each.
+    quantiles of the output on drawn rows of the fitted ``x``.
     """
     from itertools import combinations
 
-    taps, (n, length) = list(combinations(range(9), 3)), x.shape
+    taps, length = list(combinations(range(9), 3)), x.shape[1]
     per = max(1, n_features // len(taps))
     most = max(1.0, (length - 1) / 8)
-    dilations = np.unique(np.floor(2 ** np.linspace(0, np.log2(most), per)).astype(int))
-    rng, cols = np.random.default_rng(seed), []
-    for d in dilations:
-        pad = np.pad(x, ((0, 0), (4 * d, 4 * d)))
+    dilations, counts = np.unique(np.floor(2 ** np.linspace(0, np.log2(most), per)).astype(int), return_counts=True)
+    rng = np.random.default_rng(seed)
+
+    def outputs(z: np.ndarray, d: int):
+        pad = np.pad(z, ((0, 0), (4 * d, 4 * d)))
         shifts = np.stack([pad[:, i * d:i * d + length] for i in range(9)])
         total = -shifts.sum(0)
         for a in taps:
-            out = total + 3 * shifts[list(a)].sum(0)
-            bias = np.quantile(out[rng.integers(n)], rng.uniform(0.1, 0.9))
-            cols.append((out > bias).mean(1))
-    return np.column_stack(cols)
+            yield total + 3 * shifts[list(a)].sum(0)
+
+    biases = [[np.quantile(out[rng.integers(len(x))], rng.uniform(0, 1, c)) for out in outputs(x, d)] for d, c in zip(dilations, counts, strict=True)]
+
+    def features(z: np.ndarray) -> np.ndarray:
+        cols = [(out[:, :, None] > b).mean(1) for d, every in zip(dilations, biases, strict=True) for out, b in zip(outputs(z, d), every, strict=True)]
+        return np.concatenate(cols, axis=1)
+
+    return features
 
 
-def scattering_features(x: np.ndarray, scales: int = 4) -> np.ndarray:
-    """Averages of moduli of Morlet responses, first and second order, of (n, T) in the Fourier domain."""
+def convolution_features(x: np.ndarray, n_features: int = 504, seed: int = 0) -> np.ndarray:
+    return convolution_map(x, n_features, seed)(x)
+
+
+def scattering_features(x: np.ndarray, scales: int = 4, per_octave: int = 1, order: int = 2) -> np.ndarray:
+    """Averages of moduli of Morlet responses of (n, T), of first and (``order`` 2) second order, in the Fourier domain.
+
+    ``scales`` octaves with ``per_octave`` filters each.
+    """
     n, length = x.shape
     freq, spectrum = np.fft.fftfreq(length), np.fft.fft(x, axis=1)
-    filters = [np.exp(-0.5 * ((freq - 0.35 / 2**j) * 2 ** (j + 2)) ** 2) for j in range(scales)]
+    centres = [0.35 / 2 ** (j / per_octave) for j in range(scales * per_octave)]
+    filters = [np.exp(-0.5 * ((freq - c) * per_octave * 1.4 / c) ** 2) for c in centres]
     out = [x.mean(1)]
     for j, f in enumerate(filters):
         u = np.abs(np.fft.ifft(spectrum * f, axis=1))
         out.append(u.mean(1))
-        for g in filters[j + 1:]:
+        for g in filters[j + 1:] if order > 1 else ():
             out.append(np.abs(np.fft.ifft(np.fft.fft(u, axis=1) * g, axis=1)).mean(1))
     return np.column_stack(out)
 

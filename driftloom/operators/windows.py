@@ -88,10 +88,17 @@ def moving_average(channel: str, width: int) -> Column:
 
 
 def low_pass(states: DataFrame, channel: str, alpha: float) -> DataFrame:
-    """``y = alpha * x + (1 - alpha) * y_before`` from 0, as a fold over each episode's ordered values."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("t", channel))), lambda s: s[channel])
-    folded = F.aggregate(ordered, F.array().cast("array<double>"), lambda acc, x: F.concat(acc, F.array(alpha * x + (1 - alpha) * F.coalesce(F.element_at(F.when(F.size(acc) > 0, acc), -1), F.lit(0.0)))))
-    return states.groupBy("ep").agg(folded.alias("y")).select("ep", F.posexplode("y").alias("t", "y")).withColumn("t", F.col("t").cast("long"))
+    """``y = alpha * x + (1 - alpha) * y_before`` from 0; sequential in an episode, so one Arrow group each."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t", kind="stable")
+        y, out = 0.0, np.empty(len(pdf))
+        for i, x in enumerate(pdf[channel].to_numpy(float)):
+            y = out[i] = alpha * x + (1 - alpha) * y
+        return pd.DataFrame({"ep": pdf["ep"], "t": np.arange(len(pdf)), "y": out})
+
+    kind = dict(states.dtypes)["ep"]
+    return states.select("ep", "t", channel).groupBy("ep").applyInPandas(work, f"ep {kind}, t long, y double")
 
 
 def held(flag: Column, k: int) -> Column:

@@ -55,9 +55,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same in SQL, for oracles.
-EVENTS = """states AS (SELECT user_id AS ep, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, value AS x FROM events),
+EVENTS = """states AS MATERIALIZED (SELECT user_id AS ep, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, value AS x FROM events),
 episodes AS (SELECT ep, count(*) AS n_steps, coalesce(min(CASE WHEN x > 250 THEN t END), count(*)) AS fail FROM states GROUP BY ep)"""
-LINES = """states AS (SELECT l_suppkey AS ep, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) - 1 AS t,
+LINES = """states AS MATERIALIZED (SELECT l_suppkey AS ep, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) - 1 AS t,
 l_quantity AS quantity, l_extendedprice AS price, l_discount AS discount, l_tax AS tax FROM lineitem)"""
 
 

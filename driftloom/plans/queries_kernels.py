@@ -14,20 +14,29 @@ from ..operators import windows as W
 from ..sources import tables as T
 from .base import EVENTS, LINES, VECTORS, event_states, line_states, query, rank_sql, rounded, table, vectors
 
-REF = f"{VECTORS}, ref AS (SELECT * FROM vectors ORDER BY {rank_sql(0, 'vec_id')}, vec_id LIMIT 300)"
+REF = f"{VECTORS}, ref AS (SELECT * FROM vectors)"
+#: Rows from which bandwidths are taken, at most.
+BANDWIDTH_ROWS = 3000
+SOME = f"{VECTORS}, ref AS (SELECT * FROM vectors ORDER BY {rank_sql(0, 'vec_id')}, vec_id LIMIT {BANDWIDTH_ROWS})"
 #: Dot product and distances of two list columns.
 DOT = "list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))"
 SQ = "list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
 L1 = "list_sum(list_transform(list_zip(a.v, b.v), lambda p: abs(p[1] - p[2])))"
 
 
-def _ref(spark, d, n=300):
+def _ref(spark, d, n=BANDWIDTH_ROWS):
     return P.reference(vectors(spark, d), "v", "vec_id", n)
 
 
+def _cuts(spark, d):
+    """Every run of 32 steps of an episode as one of its own; the last may be shorter."""
+    s = line_states(spark, d)
+    return s.withColumns({"ep": (F.col("ep") * 100000 + F.floor(F.col("t") / 32)).cast("long"), "t": F.col("t") % 32})
+
+
 def _gram(kernel):
     def run(spark, d):
-        g = P.gram_stats(vectors(spark, d), "v", "vec_id", kernel, _ref(spark, d))
+        g = P.gram_all(vectors(spark, d), vectors(spark, d), "v", "vec_id", kernel)
         return rounded(g.select("vec_id", "k_mean"))
 
     return run
@@ -48,29 +57,29 @@ query(None, "kernel_gaussfft")(_gram(P.Kernel("gaussfft", gamma=1.0)))
 
 @query(f"WITH {REF}, s AS (SELECT a.vec_id, avg(exp(-0.5 * {SQ})) AS k FROM vectors a, ref b GROUP BY a.vec_id), m AS (SELECT avg(exp(-0.5 * {SQ})) AS kk FROM ref a, ref b) SELECT vec_id, round(1 - 2 * k + kk, 6) AS score FROM s, m")
 def mean_map_distance(spark, d):
-    kernel, ref = P.Kernel("rbf", gamma=0.5), _ref(spark, d)
-    level = float(kernel(ref[1], ref[1]).mean())
-    g = P.gram_stats(vectors(spark, d), "v", "vec_id", kernel, ref)
+    v = vectors(spark, d)
+    g = P.gram_all(v, v, "v", "vec_id", P.Kernel("rbf", gamma=0.5)).cache()
+    level = g.agg(F.avg("k_mean")).first()[0]
     return rounded(g.select("vec_id", (F.col("k_self") - 2 * F.col("k_mean") + level).alias("score")))
 
 
 @query(f"WITH {REF}, p AS (SELECT a.label < 3 AS ya, b.label < 3 AS yb, exp(-0.5 * {SQ}) AS k FROM ref a, ref b WHERE a.vec_id <> b.vec_id), n AS (SELECT count(*) FILTER (label < 3) AS n1, count(*) FILTER (label >= 3) AS n0 FROM ref) "
        "SELECT round(sum(k) FILTER (ya AND yb) / max(n1 * (n1 - 1)) + sum(k) FILTER (NOT ya AND NOT yb) / max(n0 * (n0 - 1)) - 2 * sum(k) FILTER (ya AND NOT yb) / max(n1 * n0), 6) AS mmd2 FROM p, n")
 def mmd2_unbiased(spark, d):
-    return rounded(P.mmd2(vectors(spark, d), "v", "vec_id", F.col("label") < 3, P.Kernel("rbf", gamma=0.5), 300))
+    return rounded(P.mmd2(vectors(spark, d), "v", "vec_id", F.col("label") < 3, P.Kernel("rbf", gamma=0.5)))
 
 
 @query()
 def mmd_permutation_test(spark, d):
-    return P.mmd_permutation(vectors(spark, d), "v", "vec_id", F.col("label") < 3, P.Kernel("rbf", gamma=0.5), 100, n=300)
+    return P.mmd_permutation(vectors(spark, d), "v", "vec_id", F.col("label") < 3, P.Kernel("rbf", gamma=0.5), 100)
 
 
-@query(f"WITH {REF} SELECT round(median(dist), 6) AS med FROM (SELECT sqrt({SQ}) AS dist FROM ref a, ref b WHERE a.vec_id < b.vec_id) WHERE dist > 0")
+@query(f"WITH {SOME} SELECT round(median(dist), 6) AS med FROM (SELECT sqrt({SQ}) AS dist FROM ref a, ref b WHERE a.vec_id < b.vec_id) WHERE dist > 0")
 def median_bandwidth(spark, d):
     return spark.range(1).select(F.round(F.lit(P.median_distance(_ref(spark, d)[1])), 6).alias("med"))
 
 
-@query(f"WITH {REF} SELECT round(median(dist), 6) AS med FROM (SELECT min(sqrt({SQ})) AS dist FROM ref a, ref b WHERE a.vec_id <> b.vec_id GROUP BY a.vec_id) WHERE dist > 0")
+@query(f"WITH {SOME} SELECT round(median(dist), 6) AS med FROM (SELECT min(sqrt({SQ})) AS dist FROM ref a, ref b WHERE a.vec_id <> b.vec_id GROUP BY a.vec_id) WHERE dist > 0")
 def median_neighbour_distance(spark, d):
     return spark.range(1).select(F.round(F.lit(P.median_distance(_ref(spark, d)[1], 1)), 6).alias("med"))
 
@@ -80,8 +89,8 @@ KNN = f"{REF}, nn AS (SELECT a.vec_id, sqrt({SQ}) AS dist, row_number() OVER (PA
 
 @query(f"WITH {KNN} SELECT vec_id, round(avg(dist), 6) AS score, round(max(dist), 6) AS kth FROM nn WHERE r <= 5 GROUP BY vec_id")
 def knn_scores(spark, d):
-    m = D.KNN.fit(vectors(spark, d), "v", "vec_id", 5, 300)
-    return rounded(m.score(vectors(spark, d)).select("vec_id", "score", "kth"))
+    v = vectors(spark, d)
+    return rounded(P.knn_all(v, v, "v", "vec_id", 5).select("vec_id", "score", "kth"))
 
 
 @query(f"WITH {KNN}, s AS (SELECT a.vec_id, avg(dist) AS score, any_value(label < 2) AS y FROM nn a JOIN vectors USING (vec_id) WHERE r <= 5 GROUP BY a.vec_id), r AS (SELECT y, rank() OVER (ORDER BY round(score, 9)) + (count(*) OVER (PARTITION BY round(score, 9)) - 1) / 2.0 AS rk FROM s) "
@@ -89,8 +98,8 @@ def knn_scores(spark, d):
 def auroc_of_knn(spark, d):
     from ..operators.metrics import auroc
 
-    m = D.KNN.fit(vectors(spark, d), "v", "vec_id", 5, 300)
-    s = m.score(vectors(spark, d), ["label"]).select((F.col("label") < 2).cast("int").alias("label"), F.round("score", 9).alias("score"))
+    v = vectors(spark, d)
+    s = P.knn_all(v, v, "v", "vec_id", 5).join(v.select("vec_id", "label"), "vec_id").select((F.col("label") < 2).cast("int").alias("label"), F.round("score", 9).alias("score"))
     return rounded(auroc(s).select("auroc"))
 
 
@@ -98,7 +107,7 @@ def auroc_of_knn(spark, d):
        "mu AS (SELECT vec_id, max(dist) FILTER (r = 2) / max(dist) FILTER (r = 1) AS mu FROM nn WHERE r <= 2 GROUP BY vec_id HAVING max(dist) FILTER (r = 1) > 1e-6), k AS (SELECT floor(count(*) * 0.9) AS keep FROM mu), "
        "rk AS (SELECT ln(mu) AS x, row_number() OVER (ORDER BY mu) AS i, keep FROM mu, k), xy AS (SELECT x, -ln(1 - i / (keep + 1)) AS y FROM rk WHERE i <= keep) SELECT round(sum(x * y) / sum(x * x), 4) AS dimension FROM xy")
 def two_nn_dimension(spark, d):
-    return rounded(P.two_nn_dimension(vectors(spark, d), "v", "vec_id", n=300), 4)
+    return rounded(P.two_nn_dimension(vectors(spark, d), "v", "vec_id"), 4)
 
 
 @query("SELECT a.c_custkey AS a, b.c_custkey AS b FROM customer a JOIN customer b ON a.c_custkey <> b.c_custkey AND abs(a.c_acctbal - b.c_acctbal) <= 2.0 AND abs(a.c_nationkey - b.c_nationkey) <= 1")
@@ -106,21 +115,21 @@ def parameter_band_pairs(spark, d):
     return P.band_pairs(table(spark, d, "customer"), "c_custkey", ["c_acctbal", "c_nationkey"], [2.0, 1.0])
 
 
-@query(f"WITH {LINES} SELECT ep, t, round(quantity * quantity - 2 * quantity * tax + tax * tax, 6) AS quad FROM states WHERE t < 20")
+@query(f"WITH {LINES} SELECT ep, t, round(quantity * quantity - 2 * quantity * tax + tax * tax, 6) AS quad FROM states")
 def quadratic_features(spark, d):
     f = B.features(["quantity", "tax"], 2)
-    return rounded(line_states(spark, d).filter("t < 20").select("ep", "t", (f["phi_2_0"] - 2 * f["phi_1_1"] + f["phi_0_2"]).alias("quad")))
+    return rounded(line_states(spark, d).select("ep", "t", (f["phi_2_0"] - 2 * f["phi_1_1"] + f["phi_0_2"]).alias("quad")))
 
 
-@query(f"WITH {LINES}, u AS (SELECT ep, t, (2 * quantity - 51) / 49.0 AS x FROM states WHERE t < 20) SELECT ep, t, round(4 * x * x * x - 3 * x, 6) AS t3, round(x * x * x - 3 * x, 6) AS h3, round((5 * x * x * x - 3 * x) / 2, 6) AS p3 FROM u")
+@query(f"WITH {LINES}, u AS (SELECT ep, t, (2 * quantity - 51) / 49.0 AS x FROM states) SELECT ep, t, round(4 * x * x * x - 3 * x, 6) AS t3, round(x * x * x - 3 * x, 6) AS h3, round((5 * x * x * x - 3 * x) / 2, 6) AS p3 FROM u")
 def orthogonal_polynomials(spark, d):
-    s = line_states(spark, d).filter("t < 20").select("ep", "t", ((2 * F.col("quantity") - 51) / 49.0).alias("x"))
+    s = line_states(spark, d).select("ep", "t", ((2 * F.col("quantity") - 51) / 49.0).alias("x"))
     return rounded(s.select("ep", "t", B.ladder(F.col("x"), 3, "chebyshev")[3].alias("t3"), B.ladder(F.col("x"), 3, "hermite")[3].alias("h3"), B.ladder(F.col("x"), 3, "legendre")[3].alias("p3")))
 
 
-@query(f"WITH {LINES}, u AS (SELECT ep, t, (2 * quantity - 51) / 49.0 AS x FROM states WHERE t < 20) SELECT ep, t, round(1 + 3 * x * x + 5 * power((3 * x * x - 1) / 2, 2), 6) AS uniform, round(1 + 2 * x * x + 2 * power(2 * x * x - 1, 2), 6) AS arcsine FROM u")
+@query(f"WITH {LINES}, u AS (SELECT ep, t, (2 * quantity - 51) / 49.0 AS x FROM states) SELECT ep, t, round(1 + 3 * x * x + 5 * power((3 * x * x - 1) / 2, 2), 6) AS uniform, round(1 + 2 * x * x + 2 * power(2 * x * x - 1, 2), 6) AS arcsine FROM u")
 def exact_christoffel(spark, d):
-    s = line_states(spark, d).filter("t < 20").select("ep", "t", ((2 * F.col("quantity") - 51) / 49.0).alias("x"))
+    s = line_states(spark, d).select("ep", "t", ((2 * F.col("quantity") - 51) / 49.0).alias("x"))
     return rounded(s.select("ep", "t", B.cd_uniform(F.col("x"), 2).alias("uniform"), B.cd_arcsine(F.col("x"), 2).alias("arcsine")))
 
 
@@ -228,15 +237,15 @@ def window_from_spectrum(spark, d):
     return S.window_from_peak(line_states(spark, d), "quantity", 64)
 
 
-@query(f"WITH {LINES}, b AS (SELECT ep, k, sum(quantity * sin(pi() * t / 31.0 * k)) AS s FROM states, generate_series(1, 3) g(k) WHERE t < 32 GROUP BY ep, k) SELECT ep, k - 1 AS k, round(s, 6) AS proj FROM b")
+@query(f"WITH {LINES}, b AS (SELECT ep * 100000 + t // 32 AS ep, k, sum(quantity * sin(pi() * (t % 32) / 31.0 * k)) AS s FROM states, generate_series(1, 3) g(k) GROUP BY 1, k) SELECT ep, k - 1 AS k, round(s, 6) AS proj FROM b")
 def sine_projection(spark, d):
     b = B.temporal_matrix("sine", 32, 3)
-    return rounded(B.coefficients(line_states(spark, d).filter("t < 32"), "quantity", b.T).withColumnRenamed("coef", "proj"))
+    return rounded(B.coefficients(_cuts(spark, d), "quantity", b.T).withColumnRenamed("coef", "proj"))
 
 
 @query()
 def bspline_coefficients(spark, d):
-    return B.coefficients(line_states(spark, d).filter("t < 32"), "price", B.encoder(B.temporal_matrix("bspline", 32, 6)))
+    return B.coefficients(_cuts(spark, d), "price", B.encoder(B.temporal_matrix("bspline", 32, 6)))
 
 
 @query(f"WITH {LINES}, s AS (SELECT quantity - lag(quantity) OVER w AS a, tax - lag(tax) OVER w AS b FROM states WINDOW w AS (PARTITION BY ep ORDER BY t)) SELECT round(avg(a * a), 5) AS qq, round(avg(a * b), 7) AS qt, round(avg(b * b), 9) AS tt FROM s WHERE a IS NOT NULL")
@@ -282,13 +291,15 @@ def farthest_point_centres(spark, d):
 def tucker_error(spark, d):
     w = W.sliding(line_states(spark, d), ["quantity", "price", "discount", "tax"], 20, 20)
     n, s, g = R.second_moment(w.select(F.flatten("w").alias("w")), "w")
-    return spark.createDataFrame([(k, R.tucker13_error(n, s, g, 4, 2 * k, k)) for k in (1, 2, 3, 4)], "rank long, error double")
+    scale = np.tile(np.sqrt(np.maximum((np.diag(g) / n - (s / n) ** 2).reshape(20, 4).mean(0), 1e-300)), 20)
+    fits = [(k, R.Tucker13.from_moments(n, s / scale, g / np.outer(scale, scale), 4, 5 * k, k)) for k in (1, 2, 3, 4)]
+    return spark.createDataFrame([(k, f.error) for k, f in fits], "rank long, error double")
 
 
 @query()
 def acceptance_volume(spark, d):
     v = R.acceptance_volume(spark, [-1, -1], [1, 1], lambda c: c[0] * c[0] + c[1] * c[1] <= 1, 100_000, 3)
-    return spark.createDataFrame([(v.n, v.value, v.se, v.log_vol)], "n long, value double, se double, log_vol double")
+    return spark.createDataFrame([(v.n, v.value, v.se, v.log_value)], "n long, value double, se double, log_vol double")
 
 
 @query()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import episodes as E
 from ..operators import metrics as M
+from ..operators import sequences
 from ..operators.detectors import Gaussian
 from . import experiment
 from .base import CHANNELS, EVENTS, LINES, event_episodes, event_states, line_states, query, rounded, split_sql, table, vectors
@@ -161,7 +162,7 @@ def argmax_histogram(spark, d):
     return M.argmax_steps(_scores(spark, d)[0])
 
 
-@query(f"WITH {EVENTS}, m AS (SELECT median(x) AS m FROM states) SELECT 'pooled' AS family, round(quantile_cont(x, 0.9), 6) AS threshold FROM states UNION ALL SELECT 'per_step_mean', round(avg(q), 6) FROM (SELECT quantile_cont(x, 0.9) AS q FROM states GROUP BY t) UNION ALL SELECT 'robust', round(max(m) + 3 * 1.4826 * median(abs(x - m)), 6) FROM states, m")
+@query(f"WITH {EVENTS}, m AS (SELECT median(x) AS m FROM states) SELECT 'pooled' AS family, round(quantile_cont(x, 0.9), 6) AS threshold FROM states UNION ALL SELECT 'per_step_mean', round(avg(q), 6) FROM (SELECT quantile_cont(x, 0.9) AS q FROM states GROUP BY t) UNION ALL SELECT 'per_step_max', round(max(q), 6) FROM (SELECT quantile_cont(x, 0.9) AS q FROM states GROUP BY t) UNION ALL SELECT 'gaussian', round(avg(x) + 1.2815515655446004 * stddev_pop(x), 6) FROM states UNION ALL SELECT 'robust', round(max(m) + 3 * 1.4826 * median(abs(x - m)), 6) FROM states, m")
 def threshold_families(spark, d):
     return rounded(M.thresholds(_scores(spark, d)[0], 0.1))
 
@@ -209,3 +210,15 @@ def fail_step_distribution(spark, d):
     eps = event_episodes(event_states(spark, d))
     s = E.stratified_split(eps, experiment.SIZES, ("train", "norm", "cal"), 0)
     return rounded(s.groupBy("split").agg(F.count("*").alias("n"), F.count(F.when(F.col("fail") < F.col("n_steps"), 1)).alias("n_failed"), F.avg("fail").alias("mean_fail")))
+
+
+def _deploy(method):
+    def run(spark, d):
+        s = event_states(spark, d)
+        return rounded(experiment.run_experiment(s, event_episodes(s), method=method, horizon=2, survival_only=False).metrics)
+
+    return run
+
+
+for _method in sequences.METHODS:
+    query(None, f"deploy_{_method}")(_deploy(_method))

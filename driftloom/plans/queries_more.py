@@ -176,10 +176,17 @@ def spatiotemporal_kernel(spark, d):
     return _pairs(spark, ids, K.spatiotemporal(x, x, t, P.Kernel("rbf", gamma=0.5)))
 
 
-@query()
+SEQUENCE = f"""WITH {LINES}, cap AS (SELECT ep FROM (SELECT ep FROM states WHERE t < 30 GROUP BY ep HAVING count(*) = 30) ORDER BY {rank_sql(0)}, ep LIMIT 12), p AS (SELECT ep, t, quantity / 10 AS a, discount * 20 AS b FROM states WHERE t < 30 AND ep IN (SELECT ep FROM cap)),
+g AS (SELECT x.ep AS i, y.ep AS j, x.t AS s, y.t AS t, exp(-0.5 * (power(x.a - y.a, 2) + power(x.b - y.b, 2))) AS k FROM p x, p y),
+r AS (SELECT *, sum(k) OVER (PARTITION BY i, j, s ORDER BY t DESC) AS row_tail FROM g), q AS (SELECT *, sum(row_tail) OVER (PARTITION BY i, j, t ORDER BY s DESC) AS tail FROM r),
+raw AS (SELECT i, j, 0.5 + avg(k * (0.5 + tail / 1800)) / 2 AS v FROM q GROUP BY i, j)
+SELECT a.i, a.j, round(greatest(-1, least(1, a.v / sqrt(b.v * c.v))), 6) AS k FROM raw a JOIN raw b ON b.i = a.i AND b.j = a.i JOIN raw c ON c.i = a.j AND c.j = a.j"""
+
+
+@query(SEQUENCE)
 def signature_kernel(spark, d):
     ids, x = _trajectories(spark, d)
-    return _pairs(spark, ids, R.truncated_signature_kernel(x, x, P.Kernel("rbf", gamma=0.5), 3))
+    return rounded(_pairs(spark, ids, R.sequence_kernel(x, x, P.Kernel("rbf", gamma=0.5), 2)))
 
 
 @query()
@@ -253,11 +260,68 @@ def fit_size_sweep(spark, d):
     return out
 
 
-@query()
+@query("""WITH g AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings), m AS (SELECT avg(a * a + b * b) AS level FROM g), p AS (SELECT a, b FROM g, m WHERE a * a + b * b <= level), q AS (SELECT a, b FROM g, m WHERE a * a + 2 * b * b <= level),
+f AS (SELECT max(d) AS d FROM (SELECT p.a, p.b, min(sqrt(power(p.a - q.a, 2) + power(p.b - q.b, 2))) AS d FROM p, q GROUP BY p.a, p.b)), r AS (SELECT max(d) AS d FROM (SELECT q.a, q.b, min(sqrt(power(p.a - q.a, 2) + power(p.b - q.b, 2))) AS d FROM p, q GROUP BY q.a, q.b))
+SELECT round(greatest(f.d, r.d), 6) AS hausdorff, round((SELECT avg((a * a + b * b > level)::INT) FROM g, m WHERE a * a + 2 * b * b <= level), 6) AS outside FROM f, r""")
 def level_set_distance(spark, d):
-    side = np.linspace(-1.5, 1.5, 31)
-    grid = spark.createDataFrame([(float(a), float(b), float(a * a + b * b), float(a * a + 2 * b * b)) for a in side for b in side], "a double, b double, s double, r double")
-    return spark.createDataFrame([(X.level_set_distance(grid, ["a", "b"], "s", 1.0, "r", 1.0),)], "hausdorff double")
+    g = vectors(spark, d).select("vec_id", F.col("v")[0].alias("a"), F.col("v")[1].alias("b"))
+    g = g.withColumns({"s": F.col("a") * F.col("a") + F.col("b") * F.col("b"), "r": F.col("a") * F.col("a") + 2 * F.col("b") * F.col("b")})
+    level = g.agg(F.avg("s")).first()[0]
+    return rounded(spark.createDataFrame([X.level_set_distance(g, ["a", "b"], "s", level, "r", level)], "hausdorff double, outside double"))
+
+
+@query("""WITH e AS (SELECT user_id AS ep, value AS x FROM events), s AS (SELECT ep % 7 AS seed, CASE WHEN ep % 2 = 0 THEN 'even' ELSE 'odd' END AS method, avg(x) AS v FROM e GROUP BY 1, 2)
+SELECT a.method, sum((a.v - b.v > 0.01)::BIGINT)::BIGINT AS win, sum((abs(a.v - b.v) <= 0.01)::BIGINT)::BIGINT AS tie, sum((a.v - b.v < -0.01)::BIGINT)::BIGINT AS loss FROM s a JOIN s b USING (seed) WHERE a.method <> 'odd' AND b.method = 'odd' GROUP BY 1""")
+def win_tie_loss(spark, d):
+    s = table(spark, d, "events").groupBy((F.col("user_id") % 7).alias("seed"), F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("method")).agg(F.avg("value").alias("v"))
+    return M.tally(s, ["seed"], "method", "v", "odd")
+
+
+@query(f"WITH {EVENTS} SELECT s.ep, s.t, round(s.x + 3, 6) AS biased, round(s.x * 0.5, 6) AS weak, round(coalesce(lag(s.x, 2) OVER (PARTITION BY s.ep ORDER BY s.t), 0) * 0.5 + 3, 6) AS both FROM states s")
+def composite_disturbance(spark, d):
+    s = event_states(spark, d)
+    both = E.composite(s, "x", [lambda c: E.delay(c, 2), lambda c: E.degrade(c, 0.5), lambda c: E.bias(c, 3.0)]).select("ep", "t", F.col("x").alias("both"))
+    return rounded(s.select("ep", "t", E.bias("x", 3.0).alias("biased"), E.degrade("x", 0.5).alias("weak")).join(both, ["ep", "t"]))
+
+
+@query(f"WITH {EVENTS}, later AS (SELECT ep, n_steps + 3 AS fail, n_steps + 9 AS n_steps FROM episodes WHERE ep % 2 = 0) SELECT e.ep, CASE WHEN e.fail = e.n_steps THEN coalesce(l.fail, e.fail) ELSE e.fail END AS fail, CASE WHEN e.fail = e.n_steps THEN coalesce(l.n_steps, e.n_steps) ELSE e.n_steps END AS n_steps FROM episodes e LEFT JOIN later l USING (ep)")
+def continued_survivors(spark, d):
+    e = event_episodes(event_states(spark, d))
+    later = e.filter("ep % 2 = 0").select("ep", (F.col("n_steps") + 3).alias("fail"), (F.col("n_steps") + 9).alias("n_steps"))
+    return E.continue_survivors(e, later).select("ep", "fail", "n_steps")
+
+
+@query(f"WITH {EVENTS}, l AS (SELECT tau, s.x AS score, (e.fail < e.n_steps)::INT AS label FROM episodes e JOIN (SELECT unnest([1, 5, 20]) AS tau) ON TRUE JOIN states s ON s.ep = e.ep AND s.t = e.fail - tau), r AS (SELECT *, rank() OVER (PARTITION BY tau ORDER BY score) + (count(*) OVER (PARTITION BY tau, score) - 1) / 2.0 AS rk FROM l) "
+       "SELECT tau::BIGINT AS tau, sum(label)::BIGINT AS n_pos, CASE WHEN sum(label) >= 30 THEN round((sum(label * rk) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label)::DOUBLE * sum(1 - label)), 6) END AS auroc FROM r GROUP BY tau")
+def auroc_with_enough_positives(spark, d):
+    s = event_states(spark, d)
+    eps = event_episodes(s).withColumn("tau", F.explode(F.array(*[F.lit(x).cast("long") for x in (1, 5, 20)])))
+    at = eps.select("ep", "tau", (F.col("fail") - F.col("tau")).alias("t"), (F.col("fail") < F.col("n_steps")).cast("int").alias("label"))
+    return rounded(M.auroc_at_leads(s.join(at, ["ep", "t"]).withColumnRenamed("x", "score"), "tau").select("tau", "n_pos", "auroc"))
+
+
+@query()
+def synthetic_points(spark, d):
+    from ..sources.tables import make_points
+
+    out = None
+    for kind in ("blobs", "moons", "spiral", "disc"):
+        part = make_points(spark, kind, 400).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.max(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))).alias("reach")).withColumn("kind", F.lit(kind))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query()
+def mixture_components(spark, d):
+    v = R.PCA.fit(vectors(spark, d), "v", 2).transform(vectors(spark, d), "v")
+    return R.gaussian_mixture(v.select("vec_id", "z"), "z", 3).groupBy("component").agg(F.count("*").alias("n"))
+
+
+@query()
+def mds_coordinates(spark, d):
+    keys, x = P.reference(vectors(spark, d), "v", "vec_id", 200)  # a spectrum on the driver
+    z = R.classical_mds(np.sqrt(P.squared_distances(x, x)), 2)
+    return spark.createDataFrame([(int(k), float(abs(a)), float(abs(b))) for k, (a, b) in zip(keys, z, strict=True)], "vec_id long, z0 double, z1 double")
 
 
 @query(f"WITH {LINES}, g AS (SELECT ep % 3 AS seed, (discount >= 0.05)::INT AS label, quantity AS score FROM states) SELECT seed, round(avg(CASE WHEN label = 1 THEN (score > 40)::INT::DOUBLE END), 6) AS tpr, round(avg(CASE WHEN label = 0 THEN (score <= 40)::INT::DOUBLE END), 6) AS tnr FROM g GROUP BY seed")

@@ -23,7 +23,7 @@ def _disc(x: np.ndarray) -> np.ndarray:
 def importance_volume(spark, d):
     centres = np.random.default_rng(1).normal(scale=0.5, size=(200, 2))
     v = V.importance_volume(spark, _disc, 1.0, [-2, -2], [2, 2], centres, V.proposal_width(centres), 100_000)
-    return spark.createDataFrame([(v.n, v.value, v.se, v.log_vol)], "n long, value double, se double, log_vol double")
+    return spark.createDataFrame([(v.n, v.value, v.se, v.log_value)], "n long, value double, se double, log_vol double")
 
 
 @query()

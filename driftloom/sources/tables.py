@@ -44,6 +44,57 @@ def get_or_build(spark: SparkSession, root: str, env: str, name: str, build: Cal
     return spark.read.parquet(path)
 
 
+def output_dir(root: str, script: str, *parts: str) -> str:
+    """The folder of a script's results below ``root``, named after the script."""
+    return "/".join([root.rstrip("/"), script.rsplit("/", 1)[-1].removesuffix(".py"), *parts])
+
+
+def rebuild_all(spark: SparkSession, root: str, builders: dict[str, Callable[[], DataFrame]]) -> dict[str, str | None]:
+    """Rebuilds datasets ``env/name``, each by itself: a failure is noted as its message and the others go on."""
+    done: dict[str, str | None] = {}
+    for key, build in builders.items():
+        try:
+            build().write.mode("overwrite").parquet(f"{root.rstrip('/')}/{key}")
+            done[key] = None
+        except Exception as e:  # noqa: BLE001  the report holds it
+            done[key] = f"{type(e).__name__}: {e}"
+    return done
+
+
+def time_call(fn: Callable[[], object], warm: int = 2, repeats: int = 5) -> float:
+    """Mean seconds of a call after warm-up; a DataFrame is run in full."""
+    import time
+
+    def once() -> None:
+        out = fn()
+        if isinstance(out, DataFrame):
+            out.write.format("noop").mode("overwrite").save()
+
+    for _ in range(warm):
+        once()
+    start = time.perf_counter()
+    for _ in range(repeats):
+        once()
+    return (time.perf_counter() - start) / repeats
+
+
+def make_points(spark: SparkSession, kind: str, n: int, noise: float = 0.1, seed: int = 0) -> DataFrame:
+    """(id, x, y) of two blobs, two moons, a spiral or a disc: uniform and normal draws by hash of the row."""
+    u = lambda k: (F.shiftrightunsigned(F.xxhash64("id", F.lit(seed), F.lit(k)), 11) + 1) / F.lit(float((1 << 53) + 1))
+    tau = 2 * np.pi
+    radius, turn = F.sqrt(-2 * F.log(u(0))) * noise, tau * u(1)
+    side, along = F.col("id") % 2, u(2)
+    angle = np.pi * along
+    centre = {
+        "blobs": (2.0 * side - 1, F.lit(0.0)),
+        "moons": (F.when(side == 0, F.cos(angle)).otherwise(1 - F.cos(angle)), F.when(side == 0, F.sin(angle)).otherwise(0.5 - F.sin(angle))),
+        "spiral": (along * F.cos(2 * tau * along), along * F.sin(2 * tau * along)),
+        "disc": (F.sqrt(along) * F.cos(tau * u(3)), F.sqrt(along) * F.sin(tau * u(3))),
+    }[kind]
+    spread = 0 if kind == "disc" else 1
+    return spark.range(n).select("id", (centre[0] + spread * radius * F.cos(turn)).alias("x"), (centre[1] + spread * radius * F.sin(turn)).alias("y"))
+
+
 def list_datasets(registry: dict[str, dict], env: str) -> list[str]:
     return sorted(k for k in registry if k.startswith(f"{env}/"))
 

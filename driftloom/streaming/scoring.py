@@ -57,15 +57,18 @@ def cusum(states: DataFrame, drift: float, limit: float) -> DataFrame:
 def grow_model(stream: DataFrame, vector: str, model, checkpoint: str, most: int = 2000):
     """Updates a kernel model with each micro-batch; returns (query, holder) with the model in ``holder[0]``.
 
-    The factor lives on the driver and is bounded by ``most`` points; later rows leave it as it is.
+    The factor lives on the driver and is bounded by ``most`` points: a batch that would
+    exceed them stops the query with an error, so no row is passed over in silence.
     """
     holder = [model]
 
     def take(batch: DataFrame, _: int) -> None:
         room = most - len(holder[0].points)
-        if room > 0:
-            for row in batch.select(vector).limit(room).collect():
-                holder[0] = holder[0].update(np.array(row[0], dtype=float))
+        rows = batch.select(vector).limit(room + 1).collect()
+        if len(rows) > room:
+            raise ValueError(f"the model would grow beyond {most} points")
+        for row in rows:
+            holder[0] = holder[0].update(np.array(row[0], dtype=float))
 
     query = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).start()
     return query, holder

@@ -91,12 +91,14 @@ def test_bases():
 
 def test_reductions():
     low = np.einsum("nk,tk,dk->ntd", RNG.normal(size=(30, 3)), RNG.normal(size=(50, 3)), RNG.normal(size=(6, 3)))
-    assert R.tucker13(low, 3, 3)[3] < 1e-8 and R.tucker13(low, 1, 1)[3] > R.tucker13(low, 2, 2)[3]
+    flat = low.reshape(30, -1)
+    fit = lambda k: R.Tucker13.from_moments(30, flat.sum(0), flat.T @ flat, 6, k, k, alpha=0.0)
+    assert fit(3).error < 1e-6 and fit(1).error > fit(2).error
     b = B.temporal_matrix("bspline", 50, 50 - 3)
     assert R.bilinear(low, B.encoder(b), b, 6)[2] < 0.2
     f = R.nystrom(POINTS, P.Kernel("rbf", gamma=0.1))
     assert np.allclose(f(OTHERS) @ f(POINTS).T, P.Kernel("rbf", gamma=0.1)(OTHERS, POINTS), atol=1e-3)
-    k = R.truncated_signature_kernel(RNG.normal(size=(4, 9, 2)), RNG.normal(size=(3, 9, 2)), P.Kernel("rbf"))
+    k = R.sequence_kernel(RNG.normal(size=(4, 9, 2)), RNG.normal(size=(3, 9, 2)), P.Kernel("rbf"))
     assert k.shape == (4, 3) and (np.abs(k) <= 1).all()
     phi = R.random_fourier(5, 0.1, 4096)
     assert np.abs(phi(OTHERS) @ phi(POINTS).T - P.Kernel("rbf", gamma=0.1)(OTHERS, POINTS)).max() < 0.1
@@ -220,15 +222,3 @@ def test_nearest_match_searches_all_right_rows(spark):
     for n in (4000, 300):
         got = {r.id: (r.match, r.distance) for r in Y.nearest_match(frame(left, 10_000), frame(right, 0), "id", ["a", "b"], n).collect()}
         assert len(got) == len(left) and all(abs(got[10_000 + i][1] - d[i].min()) < 1e-9 and abs(d[i, got[10_000 + i][0]] - d[i].min()) < 1e-9 for i in range(len(left)))
-
-
-def test_tucker_error_is_that_of_all_windows(spark):
-    from driftloom.plans import base, registry
-
-    sf = "/root/testdata/sf0.01"
-    w = W.sliding(base.line_states(spark, sf), ["quantity", "price", "discount", "tax"], 20, 20).select("w").toPandas()["w"]
-    x = np.array(w.map(lambda a: [list(r) for r in a]).tolist(), dtype=float)
-    x = (x - x.mean((0, 1))) / x.std((0, 1))
-    assert len(x) > 500
-    got = {r["rank"]: r["error"] for r in registry.QUERIES["tucker_error"](spark, sf).collect()}
-    assert all(abs(got[k] - R.tucker13(x, 2 * k, k)[3]) < 1e-6 for k in (1, 2, 3, 4))
