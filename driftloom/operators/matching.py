@@ -7,11 +7,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .pairs import BLOCK_ROWS as CAP
-from .pairs import Kernel, band_pairs, squared_distances
+from .pairs import Kernel, band_pairs, mmd2, squared_distances
 
 
 def _split(x: np.ndarray, size: int) -> tuple[list, list[tuple[np.ndarray, np.ndarray]]]:
@@ -133,36 +133,38 @@ def divergence_slope(curve: DataFrame) -> DataFrame:
     return curve.agg(F.regr_slope("mean_log", "s").alias("slope"))
 
 
-def per_step_gram(states: DataFrame, channels: Sequence[str], kernel: Kernel, steps: Sequence[int], n: int = 200) -> DataFrame:
-    """(t, i, j, k), i <= j: kernel values of capped episodes at the same step, one group a step."""
+def per_step_gram(states: DataFrame, channels: Sequence[str], kernel: Kernel, n: int = 200) -> DataFrame:
+    """(t, i, j, k, k_i, k_j): kernel values of every episode i against reference episodes j at the same step, and of each with itself.
+
+    ``n`` bounds the reference set, the first episodes in shuffled order; states with
+    a missing channel are left out.
+    """
     from .episodes import subsample
 
-    eps = subsample(states.select("ep").distinct(), n)  # the cap bounds a group
+    whole = states.dropna(subset=list(channels)).select("ep", "t", F.array(*[F.col(c).cast("double") for c in channels]).alias("x"))
+    refs = whole.join(subsample(states.select("ep").distinct(), n), "ep", "left_semi")
+    refs = refs.groupBy("t").agg(F.array_sort(F.collect_list(F.struct(F.col("ep").alias("j"), F.col("x").alias("y")))).alias("refs"))  # n entries a step
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ep")
-        x, e = pdf[list(channels)].to_numpy(float), pdf["ep"].to_numpy()
-        i, j = np.triu_indices(len(x))
-        return pd.DataFrame({"t": pdf["t"].iloc[0], "i": e[i], "j": e[j], "k": kernel(x, x)[i, j]})
+    def work(batches):
+        for pdf in batches:
+            for t, part in pdf.groupby("t"):
+                x, j = np.array(part["x"].tolist(), dtype=float), part["refs"].iloc[0]
+                y = np.array([r["y"] for r in j], dtype=float)
+                yield pd.DataFrame({"t": t, "i": np.repeat(part["ep"].to_numpy(), len(y)), "j": np.tile([r["j"] for r in j], len(x)),
+                                    "k": kernel(x, y).ravel(), "k_i": np.repeat(kernel.diag(x), len(y)), "k_j": np.tile(kernel.diag(y), len(x))})
 
-    part = states.filter(F.col("t").isin([int(t) for t in steps])).join(F.broadcast(eps), "ep", "left_semi")
-    return part.groupBy("t").applyInPandas(work, "t long, i long, j long, k double")
+    return whole.join(refs, "t").mapInPandas(work, "t long, i long, j long, k double, k_i double, k_j double")
 
 
-def mmd_per_step(gram: DataFrame, labels: DataFrame) -> DataFrame:
-    """(t, mmd2): unbiased squared MMD at each step from Gram rows i <= j and episode labels 0/1."""
-    y = labels.select("ep", "y")
-    g = gram.filter("i < j").join(y.withColumnsRenamed({"ep": "i", "y": "yi"}), "i").join(y.withColumnsRenamed({"ep": "j", "y": "yj"}), "j")
-    pair = lambda a, b: F.when((F.col("yi") == a) & (F.col("yj") == b), F.col("k"))
-    means = g.groupBy("t").agg(F.avg(pair(1, 1)).alias("k11"), F.avg(pair(0, 0)).alias("k00"), F.avg(F.coalesce(pair(1, 0), pair(0, 1))).alias("k10"))
-    return means.select("t", (F.col("k11") + F.col("k00") - 2 * F.col("k10")).alias("mmd2"))
+def mmd_per_step(states: DataFrame, channels: Sequence[str], kernel: Kernel, label: Column) -> DataFrame:
+    """(t, mmd2): unbiased squared MMD at each step between all episodes where ``label`` holds and all others."""
+    whole = states.dropna(subset=list(channels)).withColumn("__x", F.array(*[F.col(c).cast("double") for c in channels]))
+    return mmd2(whole, "__x", "ep", label, kernel, by=["t"])
 
 
 def kernel_distance(gram: DataFrame) -> DataFrame:
-    """(t, i, j, d): distance in feature space, from the diagonal by a join on it."""
-    diag = gram.filter("i = j").select("t", F.col("i").alias("e"), F.col("k").alias("kd"))
-    out = gram.join(diag.withColumnsRenamed({"e": "i", "kd": "kii"}), ["t", "i"]).join(diag.withColumnsRenamed({"e": "j", "kd": "kjj"}), ["t", "j"])
-    return out.select("t", "i", "j", F.sqrt(F.greatest(F.col("kii") + F.col("kjj") - 2 * F.col("k"), F.lit(0.0))).alias("d"))
+    """(t, i, j, d): distance in feature space."""
+    return gram.select("t", "i", "j", F.sqrt(F.greatest(F.col("k_i") + F.col("k_j") - 2 * F.col("k"), F.lit(0.0))).alias("d"))
 
 
 def hausdorff(a: np.ndarray, b: np.ndarray) -> float:

@@ -129,13 +129,16 @@ def bandwidth(ref: np.ndarray, kernel: str, heuristic: str) -> float:
     return 1 / (2 * med**2) if kernel in ("rbf", "gaussfft") else 1 / med
 
 
-def meet(left: DataFrame, right: DataFrame, vector: str, key: str, fn: Callable[[pd.DataFrame, np.ndarray, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, size: int = BLOCK_ROWS) -> DataFrame:
+def meet(left: DataFrame, right: DataFrame, vector: str, key: str, fn: Callable[[pd.DataFrame, np.ndarray, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, size: int = BLOCK_ROWS, *, by: Sequence[str] = ()) -> DataFrame:
     """Union of ``fn(a, x, b, y)`` over all pairs of a block of left rows and one of right rows; x and y are their vectors.
 
+    With ``by`` only rows of equal ``by`` columns meet, each group in blocks of its own.
+
     Blocks are cut by a hash of the key; every row goes to as many tasks as the other
     side has blocks, so all rows meet and no task holds more than two blocks.
     """
-    parts = lambda df: max(1, -(-df.count() // size))
+    largest = lambda df: df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    parts = lambda df: max(1, -(-(largest(df) if by else df.count()) // size))
     left, right = (df.filter(F.col(vector).isNotNull()) for df in (left, right))
     n, m = parts(left), parts(right)
     own = lambda k: F.pmod(F.xxhash64(key), F.lit(k)).cast("int")
@@ -149,7 +152,7 @@ def meet(left: DataFrame, right: DataFrame, vector: str, key: str, fn: Callable[
             return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
         return fn(p, matrix(p), q, matrix(q))
 
-    return a.groupBy("__l", "__r").cogroup(b.groupBy("__l", "__r")).applyInPandas(work, schema)
+    return a.groupBy(*by, "__l", "__r").cogroup(b.groupBy(*by, "__l", "__r")).applyInPandas(work, schema)
 
 
 def gram_all(df: DataFrame, fitted: DataFrame, vector: str, key: str, kernel: Kernel) -> DataFrame:
@@ -180,19 +183,26 @@ def knn_all(df: DataFrame, fitted: DataFrame, vector: str, key: str, k: int, ski
     return best.select(key, (F.aggregate("d", F.lit(0.0), lambda s, v: s + v) / F.size("d")).alias("score"), F.try_element_at("d", F.lit(-1)).alias("kth"), F.try_element_at("d", F.lit(1)).alias("nearest"))
 
 
-def mmd2(df: DataFrame, vector: str, key: str, label: Column, kernel: Kernel) -> DataFrame:
-    """Unbiased squared MMD between all rows where ``label`` holds and all others: block sums of the kernel."""
-    rows = df.select(key, vector, label.cast("int").alias("y")).filter(F.col("y").isNotNull())
+def mmd2(df: DataFrame, vector: str, key: str, label: Column, kernel: Kernel, by: Sequence[str] = ()) -> DataFrame:
+    """Unbiased squared MMD between all rows where ``label`` holds and all others: block sums of the kernel.
+
+    With ``by`` one value for each group of rows; null where a side has fewer than two rows.
+    """
+    rows = df.select(*by, key, vector, label.cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col(vector).isNotNull())
+    kinds = dict(rows.dtypes)
 
     def fn(p: pd.DataFrame, x: np.ndarray, q: pd.DataFrame, y: np.ndarray) -> pd.DataFrame:
         g = np.where(p[key].to_numpy()[:, None] == q[key].to_numpy()[None, :], 0.0, kernel(x, y))
         u, v = p["y"].to_numpy(float), q["y"].to_numpy(float)
-        return pd.DataFrame({"s11": [u @ g @ v], "s00": [(1 - u) @ g @ (1 - v)], "s10": [u @ g @ (1 - v)]})
-
-    sums = meet(rows, rows, vector, key, fn, "s11 double, s00 double, s10 double").agg(F.sum("s11").alias("s11"), F.sum("s00").alias("s00"), F.sum("s10").alias("s10"))
-    sizes = rows.filter(F.col(vector).isNotNull()).agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"))
-    agg = sums.crossJoin(F.broadcast(sizes))  # one row each
-    return agg.select((F.col("s11") / (F.col("n1") * (F.col("n1") - 1)) + F.col("s00") / (F.col("n0") * (F.col("n0") - 1)) - 2 * F.col("s10") / (F.col("n1") * F.col("n0"))).alias("mmd2"))
+        return pd.DataFrame({**{c: p[c].iloc[:1].to_numpy() for c in by}, "s11": [u @ g @ v], "s00": [(1 - u) @ g @ (1 - v)], "s10": [u @ g @ (1 - v)]})
+
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "s11 double, s00 double, s10 double"])
+    sums = meet(rows, rows, vector, key, fn, schema, by=by).groupBy(*by).agg(F.sum("s11").alias("s11"), F.sum("s00").alias("s00"), F.sum("s10").alias("s10"))
+    sizes = rows.groupBy(*by).agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"))
+    agg = sums.join(sizes, list(by)) if by else sums.crossJoin(F.broadcast(sizes))  # one row each
+    mean = lambda s, n: F.col(s) / F.nullif(n, F.lit(0))
+    value = mean("s11", F.col("n1") * (F.col("n1") - 1)) + mean("s00", F.col("n0") * (F.col("n0") - 1)) - 2 * mean("s10", F.col("n1") * F.col("n0"))
+    return agg.select(*by, value.alias("mmd2"))
 
 
 def _labelled_gram(df: DataFrame, vector: str, key: str, label: Column, kernel: Kernel, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,26 +1,44 @@
 """Frequency and autocorrelation features of a channel, per episode.
 
-A transform is a join of the states with nothing but the frequency grid: each row
-is multiplied by its cosine and sine and summed, so sums are pre-aggregated.
+Transforms take a row that holds the values of one episode or window; everything
+after them is Column expressions.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TAU = 2 * math.pi
 
 
+def windows(states: DataFrame, n: int) -> DataFrame:
+    """Every run of ``n`` steps as an episode of its own, ``ep * 100000 + number of the run``; the last may be shorter."""
+    return states.withColumns({"ep": (F.col("ep") * 100000 + F.floor(F.col("t") / n)).cast("long"), "t": F.col("t") % n})
+
+
 def spectrum(states: DataFrame, channel: str, n: int) -> DataFrame:
-    """(ep, k, re, im, mag) for k = 0 .. n // 2 over the first ``n`` steps; shorter episodes are left out."""
-    part = states.filter((F.col("t") < n) & F.col(channel).isNotNull()).select("ep", "t", F.col(channel).alias("v"))
-    full = part.groupBy("ep").agg(F.count("*").alias("__c")).filter(F.col("__c") == n).select("ep")
-    rows = part.join(full, "ep", "left_semi").select("ep", "t", "v", F.explode(F.sequence(F.lit(0), F.lit(n // 2))).alias("k"))
-    angle = F.lit(TAU / n) * (F.col("k") * F.col("t") % n)
-    out = rows.groupBy("ep", F.col("k").cast("long").alias("k")).agg(F.sum(F.col("v") * F.cos(angle)).alias("re"), (-F.sum(F.col("v") * F.sin(angle))).alias("im"))
+    """(ep, k, re, im, mag) for k = 0 .. n // 2 over the first ``n`` steps; shorter episodes are left out.
+
+    A transform needs all ``n`` values at once: they meet in one row, batches of rows
+    go through one call.
+    """
+    part = states.filter((F.col("t") < n) & F.col(channel).isNotNull())
+    rows = part.groupBy("ep").agg(F.array_sort(F.collect_list(F.struct("t", F.col(channel).cast("double").alias("v"))))["v"].alias("v")).filter(F.size("v") == n)
+    kind = dict(states.dtypes)["ep"]
+
+    def work(batches):
+        for pdf in batches:
+            if len(pdf):
+                f = np.fft.rfft(np.stack(pdf["v"].to_numpy()), axis=1)
+                yield pd.DataFrame({"ep": pdf["ep"], "re": list(f.real), "im": list(f.imag)})
+
+    wide = rows.mapInPandas(work, f"ep {kind}, re array<double>, im array<double>")
+    out = wide.select("ep", "im", F.posexplode("re").alias("k", "re")).select("ep", F.col("k").cast("long").alias("k"), "re", F.col("im")[F.col("k")].alias("im"))
     return out.withColumn("mag", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")))
 
 

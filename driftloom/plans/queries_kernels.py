@@ -28,10 +28,9 @@ def _ref(spark, d, n=BANDWIDTH_ROWS):
     return P.reference(vectors(spark, d), "v", "vec_id", n)
 
 
-def _cuts(spark, d):
-    """Every run of 32 steps of an episode as one of its own; the last may be shorter."""
-    s = line_states(spark, d)
-    return s.withColumns({"ep": (F.col("ep") * 100000 + F.floor(F.col("t") / 32)).cast("long"), "t": F.col("t") % 32})
+def _cuts(spark, d, n=32):
+    """Every run of ``n`` steps of an episode as one of its own; the last may be shorter."""
+    return S.windows(line_states(spark, d), n)
 
 
 def _gram(kernel):
@@ -187,54 +186,54 @@ def rudi_support(spark, d):
     return D._score_blocks(v, "v", m.score_points).select("vec_id", "score")
 
 
-FOURIER = f"""{LINES}, sig AS (SELECT ep, t, quantity AS x FROM states WHERE t < 64 AND ep IN (SELECT ep FROM states GROUP BY ep HAVING count(*) >= 64)),
+FOURIER = f"""{LINES}, cuts AS (SELECT ep * 100000 + t // 64 AS ep, t % 64 AS t, quantity AS x FROM states), sig AS (SELECT * FROM cuts WHERE ep IN (SELECT ep FROM cuts GROUP BY ep HAVING count(*) = 64)),
 dft AS (SELECT ep, k, sum(x * cos(2 * pi() / 64 * (k * t % 64))) AS re, -sum(x * sin(2 * pi() / 64 * (k * t % 64))) AS im FROM sig, generate_series(0, 32) g(k) GROUP BY ep, k),
 p AS (SELECT ep, k, re, im, re * re + im * im AS p FROM dft)"""
 
 
 @query(f"WITH {FOURIER} SELECT ep, k, round(sqrt(p), 5) AS mag FROM p")
 def fourier_magnitudes(spark, d):
-    return rounded(S.spectrum(line_states(spark, d), "quantity", 64).select("ep", "k", "mag"), 5)
+    return rounded(S.spectrum(_cuts(spark, d, 64), "quantity", 64).select("ep", "k", "mag"), 5)
 
 
 @query(f"WITH {FOURIER} SELECT ep, round(arg_max(k, round(sqrt(p), 9) - k * 1e-13) / 64.0, 6) AS freq FROM p WHERE k > 0 GROUP BY ep")
 def dominant_frequency(spark, d):
-    return rounded(S.dominant_frequency(line_states(spark, d), "quantity", 64))
+    return rounded(S.dominant_frequency(_cuts(spark, d, 64), "quantity", 64))
 
 
 @query(f"WITH {FOURIER}, q AS (SELECT ep, p / (sum(p) OVER (PARTITION BY ep) + 1e-12) AS q FROM p) SELECT ep, round(-sum(q * ln(q + 1e-12)) / ln(33), 6) AS entropy FROM q GROUP BY ep")
 def spectral_entropy(spark, d):
-    return rounded(S.spectral_entropy(line_states(spark, d), "quantity", 64))
+    return rounded(S.spectral_entropy(_cuts(spark, d, 64), "quantity", 64))
 
 
 @query(f"WITH {FOURIER} SELECT ep, t::BIGINT AS t, round(sum(CASE WHEN k = 0 OR k = 32 THEN 1 ELSE 2 END * (re * cos(2 * pi() / 64 * (k * t % 64)) - im * sin(2 * pi() / 64 * (k * t % 64)))) / 64, 5) AS y FROM p, generate_series(0, 63) s(t) WHERE k <= 5 GROUP BY ep, t")
 def harmonic_reconstruction(spark, d):
-    return rounded(S.reconstruction(line_states(spark, d), "quantity", 64, 5), 5)
+    return rounded(S.reconstruction(_cuts(spark, d, 64), "quantity", 64, 5), 5)
 
 
-ACF = f"""{LINES}, c AS (SELECT ep, t, quantity - avg(quantity) OVER (PARTITION BY ep) AS v FROM states WHERE t < 64),
+ACF = f"""{LINES}, cuts AS (SELECT ep * 100000 + t // 64 AS ep, t % 64 AS t, quantity FROM states), c AS (SELECT ep, t, quantity - avg(quantity) OVER (PARTITION BY ep) AS v FROM cuts),
 a AS (SELECT x.ep, y.t - x.t AS lag, sum(x.v * y.v) AS s FROM c x JOIN c y ON x.ep = y.ep AND y.t - x.t BETWEEN 0 AND 20 GROUP BY 1, 2),
-f AS (SELECT ep, lag, s / first_value(s) OVER (PARTITION BY ep ORDER BY lag) AS acf FROM a)"""
+z AS (SELECT *, first_value(s) OVER (PARTITION BY ep ORDER BY lag) AS s0 FROM a), f AS (SELECT ep, lag, CASE WHEN s0 > 1e-12 THEN s / s0 END AS acf FROM z)"""
 
 
 @query(f"WITH {ACF} SELECT ep, lag, round(acf, 6) AS acf FROM f")
 def autocorrelation(spark, d):
-    return rounded(S.autocorrelation(line_states(spark, d), "quantity", 64, 20))
+    return rounded(S.autocorrelation(_cuts(spark, d, 64), "quantity", 64, 20))
 
 
 @query(f"WITH {ACF}, p AS (SELECT ep, lag, round(acf, 9) > lag(round(acf, 9)) OVER w AND round(acf, 9) >= lead(round(acf, 9)) OVER w AS peak FROM f WINDOW w AS (PARTITION BY ep ORDER BY lag)) SELECT ep, coalesce(min(CASE WHEN peak AND lag >= 2 THEN lag END), 64) AS period FROM p GROUP BY ep")
 def acf_period(spark, d):
-    return S.acf_period(line_states(spark, d), "quantity", 64, 20)
+    return S.acf_period(_cuts(spark, d, 64), "quantity", 64, 20)
 
 
 @query(f"WITH {ACF} SELECT ep, greatest(coalesce(min(CASE WHEN round(acf, 9) <= 0 THEN lag END), 64), 2) AS width FROM f GROUP BY ep")
 def acf_zero_window(spark, d):
-    return S.acf_window(line_states(spark, d), "quantity", 64, 20)
+    return S.acf_window(_cuts(spark, d, 64), "quantity", 64, 20)
 
 
 @query()
 def window_from_spectrum(spark, d):
-    return S.window_from_peak(line_states(spark, d), "quantity", 64)
+    return S.window_from_peak(_cuts(spark, d, 64), "quantity", 64)
 
 
 @query(f"WITH {LINES}, b AS (SELECT ep * 100000 + t // 32 AS ep, k, sum(quantity * sin(pi() * (t % 32) / 31.0 * k)) AS s FROM states, generate_series(1, 3) g(k) GROUP BY 1, k) SELECT ep, k - 1 AS k, round(s, 6) AS proj FROM b")

@@ -45,28 +45,30 @@ def divergence_slope(spark, d):
     return rounded(X.divergence_slope(X.forward_divergence(s, params, "x", ["m"], [1.0], 5, 20)))
 
 
-GRAM = f"""{LINES}, cap AS (SELECT ep FROM (SELECT DISTINCT ep FROM states) ORDER BY {rank_sql(0)}, ep LIMIT 40),
-g AS (SELECT a.t, a.ep AS i, b.ep AS j, exp(-0.001 * power(a.quantity - b.quantity, 2)) AS k FROM states a JOIN states b ON a.t = b.t AND a.ep <= b.ep WHERE a.t IN (0, 50, 100) AND a.ep IN (SELECT ep FROM cap) AND b.ep IN (SELECT ep FROM cap))"""
+#: Reference episodes and windows of the Gram queries; every other row is held against them.
+REFERENCES = 3
+GRAM = f"""{LINES}, cap AS (SELECT ep FROM (SELECT DISTINCT ep FROM states) ORDER BY {rank_sql(0)}, ep LIMIT {REFERENCES}),
+g AS (SELECT a.t, a.ep AS i, b.ep AS j, exp(-0.001 * power(a.quantity - b.quantity, 2)) AS k FROM states a JOIN states b ON a.t = b.t WHERE b.ep IN (SELECT ep FROM cap))"""
 
 
 def _gram(spark, d):
-    return X.per_step_gram(line_states(spark, d), ["quantity"], P.Kernel("rbf", gamma=0.001), [0, 50, 100], 40)
+    return X.per_step_gram(line_states(spark, d), ["quantity"], P.Kernel("rbf", gamma=0.001), REFERENCES)
 
 
 @query(f"WITH {GRAM} SELECT t, i, j, round(k, 6) AS k FROM g")
 def per_step_gram(spark, d):
-    return rounded(_gram(spark, d))
+    return rounded(_gram(spark, d).select("t", "i", "j", "k"))
 
 
-@query(f"WITH {GRAM}, p AS (SELECT t, i % 2 = 0 AS a, j % 2 = 0 AS b, k FROM g WHERE i < j) SELECT t, round(avg(k) FILTER (a AND b) + avg(k) FILTER (NOT a AND NOT b) - 2 * avg(k) FILTER (a <> b), 6) AS mmd2 FROM p GROUP BY t")
+@query(f"WITH {LINES}, p AS (SELECT a.t, a.ep % 2 = 0 AS a, b.ep % 2 = 0 AS b, exp(-0.001 * power(a.quantity - b.quantity, 2)) AS k FROM states a JOIN states b ON a.t = b.t AND a.ep < b.ep) "
+       "SELECT t, round(avg(k) FILTER (a AND b) + avg(k) FILTER (NOT a AND NOT b) - 2 * avg(k) FILTER (a <> b), 6) AS mmd2 FROM (FROM p UNION ALL SELECT DISTINCT t, NULL, NULL, NULL FROM states) GROUP BY t")
 def mmd_per_step(spark, d):
-    labels = line_states(spark, d).select("ep").distinct().withColumn("y", (F.col("ep") % 2 == 0).cast("int"))
-    return rounded(X.mmd_per_step(_gram(spark, d), labels))
+    return rounded(X.mmd_per_step(line_states(spark, d), ["quantity"], P.Kernel("rbf", gamma=0.001), F.col("ep") % 2 == 0))
 
 
-@query(f"WITH {GRAM} SELECT t, i, j, round(sqrt(2 - 2 * k), 5) AS d FROM g WHERE i < j")
+@query(f"WITH {GRAM} SELECT t, i, j, round(sqrt(2 - 2 * k), 5) AS d FROM g")
 def kernel_to_distance(spark, d):
-    return rounded(X.kernel_distance(_gram(spark, d)).filter("i < j"), 5)
+    return rounded(X.kernel_distance(_gram(spark, d)), 5)
 
 
 @query(f"WITH {EVENTS} SELECT e.ep, s.t, sum(CASE WHEN e.fail - s.t = 5 THEN 1 ELSE 0 END)::BIGINT AS label FROM states s JOIN episodes e USING (ep) WHERE s.t % 5 = 0 AND s.t <= e.fail GROUP BY e.ep, s.t")
@@ -152,63 +154,84 @@ def temporal_kernels(spark, d):
     return spark.createDataFrame([(i, j, round(float(m[i, j]), 6)) for i in range(12) for j in range(12)], "i long, j long, k double")
 
 
-def _trajectories(spark, d, n=12, length=30):
-    w = line_states(spark, d).filter(F.col("t") < length).groupBy("ep").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "quantity", "discount"))), lambda s: F.array(s["quantity"] / 10, s["discount"] * 20)).alias("w"))
-    rows = E.subsample(w.filter(F.size("w") == length), n).toPandas().sort_values("ep")
-    return rows["ep"].to_numpy(), np.array([[list(p) for p in r] for r in rows["w"]], dtype=float)
+#: Steps of a window of the trajectory kernels.
+STEPS = 30
 
 
-def _pairs(spark, ids, k):
-    return spark.createDataFrame([(int(a), int(b), float(k[i, j])) for i, a in enumerate(ids) for j, b in enumerate(ids)], "i long, j long, k double")
+def _against_some(spark, d, fit):
+    """(i, j, k) of every whole window i against the reference windows j; ``fit`` makes the kernel from the reference."""
+    cuts = S.windows(line_states(spark, d), STEPS)
+    cuts = cuts.groupBy("ep").agg(F.array_sort(F.collect_list(F.struct("t", (F.col("quantity") / 10).alias("a"), (F.col("discount") * 20).alias("b")))).alias("w"))
+    flat = cuts.filter(F.size("w") == STEPS).select("ep", F.flatten(F.transform("w", lambda s: F.array(s["a"], s["b"]))).alias("w"))
+    ids, ref = P.reference(flat, "w", "ep", REFERENCES)
+    cube = lambda z: z.reshape(len(z), STEPS, 2)
+    kernel = fit(cube(ref))
+    rows = P.against(flat, "w", "ep", lambda _, block: {"k": list(kernel(cube(block)))}, "k array<double>")
+    names = F.array(*[F.lit(int(i)) for i in ids]).cast("array<long>")
+    return rows.select(F.col("ep").alias("i"), F.posexplode("k").alias("p", "k")).select("i", names[F.col("p")].alias("j"), "k")
 
 
-@query(f"WITH {LINES}, cap AS (SELECT ep FROM (SELECT ep FROM states WHERE t < 30 GROUP BY ep HAVING count(*) = 30) ORDER BY {rank_sql(0)}, ep LIMIT 12), p AS (SELECT ep, t, quantity / 10 AS a, discount * 20 AS b FROM states WHERE t < 30 AND ep IN (SELECT ep FROM cap)) "
-       "SELECT x.ep AS i, y.ep AS j, round(sum(exp(-0.5 * (power(x.a - y.a, 2) + power(x.b - y.b, 2)))), 6) AS k FROM p x JOIN p y ON x.t = y.t GROUP BY 1, 2")
+CUTS = f"""{LINES}, cuts AS (SELECT ep * 100000 + t // {STEPS} AS ep, t % {STEPS} AS t, quantity / 10 AS a, discount * 20 AS b FROM states), eps AS (SELECT ep FROM cuts GROUP BY ep HAVING count(*) = {STEPS}),
+p AS (SELECT * FROM cuts WHERE ep IN (SELECT ep FROM eps)), cap AS (SELECT ep FROM eps ORDER BY {rank_sql(0)}, ep LIMIT {REFERENCES})"""
+
+
+@query(f"WITH {CUTS} SELECT x.ep AS i, y.ep AS j, round(sum(exp(-0.5 * (power(x.a - y.a, 2) + power(x.b - y.b, 2)))), 6) AS k FROM p x JOIN p y ON x.t = y.t WHERE y.ep IN (SELECT ep FROM cap) GROUP BY 1, 2")
 def sum_kernel(spark, d):
-    ids, x = _trajectories(spark, d)
-    return rounded(_pairs(spark, ids, K.sum_kernel(x, x, P.Kernel("rbf", gamma=0.5))))
+    return rounded(_against_some(spark, d, lambda ref: lambda x: K.sum_kernel(x, ref, P.Kernel("rbf", gamma=0.5))))
 
 
-@query()
+SPATIOTEMPORAL = f"WITH {CUTS} SELECT x.ep AS i, y.ep AS j, round(sum(exp(-power(x.t - y.t, 2) / 18.0) * exp(-0.5 * (power(x.a - y.a, 2) + power(x.b - y.b, 2)))), 5) AS k FROM p x, p y WHERE y.ep IN (SELECT ep FROM cap) GROUP BY 1, 2"
+
+
+@query(SPATIOTEMPORAL)
 def spatiotemporal_kernel(spark, d):
-    ids, x = _trajectories(spark, d)
-    t = K.TemporalKernel.of("rbf", 3.0).matrix(np.arange(30.0))
-    return _pairs(spark, ids, K.spatiotemporal(x, x, t, P.Kernel("rbf", gamma=0.5)))
+    t = K.TemporalKernel.of("rbf", 3.0).matrix(np.arange(float(STEPS)))
+    return rounded(_against_some(spark, d, lambda ref: lambda x: K.spatiotemporal(x, ref, t, P.Kernel("rbf", gamma=0.5))), 5)
 
 
-SEQUENCE = f"""WITH {LINES}, cap AS (SELECT ep FROM (SELECT ep FROM states WHERE t < 30 GROUP BY ep HAVING count(*) = 30) ORDER BY {rank_sql(0)}, ep LIMIT 12), p AS (SELECT ep, t, quantity / 10 AS a, discount * 20 AS b FROM states WHERE t < 30 AND ep IN (SELECT ep FROM cap)),
-g AS (SELECT x.ep AS i, y.ep AS j, x.t AS s, y.t AS t, exp(-0.5 * (power(x.a - y.a, 2) + power(x.b - y.b, 2))) AS k FROM p x, p y),
+SEQUENCE = f"""WITH {CUTS}, pr AS (SELECT e.ep AS i, c.ep AS j FROM eps e, cap c UNION SELECT ep, ep FROM eps),
+g AS (SELECT i, j, x.t AS s, y.t AS t, exp(-0.5 * (power(x.a - y.a, 2) + power(x.b - y.b, 2))) AS k FROM pr JOIN p x ON x.ep = i JOIN p y ON y.ep = j),
 r AS (SELECT *, sum(k) OVER (PARTITION BY i, j, s ORDER BY t DESC) AS row_tail FROM g), q AS (SELECT *, sum(row_tail) OVER (PARTITION BY i, j, t ORDER BY s DESC) AS tail FROM r),
 raw AS (SELECT i, j, 0.5 + avg(k * (0.5 + tail / 1800)) / 2 AS v FROM q GROUP BY i, j)
-SELECT a.i, a.j, round(greatest(-1, least(1, a.v / sqrt(b.v * c.v))), 6) AS k FROM raw a JOIN raw b ON b.i = a.i AND b.j = a.i JOIN raw c ON c.i = a.j AND c.j = a.j"""
+SELECT a.i, a.j, round(greatest(-1, least(1, a.v / sqrt(b.v * c.v))), 6) AS k FROM raw a JOIN raw b ON b.i = a.i AND b.j = a.i JOIN raw c ON c.i = a.j AND c.j = a.j WHERE a.j IN (SELECT ep FROM cap)"""
 
 
 @query(SEQUENCE)
 def signature_kernel(spark, d):
-    ids, x = _trajectories(spark, d)
-    return rounded(_pairs(spark, ids, R.sequence_kernel(x, x, P.Kernel("rbf", gamma=0.5), 2)))
+    return rounded(_against_some(spark, d, lambda ref: lambda x: R.sequence_kernel(x, ref, P.Kernel("rbf", gamma=0.5), 2)))
+
+
+def _of_features(spark, d, fit):
+    """RBF of the features of every window against those of the reference windows."""
+
+    def kernel(ref):
+        features = fit(ref[:, :, 0])
+        own = features(ref[:, :, 0])
+        return lambda x: P.Kernel("rbf", gamma=1 / (2 * own.shape[1]))(features(x[:, :, 0]), own)
+
+    return _against_some(spark, d, kernel)
 
 
 @query()
 def convolution_kernel(spark, d):
-    ids, x = _trajectories(spark, d)
-    f = K.convolution_features(x[:, :, 0])
-    return _pairs(spark, ids, P.Kernel("rbf", gamma=1 / (2 * f.shape[1]))(f, f))
+    return _of_features(spark, d, lambda ref: K.convolution_map(ref, 504))
 
 
 @query()
 def scattering_kernel(spark, d):
-    ids, x = _trajectories(spark, d)
-    f = K.scattering_features(x[:, :, 0])
-    return _pairs(spark, ids, P.Kernel("rbf", gamma=1 / (2 * f.shape[1]))(f, f))
+    return _of_features(spark, d, lambda _: K.scattering_features)
 
 
 @query()
 def composite_kernel(spark, d):
-    ids, x = _trajectories(spark, d)
-    flat = x[:, 0, :]
-    g = K.fit_gammas(flat, [[0], [1]])
-    return _pairs(spark, ids, K.composite([([0], g[0]), ([1], g[1])])(flat, flat))
+    groups = [list(range(0, 2 * STEPS, 2)), list(range(1, 2 * STEPS, 2))]  # a channel each
+
+    def kernel(ref):
+        flat = ref.reshape(len(ref), -1)
+        both = K.composite(list(zip(groups, K.fit_gammas(flat, groups), strict=True)))
+        return lambda x: both(x.reshape(len(x), -1), flat)
+
+    return _against_some(spark, d, kernel)
 
 
 @query()
@@ -231,7 +254,7 @@ def pca_then_cd(spark, d):
 
 @query()
 def pca_of_spectra(spark, d):
-    spec = S.spectrum(line_states(spark, d), "quantity", 64).groupBy("ep").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "mag"))), lambda s: F.log1p(s["mag"])).alias("v"))
+    spec = S.spectrum(S.windows(line_states(spark, d), 64), "quantity", 64).groupBy("ep").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "mag"))), lambda s: F.log1p(s["mag"])).alias("v"))
     return R.PCA.fit(spec, "v", 3).transform(spec, "v", whiten=True).select("ep", *[F.abs(F.col("z")[i]).alias(f"z{i}") for i in range(3)])
 
 

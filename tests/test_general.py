@@ -13,6 +13,7 @@ from driftloom.operators import metrics as M
 from driftloom.operators import pairs as P
 from driftloom.operators import reduction as R
 from driftloom.operators import sequences as Q
+from driftloom.operators import signals as S
 from driftloom.plans import experiment
 from driftloom.sources import tables as T
 
@@ -170,3 +171,33 @@ def test_model_that_grows_too_far_is_an_error(spark, tmp_path):
     query, _ = scoring.grow_model(stream, "v", model, f"{tmp_path}/check", most=5)
     with pytest.raises(Exception, match="beyond 5 points"):
         query.processAllAvailable()
+
+
+def test_per_step_mmd_and_gram_use_every_episode(spark):
+    rng = np.random.default_rng(5)
+    rows = [(e, t, float(rng.normal(e % 2, 1))) for e in range(40) for t in range(3)] + [(0, 3, 1.0), (2, 3, None), (1, 4, 0.5), (50, 0, None)]
+    s = spark.createDataFrame(rows, "ep long, t long, x double")
+    k = P.Kernel("rbf", gamma=0.3)
+    got = {r["t"]: r["mmd2"] for r in X.mmd_per_step(s, ["x"], k, F.col("ep") % 2 == 0).collect()}
+    assert set(got) == {0, 1, 2, 3, 4} and got[3] is None and got[4] is None
+    for t in range(3):
+        a, b = (np.array([[x] for e, u, x in rows if u == t and x is not None and e % 2 == r]) for r in (0, 1))
+        gram = lambda p, q: np.exp(-0.3 * (p - q.T) ** 2)
+        off = lambda g: (g.sum() - np.trace(g)) / (len(g) * (len(g) - 1))
+        assert np.isclose(got[t], off(gram(a, a)) + off(gram(b, b)) - 2 * gram(a, b).mean())
+    gram = X.per_step_gram(s, ["x"], k, 2)
+    assert gram.select("i").distinct().count() == 40 and gram.select("j").distinct().count() == 2
+    assert X.kernel_distance(gram).filter("i = j and d > 1e-6").count() == 0
+    empty = s.filter("t < 0")
+    assert X.mmd_per_step(empty, ["x"], k, F.col("ep") % 2 == 0).count() == 0 and X.per_step_gram(empty, ["x"], k, 2).count() == 0
+
+
+def test_spectrum_of_every_run(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=20)
+    s = spark.createDataFrame([(3, t, float(v)) for t, v in enumerate(x)] + [(4, t, None if t == 2 else 1.0) for t in range(8)], "ep long, t long, x double")
+    got = {(r["ep"], r["k"]): r["mag"] for r in S.spectrum(S.windows(s, 8), "x", 8).collect()}
+    assert set(got) == {(300000 + i, k) for i in range(2) for k in range(5)}  # the short rest and the gap have none
+    for i in range(2):
+        assert np.allclose([got[300000 + i, k] for k in range(5)], np.abs(np.fft.rfft(x[8 * i:8 * i + 8])))
+    assert S.spectrum(S.windows(s.filter("t < 0"), 8), "x", 8).count() == 0
