@@ -111,10 +111,34 @@ links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id
 reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)
+""",
+    # every 100-byte string that starts earlier too, and the maximal runs that these cover
+    "op3_suffix_dedup": """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), d AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS r, length(h) // 2 AS n FROM t),
+s AS (SELECT r, i, md5(substr(h, 2 * i + 1, 200)) AS m FROM d, LATERAL (SELECT unnest(range(0, n - 99)) AS i)),
+f AS (SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY m ORDER BY r, i) AS k FROM s) WHERE k > 1),
+g AS (SELECT r, i, i > 100 + max(i) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS apart FROM f),
+p AS (SELECT r, i, sum(coalesce(apart, true)::INT) OVER (PARTITION BY r ORDER BY i) AS span FROM g),
+spans AS (SELECT r, span, min(i) AS a, max(i) + 100 AS b FROM p GROUP BY r, span),
+holes AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS since FROM spans),
+cut AS (SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM holes JOIN d USING (r) GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN cut USING (r)
 """,
     "op4_warc": f"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages), q AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last FROM p)
 SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM q
+""",
+    # the checksum goes byte by byte through the table of the reflected polynomial 0xEDB88320
+    "op6_sharding": """
+WITH bits AS (SELECT list(c ORDER BY i) AS crc FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) g(i))),
+d AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, source, length(h) // 2 + 8 AS size, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS bytes FROM d),
+c AS (SELECT doc_id, source, size, xor(list_reduce([4294967295] || bytes, lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM b, bits),
+k AS (SELECT *, coalesce('=' || source, '-') AS src, ('0x' || substr(md5(concat_ws(':', 17, doc_id, text_crc32)), 1, 13))::BIGINT AS k FROM c),
+f AS (SELECT *, (row_number() OVER (PARTITION BY src ORDER BY k, doc_id, text_crc32) - 0.5)::DOUBLE / count(*) OVER (PARTITION BY src) AS frac FROM k),
+p AS (SELECT *, row_number() OVER (ORDER BY frac, md5(concat_ws(':', 17, src)), k, doc_id, text_crc32) - 1 AS position, count(*) OVER () AS n FROM f),
+s AS (SELECT *, (position * 24 // n)::INT AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard, position - (shard::BIGINT * n + 23) // 24 AS slot, NULL::INT AS grown_shard, source, position FROM s
 """,
     "op9_decontamination": DECONTAMINATE_SQL,
 }

@@ -22,9 +22,14 @@ SLICE_ROWS, BLOCK_SLICES = 512, 1024
 HASH_BITS = 52
 
 
+def _digest(seed: int, cols: list[str]) -> Column:
+    """A seeded MD5, which any SQL engine can repeat; nulls are passed over."""
+    return F.md5(F.concat_ws(":", F.lit(seed).cast("string"), *[F.col(c).cast("string") for c in cols]))
+
+
 def _key(seed: int, cols: list[str]) -> Column:
     """A seeded hash in 0 .. 2**52 - 1."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[F.col(c) for c in cols]), 64 - HASH_BITS)
+    return F.conv(F.substring(_digest(seed, cols), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def _starts(counted: DataFrame, by: list[str]) -> DataFrame:
@@ -47,7 +52,7 @@ def interleave(df: DataFrame, id_col: str = "doc_id", source_col: str = "source"
 
     Shards are equal cuts: their row counts are at most one apart, and each has
     every source within a few rows of its share.  A null source is a source of
-    its own; a null id is hashed like a value.  Repeated rows tie on id and hash;
+    its own; a null id is passed over by the hash and sorts first.  Repeated rows tie on id and hash;
     they get neighbouring positions (and share a slice), and which of two identical
     rows comes first has no effect.  An empty table gives an empty result.  Input
     columns named ``position``, ``shard`` or ``slot`` are replaced.  ``df`` should be
@@ -75,7 +80,7 @@ def interleave(df: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     # the same two steps over all rows: fractional ranks fill 0 .. 1 evenly
     tops = ranked.groupBy("__slice").agg(F.count("*").alias("__n"))
     tops = _starts(tops.withColumn("__all", F.lit(0)), ["__all"]).select("__slice", "__before")  # counts of blocks, not rows
-    w = Window.partitionBy("__slice").orderBy("__frac", F.xxhash64(F.lit(seed), "__src"), "__key", *order)
+    w = Window.partitionBy("__slice").orderBy("__frac", _digest(seed, ["__src"]), "__key", *order)
     placed = (ranked.withColumn("__in", F.row_number().over(w)).join(tops, "__slice")
               .withColumn("position", F.col("__before") + F.col("__in") - 1))
     shard = F.expr(f"(position * {n_shards}) div {max(total, 1)}").cast("int")
