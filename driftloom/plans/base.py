@@ -65,12 +65,13 @@ def rank_sql(seed: int, key: str = "ep") -> str:
     return f"md5(concat({key}::VARCHAR, ':', '{seed}'))"
 
 
-def split_sql(seed: int = 0) -> str:
-    """CTEs ``split`` (ep, n_steps, fail, split) of the stratified four-way split."""
-    good = f"SELECT *, row_number() OVER (ORDER BY {rank_sql(seed)}, ep) AS pos, count(*) OVER () AS n FROM episodes WHERE fail = n_steps"
-    bad = f"SELECT ep, n_steps, fail, 'test' AS split FROM episodes WHERE fail < n_steps"
+def split_sql(seed: int = 0, survival_only: bool = True) -> str:
+    """CTEs ``split`` (ep, n_steps, fail, split) of the stratified four-way split; failures are in test, or in train too."""
+    ranked = lambda where, at: f"SELECT *, row_number() OVER (ORDER BY {rank_sql(at)}, ep) AS pos, count(*) OVER () AS n FROM episodes WHERE {where}"
     cut = "CASE WHEN pos <= floor(round(n * 0.4, 9)) THEN 'train' WHEN pos <= floor(round(n * 0.6, 9)) THEN 'norm' WHEN pos <= floor(round(n * 0.8, 9)) THEN 'cal' WHEN pos <= floor(round(n * 1.0, 9)) THEN 'test' END"
-    return f"good AS ({good}), split AS (SELECT ep, n_steps, fail, {cut} AS split FROM good UNION ALL {bad})"
+    broken = "'test'" if survival_only else "CASE WHEN pos <= floor(round(n * 2 / 3.0, 9)) THEN 'train' ELSE 'test' END"
+    return (f"good AS ({ranked('fail = n_steps', seed)}), bad AS ({ranked('fail < n_steps', seed + 1)}), "
+            f"split AS (SELECT ep, n_steps, fail, {cut} AS split FROM good UNION ALL SELECT ep, n_steps, fail, {broken} AS split FROM bad)")
 
 
 VECTORS = "vectors AS (SELECT vec_id, embedding::DOUBLE[] AS v, label::BIGINT AS label FROM embeddings)"

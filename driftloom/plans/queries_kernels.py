@@ -50,8 +50,15 @@ for _name, _kernel, _sql in (
 ):
     query(f"WITH {REF} SELECT a.vec_id, round(avg({_sql}), 6) AS k_mean FROM vectors a, ref b GROUP BY a.vec_id", _name)(_gram(_kernel))
 
-query(None, "kernel_polyfft")(_gram(P.Kernel("polyfft", degree=2)))
-query(None, "kernel_gaussfft")(_gram(P.Kernel("gaussfft", gamma=1.0)))
+#: Magnitudes of the vectors' Fourier transforms, by the length.
+MAGNITUDES = f"""{VECTORS}, x AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS j, len(v) AS n FROM vectors),
+mag AS (SELECT vec_id, k, sqrt(power(sum(x * cos(2 * pi() / n * (k * j % n))), 2) + power(sum(x * sin(2 * pi() / n * (k * j % n))), 2)) / any_value(n) AS mag FROM x, (SELECT unnest(range(max(n))) AS k FROM x) WHERE k < n GROUP BY vec_id, k),
+fv AS (SELECT vec_id, list(mag ORDER BY k) AS v FROM mag GROUP BY vec_id)"""
+for _name, _kernel, _sql in (
+    ("kernel_polyfft", P.Kernel("polyfft", degree=2), f"power(1 + {DOT}, 2)"),
+    ("kernel_gaussfft", P.Kernel("gaussfft", gamma=1.0), f"exp(-{SQ})"),
+):
+    query(f"WITH {MAGNITUDES} SELECT a.vec_id, round(avg({_sql}), 6) AS k_mean FROM fv a, fv b GROUP BY a.vec_id", _name)(_gram(_kernel))
 
 
 @query(f"WITH {REF}, s AS (SELECT a.vec_id, avg(exp(-0.5 * {SQ})) AS k FROM vectors a, ref b GROUP BY a.vec_id), m AS (SELECT avg(exp(-0.5 * {SQ})) AS kk FROM ref a, ref b) SELECT vec_id, round(1 - 2 * k + kk, 6) AS score FROM s, m")
@@ -231,7 +238,7 @@ def acf_zero_window(spark, d):
     return S.acf_window(_cuts(spark, d, 64), "quantity", 64, 20)
 
 
-@query()
+@query(f"WITH {FOURIER}, f AS (SELECT ep, arg_max(k, round(sqrt(p), 9) - k * 1e-13) / 64.0 AS freq FROM p WHERE k > 0 GROUP BY ep) SELECT least(64, greatest(1, round_even(1 / median(freq), 0)))::BIGINT AS width FROM f")
 def window_from_spectrum(spark, d):
     return S.window_from_peak(_cuts(spark, d, 64), "quantity", 64)
 
@@ -279,10 +286,13 @@ def kmeans_landmarks(spark, d):
     return spark.createDataFrame([(i, float(np.linalg.norm(r))) for i, r in enumerate(c)], "centre long, norm double")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SOME}, far AS (SELECT 0 AS r, a.vec_id, a.v, b.vec_id AS picked, sqrt({SQ}) AS d FROM ref a, (SELECT * FROM ref ORDER BY vec_id LIMIT 1) b
+UNION ALL SELECT r + 1, a.vec_id, a.v, b.vec_id, least(a.d, sqrt({SQ})) FROM far a, (SELECT vec_id, v FROM far ORDER BY d DESC, vec_id LIMIT 1) b WHERE r < 9)
+SELECT r::BIGINT AS r, any_value(picked) AS vec_id, round((SELECT max(d) FROM far WHERE r = 9), 6) AS fill FROM far GROUP BY r""")
 def farthest_point_centres(spark, d):
     keys, x = _ref(spark, d)
     picked, fill = R.farthest_points(x, 10)
+    fill = round(fill, 6)
     return spark.createDataFrame([(r, int(keys[i]), fill) for r, i in enumerate(picked)], "r long, vec_id long, fill double")
 
 

@@ -12,23 +12,35 @@ from . import experiment
 from .base import CHANNELS, EVENTS, LINES, event_episodes, event_states, line_states, query, rounded, split_sql, table, vectors
 
 W5 = [f"lag(z, {i}) OVER w AS w{4 - i}" for i in range(5)]
-EXPERIMENT = f"""WITH {EVENTS}, {split_sql()},
+#: Scores ``sc`` of the windows outside train, from the mean and deviation at each place of a window, or from the 5 nearest windows of train.
+GAUSSIAN = f"""g AS (SELECT {", ".join(f"avg(w{i}) AS m{i}, stddev_pop(w{i}) + 1e-8 AS s{i}" for i in range(5))} FROM fitted),
+sc AS (SELECT ep, e, split, fail, n_steps, sqrt({" + ".join(f"power((w{i} - m{i}) / s{i}, 2)" for i in range(5))}) AS score FROM win, g WHERE split <> 'train' AND e >= 4 AND e <= fail)"""
+NEAREST = f"""sc AS (SELECT a.ep, a.e, a.split, a.fail, a.n_steps, list_avg(min(sqrt({" + ".join(f"power(a.w{i} - b.w{i}, 2)" for i in range(5))}), 5)) AS score
+FROM win a, fitted b WHERE a.split <> 'train' AND a.e >= 4 AND a.e <= a.fail GROUP BY ALL)"""
+
+
+def experiment_sql(scores: str = GAUSSIAN, horizon: int = 0, survival_only: bool = True) -> str:
+    return f"""WITH {EVENTS}, {split_sql(survival_only=survival_only)},
 m AS (SELECT avg(x) AS a, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS b FROM states JOIN split USING (ep) WHERE split = 'train'),
 zs AS (SELECT ep, t, (x - a) / b AS z, split, fail, n_steps FROM states JOIN split USING (ep), m),
 win AS (SELECT ep, t AS e, split, fail, n_steps, {", ".join(W5)} FROM zs WINDOW w AS (PARTITION BY ep ORDER BY t)),
-g AS (SELECT {", ".join(f"avg(w{i}) AS m{i}, stddev_pop(w{i}) + 1e-8 AS s{i}" for i in range(5))} FROM win WHERE split = 'train' AND e >= 4 AND e < fail),
-sc AS (SELECT ep, e, split, fail, n_steps, sqrt({" + ".join(f"power((w{i} - m{i}) / s{i}, 2)" for i in range(5))}) AS score FROM win, g WHERE split <> 'train' AND e >= 4 AND e <= fail),
+fitted AS (SELECT * FROM win WHERE split = 'train' AND e >= 4 AND e + {horizon} < fail),
+{scores},
 zn AS (SELECT e, avg(score) AS mu, stddev_pop(score) + 1e-8 AS sd FROM sc WHERE split = 'norm' GROUP BY e),
 z AS (SELECT sc.*, (score - mu) / sd AS z FROM sc LEFT JOIN zn USING (e)),
 top AS (SELECT ep, max(z) AS m FROM z WHERE split = 'cal' GROUP BY ep HAVING max(z) IS NOT NULL),
 srt AS (SELECT list_sort(list(m)) AS s, count(*) AS n, least(ceil((count(*) + 1) * 0.9) / count(*), 1.0) * (count(*) - 1) AS pos FROM top),
 thr AS (SELECT s[floor(pos)::INT + 1] + (pos - floor(pos)) * (coalesce(s[floor(pos)::INT + 2], s[floor(pos)::INT + 1]) - s[floor(pos)::INT + 1]) AS thr FROM srt)"""
+
+
+EXPERIMENT = experiment_sql()
 ALARMS = """per AS (SELECT ep, fail, n_steps, max(CASE WHEN z > thr THEN 1 ELSE 0 END) AS fired, min(CASE WHEN z > thr AND e < fail THEN e END) AS early, min(e) AS first_end FROM z, thr WHERE split = 'test' GROUP BY ep, fail, n_steps)"""
+METRICS = (f"{ALARMS} SELECT count(CASE WHEN fail = n_steps THEN 1 END) AS n_survived, count(CASE WHEN fail < n_steps AND fail > first_end THEN 1 END) AS n_failed, "
+           "round(avg(CASE WHEN fail = n_steps THEN fired::DOUBLE END), 6) AS fpr, round(avg(CASE WHEN fail < n_steps AND fail > first_end THEN (early IS NOT NULL)::INT::DOUBLE END), 6) AS detection_rate, "
+           "round(quantile_cont(CASE WHEN fail < n_steps AND fail > first_end THEN (fail - early)::DOUBLE END, 0.5), 6) AS median_lead FROM per")
 
 
-@query(f"{EXPERIMENT}, {ALARMS} SELECT count(CASE WHEN fail = n_steps THEN 1 END) AS n_survived, count(CASE WHEN fail < n_steps AND fail > first_end THEN 1 END) AS n_failed, "
-       "round(avg(CASE WHEN fail = n_steps THEN fired::DOUBLE END), 6) AS fpr, round(avg(CASE WHEN fail < n_steps AND fail > first_end THEN (early IS NOT NULL)::INT::DOUBLE END), 6) AS detection_rate, "
-       "round(quantile_cont(CASE WHEN fail < n_steps AND fail > first_end THEN (fail - early)::DOUBLE END, 0.5), 6) AS median_lead FROM per")
+@query(f"{EXPERIMENT}, {METRICS}")
 def run_experiment_gaussian(spark, d):
     s = event_states(spark, d)
     return rounded(experiment.run_experiment(s, event_episodes(s)).metrics)
@@ -220,5 +232,6 @@ def _deploy(method):
     return run
 
 
+DEPLOYED = {"gaussian": GAUSSIAN, "knn": NEAREST}
 for _method in sequences.METHODS:
-    query(None, f"deploy_{_method}")(_deploy(_method))
+    query(f"{experiment_sql(DEPLOYED[_method], 2, False)}, {METRICS}" if _method in DEPLOYED else None, f"deploy_{_method}")(_deploy(_method))

@@ -222,7 +222,11 @@ def scattering_kernel(spark, d):
     return _of_features(spark, d, lambda _: K.scattering_features)
 
 
-@query()
+COMPOSITE = f"""WITH {CUTS}, q AS (SELECT x.ep AS i, y.ep AS j, sum(power(x.a - y.a, 2)) AS da, sum(power(x.b - y.b, 2)) AS db FROM p x JOIN p y ON x.t = y.t WHERE y.ep IN (SELECT ep FROM cap) GROUP BY 1, 2),
+g AS (SELECT 1 / median(da) FILTER (da > 0) AS ga, 1 / median(db) FILTER (db > 0) AS gb FROM q WHERE i < j AND i IN (SELECT ep FROM cap)) SELECT i, j, round(exp(-ga * da - gb * db), 6) AS k FROM q, g"""
+
+
+@query(COMPOSITE)
 def composite_kernel(spark, d):
     groups = [list(range(0, 2 * STEPS, 2)), list(range(1, 2 * STEPS, 2))]  # a channel each
 
@@ -231,7 +235,7 @@ def composite_kernel(spark, d):
         both = K.composite(list(zip(groups, K.fit_gammas(flat, groups), strict=True)))
         return lambda x: both(x.reshape(len(x), -1), flat)
 
-    return _against_some(spark, d, kernel)
+    return rounded(_against_some(spark, d, kernel))
 
 
 @query()

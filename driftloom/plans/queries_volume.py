@@ -12,7 +12,8 @@ from ..operators import pairs as P
 from ..operators import reduction as R
 from ..operators import volume as V
 from ..operators import windows as W
-from .base import EVENTS, LINES, event_episodes, event_states, line_states, query, rounded, vectors
+from .base import EVENTS, LINES, VECTORS, event_episodes, event_states, line_states, query, rank_sql, rounded, vectors
+from .queries_kernels import SQ
 
 
 def _disc(x: np.ndarray) -> np.ndarray:
@@ -31,10 +32,16 @@ def proposals_in_set(spark, d):
     return V.proposals(spark, _disc, 1.0, 2000, base=np.random.default_rng(1).normal(scale=0.5, size=(50, 2))).select("draw", F.col("x")[0].alias("a"), F.col("x")[1].alias("b"))
 
 
-@query()
+#: Points whose blurred moments are taken, at most; the operator holds them on the driver.
+POINTS = 1000
+
+
+@query(f"""WITH {VECTORS}, x AS (SELECT v[1] AS x FROM vectors ORDER BY {rank_sql(0, 'vec_id')}, vec_id LIMIT {POINTS}), e AS (SELECT [1, avg(x), avg(x * x + 0.25), avg(x * x * x + 0.75 * x), avg(power(x, 4) + 1.5 * x * x + 0.1875)] AS e FROM x)
+SELECT i, j, round(e[i + j + 1], 6) AS m FROM e, generate_series(0, 2) a(i), generate_series(0, 2) b(j)""")
 def smoothed_moment_matrix(spark, d):
-    m = V.smoothed_moments(np.array([[1.0], [0.5], [-1.0]]), 2, 0.5)
-    return spark.createDataFrame([(i, j, float(m[i, j])) for i in range(3) for j in range(3)], "i long, j long, m double")
+    _, x = P.reference(vectors(spark, d), "v", "vec_id", POINTS)
+    m = V.smoothed_moments(x[:, :1], 2, 0.5, mean=True)
+    return spark.createDataFrame([(i, j, round(float(m[i, j]), 6)) for i in range(3) for j in range(3)], "i long, j long, m double")
 
 
 @query("SELECT m::DOUBLE AS m, round(exp(-0.5 * m * m / (1 + 2 * 0.5 * 1.5)) / sqrt(1 + 2 * 0.5 * 1.5), 6) AS value FROM generate_series(0, 5) g(m)")
@@ -90,15 +97,17 @@ def landmark_kernel_scores(spark, d):
     return D._score_blocks(phi, "phi", lambda p: 1 - (p * p).sum(1) + 1e-3 * n * np.einsum("ij,jk,ik->i", p, inner, p)).select("vec_id", "score")
 
 
-@query()
+@query(f"""WITH {VECTORS}, g AS (SELECT unnest(['(0, 1, 2)', '(3, 4, 5, 6)']) AS fitted_on), s AS (SELECT fitted_on, a.vec_id, a.label >= 7 AS y, round(list_avg(min(sqrt({SQ}), 5)), 9) AS score FROM g, vectors a, vectors b
+WHERE (b.label BETWEEN 0 AND 2) = (fitted_on = '(0, 1, 2)') AND b.label BETWEEN 0 AND 6 GROUP BY 1, 2, 3), r AS (SELECT *, rank() OVER (PARTITION BY fitted_on ORDER BY score) + (count(*) OVER (PARTITION BY fitted_on, score) - 1) / 2.0 AS rk FROM s)
+SELECT fitted_on, round((sum(rk) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2.0) / (count(*) FILTER (y)::DOUBLE * count(*) FILTER (NOT y)), 6) AS auroc FROM r GROUP BY fitted_on""")
 def cross_group_evaluation(spark, d):
     v = vectors(spark, d).withColumn("y", (F.col("label") >= 7).cast("int"))
     out = None
     for group in ((0, 1, 2), (3, 4, 5, 6)):
-        s = D.KNN.fit(v.filter(F.col("label").isin(*group)), "v", "vec_id", 5).score(v, ["label", "y"])
+        s = D.KNN.fit(v.filter(F.col("label").isin(*group)), "v", "vec_id", 5).score(v, ["label", "y"]).withColumn("score", F.round("score", 9))
         row = M.auroc(s, "y").select(F.lit(str(group)).alias("fitted_on"), "auroc")
         out = row if out is None else out.unionByName(row)
-    return out
+    return rounded(out)
 
 
 @query()
