@@ -18,6 +18,10 @@ sc AS (SELECT ep, e, split, fail, n_steps, sqrt({" + ".join(f"power((w{i} - m{i}
 NEAREST = f"""sc AS (SELECT a.ep, a.e, a.split, a.fail, a.n_steps, list_avg(min(sqrt({" + ".join(f"power(a.w{i} - b.w{i}, 2)" for i in range(5))}), 5)) AS score
 FROM win a, fitted b WHERE a.split <> 'train' AND a.e >= 4 AND a.e <= a.fail GROUP BY ALL)"""
 
+#: ``thr``: the linear quantile of the greatest scores ``top`` at the conformal level of alpha 0.1.
+THRESHOLD = """srt AS (SELECT list_sort(list(m)) AS s, count(*) AS n, least(ceil((count(*) + 1) * 0.9) / count(*), 1.0) * (count(*) - 1) AS pos FROM top),
+thr AS (SELECT s[floor(pos)::INT + 1] + (pos - floor(pos)) * (coalesce(s[floor(pos)::INT + 2], s[floor(pos)::INT + 1]) - s[floor(pos)::INT + 1]) AS thr FROM srt)"""
+
 
 def experiment_sql(scores: str = GAUSSIAN, horizon: int = 0, survival_only: bool = True) -> str:
     return f"""WITH {EVENTS}, {split_sql(survival_only=survival_only)},
@@ -29,8 +33,7 @@ fitted AS (SELECT * FROM win WHERE split = 'train' AND e >= 4 AND e + {horizon}
 zn AS (SELECT e, avg(score) AS mu, stddev_pop(score) + 1e-8 AS sd FROM sc WHERE split = 'norm' GROUP BY e),
 z AS (SELECT sc.*, (score - mu) / sd AS z FROM sc LEFT JOIN zn USING (e)),
 top AS (SELECT ep, max(z) AS m FROM z WHERE split = 'cal' GROUP BY ep HAVING max(z) IS NOT NULL),
-srt AS (SELECT list_sort(list(m)) AS s, count(*) AS n, least(ceil((count(*) + 1) * 0.9) / count(*), 1.0) * (count(*) - 1) AS pos FROM top),
-thr AS (SELECT s[floor(pos)::INT + 1] + (pos - floor(pos)) * (coalesce(s[floor(pos)::INT + 2], s[floor(pos)::INT + 1]) - s[floor(pos)::INT + 1]) AS thr FROM srt)"""
+{THRESHOLD}"""
 
 
 EXPERIMENT = experiment_sql()
@@ -58,10 +61,13 @@ def max_conformal_threshold(spark, d):
     return spark.range(1).select(F.round(F.lit(experiment.run_experiment(s, event_episodes(s)).threshold), 5).alias("threshold"))
 
 
-@query()
+@query(f"""WITH {EVENTS}, {split_sql()}, c AS (SELECT ep, t, x, split, fail, n_steps, t < n_steps - 5 AS kept FROM states JOIN split USING (ep)), g AS (SELECT avg(x) AS a, stddev_pop(x) + 1e-8 AS b FROM c WHERE split = 'train' AND kept),
+sc AS (SELECT c.*, abs(x - a) / b AS score FROM c, g), top AS (SELECT ep, max(score) AS m FROM sc WHERE split = 'cal' AND kept GROUP BY ep), {THRESHOLD},
+f AS (SELECT avg(f::DOUBLE) AS fpr FROM (SELECT max((score > thr)::INT) AS f FROM sc, thr WHERE split = 'test' AND fail = n_steps AND kept GROUP BY ep)), l AS (SELECT (fail - min(t) FILTER (score > thr))::DOUBLE AS lead FROM sc, thr WHERE split = 'test' AND fail < n_steps GROUP BY ep, fail)
+SELECT round(avg(coalesce(lead > 0, FALSE)::INT::DOUBLE), 6) AS edr, round(quantile_cont(lead, 0.5) FILTER (lead > 0), 6) AS median_lead, count(*) AS n, round(any_value(fpr), 6) AS fpr FROM l, f""")
 def survival_benchmark(spark, d):
     s = event_states(spark, d)
-    return experiment.run_survival(s, event_episodes(s), ["x"]).metrics
+    return rounded(experiment.run_survival(s, event_episodes(s), ["x"]).metrics)
 
 
 def _scores(spark, d):
