@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 from .decontaminate import SQL as DECONTAMINATE_SQL
+from .fill_in_middle import SQL as FILL_IN_MIDDLE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,6 +86,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_in_middle import digests, fill_in_middle
+
+    return digests(fill_in_middle(read(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_jaccard": op1_jaccard,
     "op2_licenses": op2_licenses,
@@ -96,6 +103,7 @@ QUERIES: dict[str, Query] = {
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
     "op7_fingerprints": op7_fingerprints,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 #: Four base32 signs of each five hex digits of a SHA-1.
@@ -141,4 +149,5 @@ s AS (SELECT *, (position * 24 // n)::INT AS shard FROM p)
 SELECT doc_id, size, text_crc32, 'rows' AS law, shard, position - (shard::BIGINT * n + 23) // 24 AS slot, NULL::INT AS grown_shard, source, position FROM s
 """,
     "op9_decontamination": DECONTAMINATE_SQL,
+    "op12_fill_in_middle": FILL_IN_MIDDLE_SQL,
 }
