@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -164,5 +165,15 @@ def utf8(col: Column) -> Column:
     return F.coalesce(F.encode(col, "UTF-8"), F.lit(b"").cast("binary"))
 
 
+def pieces(raw: bytes, separator: bytes, size: int = 4 << 20) -> Iterator[bytes]:
+    """``raw`` in pieces of about ``size`` bytes, each but the last ending before a match of ``separator`` (one byte)."""
+    at, pattern = 0, re.compile(separator)
+    while at < len(raw):
+        found = pattern.search(raw, at + size) if len(raw) - at > size else None
+        stop = found.start() if found else len(raw)
+        yield raw[at:stop] if at or found else raw
+        at = stop
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

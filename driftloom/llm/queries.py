@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read
 from .decontaminate import SQL as DECONTAMINATE_SQL
 from .fill_in_middle import SQL as FILL_IN_MIDDLE_SQL
+from .lexical_search import SQL as LEXICAL_SEARCH_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,12 +87,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical_search import rank_documents
+
+    return rank_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fill_in_middle import digests, fill_in_middle
 
     return digests(fill_in_middle(read(spark, sf_dir, "documents")))
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import link_classes
+
+    return link_classes(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_jaccard": op1_jaccard,
     "op2_licenses": op2_licenses,
@@ -103,7 +116,9 @@ QUERIES: dict[str, Query] = {
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
     "op7_fingerprints": op7_fingerprints,
+    "op11_lexical_search": op11_lexical_search,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_simhash": op13_simhash,
 }
 
 #: Four base32 signs of each five hex digits of a SHA-1.
@@ -149,5 +164,6 @@ s AS (SELECT *, (position * 24 // n)::INT AS shard FROM p)
 SELECT doc_id, size, text_crc32, 'rows' AS law, shard, position - (shard::BIGINT * n + 23) // 24 AS slot, NULL::INT AS grown_shard, source, position FROM s
 """,
     "op9_decontamination": DECONTAMINATE_SQL,
+    "op11_lexical_search": LEXICAL_SEARCH_SQL,
     "op12_fill_in_middle": FILL_IN_MIDDLE_SQL,
 }
