@@ -5,9 +5,12 @@ are (an item of fewer words is one shingle of them all).
 
 *Sizes.*  Items are partitioned by their number of shingles, in powers of two.
 *Signatures.*  The MinHash signature of an item of n shingles that may miss m of them
-(m = n - ceil(0.8 n)) holds its s = min(n, 2 m + 1) shingles of least hash.  A partition
-has a threshold: the greatest hash of its signatures.  The signature of a document for
-a partition is all its shingle hashes up to the threshold, whatever its length.
+(m = n - ceil(0.8 n)) holds its s = min(n, m + SPARE) shingles of least hash.  A partition
+of items that may miss some has a threshold: the greatest hash of its signatures, about
+m / n of the range.  The signature of a document for it is all its shingle hashes up to
+the threshold, whatever its length.  An item that may miss none has one hash, anywhere
+in the range: such partitions have the set of their hashes instead of a threshold (up
+to ``SET_ROWS`` hashes; their greatest beyond), so that they don't raise that of others.
 *Search.*  A document that contains the item misses at most m of the s, so at least
 s - m of them are in the document's signature: pairs with fewer matches are out, and no
 contained item is missed.  *Verification* counts the exact shingles, as text, of the
@@ -20,6 +23,8 @@ nothing and no item without words is contained.  Very long texts are searched wh
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +33,10 @@ from .common import Scratch
 SHINGLE = 5
 #: Least share of an item's shingles, as a fraction.
 SHARE = (4, 5)
+#: Shingles of a signature beyond those that an item may miss: so many must match.
+SPARE = 2
+#: Hashes of items that may miss none, up to which they are looked up as a set.
+SET_ROWS = 10_000
 #: Signature rows up to which they are broadcast (about 40 bytes each); more are joined by exchange.
 BROADCAST_ROWS = 500_000
 FOUND = "doc_id long, item_id long, n_shingles long, n_shared long, containment double"
@@ -63,12 +72,17 @@ def item_shingles(items: DataFrame) -> DataFrame:
 
 
 def signatures(shingles: DataFrame) -> DataFrame:
-    """(size, len, item, item_id, n, need, least, h): the signature of each item, ``least`` of it to be found."""
+    """(size, len, item, item_id, n, need, miss, least, h): the signature of each item, ``least`` of it to be found."""
     whole = Window.partitionBy("item")
     ranked = shingles.withColumns({"n": F.count("*").over(whole), "rank": F.row_number().over(whole.orderBy("h", "gram"))})
     need = F.floor((F.col("n") * SHARE[0] + SHARE[1] - 1) / SHARE[1])
-    sized = ranked.withColumns({"need": need, "miss": F.col("n") - need}).withColumn("s", F.least(F.col("n"), 2 * F.col("miss") + 1))
-    return sized.filter("rank <= s").select(F.ceil(F.log2("n")).cast("int").alias("size"), "len", "item", "item_id", "n", "need", (F.col("s") - F.col("miss")).alias("least"), "h")
+    sized = ranked.withColumns({"need": need, "miss": F.col("n") - need}).withColumn("s", F.when(F.col("miss") > 0, F.least(F.col("n"), F.col("miss") + SPARE)).otherwise(1))
+    return sized.filter("rank <= s").select(F.ceil(F.log2("n")).cast("int").alias("size"), "len", "item", "item_id", "n", "need", "miss", (F.col("s") - F.col("miss")).alias("least"), "h")
+
+
+def _in_signature(top: int | None, named: list[int]) -> Callable[[Column], Column]:
+    """Whether a shingle of a document is in its signature for one of the partitions: up to a threshold, or of a set."""
+    return lambda h: (F.lit(False) if top is None else h <= F.lit(top)) | (h.isin(named) if named else F.lit(False))
 
 
 def _bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -81,17 +95,23 @@ def _contained(docs: DataFrame, items: DataFrame) -> DataFrame:
     tables = Scratch(spark, "decontaminate")
     shingles = tables.keep(item_shingles(items), "items")
     sketch = tables.keep(signatures(shingles), "signatures")
-    # one row for each size and length of shingles: some dozens
-    bounds = sketch.groupBy("size", "len").agg(F.max("h").alias("top"), F.count("*").alias("rows")).collect()
+    # one row for each size, length of shingles and whether any may be missed: some dozens
+    strict = F.col("miss") == 0
+    bounds = sketch.groupBy("size", "len", strict.alias("strict")).agg(F.max("h").alias("top"), F.count("*").alias("rows")).collect()
     if not bounds:
         return spark.createDataFrame([], f"print long, {FOUND}")
+    few = sum(b["rows"] for b in bounds if b["strict"]) <= SET_ROWS
+    named: dict[int, list[int]] = {}
+    for r in sketch.filter(strict).select("len", "h").distinct().collect() if few else []:
+        named.setdefault(r["len"], []).append(r["h"])
+    tops: dict[int, int | None] = {}
+    for b in bounds:
+        top = tops.setdefault(b["len"], None)
+        if not (b["strict"] and few):
+            tops[b["len"]] = b["top"] if top is None else max(top, b["top"])
     keyed = docs.select("doc_id", F.xxhash64("text").alias("print"), "text")
     split = keyed.withColumn("w", words_of(F.col("text"))).drop("text")
-
-    # documents' signatures up to the greatest threshold of each length, before anything moves
-    tops = {n: max(b["top"] for b in bounds if b["len"] == n) for n in sorted({b["len"] for b in bounds})}
-    up_to = lambda top: lambda h: h <= top
-    low = [F.filter(shingle_hashes(F.col("w"), n), up_to(top)) for n, top in tops.items()]
+    low = [F.filter(shingle_hashes(F.col("w"), n), _in_signature(top, named.get(n, []))) for n, top in tops.items()]
     mine = split.select("doc_id", "print", F.explode(F.array_distinct(F.concat(*low))).alias("h"))
     total = sum(b["rows"] for b in bounds)
     pairs = mine.join(_bounded(sketch, total), "h").groupBy("doc_id", "print", "item").agg(F.count("*").alias("hits"), F.first("least").alias("least"))
