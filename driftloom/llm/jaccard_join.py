@@ -532,16 +532,46 @@ def _block_tasks(tables: Scratch, large: DataFrame, num: int, den: int) -> tuple
     return wanted.join(large.select("doc_id", "grams"), "doc_id").select("task", "side", "doc_id", "grams"), stars
 
 
+def _named(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(docs with ``__name``, whether names differ from ids): a number for each id and text, the id itself for one text of each id.
+
+    Other texts of an id, told apart by the 64-bit hash ``__print``, are named by a hash of both.
+    """
+    printed = docs.withColumn("__print", F.xxhash64("text"))
+    several = printed.filter("doc_id is not null").groupBy("doc_id").agg(F.min("__print").alias("__first"), F.max("__print").alias("__last")).filter("__first <> __last").select("doc_id", "__first")
+    if several.limit(1).count() == 0:
+        return printed.withColumn("__name", F.col("doc_id")), False
+    named = printed.join(several, "doc_id", "left")
+    other = F.col("__first").isNotNull() & (F.col("__first") != F.col("__print"))
+    return named.withColumn("__name", F.when(other, F.xxhash64("doc_id", "__print")).otherwise(F.col("doc_id"))).drop("__first"), True
+
+
 def join_classes(docs: DataFrame, *, words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs`` (doc_id, text).
 
     Two documents link when ``den * |intersection| >= num * |union|`` of their sets;
     a component's id is its least doc_id.  Null and empty texts have an empty set
     and are linked with nothing; a row without doc_id links with nothing and has a
-    null component.  ``doc_id`` names a document: rows that repeat one share its
-    component.  Texts of any length count whole, other columns play no part, and an
-    empty table gives none.
+    null component.  Rows that repeat an id and its text are one document, rows that
+    share an id alone are several.  Texts of any length count whole, other columns play
+    no part, and an empty table gives none.
     """
+    named, differ = _named(docs.select("doc_id", "text"))
+    if not differ:
+        return _classes(docs, words, num, den)
+    tables = Scratch(docs.sparkSession, "jaccard-names")
+    names = tables.keep(named.filter("__name is not null").select(F.col("__name").alias("name"), F.col("doc_id").alias("id")).distinct(), "names")
+    found = _classes(named.select(F.col("__name").alias("doc_id"), "text"), words, num, den)
+    placed = tables.keep(found.join(names, found["doc_id"] == names["name"], "left").select("id", "n_shingles", "component_id"), "placed")
+    least = tables.keep(placed.filter("component_id is not null").groupBy("component_id").agg(F.min("id").alias("least"), F.count("*").alias("n")), "least")
+    linked = join_hot(placed.filter("component_id is not null"), least, "component_id").select(F.col("id").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"))
+    out = tables.keep(linked.unionByName(placed.filter("component_id is null").select(F.col("id").alias("doc_id"), "n_shingles", "component_id")), "out")
+    tables.clear(keep=("out",))
+    return out
+
+
+def _classes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """``join_classes`` where no id has more than one text."""
     spark = docs.sparkSession
     tables = Scratch(spark, "jaccard")
     parts = parts_for(spark, text_bytes(docs))
@@ -595,10 +625,19 @@ def join_classes(docs: DataFrame, *, words: int = 5, num: int = 8, den: int = 10
 
 
 def keep_one(docs: DataFrame, *, words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """``docs`` with the least doc_id of each component; rows that repeat it count as one.
+    """``docs`` with one document of each component: that of the least doc_id, and of its texts the least by hash.
 
-    Rows without doc_id stay.  All columns stay as they were.
+    Rows that repeat an id and its text count as one, rows that share an id alone are
+    several documents, so no text goes that nothing kept is linked with.  Rows without
+    doc_id stay.  All columns stay as they were.
     """
-    keep = join_classes(docs.select("doc_id", "text"), words=words, num=num, den=den).filter("doc_id is not null and doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null"))
+    named, differ = _named(docs)
+    found = _classes(named.select(F.col("__name").alias("doc_id"), "text"), words, num, den).filter("doc_id is not null")
+    if differ:
+        ids = named.filter("__name is not null").select("__name", "doc_id", "__print").distinct()
+        placed = ids.join(found.select(F.col("doc_id").alias("__name"), "component_id").distinct(), "__name")
+        kept = placed.groupBy("component_id").agg(F.min_by("__name", F.struct("doc_id", "__print")).alias("__name")).select("__name")
+    else:
+        kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__name")).distinct()
+    rows = named.filter("doc_id is not null").join(kept, "__name", "left_semi").dropDuplicates(["__name"])
+    return rows.select(*docs.columns).unionByName(docs.filter("doc_id is null"))

@@ -379,3 +379,57 @@ def test_mixture_draws_by_its_probabilities(spark):
     again = M.mix(frame(spark, data[::-1]), topic=F.when(F.col("doc_id") % 7 != 0, F.lit("t"))).toPandas()
     assert h == hashlib.sha256(str(sorted(again[again.selected].doc_id)).encode()).hexdigest()
     assert zlib.crc32(b"") == 0
+
+# several texts under one id
+
+
+def test_rows_that_share_an_id_alone_are_several_documents(spark):
+    rng = random.Random(9)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    near = b.rsplit(" ", 1)[0] + " end"
+    data = [(1, a), (1, b), (2, b), (3, c), (1, a), (4, near), (None, a), (5, None), (5, "")]
+    docs = spark.createDataFrame([(d, t, "x") for d, t in data], "doc_id long, text string, name string")
+    kept = [(r["doc_id"], r["text"]) for r in J.keep_one(docs, words=4, num=85, den=100).collect()]
+    assert Counter(kept) == Counter([(1, a), (1, b), (3, c), (None, a), (5, None), (5, "")])
+    got = Counter((r["doc_id"], r["component_id"]) for r in J.join_classes(docs, words=4, num=85, den=100).collect())
+    assert got == Counter([(1, 1), (1, 1), (1, 1), (2, 1), (3, 3), (4, 1), (None, None), (5, 5), (5, 5)])
+    only = docs.filter("doc_id in (2, 3)")
+    assert {r["doc_id"] for r in J.keep_one(only).collect()} == {2, 3}
+
+
+# 9: thresholds by partition
+
+
+def test_a_short_item_leaves_the_others_thresholds(spark):
+    rng = random.Random(10)
+    long = [(i, prose(rng, rng.randint(20, 60))) for i in range(40)]
+    short = [(100 + i, prose(rng, 5)) for i in range(10)] + [(200 + i, prose(rng, 2)) for i in range(5)]
+    frame_of = lambda rows: spark.createDataFrame(rows, "item_id long, text string")
+    tops = lambda rows: {(r["size"], r["len"]): r["top"] for r in DC.signatures(DC.item_shingles(frame_of(rows))).filter("miss > 0").groupBy("size", "len").agg(F.max("h").alias("top")).collect()}
+    assert tops(long) == tops(long + short)
+    docs = spark.createDataFrame([(i, prose(rng, 200) + " " + t + " " + prose(rng, 50)) for i, (_, t) in enumerate(long + short)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in DC.contained(docs, frame_of(long + short)).collect()}
+    assert got >= {(i, item) for i, (item, _) in enumerate(long + short)}
+
+
+@pytest.mark.parametrize("rows", [10_000, 3])
+def test_containment_equals_brute_force_at_any_set_size(spark, monkeypatch, rows):
+    monkeypatch.setattr(DC, "SET_ROWS", rows)
+    rng = random.Random(11)
+    items = [(i, prose(rng, n)) for i, n in enumerate([1, 2, 3, 4, 5, 6, 8, 9, 10, 12, 17, 30, 64])]
+    docs = []
+    for i in range(80):
+        words = prose(rng, 40).split()
+        _, t = rng.choice(items)
+        cut = t.split()
+        if rng.random() < 0.5 and len(cut) > 6:
+            cut[rng.randrange(len(cut))] = "changed"
+        docs.append((i, " ".join(words[:20] + cut + words[20:])))
+    grams = lambda w, n: {tuple(w[i:i + n]) for i in range(len(w) - n + 1)}
+    want = set()
+    for item, t in items:
+        n = min(5, len(t.split()))
+        g = grams(t.split(), n)
+        want |= {(d, item) for d, x in docs if 5 * len(g & grams(x.split(), n)) >= 4 * len(g)}
+    got = DC.contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
