@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bases
-from .pairs import Kernel, bandwidth, knn, reference
+from .pairs import Kernel, bandwidth, knn_all, reference
 
 
 def _score_blocks(df: DataFrame, vector: str, fn) -> DataFrame:
@@ -33,6 +33,18 @@ def _score_blocks(df: DataFrame, vector: str, fn) -> DataFrame:
     return df.drop("score").mapInPandas(work, f"{schema},score double")
 
 
+#: Polynomial features up to which moments and scores are Column expressions.
+COLUMNS = 32
+
+
+def _as_vector(df: DataFrame, channels: Sequence[str]) -> DataFrame:
+    """``df`` with ``__x``, the channels as an array; null where one of them is."""
+    missing = F.lit(False)
+    for c in channels:
+        missing = missing | F.col(c).isNull()
+    return df.withColumn("__x", F.when(~missing, F.array(*[F.col(c).cast("double") for c in channels])))
+
+
 @dataclass(frozen=True)
 class Gaussian:
     """Distance to the mean in units of each channel's deviation; all in Column expressions."""
@@ -63,12 +75,19 @@ class CDPolynomial:
     basis: str
     inverse: np.ndarray
     mean_score: float
+    factor: np.ndarray | None = None  # triangle R with RᵀR = M, of the qr method
 
     @staticmethod
     def moments(df: DataFrame, channels: Sequence[str], degree: int, basis: str = "monomial") -> np.ndarray:
-        """M as one aggregate: a sum per pair of features, partial sums before the exchange."""
+        """M as one aggregate: a sum per pair of features, or block products where there are over ``COLUMNS`` of them."""
         cols = list(bases.features(channels, degree, basis).values())
         s = len(cols)
+        if s > COLUMNS:
+            from .reduction import map_vectors, second_moment
+
+            phi = map_vectors(_as_vector(df, channels).select("__x").filter("__x is not null"), "__x", lambda x: bases.features_np(x, degree, basis), "phi")
+            n, _, g = second_moment(phi, "phi")
+            return g / n
         ok = df.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in channels))
         row = ok.agg(*[F.avg(cols[i] * cols[j]) for i in range(s) for j in range(i, s)]).first()
         m, it = np.zeros((s, s)), iter(row)
@@ -79,6 +98,15 @@ class CDPolynomial:
 
     @staticmethod
     def fit(df: DataFrame, channels: Sequence[str], degree: int, basis: str = "monomial", eps: float = 0.0, method: str = "chol") -> CDPolynomial:
+        """``method``: chol, solve or lstsq on the moment matrix, or qr of the features themselves (without ``eps``), which
+        squares no condition number: M is never formed."""
+        if method == "qr":
+            from .factorizations import tall_qr
+
+            n, r = tall_qr(_as_vector(df, channels), "__x", lambda x: bases.features_np(x, degree, basis))
+            r = r / np.sqrt(n)
+            half = np.linalg.pinv(r)
+            return CDPolynomial(tuple(channels), degree, basis, half @ half.T, float(len(r)), r)
         m = CDPolynomial.moments(df, channels, degree, basis)
         a = m + eps * np.eye(len(m))
         if method == "chol":
@@ -89,7 +117,10 @@ class CDPolynomial:
         return CDPolynomial(tuple(channels), degree, basis, inverse, float(np.trace(inverse @ m)))
 
     def score(self, df: DataFrame) -> DataFrame:
+        """Column expressions up to ``COLUMNS`` features; block products beyond, and triangular solves after qr."""
         cols = list(bases.features(self.channels, self.degree, self.basis).values())
+        if self.factor is not None or len(cols) > COLUMNS:
+            return _score_blocks(_as_vector(df, self.channels), "__x", self._values).drop("__x")
         total = F.lit(0.0)
         for i, a in enumerate(cols):
             total = total + float(self.inverse[i, i]) * a * a
@@ -97,6 +128,12 @@ class CDPolynomial:
                 total = total + 2 * float(self.inverse[i, j]) * a * cols[j]
         return df.withColumn("score", total)
 
+    def _values(self, x: np.ndarray) -> np.ndarray:
+        v = bases.features_np(x, self.degree, self.basis)
+        if self.factor is None:
+            return np.einsum("ij,jk,ik->i", v, self.inverse, v)
+        return (np.linalg.solve(self.factor.T, v.T) ** 2).sum(0)
+
     def christoffel(self, df: DataFrame) -> DataFrame:
         return self.score(df).withColumn("score", 1 / F.col("score"))
 
@@ -121,18 +158,21 @@ class CDPolynomial:
 
 @dataclass(frozen=True)
 class KNN:
+    """Mean distance to the ``k`` nearest of all fitted rows, met in blocks."""
+
     key: str
     vector: str
     k: int
-    ref: tuple[np.ndarray, np.ndarray]
+    fitted: DataFrame
 
     @staticmethod
-    def fit(df: DataFrame, vector: str, key: str, k: int = 5, n: int = 4000) -> KNN:
-        return KNN(key, vector, k, reference(df, vector, key, n))
+    def fit(df: DataFrame, vector: str, key: str, k: int = 5) -> KNN:
+        return KNN(key, vector, k, df.select(key, vector))
 
     def score(self, df: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-        """A fitted row is among its own neighbours."""
-        return knn(df, self.vector, self.key, self.ref, self.k, carry=carry)
+        """(key, carry, score, kth, nearest); a fitted row is among its own neighbours."""
+        near = knn_all(df, self.fitted, self.vector, self.key, self.k)
+        return df.select(self.key, *carry).join(near, self.key).select(self.key, *carry, "score", "kth", "nearest") if carry else near
 
 
 def pivoted_cholesky(kernel: Kernel, x: np.ndarray, rank: int, eps: float = 0.0, pivot: str = "rp", seed: int = 0) -> tuple[np.ndarray, list[int]]:
@@ -172,14 +212,13 @@ def adaptive_ridge(gram: np.ndarray, target: float = 1e3) -> float:
     return max((top - target * low) / ((target - 1) * len(gram)), 1e-14)
 
 
-def decade_ridge(gram: np.ndarray) -> float:
-    """The least decade from 1e-14 to 1e-1 with a Cholesky factor; 1e-3 if none."""
+def decade_ridge(gram: np.ndarray, target: float = 1e3) -> float:
+    """The least decade from 1e-14 to 1e-1 that brings the condition number of ``K + lam n I`` below ``target``; 1e-3 if none."""
+    n, w = len(gram), np.linalg.eigvalsh(gram)
     for e in range(-14, 0):
-        try:
-            np.linalg.cholesky(gram + 10.0**e * len(gram) * np.eye(len(gram)))
+        low, top = w[0] + 10.0**e * n, w[-1] + 10.0**e * n
+        if low > 0 and top / low < target:
             return 10.0**e
-        except np.linalg.LinAlgError:
-            continue
     return 1e-3
 
 
@@ -215,6 +254,20 @@ class KernCD:
         k = kernel if isinstance(kernel, Kernel) else Kernel(kernel, gamma=bandwidth(x, kernel, heuristic))
         return KernCD.fit_points(x, k, lam, **kw)
 
+    @staticmethod
+    def fit_all(df: DataFrame, vector: str, key: str, kernel: Kernel, rank: int, lam: float = 1e-7, pivot: str = "greedy", seed: int = 0, batch: int = 32) -> KernCD:
+        """The low-rank fit with every row as a candidate and as a fit row; only pivots and rank x rank sums reach the driver."""
+        from ..scratch import Written
+        from .factorizations import pivoted_cholesky_all
+        from .reduction import second_moment
+
+        tables = Written(df.sparkSession, "kerncd")
+        got = pivoted_cholesky_all(df, vector, key, kernel, rank, pivot=pivot, seed=seed, batch=batch, tables=tables)
+        n, _, g = second_moment(got.table, "f")
+        tables.clear()
+        middle = np.linalg.inv(np.eye(len(g)) * lam * n + g)
+        return KernCD(kernel, lam, got.points, np.zeros((0, 0)), tuple(got.keys), np.linalg.inv(got.triangle), middle * lam * n)
+
     def score_points(self, y: np.ndarray) -> np.ndarray:
         k, d = self.kernel(y, self.points), self.kernel.diag(y)
         if self.pinned is None:
@@ -253,10 +306,12 @@ class LinearReconstruction:
     directions: np.ndarray
 
     @staticmethod
-    def fit(df: DataFrame, vector: str, key: str, rank: int, n: int = 4000) -> LinearReconstruction:
-        _, x = reference(df, vector, key, n)
-        mean = x.mean(0)
-        return LinearReconstruction(mean, np.linalg.svd(x - mean, full_matrices=False)[2][:rank])
+    def fit(df: DataFrame, vector: str, rank: int) -> LinearReconstruction:
+        """From the second moment of all rows."""
+        from .reduction import PCA
+
+        model = PCA.fit(df, vector, rank)
+        return LinearReconstruction(model.mean, model.directions)
 
     def score(self, df: DataFrame, vector: str) -> DataFrame:
         def fn(block: np.ndarray) -> np.ndarray:

@@ -112,6 +112,55 @@ def forward_divergence(states: DataFrame, episodes: DataFrame, channel: str, par
     return d.groupBy((F.col("t") - start).alias("s")).agg(F.avg(F.log("d")).alias("mean_log"), F.count("*").alias("n"))
 
 
+def matched_neighbours(states: DataFrame, episodes: DataFrame, channels: Sequence[str], params: Sequence[str], tol: Sequence[float], window: int, start: int, steps: int, anchors: int | None = None, seed: int = 0) -> DataFrame:
+    """(ep, t, match, match_t, d2): for each state the nearest one of another episode with close parameters and close in time.
+
+    ``episodes`` has (ep, n_steps, params).  Episodes meet by a band join on their
+    parameters (within ``tol``), their states by an equal cell of time and then
+    ``|t - match_t| <= window``; both lie at ``start`` at the earliest and have ``steps``
+    more steps.  Of equally near ones the least (match, match_t) is taken; states
+    without any are left out.  ``anchors`` takes that many states in hash order.
+    """
+    vector = F.array(*[F.col(c).cast("double") for c in channels])
+    usable = states.dropna(subset=list(channels)).join(episodes.select("ep", "n_steps"), "ep").filter((F.col("t") >= start) & (F.col("t") + steps < F.col("n_steps"))).select("ep", "t", vector.alias("v"))
+    asked = usable if anchors is None else usable.orderBy(F.xxhash64("ep", "t", F.lit(seed)), "ep", "t").limit(anchors)
+    width = window + 1  # a window reaches its own cell and both neighbours
+    cell = F.floor(F.col("t") / width).cast("long")
+    left = asked.select("ep", "t", "v", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    right = usable.select(F.col("ep").alias("match"), F.col("t").alias("match_t"), F.col("v").alias("w"), cell.alias("cell"))
+    pairs = band_pairs(episodes, "ep", params, tol).select(F.col("a").alias("ep"), F.col("b").alias("match"))
+    met = left.join(pairs, "ep").join(right, ["match", "cell"]).filter(F.abs(F.col("t") - F.col("match_t")) <= window)
+    gap = F.aggregate(F.zip_with("v", "w", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    best = met.groupBy("ep", "t").agg(F.min(F.struct(gap.alias("d2"), "match", "match_t")).alias("n"))
+    return best.select("ep", "t", "n.match", "n.match_t", "n.d2")
+
+
+def matched_curves(states: DataFrame, neighbours: DataFrame, channels: Sequence[str], steps: int, least: float = 1e-12) -> DataFrame:
+    """(a, b, s, log_d): log distance of each state and its neighbour, ``s`` = 0 .. ``steps`` steps on; ``a`` names the state."""
+    vector = F.array(*[F.col(c).cast("double") for c in channels])
+    ahead = neighbours.select("ep", "t", "match", "match_t", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("s"))
+    x = states.select("ep", F.col("t").alias("__t"), vector.alias("x"))
+    y = states.select(F.col("ep").alias("match"), F.col("t").alias("__u"), vector.alias("y"))
+    both = ahead.withColumns({"__t": F.col("t") + F.col("s"), "__u": F.col("match_t") + F.col("s")}).join(x, ["ep", "__t"]).join(y, ["match", "__u"])
+    gap = F.aggregate(F.zip_with("x", "y", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda t, v: t + v)
+    return both.select(F.concat_ws(":", "ep", "t").alias("a"), F.col("match").alias("b"), "s", F.log(F.sqrt(gap) + least).alias("log_d"))
+
+
+def matched_divergence(states: DataFrame, episodes: DataFrame, channels: Sequence[str], params: Sequence[str], *, share: float = 0.1, window: int = 5, start: int = 100, steps: int = 50, skip: int = 2, anchors: int | None = 1000, replicates: int = 200, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(curve, slope) of the divergence of matched states: (s, mean_log, n) and (slope, low, high) from step ``skip`` on.
+
+    Channels are standardized over all states; parameters match within ``share`` of their
+    range (1 where that is 0).  The interval is a Poisson bootstrap over states.
+    """
+    moments = states.agg(*[F.avg(c) for c in channels], *[F.stddev_pop(c) for c in channels]).first()
+    k = len(channels)
+    scaled = states.select("ep", "t", *[((F.col(c) - moments[i]) / (moments[k + i] or 1.0)).alias(c) for i, c in enumerate(channels)])
+    spans = episodes.agg(*[F.max(p) - F.min(p) for p in params]).first()
+    near = matched_neighbours(scaled, episodes, channels, params, [share * float(v or 1.0) for v in spans], window, start, steps, anchors, seed)
+    curves = matched_curves(scaled, near, channels, steps)
+    return curves.groupBy("s").agg(F.avg("log_d").alias("mean_log"), F.count("*").alias("n")), slope_interval(curves.filter(F.col("s") >= skip), replicates, seed)
+
+
 def slope_interval(curves: DataFrame, replicates: int = 200, seed: int = 0, share: float = 0.9) -> DataFrame:
     """(slope, low, high): slope of mean log distance over steps, with a bootstrap interval over pairs.
 

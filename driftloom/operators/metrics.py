@@ -282,44 +282,6 @@ def or_combination(named: dict[str, DataFrame], calibration: dict[str, DataFrame
     return out.select("ep", "end", F.when(~missing, F.greatest(*cols) if len(cols) > 1 else F.col(cols[0])).alias("z"))
 
 
-def bootstrap_se(df: DataFrame, metric: Callable[[np.ndarray, np.ndarray], float], label: str = "label", score: str = "score", n: int = 10_000, seed: int = 0, cap: int = 200_000) -> DataFrame:
-    """(estimate, se, replicates): the metric over resamples; those where it raises ValueError are skipped.
-
-    Replicates are spread over tasks; each resamples a bounded set of rows (``cap``;
-    more is an error, as a resample of all would be the table again).
-    """
-    rows = df.select(F.col(label).cast("double"), F.col(score).cast("double")).limit(cap + 1).toPandas()
-    if len(rows) > cap:
-        raise ValueError(f"more than {cap} rows to resample")
-    y, s = rows.iloc[:, 0].to_numpy(), rows.iloc[:, 1].to_numpy()
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            values = []
-            for i in batch["id"]:
-                pick = np.random.default_rng([seed, int(i)]).integers(0, len(y), len(y))
-                try:
-                    values.append(float(metric(y[pick], s[pick])))
-                except ValueError:
-                    continue
-            yield pd.DataFrame({"v": values})
-
-    reps = df.sparkSession.range(n).mapInPandas(work, "v double")
-    return reps.agg(F.lit(float(metric(y, s))).alias("estimate"), F.stddev_pop("v").alias("se"), F.count("v").alias("replicates"))
-
-
-def auroc_np(y: np.ndarray, s: np.ndarray) -> float:
-    """AUROC of arrays, for ``bootstrap_se``."""
-    if not 0 < y.sum() < len(y):
-        raise ValueError("one class only")
-    order = np.argsort(s, kind="stable")
-    _, first, counts = np.unique(s[order], return_index=True, return_counts=True)
-    rank = np.empty(len(s))
-    rank[order] = np.repeat(first + (counts + 1) / 2, counts)
-    p = y.sum()
-    return (rank[y == 1].sum() - p * (p + 1) / 2) / (p * (len(y) - p))
-
-
 def auroc_at_leads(df: DataFrame, lead: str, label: str = "label", score: str = "score", least: int = 30) -> DataFrame:
     """(lead, n_pos, n_neg, auroc) by lead time; null where fewer than ``least`` positives are left."""
     out = auroc(df, label, score, [lead])

@@ -120,6 +120,94 @@ def median_distance(ref: np.ndarray, neighbours: int = 0) -> float:
     return float(np.median(d[d > 0]))
 
 
+#: Parts that an interval of distances is cut into by a pass, and distances that reach the driver at most.
+PARTS, FEW_DISTANCES = 1 << 14, 100_000
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Coordinate by coordinate: a pair's distance doesn't depend on the block that it is met in."""
+    total = np.zeros((len(x), len(y)))
+    for k in range(x.shape[1]):
+        total += np.square(x[:, k, None] - y[None, :, k])
+    return np.sqrt(total)
+
+
+def median_of_pairs(df: DataFrame, vector: str, key: str) -> float | None:
+    """The exact median of the positive distances between all pairs of rows (one a key); null if there are none.
+
+    A pass counts distances in parts of an interval that holds the middle ones, and the
+    next goes on with the part that does; once few are left they are ordered.  No pair
+    is laid out, whatever the number of passes, and no row is left out.
+    """
+    rows = df.select(key, F.col(vector).cast("array<double>").alias(vector)).filter(F.col(vector).isNotNull())
+
+    def positive(p: pd.DataFrame, x: np.ndarray, q: pd.DataFrame, y: np.ndarray) -> np.ndarray:
+        d = _distances(x, y)
+        own = p[key].to_numpy()[:, None] < q[key].to_numpy()[None, :] if p["__l"].iloc[0] == q["__r"].iloc[0] else True
+        return d[own & (d > 0)]
+
+    def counted(low: float, high: float) -> pd.DataFrame:
+        def fn(p: pd.DataFrame, x: np.ndarray, q: pd.DataFrame, y: np.ndarray) -> pd.DataFrame:
+            d = positive(p, x, q, y)
+            under, d = (d < low).sum(), d[(d >= low) & (d <= high)]
+            part = np.minimum(((d - low) / (high - low) * PARTS).astype(np.int64), PARTS - 1) if high > low else np.zeros(len(d), np.int64)
+            least, most = np.full(PARTS, np.inf), np.full(PARTS, -np.inf)
+            np.minimum.at(least, part, d)
+            np.maximum.at(most, part, d)
+            n = np.bincount(part, minlength=PARTS)
+            has = np.flatnonzero(n)
+            return pd.DataFrame({"part": np.append(has, -1), "n": np.append(n[has], under), "least": np.append(least[has], 0.0), "most": np.append(most[has], 0.0)})
+
+        sums = meet(rows, rows, vector, key, fn, "part long, n long, least double, most double", once=True)
+        return sums.groupBy("part").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")).toPandas().sort_values("part")  # PARTS rows
+
+    def held(low: float, high: float) -> np.ndarray:
+        def fn(p: pd.DataFrame, x: np.ndarray, q: pd.DataFrame, y: np.ndarray) -> pd.DataFrame:
+            d = positive(p, x, q, y)
+            return pd.DataFrame({"d": d[(d >= low) & (d <= high)]})
+
+        return np.sort([r["d"] for r in meet(rows, rows, vector, key, fn, "d double", once=True).collect()])
+
+    spread = rows.select(F.posexplode(vector).alias("k", "x")).groupBy("k").agg((F.max("x") - F.min("x")).alias("s")).agg(F.sqrt(F.sum(F.col("s") * F.col("s")))).first()[0]
+    if not spread:
+        return None
+
+    def selected(rank: int, table: pd.DataFrame, low: float, high: float) -> float:
+        """The distance of a rank from 0, by the counts of the interval."""
+        while True:
+            run = table["n"].cumsum().to_numpy()
+            at = min(int(np.searchsorted(run, rank, side="right")), len(table) - 1)
+            row = table.iloc[at]
+            low, high = float(row["least"]), float(row["most"])
+            if low == high:
+                return low
+            if row["n"] <= FEW_DISTANCES:
+                before = int(run[at] - row["n"])
+                return float(held(low, high)[rank - before])
+            table = counted(low, high)
+
+    first = counted(0.0, spread * (1 + 1e-12))
+    total = int(first["n"].sum())
+    if not total:
+        return None
+    ranks = sorted({(total - 1) // 2, total // 2})
+    return float(np.mean([selected(r, first, 0.0, spread) for r in ranks]))
+
+
+def bandwidth_of_all(df: DataFrame, vector: str, key: str, kernel: str, heuristic: str = "median") -> float | None:
+    """gamma of a kernel by the rules of ``bandwidth``, from all rows instead of a fit set."""
+    from .metrics import quantiles
+
+    if heuristic == "dimension":
+        return bandwidth(np.zeros((1, df.select(F.max(F.size(vector))).first()[0])), kernel, heuristic)
+    if heuristic == "median":
+        med = median_of_pairs(df, vector, key)
+    else:
+        near = knn_all(df, df, vector, key, {"median_nn": 1, "median_5nn": 5}[heuristic], skip_self=True)
+        med = quantiles(near.filter("kth > 0"), "kth", [0.5])[0]
+    return None if med is None else 1 / (2 * med**2) if kernel in ("rbf", "gaussfft") else 1 / med
+
+
 def bandwidth(ref: np.ndarray, kernel: str, heuristic: str) -> float:
     """gamma of a kernel by a rule: median, median_nn, median_5nn or dimension."""
     d = ref.shape[1]
@@ -129,10 +217,12 @@ def bandwidth(ref: np.ndarray, kernel: str, heuristic: str) -> float:
     return 1 / (2 * med**2) if kernel in ("rbf", "gaussfft") else 1 / med
 
 
-def meet(left: DataFrame, right: DataFrame, vector: str, key: str, fn: Callable[[pd.DataFrame, np.ndarray, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, size: int = BLOCK_ROWS, *, by: Sequence[str] = ()) -> DataFrame:
+def meet(left: DataFrame, right: DataFrame, vector: str, key: str, fn: Callable[[pd.DataFrame, np.ndarray, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, size: int = BLOCK_ROWS, *, by: Sequence[str] = (), once: bool = False) -> DataFrame:
     """Union of ``fn(a, x, b, y)`` over all pairs of a block of left rows and one of right rows; x and y are their vectors.
 
     With ``by`` only rows of equal ``by`` columns meet, each group in blocks of its own.
+    With ``once`` a table that meets itself does so by each pair of blocks in one order
+    alone; where a block meets itself, ``fn`` still gets it on both sides.
 
     Blocks are cut by a hash of the key; every row goes to as many tasks as the other
     side has blocks, so all rows meet and no task holds more than two blocks.
@@ -142,9 +232,9 @@ def meet(left: DataFrame, right: DataFrame, vector: str, key: str, fn: Callable[
     left, right = (df.filter(F.col(vector).isNotNull()) for df in (left, right))
     n, m = parts(left), parts(right)
     own = lambda k: F.pmod(F.xxhash64(key), F.lit(k)).cast("int")
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    a = left.withColumn("__l", own(n)).select("*", every(m).alias("__r"))
-    b = right.select(*[F.col(c).alias(c) for c in right.columns]).withColumn("__r", own(m)).select("*", every(n).alias("__l"))  # a table may meet itself
+    every = lambda low, high: F.explode(F.sequence(low, high))
+    a = left.withColumn("__l", own(n)).select("*", every(F.col("__l") if once else F.lit(0), F.lit(m - 1)).alias("__r"))
+    b = right.select(*[F.col(c).alias(c) for c in right.columns]).withColumn("__r", own(m)).select("*", every(F.lit(0), F.col("__r") if once else F.lit(n - 1)).alias("__l"))  # a table may meet itself
     matrix = lambda pdf: np.array(pdf[vector].tolist(), dtype=float).reshape(len(pdf), -1)
 
     def work(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
@@ -205,55 +295,6 @@ def mmd2(df: DataFrame, vector: str, key: str, label: Column, kernel: Kernel, by
     return agg.select(*by, value.alias("mmd2"))
 
 
-def _labelled_gram(df: DataFrame, vector: str, key: str, label: Column, kernel: Kernel, n: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = subsample(df.select(key, vector, label.cast("int").alias("y")), n, 0, key)
-    keys, m = reference(rows, vector, key)
-    lab = {r[key]: r["y"] for r in rows.select(key, "y").collect()}
-    g = kernel(m, m)
-    np.fill_diagonal(g, 0.0)
-    return np.array([lab[k] for k in keys], dtype=float), g
-
-
-def _mmd2(g: np.ndarray, y: np.ndarray) -> float:
-    a, b = y.sum(), (1 - y).sum()
-    return float(y @ g @ y / (a * (a - 1)) + (1 - y) @ g @ (1 - y) / (b * (b - 1)) - 2 * y @ g @ (1 - y) / (a * b))
-
-
-def _replicates(df: DataFrame, n: int, fn: Callable[[int], float]) -> DataFrame:
-    """(v): ``fn`` of the replicate numbers, spread over tasks."""
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"v": [fn(int(i)) for i in b["id"]]})
-
-    return df.sparkSession.range(n).mapInPandas(work, "v double")
-
-
-def mmd_permutation(df: DataFrame, vector: str, key: str, label: Column, kernel: Kernel, permutations: int = 200, seed: int = 0, n: int = 1000) -> DataFrame:
-    """(mmd2, null_mean, null_sd, z) against permuted labels."""
-    y, g = _labelled_gram(df, vector, key, label, kernel, n)
-    null = _replicates(df, permutations, lambda i: _mmd2(g, np.random.default_rng([seed, i]).permutation(y)))
-    out = null.agg(F.avg("v").alias("null_mean"), F.stddev_pop("v").alias("null_sd")).withColumn("mmd2", F.lit(_mmd2(g, y)))
-    return out.select("mmd2", "null_mean", "null_sd", ((F.col("mmd2") - F.col("null_mean")) / F.col("null_sd")).alias("z"))
-
-
-def mmd_interval(df: DataFrame, vector: str, key: str, label: Column, kernel: Kernel, replicates: int = 200, seed: int = 0, n: int = 1000, share: float = 0.8) -> DataFrame:
-    """The permutation test with the 5th and 95th percentile of its z over class-balanced subsamples."""
-    y, g = _labelled_gram(df, vector, key, label, kernel, n)
-    ones, zeros = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    k = min(max(30, int(share * min(len(ones), len(zeros)))), len(ones), len(zeros))
-
-    def part(i: int) -> float:
-        rng = np.random.default_rng([seed + 1, i])
-        at = np.concatenate((rng.choice(ones, k, False), rng.choice(zeros, k, False)))
-        return _mmd2(g[np.ix_(at, at)], y[at])
-
-    test = mmd_permutation(df, vector, key, label, kernel, replicates, seed, n)
-    parts = _replicates(df, replicates, part).agg(F.percentile("v", F.lit(0.05)).alias("lo"), F.percentile("v", F.lit(0.95)).alias("hi"))
-    z = lambda c: (F.col(c) - F.col("null_mean")) / F.col("null_sd")
-    return test.crossJoin(F.broadcast(parts)).select("mmd2", "z", z("lo").alias("z_low"), z("hi").alias("z_high"))
-
-
 def two_nn_dimension(df: DataFrame, vector: str, key: str, discard: float = 0.1) -> DataFrame:
     """Intrinsic dimension from ratios of the two nearest distances of all rows, the top share discarded, line through 0."""
     from .metrics import ranked

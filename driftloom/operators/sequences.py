@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,7 @@ from . import bases
 from .detectors import KernCD, _score_blocks
 from .pairs import Kernel, bandwidth, knn_all, median_distance, reference
 from .reduction import map_vectors, per_step_gamma, second_moment, sequence_gram
-from .trajectory_kernels import convolution_map, scattering_features
+from .trajectory_kernels import Scattering, convolution_map
 
 Score = Callable[[np.ndarray], np.ndarray]
 Fit = Callable[[DataFrame], Score]
@@ -59,11 +60,6 @@ class Neighbours:
         return windows.drop("score").join(near.select(F.col("key").alias("key"), "score"), "key", "left")
 
 
-def per_channel(fn: Callable[[np.ndarray], np.ndarray]) -> Callable[[np.ndarray], np.ndarray]:
-    """A map of (n, T) applied to each channel of (n, T, D), side by side."""
-    return lambda x: np.concatenate([fn(x[:, :, k]) for k in range(x.shape[2])], axis=1)
-
-
 def kernel_method(name: str, features: Callable[[np.ndarray], Callable[[np.ndarray], np.ndarray]] | None = None, lam: float = 1e-7) -> Fit:
     """KernCD with a kernel of median bandwidth on features of the windows; ``features`` may be fitted."""
 
@@ -76,7 +72,7 @@ def kernel_method(name: str, features: Callable[[np.ndarray], Callable[[np.ndarr
     return subsample(fit_points)
 
 
-def sequence_method(width: int, levels: int = 3, lam: float = 1e-7) -> Fit:
+def sequence_method(width: int, levels: int = 2, lam: float = 1e-7) -> Fit:
     """Kernel Christoffel score under the truncated sequence kernel of an RBF kernel."""
 
     def fit_points(x: np.ndarray) -> Score:
@@ -94,7 +90,7 @@ def sequence_method(width: int, levels: int = 3, lam: float = 1e-7) -> Fit:
 
         return score
 
-    return subsample(fit_points, 100)
+    return subsample(fit_points)
 
 
 def gaussian_method(windows: DataFrame) -> Score:
@@ -138,26 +134,49 @@ def spectrum_map(x: np.ndarray) -> np.ndarray:
     return (np.abs(np.fft.fft(x, axis=1)) / x.shape[1]).reshape(len(x), -1)
 
 
-#: The twelve methods by name: a width gives the fit.
-METHODS: dict[str, Callable[[int], Fit]] = {
-    "fft": lambda w: kernel_method("rbf", lambda x: with_seq_len(spectrum_map, w)),
-    "sig": lambda w: sequence_method(w),
-    "scatter": lambda w: kernel_method("rbf", lambda x: with_seq_len(per_channel(lambda z: scattering_features(z, 3, 2, 1)), w)),
-    "minirocket": lambda w: kernel_method("rbf", lambda x: with_seq_len(_convolutions(x.reshape(len(x), w, -1)), w)),
-    "rbf": lambda w: kernel_method("rbf"),
-    "abel": lambda w: kernel_method("abel"),
-    "conv_ae": lambda w: reconstruction_method(max(1, w // 2)),
-    "gaussian": lambda w: gaussian_method,
-    "cd_poly_d2": lambda w: polynomial_method(2),
-    "cd_poly_d3": lambda w: polynomial_method(3),
-    "cd_poly_d4": lambda w: polynomial_method(4),
-    "knn": lambda w: lambda windows: Neighbours(windows.select("key", "w"), 5),
+@dataclass(frozen=True)
+class KernelSpec:
+    """A kernel Christoffel method: the kernel, and what makes a feature map of (n, width, D) from the fitted windows."""
+
+    kernel: str
+    features: Callable[[np.ndarray], Callable[[np.ndarray], np.ndarray]] | None = None
+
+    def fit(self, width: int) -> Fit:
+        shaped = lambda x: x.reshape(len(x), width, -1)
+        made = None if self.features is None else lambda x: with_seq_len(self.features(shaped(x)), width)
+        return kernel_method(self.kernel, made)
+
+
+#: Kernels by name; each is scored by the Christoffel function of its Gram matrix.
+KERNELS = {
+    "fft": KernelSpec("rbf", lambda _: spectrum_map),
+    "scatter": KernelSpec("rbf", lambda x: Scattering(x.shape[1])),
+    "minirocket": KernelSpec("rbf", convolution_map),
+    "rbf": KernelSpec("rbf"),
+    "abel": KernelSpec("abel"),
+}
+#: Methods that aren't kernels on features; a width gives the fit.
+OTHERS: dict[str, Callable[[int], Fit]] = {
+    "sig": sequence_method,
+    "conv_ae": lambda width: reconstruction_method(max(1, width // 2)),
+    "gaussian": lambda _: gaussian_method,
+    "knn": lambda _: lambda windows: Neighbours(windows.select("key", "w"), 5),
 }
+#: Degrees of the polynomial methods ``cd_poly_d<degree>``.
+DEGREES = (2, 3, 4)
 
 
-def _convolutions(x: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
-    maps = [convolution_map(x[:, :, k]) for k in range(x.shape[2])]
-    return lambda z: np.concatenate([f(z[:, :, k]) for k, f in enumerate(maps)], axis=1)
+def method(name: str, width: int) -> Fit:
+    """The fit of one of the twelve methods on windows of ``width`` steps."""
+    if name in KERNELS:
+        return KERNELS[name].fit(width)
+    if name in OTHERS:
+        return OTHERS[name](width)
+    return polynomial_method(int(name.removeprefix("cd_poly_d")))
+
+
+#: The twelve methods by name: a width gives the fit.
+METHODS: dict[str, Callable[[int], Fit]] = {name: partial(method, name) for name in (*KERNELS, *OTHERS, *[f"cd_poly_d{d}" for d in DEGREES])}
 
 
 def in_training(horizon: int) -> Column:

@@ -50,10 +50,13 @@ class TemporalKernel:
 
 def spatiotemporal(x: np.ndarray, y: np.ndarray, temporal: np.ndarray, spatial: Kernel) -> np.ndarray:
     """Sum over time pairs of temporal weight times spatial kernel, for (n, T, D) and (m, T, D)."""
-    out = np.zeros((len(x), len(y)))
-    for i, p in enumerate(x):
-        for j, q in enumerate(y):
-            out[i, j] = (temporal * spatial(p, q)).sum()
+    (n, steps, _), (m, others, _) = x.shape, y.shape
+    out, flat = np.empty((n, m)), y.reshape(m * others, -1)
+    part = max(1, (1 << 22) // (m * steps * others))
+    for at in range(0, n, part):
+        rows = x[at:at + part]
+        values = spatial(rows.reshape(len(rows) * steps, -1), flat).reshape(len(rows), steps, m, others)
+        out[at:at + part] = np.einsum("ismt,st->im", values, temporal, optimize=True)
     return out
 
 
@@ -102,56 +105,133 @@ def fit_gammas(x: np.ndarray, groups: Sequence[Sequence[int]]) -> list[float]:
     return out
 
 
+#: Taps of a convolution and how many of them weigh 2 (the others -1): 84 choices.
+TAPS, HEAVY = 9, 3
+#: Fractional part of the golden mean: multiples of it fill 0 .. 1 evenly.
+GOLDEN = (5**0.5 - 1) / 2
+
+
 def convolution_map(x: np.ndarray, n_features: int = 9996, seed: int = 0) -> Callable[[np.ndarray], np.ndarray]:
-    """A map of (n, T) to shares of positive values of dilated convolutions: weights 2 at three of nine taps, else -1.
+    """A map of windows (n, T, D) to ``n_features`` shares of positive values of dilated convolutions.
 
-    The 84 choices of taps are spread over dilations that fit the length; biases are
-    quantiles of the output on drawn rows of the fitted ``x``.
+    The 84 choices of taps are spread over dilations that fit the length, each with a
+    drawn subset of the channels whose responses are summed; biases are quantiles,
+    evenly spread, of the response on drawn rows of the fitted ``x``.
     """
     from itertools import combinations
 
-    taps, length = list(combinations(range(9), 3)), x.shape[1]
+    x = x if x.ndim == 3 else x[:, :, None]
+    taps, (_, length, depth) = np.array(list(combinations(range(TAPS), HEAVY))), x.shape
     per = max(1, n_features // len(taps))
-    most = max(1.0, (length - 1) / 8)
-    dilations, counts = np.unique(np.floor(2 ** np.linspace(0, np.log2(most), per)).astype(int), return_counts=True)
+    most = max(1.0, (length - 1) / (TAPS - 1))
+    dilations, counts = np.unique(np.floor(2 ** np.linspace(0, np.log2(most), min(per, 32))).astype(int), return_counts=True)
+    share = np.floor(np.cumsum(counts) / counts.sum() * per).astype(int)
+    counts = np.diff(np.concatenate(([0], share)))
     rng = np.random.default_rng(seed)
-
-    def outputs(z: np.ndarray, d: int):
-        pad = np.pad(z, ((0, 0), (4 * d, 4 * d)))
-        shifts = np.stack([pad[:, i * d:i * d + length] for i in range(9)])
+    widest = np.log2(min(depth, TAPS) + 1)
+    subsets = [[rng.choice(depth, int(2 ** rng.uniform(0, widest)), replace=False) for _ in taps] for _ in dilations]
+
+    def outputs(z: np.ndarray, which: int):
+        """The response (n, T) of each choice of taps at a dilation."""
+        d = int(dilations[which])
+        reach = (TAPS // 2) * d
+        pad = np.pad(z, ((0, 0), (reach, reach), (0, 0)))
+        shifts = np.stack([pad[:, i * d:i * d + length] for i in range(TAPS)])
         total = -shifts.sum(0)
-        for a in taps:
-            yield total + 3 * shifts[list(a)].sum(0)
-
-    biases = [[np.quantile(out[rng.integers(len(x))], rng.uniform(0, 1, c)) for out in outputs(x, d)] for d, c in zip(dilations, counts, strict=True)]
+        for pick, channels in zip(taps, subsets[which], strict=True):
+            yield (total[:, :, channels] + (1 + 2) * shifts[pick][:, :, :, channels].sum(0)).sum(2)
+
+    biases, used = [], 0
+    for which, c in enumerate(counts):
+        every = []
+        for k in range(len(taps)):
+            every.append((rng.integers(len(x)), (np.arange(used, used + c) + 1) * GOLDEN % 1))
+            used += c
+        responses = outputs(x, which)
+        biases.append([np.quantile(out[row], shares) for out, (row, shares) in zip(responses, every, strict=True)])
 
     def features(z: np.ndarray) -> np.ndarray:
-        cols = [(out[:, :, None] > b).mean(1) for d, every in zip(dilations, biases, strict=True) for out, b in zip(outputs(z, d), every, strict=True)]
+        z = z if z.ndim == 3 else z[:, :, None]
+        cols = [np.stack([(out > b).mean(1) for b in each], axis=1) for which, every in enumerate(biases) for out, each in zip(outputs(z, which), every, strict=True) if len(each)]
         return np.concatenate(cols, axis=1)
 
     return features
 
 
-def convolution_features(x: np.ndarray, n_features: int = 504, seed: int = 0) -> np.ndarray:
-    return convolution_map(x, n_features, seed)(x)
+class Scattering:
+    """Wavelet scattering of windows (n, T, D): moduli of a Morlet cascade, averaged by a low pass and over time.
 
+    The first order has ``per_octave`` wavelets in each of ``octaves`` octaves, the second
+    one; a second-order path goes down in frequency.  Windows are reflected to a power of two, filters live in the Fourier
+    domain, and a modulus is kept at the rate that its band needs.  The bank of an order
+    is scaled so that its squared responses sum to at most 1 at every frequency, so no
+    step adds energy.
+    """
 
-def scattering_features(x: np.ndarray, scales: int = 4, per_octave: int = 1, order: int = 2) -> np.ndarray:
-    """Averages of moduli of Morlet responses of (n, T), of first and (``order`` 2) second order, in the Fourier domain.
+    #: Highest centre, and widths of a wavelet and of the low pass at one per octave.
+    TOP, WIDTH, LOW = 0.35, 0.4, 0.1
+
+    def __init__(self, length: int, octaves: int = 6, per_octave: int = 1, order: int = 2):
+        self.length, self.order = length, order
+        self.octaves = max(1, min(octaves, int(np.log2(length))))
+        self.size = 1 << int(np.ceil(np.log2(2 * length)))
+        self.low = self._gauss(0.0, self.LOW * 2.0 ** (1 - self.octaves))
+        self.first = self._bank(per_octave)
+        self.second = self._bank(1)
+
+    def _gauss(self, centre: float, width: float) -> np.ndarray:
+        f = np.fft.fftfreq(self.size)
+        return sum(np.exp(-0.5 * ((f - centre + k) / width) ** 2) for k in (-1, 0, 1))  # frequencies wrap around
+
+    def _bank(self, per_octave: int) -> list[tuple[float, np.ndarray]]:
+        found = []
+        for j in range(self.octaves * per_octave):
+            centre = self.TOP * 2.0 ** (-j / per_octave)
+            width = max(centre * self.WIDTH / per_octave, self.LOW * 2.0 ** (1 - self.octaves))
+            band, still = self._gauss(centre, width), self._gauss(0.0, width)
+            found.append((centre, band - band[0] / still[0] * still))  # no response to a constant
+        scale = np.sqrt(((self.energy(found) - self.low**2) / np.maximum(1 - self.low**2, 1e-9)).max())
+        return [(c, b / scale) for c, b in found]
+
+    def energy(self, bank: list[tuple[float, np.ndarray]]) -> np.ndarray:
+        """Sum of squared responses at each frequency, of real signals."""
+        mirrored = lambda b: np.roll(b[::-1], 1)
+        return self.low**2 + sum(b**2 + mirrored(b) ** 2 for _, b in bank) / 2
 
-    ``scales`` octaves with ``per_octave`` filters each.
-    """
-    n, length = x.shape
-    freq, spectrum = np.fft.fftfreq(length), np.fft.fft(x, axis=1)
-    centres = [0.35 / 2 ** (j / per_octave) for j in range(scales * per_octave)]
-    filters = [np.exp(-0.5 * ((freq - c) * per_octave * 1.4 / c) ** 2) for c in centres]
-    out = [x.mean(1)]
-    for j, f in enumerate(filters):
-        u = np.abs(np.fft.ifft(spectrum * f, axis=1))
-        out.append(u.mean(1))
-        for g in filters[j + 1:] if order > 1 else ():
-            out.append(np.abs(np.fft.ifft(np.fft.fft(u, axis=1) * g, axis=1)).mean(1))
-    return np.column_stack(out)
+    @staticmethod
+    def _folded(spectrum: np.ndarray, rate: int) -> np.ndarray:
+        """The spectrum of every ``rate``-th value."""
+        return spectrum.reshape(*spectrum.shape[:-1], rate, -1).mean(-2)
+
+    def _averaged(self, spectrum: np.ndarray, rate: int) -> np.ndarray:
+        low = np.fft.ifft(spectrum * self._folded(self.low * rate, rate)).real
+        return low[..., :max(1, self.length // rate)].mean(-1)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        """Features (n, D * paths), channel by channel."""
+        x = x if x.ndim == 3 else x[:, :, None]
+        n, length, depth = x.shape
+        rows = x.transpose(0, 2, 1).reshape(n * depth, length)
+        both = np.concatenate((rows, rows[:, ::-1]), axis=1)
+        spectrum = np.fft.fft(np.pad(both, ((0, 0), (0, self.size - 2 * length)), mode="wrap"))
+        out = [self._averaged(spectrum, 1)]
+        for centre, band in self.first:
+            rate = self._rate(centre)
+            modulus = np.fft.fft(np.abs(np.fft.ifft(self._folded(spectrum * band, rate))))
+            out.append(self._averaged(modulus, rate))
+            for lower, below in self.second if self.order > 1 else ():
+                if lower < centre:
+                    next_rate = max(rate, self._rate(lower))
+                    folded = self._folded(modulus * self._folded(below * rate, rate), next_rate // rate)
+                    out.append(self._averaged(np.fft.fft(np.abs(np.fft.ifft(folded))), next_rate))
+        return np.column_stack(out).reshape(n, -1)
+
+    def _rate(self, centre: float) -> int:
+        """Values that may be left out between two kept ones: a power of two below the band's reach."""
+        rate = 1
+        while centre * (1 + 3 * self.WIDTH) * 2 * rate < 0.5 and rate * 2 <= self.size // 4:
+            rate *= 2
+        return rate
 
 
 def count_sketch(x: np.ndarray, degree: int, width: int, seed: int = 0) -> np.ndarray:
@@ -159,9 +239,8 @@ def count_sketch(x: np.ndarray, degree: int, width: int, seed: int = 0) -> np.nd
     rng, prod = np.random.default_rng(seed), None
     for _ in range(degree):
         h, s = rng.integers(0, width, x.shape[1]), rng.choice([-1.0, 1.0], x.shape[1])
-        c = np.zeros((len(x), width))
-        for j in range(x.shape[1]):
-            c[:, h[j]] += s[j] * x[:, j]
-        f = np.fft.fft(c, axis=1)
+        c = np.zeros((width, len(x)))
+        np.add.at(c, h, s[:, None] * x.T)
+        f = np.fft.fft(c.T, axis=1)
         prod = f if prod is None else prod * f
     return np.fft.ifft(prod, axis=1).real

@@ -88,17 +88,18 @@ def moving_average(channel: str, width: int) -> Column:
 
 
 def low_pass(states: DataFrame, channel: str, alpha: float) -> DataFrame:
-    """``y = alpha * x + (1 - alpha) * y_before`` from 0; sequential in an episode, so one Arrow group each."""
+    """(ep, t, y) with ``y = alpha * x + (1 - alpha) * y_before`` from 0, at the steps of ``states``.
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t", kind="stable")
-        y, out = 0.0, np.empty(len(pdf))
-        for i, x in enumerate(pdf[channel].to_numpy(float)):
-            y = out[i] = alpha * x + (1 - alpha) * y
-        return pd.DataFrame({"ep": pdf["ep"], "t": np.arange(len(pdf)), "y": out})
+    An episode of any length is scanned in blocks.  A missing value leaves the filter
+    as it was and has a null ``y``.
+    """
+    from .scans import affine_scan
 
-    kind = dict(states.dtypes)["ep"]
-    return states.select("ep", "t", channel).groupBy("ep").applyInPandas(work, f"ep {kind}, t long, y double")
+    x = F.col(channel).cast("double")
+    maps = states.select("ep", "t", F.when(x.isNull(), 1.0).otherwise(1 - alpha).alias("a"), F.coalesce(alpha * x, F.lit(0.0)).alias("b"), x.isNull().alias("__gap"))
+    scanned = affine_scan(maps, ["ep"], "t")
+    gaps = maps.filter("__gap").select("ep", "t", "__gap")
+    return scanned.join(gaps, ["ep", "t"], "left").select("ep", F.col("t").cast("long").alias("t"), F.when(F.col("__gap").isNull(), F.col("y")).alias("y"))
 
 
 def held(flag: Column, k: int) -> Column:

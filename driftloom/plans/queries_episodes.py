@@ -60,8 +60,8 @@ def truncate_range(spark, d):
     return E.truncate(states, event_episodes(states), 10, 40)[1]
 
 
-@query(f"WITH {LINES}, m AS (SELECT avg(quantity) a, CASE WHEN stddev_pop(quantity) = 0 THEN 1 ELSE stddev_pop(quantity) END b, avg(price) c, CASE WHEN stddev_pop(price) = 0 THEN 1 ELSE stddev_pop(price) END e FROM states WHERE ep % 2 = 0) "
-       "SELECT ep, t, round((quantity - a) / b, 6) AS quantity, round((price - c) / e, 6) AS price FROM states, m")
+@query(f"WITH {LINES}, m AS (SELECT ep, t, quantity, price, avg(quantity) FILTER (ep % 2 = 0) OVER () AS a, stddev_pop(quantity) FILTER (ep % 2 = 0) OVER () AS b, avg(price) FILTER (ep % 2 = 0) OVER () AS c, stddev_pop(price) FILTER (ep % 2 = 0) OVER () AS e FROM states) "
+       "SELECT ep, t, round((quantity - a) / CASE WHEN b = 0 THEN 1 ELSE b END, 6) AS quantity, round((price - c) / CASE WHEN e = 0 THEN 1 ELSE e END, 6) AS price FROM m")
 def channel_zscore(spark, d):
     s = line_states(spark, d).select("ep", "t", "quantity", "price")
     return rounded(E.normalize_channels(s, ["quantity", "price"], F.col("ep") % 2 == 0))

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators import bases as B
 from ..operators import detectors as D
+from ..operators import factorizations as FA
+from ..operators import metrics as M
 from ..operators import pairs as P
 from ..operators import reduction as R
+from ..operators import resampling as U
 from ..operators import signals as S
 from ..operators import windows as W
 from ..sources import tables as T
@@ -77,17 +80,19 @@ def mmd2_unbiased(spark, d):
 
 @query()
 def mmd_permutation_test(spark, d):
-    return P.mmd_permutation(vectors(spark, d), "v", "vec_id", F.col("label") < 3, P.Kernel("rbf", gamma=0.5), 100)
+    return U.mmd_permutation(vectors(spark, d), "v", "vec_id", F.col("label") < 3, P.Kernel("rbf", gamma=0.5), 100)
 
 
-@query(f"WITH {SOME} SELECT round(median(dist), 6) AS med FROM (SELECT sqrt({SQ}) AS dist FROM ref a, ref b WHERE a.vec_id < b.vec_id) WHERE dist > 0")
+@query(f"WITH {REF} SELECT round(median(dist), 6) AS med FROM (SELECT sqrt({SQ}) AS dist FROM ref a, ref b WHERE a.vec_id < b.vec_id) WHERE dist > 0")
 def median_bandwidth(spark, d):
-    return spark.range(1).select(F.round(F.lit(P.median_distance(_ref(spark, d)[1])), 6).alias("med"))
+    return spark.range(1).select(F.round(F.lit(P.median_of_pairs(vectors(spark, d), "v", "vec_id")), 6).alias("med"))
 
 
-@query(f"WITH {SOME} SELECT round(median(dist), 6) AS med FROM (SELECT min(sqrt({SQ})) AS dist FROM ref a, ref b WHERE a.vec_id <> b.vec_id GROUP BY a.vec_id) WHERE dist > 0")
+@query(f"WITH {REF} SELECT round(median(dist), 6) AS med FROM (SELECT min(sqrt({SQ})) AS dist FROM ref a, ref b WHERE a.vec_id <> b.vec_id GROUP BY a.vec_id) WHERE dist > 0")
 def median_neighbour_distance(spark, d):
-    return spark.range(1).select(F.round(F.lit(P.median_distance(_ref(spark, d)[1], 1)), 6).alias("med"))
+    v = vectors(spark, d)
+    near = P.knn_all(v, v, "v", "vec_id", 1, skip_self=True).filter("nearest > 0")
+    return spark.range(1).select(F.round(F.lit(M.quantiles(near, "nearest", [0.5])[0]), 6).alias("med"))
 
 
 KNN = f"{REF}, nn AS (SELECT a.vec_id, sqrt({SQ}) AS dist, row_number() OVER (PARTITION BY a.vec_id ORDER BY {SQ}, b.vec_id) AS r FROM vectors a, ref b)"
@@ -146,13 +151,22 @@ def moment_matrix(spark, d):
     return spark.range(1).select(*[F.lit(v).alias(n) for v, n in zip(row, ("m01", "m02", "m11", "m12", "m22"), strict=True)])
 
 
-@query(f"""WITH {LINES}, m AS (SELECT avg(quantity) AS a, avg(discount) AS b, var_pop(quantity) AS v, var_pop(discount) AS w, covar_pop(quantity, discount) AS c FROM states)
-SELECT ep, t, round(1 + (w * power(quantity - a, 2) - 2 * c * (quantity - a) * (discount - b) + v * power(discount - b, 2)) / (v * w - c * c), 5) AS score FROM states, m""")
+CD1 = f"""WITH {LINES}, m AS (SELECT *, avg(quantity) OVER () AS a, avg(discount) OVER () AS b, var_pop(quantity) OVER () AS v, var_pop(discount) OVER () AS w, covar_pop(quantity, discount) OVER () AS c FROM states)
+SELECT ep, t, round(1 + (w * power(quantity - a, 2) - 2 * c * (quantity - a) * (discount - b) + v * power(discount - b, 2)) / (v * w - c * c), 5) AS score FROM m"""
+
+
+@query(CD1)
 def cd_score_degree1(spark, d):
     s = line_states(spark, d)
     return rounded(D.CDPolynomial.fit(s, ["quantity", "discount"], 1).score(s).select("ep", "t", "score"), 5)
 
 
+@query(CD1)
+def cd_score_qr(spark, d):
+    s = line_states(spark, d).select("ep", "t", "quantity", "discount")
+    return rounded(D.CDPolynomial.fit(s, ["quantity", "discount"], 1, method="qr").score(s).select("ep", "t", "score"), 5)
+
+
 @query()
 def cd_score_degree3(spark, d):
     s = line_states(spark, d).select("ep", "t", ((F.col("quantity") - 25.5) / 14.4).alias("q"), ((F.col("discount") - 0.05) / 0.0316).alias("s"))
@@ -171,6 +185,28 @@ def kerncd_low_rank(spark, d):
     return D.KernCD.fit(v.filter("label < 5"), "v", "vec_id", "rbf", lam=1e-3, n=200, rank=60, pivot="greedy").score(v, "v").select("vec_id", "label", "score")
 
 
+@query()
+def kerncd_low_rank_all(spark, d):
+    """Every row of the fitted labels is a candidate for a pivot and a fit row."""
+    v = vectors(spark, d)
+    model = D.KernCD.fit_all(v.filter("label < 5"), "v", "vec_id", P.Kernel("rbf", gamma=0.5), 60, 1e-3)
+    return model.score(v, "v").select("vec_id", "label", "score")
+
+
+#: Pivots by greatest residual over all vectors: three columns of the factor by hand, in SQL.
+PIVOTS = f"""WITH {VECTORS}, one AS (SELECT vec_id, v FROM vectors ORDER BY vec_id LIMIT 1),
+c1 AS (SELECT a.vec_id, a.v, exp(-0.5 * {SQ}) AS f1 FROM vectors a, one b), d1 AS (SELECT *, 1 - f1 * f1 AS d FROM c1), two AS (SELECT * FROM d1 ORDER BY round(d, 12) DESC, vec_id LIMIT 1),
+c2 AS (SELECT a.*, (exp(-0.5 * {SQ}) - a.f1 * b.f1) / sqrt(b.d) AS f2 FROM d1 a, two b), d2 AS (SELECT vec_id, v, f1, f2, greatest(d - f2 * f2, 0) AS d FROM c2), three AS (SELECT * FROM d2 ORDER BY round(d, 12) DESC, vec_id LIMIT 1)
+SELECT 0 AS step, vec_id, 1.0::DOUBLE AS residual FROM one UNION ALL SELECT 1, vec_id, round(d, 6) FROM two UNION ALL SELECT 2, vec_id, round(d, 6) FROM three"""
+
+
+@query(PIVOTS)
+def greedy_pivots(spark, d):
+    got = FA.pivoted_cholesky_all(vectors(spark, d), "v", "vec_id", P.Kernel("rbf", gamma=0.5), 3)
+    rows = [(i, int(k), round(float(got.triangle[i, i] ** 2), 6)) for i, k in enumerate(got.keys)]
+    return spark.createDataFrame(rows, "step int, vec_id long, residual double")
+
+
 @query()
 def kerncd_online(spark, d):
     v = vectors(spark, d)
@@ -182,7 +218,7 @@ def kerncd_online(spark, d):
 @query()
 def reconstruction_error(spark, d):
     v = vectors(spark, d)
-    return D.LinearReconstruction.fit(v.filter("label < 5"), "v", "vec_id", 16).score(v, "v").select("vec_id", "score")
+    return D.LinearReconstruction.fit(v.filter("label < 5"), "v", 16).score(v, "v").select("vec_id", "score")
 
 
 @query()

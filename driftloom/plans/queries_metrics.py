@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import episodes as E
 from ..operators import metrics as M
+from ..operators import resampling as U
 from ..operators import sequences
 from ..operators.detectors import Gaussian
 from . import experiment
@@ -191,14 +192,14 @@ def conformal_order_statistic(spark, d):
     return spark.range(1).select(F.round(F.lit(tau), 6).alias("tau"))
 
 
-@query(f"WITH {LINES}, c AS (SELECT avg(quantity) AS a, stddev_pop(quantity) + 1e-8 AS b, avg(tax) AS e, stddev_pop(tax) + 1e-8 AS f FROM states WHERE ep % 2 = 0) SELECT ep, t AS \"end\", round(greatest((quantity - a) / b, (tax - e) / f), 6) AS z FROM states, c")
+@query(f"WITH {LINES}, c AS (SELECT ep, t, quantity, tax, avg(quantity) FILTER (ep % 2 = 0) OVER () AS a, stddev_pop(quantity) FILTER (ep % 2 = 0) OVER () + 1e-8 AS b, avg(tax) FILTER (ep % 2 = 0) OVER () AS e, stddev_pop(tax) FILTER (ep % 2 = 0) OVER () + 1e-8 AS f FROM states) SELECT ep, t AS \"end\", round(greatest((quantity - a) / b, (tax - e) / f), 6) AS z FROM c")
 def or_of_detectors(spark, d):
     s = line_states(spark, d)
     named = {c: s.select("ep", F.col("t").alias("end"), F.col(c).alias("score")) for c in ("quantity", "tax")}
     return rounded(M.or_combination(named, {c: v.filter("ep % 2 = 0") for c, v in named.items()}))
 
 
-@query(f"WITH {LINES}, m AS (SELECT avg(quantity) a, stddev_pop(quantity) + 1e-8 b, avg(price) c, stddev_pop(price) + 1e-8 e FROM states WHERE t < 100) SELECT ep, t, round(sqrt(power((quantity - a) / b, 2) + power((price - c) / e, 2)), 6) AS score FROM states, m")
+@query(f"WITH {LINES}, m AS (SELECT *, avg(quantity) FILTER (t < 100) OVER () AS a, stddev_pop(quantity) FILTER (t < 100) OVER () + 1e-8 AS b, avg(price) FILTER (t < 100) OVER () AS c, stddev_pop(price) FILTER (t < 100) OVER () + 1e-8 AS e FROM states) SELECT ep, t, round(sqrt(power((quantity - a) / b, 2) + power((price - c) / e, 2)), 6) AS score FROM m")
 def gaussian_state_scores(spark, d):
     s = line_states(spark, d).select("ep", "t", "quantity", "price")
     return rounded(Gaussian.fit(s.filter("t < 100"), ["quantity", "price"]).score(s).select("ep", "t", "score"))
@@ -213,7 +214,7 @@ def mean_and_sd_by_keys(spark, d):
 @query()
 def bootstrap_auroc(spark, d):
     v = vectors(spark, d).select((F.col("label") < 3).cast("int").alias("label"), F.col("v")[0].alias("score"))
-    return M.bootstrap_se(v, M.auroc_np, n=500)
+    return U.bootstrap_auroc(v, replicates=500)
 
 
 @query(f"WITH {EVENTS} SELECT round(avg(CASE WHEN x > q THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM (SELECT x FROM states WHERE ep % 2 = 1), (SELECT quantile_cont(x, 0.95) AS q FROM states WHERE ep % 2 = 0)")

@@ -45,8 +45,32 @@ def divergence_slope(spark, d):
     return rounded(X.divergence_slope(X.forward_divergence(s, params, "x", ["m"], [1.0], 5, 20)))
 
 
+#: Nearest states of matched episodes within three steps of time, from step 3 on, with eight steps more.
+MATCHED = f"""{EVENTS}, z AS (SELECT ep, t, x / stddev_pop(x) OVER () AS x FROM states), pr AS (SELECT ep, avg(x) AS m, count(*) AS n FROM states GROUP BY ep),
+ab AS (SELECT a.ep AS ep, b.ep AS match, a.n AS n, b.n AS match_n FROM pr a JOIN pr b ON a.ep <> b.ep AND abs(a.m - b.m) <= 0.1 * (SELECT max(m) - min(m) FROM pr)),
+nn AS (SELECT ab.ep, x.t, ab.match, y.t AS match_t, row_number() OVER (PARTITION BY ab.ep, x.t ORDER BY power(x.x - y.x, 2), ab.match, y.t) AS r
+  FROM ab JOIN z x ON x.ep = ab.ep JOIN z y ON y.ep = ab.match AND y.t BETWEEN x.t - 3 AND x.t + 3 WHERE x.t >= 3 AND x.t + 8 < n AND y.t >= 3 AND y.t + 8 < match_n),
+c AS (SELECT s, avg(ln(abs(x.x - y.x) + 1e-12)) AS mean_log, count(*) AS n FROM nn, (SELECT unnest(range(9)) AS s) JOIN z x ON x.ep = nn.ep AND x.t = nn.t + s JOIN z y ON y.ep = nn.match AND y.t = nn.match_t + s WHERE r = 1 GROUP BY s)"""
+
+
+def _matched(spark, d):
+    s = event_states(spark, d)
+    eps = s.groupBy("ep").agg(F.avg("x").alias("m"), F.count("*").alias("n_steps"))
+    return X.matched_divergence(s, eps, ["x"], ["m"], window=3, start=3, steps=8, anchors=None, replicates=50)
+
+
+@query(f"WITH {MATCHED} SELECT s, round(mean_log, 5) AS mean_log, n FROM c")
+def matched_divergence(spark, d):
+    return rounded(_matched(spark, d)[0].select(F.col("s").cast("long").alias("s"), "mean_log", "n"), 5)
+
+
+@query(f"WITH {MATCHED} SELECT round(regr_slope(mean_log, s), 5) AS slope FROM c WHERE s >= 2")
+def matched_divergence_slope(spark, d):
+    return rounded(_matched(spark, d)[1].select("slope"), 5)
+
+
 #: Reference episodes and windows of the Gram queries; every other row is held against them.
-REFERENCES = 3
+REFERENCES = 100
 GRAM = f"""{LINES}, cap AS (SELECT ep FROM (SELECT DISTINCT ep FROM states) ORDER BY {rank_sql(0)}, ep LIMIT {REFERENCES}),
 g AS (SELECT a.t, a.ep AS i, b.ep AS j, exp(-0.001 * power(a.quantity - b.quantity, 2)) AS k FROM states a JOIN states b ON a.t = b.t WHERE b.ep IN (SELECT ep FROM cap))"""
 
@@ -202,24 +226,25 @@ def signature_kernel(spark, d):
 
 
 def _of_features(spark, d, fit):
-    """RBF of the features of every window against those of the reference windows."""
+    """RBF of the features of every window, over both channels, against those of the reference windows; gamma by their median distance."""
 
     def kernel(ref):
-        features = fit(ref[:, :, 0])
-        own = features(ref[:, :, 0])
-        return lambda x: P.Kernel("rbf", gamma=1 / (2 * own.shape[1]))(features(x[:, :, 0]), own)
+        features = fit(ref)
+        own = features(ref)
+        rbf = P.Kernel("rbf", gamma=P.bandwidth(own, "rbf", "median"))
+        return lambda x: rbf(features(x), own)
 
     return _against_some(spark, d, kernel)
 
 
 @query()
 def convolution_kernel(spark, d):
-    return _of_features(spark, d, lambda ref: K.convolution_map(ref, 504))
+    return _of_features(spark, d, lambda ref: K.convolution_map(ref, 9996))
 
 
 @query()
 def scattering_kernel(spark, d):
-    return _of_features(spark, d, lambda _: K.scattering_features)
+    return _of_features(spark, d, lambda ref: K.Scattering(ref.shape[1]))
 
 
 COMPOSITE = f"""WITH {CUTS}, q AS (SELECT x.ep AS i, y.ep AS j, sum(power(x.a - y.a, 2)) AS da, sum(power(x.b - y.b, 2)) AS db FROM p x JOIN p y ON x.t = y.t WHERE y.ep IN (SELECT ep FROM cap) GROUP BY 1, 2),
@@ -346,9 +371,21 @@ def mixture_components(spark, d):
 
 @query()
 def mds_coordinates(spark, d):
-    keys, x = P.reference(vectors(spark, d), "v", "vec_id", 200)  # a spectrum on the driver
-    z = R.classical_mds(np.sqrt(P.squared_distances(x, x)), 2)
-    return spark.createDataFrame([(int(k), float(abs(a)), float(abs(b))) for k, (a, b) in zip(keys, z, strict=True)], "vec_id long, z0 double, z1 double")
+    return R.landmark_mds(vectors(spark, d), "v", "vec_id", 2, 300).select("vec_id", F.col("z")[0].alias("z0"), F.col("z")[1].alias("z1"))
+
+
+@query()
+def bilinear_errors(spark, d):
+    """Windows of four channels on six splines over time, by each strategy and number of directions."""
+    w = W.sliding(line_states(spark, d), ["quantity", "price", "discount", "tax"], 20, 20)
+    scale = np.array([1 / 50, 1 / 1e5, 10, 10])
+    w = w.select(F.flatten(F.transform("w", lambda s: F.array(*[s[i] * float(scale[i]) for i in range(4)]))).alias("w"))
+    basis, rows = B.temporal_matrix("bspline", 20, 6), []
+    for strategy in ("space_first", "time_first", "joint"):
+        for k in (1, 2, 3):
+            e = R.BilinearEncoder.fit(w, "w", basis, k, strategy)
+            rows.append((strategy, k, e.error, len(e.errors) - 1))
+    return spark.createDataFrame(rows, "strategy string, directions int, error double, rounds int")
 
 
 @query(f"WITH {LINES}, g AS (SELECT ep % 3 AS seed, (discount >= 0.05)::INT AS label, quantity AS score FROM states) SELECT seed, round(avg(CASE WHEN label = 1 THEN (score > 40)::INT::DOUBLE END), 6) AS tpr, round(avg(CASE WHEN label = 0 THEN (score <= 40)::INT::DOUBLE END), 6) AS tnr FROM g GROUP BY seed")

@@ -10,6 +10,7 @@ from ..operators import episodes as E
 from ..operators import metrics as M
 from ..operators import pairs as P
 from ..operators import reduction as R
+from ..operators import resampling as U
 from ..operators import volume as V
 from ..operators import windows as W
 from .base import EVENTS, LINES, VECTORS, event_episodes, event_states, line_states, query, rank_sql, rounded, vectors
@@ -54,7 +55,7 @@ def prefix_mean_embedding(spark, d):
     return rounded(V.prefix_embedding(event_states(spark, d), 1, 2, 0.0001, [5, 10, 20]))
 
 
-@query(f"WITH {LINES}, u AS (SELECT ep, t, quantity, lead(quantity) OVER (PARTITION BY ep ORDER BY t) AS nxt FROM states), f AS (SELECT regr_slope(nxt, quantity) AS b, regr_intercept(nxt, quantity) AS a FROM u WHERE ep % 2 = 0) SELECT ep, t, round(nxt - a - b * quantity, 5) AS residual FROM u, f WHERE nxt IS NOT NULL")
+@query(f"WITH {LINES}, u AS (SELECT ep, t, quantity, lead(quantity) OVER (PARTITION BY ep ORDER BY t) AS nxt FROM states), f AS (SELECT ep, t, nxt, quantity, regr_slope(nxt, quantity) FILTER (ep % 2 = 0) OVER () AS b, regr_intercept(nxt, quantity) FILTER (ep % 2 = 0) OVER () AS a FROM u) SELECT ep, t, round(nxt - a - b * quantity, 5) AS residual FROM f WHERE nxt IS NOT NULL")
 def next_state_residuals(spark, d):
     s = line_states(spark, d).select("ep", "t", "quantity", F.lead("quantity").over(W.steps()).alias("nxt"))
     return rounded(V.linear_residuals(s, ["quantity"], "nxt", F.col("ep") % 2 == 0).select("ep", "t", "residual"), 5)
@@ -112,4 +113,4 @@ def cross_group_evaluation(spark, d):
 
 @query()
 def mmd_with_interval(spark, d):
-    return P.mmd_interval(vectors(spark, d), "v", "vec_id", F.col("label") < 3, P.Kernel("rbf", gamma=0.5), 100, n=300)
+    return U.mmd_interval(vectors(spark, d), "v", "vec_id", F.col("label") < 3, P.Kernel("rbf", gamma=0.5), 100)

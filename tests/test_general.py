@@ -162,13 +162,11 @@ def test_sources(spark, tmp_path):
 
 
 def test_model_that_grows_too_far_is_an_error(spark, tmp_path):
-    from driftloom.operators.detectors import KernCD
     from driftloom.streaming import scoring
 
-    spark.createDataFrame([([float(i), 0.0],) for i in range(8)], "v array<double>").write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("v array<double>").parquet(f"{tmp_path}/in")
-    model = KernCD.fit_points(np.array([[0.0, 1.0]]), P.Kernel("rbf"), 1e-3)
-    query, _ = scoring.grow_model(stream, "v", model, f"{tmp_path}/check", most=5)
+    spark.createDataFrame([(1, i, [float(i), 0.0]) for i in range(8)], "ep long, t long, v array<double>").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("ep long, t long, v array<double>").parquet(f"{tmp_path}/in")
+    query = scoring.growing_scores(stream, P.Kernel("rbf"), most=5).writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/check").start()
     with pytest.raises(Exception, match="beyond 5 points"):
         query.processAllAvailable()
 
