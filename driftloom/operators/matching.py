@@ -118,7 +118,7 @@ def matched_neighbours(states: DataFrame, episodes: DataFrame, channels: Sequenc
     ``episodes`` has (ep, n_steps, params).  Episodes meet by a band join on their
     parameters (within ``tol``), their states by an equal cell of time and then
     ``|t - match_t| <= window``; both lie at ``start`` at the earliest and have ``steps``
-    more steps.  Of equally near ones the least (match, match_t) is taken; states
+    more steps.  Of equally near ones, to 12 digits, the least (match, match_t) is taken; states
     without any are left out.  ``anchors`` takes that many states in hash order.
     """
     vector = F.array(*[F.col(c).cast("double") for c in channels])
@@ -131,7 +131,7 @@ def matched_neighbours(states: DataFrame, episodes: DataFrame, channels: Sequenc
     pairs = band_pairs(episodes, "ep", params, tol).select(F.col("a").alias("ep"), F.col("b").alias("match"))
     met = left.join(pairs, "ep").join(right, ["match", "cell"]).filter(F.abs(F.col("t") - F.col("match_t")) <= window)
     gap = F.aggregate(F.zip_with("v", "w", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    best = met.groupBy("ep", "t").agg(F.min(F.struct(gap.alias("d2"), "match", "match_t")).alias("n"))
+    best = met.groupBy("ep", "t").agg(F.min(F.struct(F.round(gap, 12).alias("d2"), "match", "match_t")).alias("n"))
     return best.select("ep", "t", "n.match", "n.match_t", "n.d2")
 
 

@@ -56,7 +56,7 @@ def spatiotemporal(x: np.ndarray, y: np.ndarray, temporal: np.ndarray, spatial:
     for at in range(0, n, part):
         rows = x[at:at + part]
         values = spatial(rows.reshape(len(rows) * steps, -1), flat).reshape(len(rows), steps, m, others)
-        out[at:at + part] = np.einsum("ismt,st->im", values, temporal, optimize=True)
+        out[at:at + part] = (values * temporal[None, :, None, :]).sum((1, 3))
     return out
 
 

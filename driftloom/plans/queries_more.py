@@ -48,7 +48,7 @@ def divergence_slope(spark, d):
 #: Nearest states of matched episodes within three steps of time, from step 3 on, with eight steps more.
 MATCHED = f"""{EVENTS}, z AS (SELECT ep, t, x / stddev_pop(x) OVER () AS x FROM states), pr AS (SELECT ep, avg(x) AS m, count(*) AS n FROM states GROUP BY ep),
 ab AS (SELECT a.ep AS ep, b.ep AS match, a.n AS n, b.n AS match_n FROM pr a JOIN pr b ON a.ep <> b.ep AND abs(a.m - b.m) <= 0.1 * (SELECT max(m) - min(m) FROM pr)),
-nn AS (SELECT ab.ep, x.t, ab.match, y.t AS match_t, row_number() OVER (PARTITION BY ab.ep, x.t ORDER BY power(x.x - y.x, 2), ab.match, y.t) AS r
+nn AS (SELECT ab.ep, x.t, ab.match, y.t AS match_t, row_number() OVER (PARTITION BY ab.ep, x.t ORDER BY round(power(x.x - y.x, 2), 12), ab.match, y.t) AS r
   FROM ab JOIN z x ON x.ep = ab.ep JOIN z y ON y.ep = ab.match AND y.t BETWEEN x.t - 3 AND x.t + 3 WHERE x.t >= 3 AND x.t + 8 < n AND y.t >= 3 AND y.t + 8 < match_n),
 c AS (SELECT s, avg(ln(abs(x.x - y.x) + 1e-12)) AS mean_log, count(*) AS n FROM nn, (SELECT unnest(range(9)) AS s) JOIN z x ON x.ep = nn.ep AND x.t = nn.t + s JOIN z y ON y.ep = nn.match AND y.t = nn.match_t + s WHERE r = 1 GROUP BY s)"""
 
@@ -69,14 +69,14 @@ def matched_divergence_slope(spark, d):
     return rounded(_matched(spark, d)[1].select("slope"), 5)
 
 
-#: Reference episodes and windows of the Gram queries; every other row is held against them.
-REFERENCES = 100
-GRAM = f"""{LINES}, cap AS (SELECT ep FROM (SELECT DISTINCT ep FROM states) ORDER BY {rank_sql(0)}, ep LIMIT {REFERENCES}),
+#: Reference windows of the Gram queries, and of those that pair all steps or every episode; every other row is held against them.
+REFERENCES, FEW_REFERENCES = 100, 10
+GRAM = f"""{LINES}, cap AS (SELECT ep FROM (SELECT DISTINCT ep FROM states) ORDER BY {rank_sql(0)}, ep LIMIT {FEW_REFERENCES}),
 g AS (SELECT a.t, a.ep AS i, b.ep AS j, exp(-0.001 * power(a.quantity - b.quantity, 2)) AS k FROM states a JOIN states b ON a.t = b.t WHERE b.ep IN (SELECT ep FROM cap))"""
 
 
 def _gram(spark, d):
-    return X.per_step_gram(line_states(spark, d), ["quantity"], P.Kernel("rbf", gamma=0.001), REFERENCES)
+    return X.per_step_gram(line_states(spark, d), ["quantity"], P.Kernel("rbf", gamma=0.001), FEW_REFERENCES)
 
 
 @query(f"WITH {GRAM} SELECT t, i, j, round(k, 6) AS k FROM g")
@@ -182,12 +182,12 @@ def temporal_kernels(spark, d):
 STEPS = 30
 
 
-def _against_some(spark, d, fit):
+def _against_some(spark, d, fit, references=REFERENCES):
     """(i, j, k) of every whole window i against the reference windows j; ``fit`` makes the kernel from the reference."""
     cuts = S.windows(line_states(spark, d), STEPS)
     cuts = cuts.groupBy("ep").agg(F.array_sort(F.collect_list(F.struct("t", (F.col("quantity") / 10).alias("a"), (F.col("discount") * 20).alias("b")))).alias("w"))
     flat = cuts.filter(F.size("w") == STEPS).select("ep", F.flatten(F.transform("w", lambda s: F.array(s["a"], s["b"]))).alias("w"))
-    ids, ref = P.reference(flat, "w", "ep", REFERENCES)
+    ids, ref = P.reference(flat, "w", "ep", references)
     cube = lambda z: z.reshape(len(z), STEPS, 2)
     kernel = fit(cube(ref))
     rows = P.against(flat, "w", "ep", lambda _, block: {"k": list(kernel(cube(block)))}, "k array<double>")
@@ -197,6 +197,7 @@ def _against_some(spark, d, fit):
 
 CUTS = f"""{LINES}, cuts AS (SELECT ep * 100000 + t // {STEPS} AS ep, t % {STEPS} AS t, quantity / 10 AS a, discount * 20 AS b FROM states), eps AS (SELECT ep FROM cuts GROUP BY ep HAVING count(*) = {STEPS}),
 p AS (SELECT * FROM cuts WHERE ep IN (SELECT ep FROM eps)), cap AS (SELECT ep FROM eps ORDER BY {rank_sql(0)}, ep LIMIT {REFERENCES})"""
+FEW_CUTS = CUTS.replace(f"LIMIT {REFERENCES})", f"LIMIT {FEW_REFERENCES})")
 
 
 @query(f"WITH {CUTS} SELECT x.ep AS i, y.ep AS j, round(sum(exp(-0.5 * (power(x.a - y.a, 2) + power(x.b - y.b, 2)))), 6) AS k FROM p x JOIN p y ON x.t = y.t WHERE y.ep IN (SELECT ep FROM cap) GROUP BY 1, 2")
@@ -204,16 +205,16 @@ def sum_kernel(spark, d):
     return rounded(_against_some(spark, d, lambda ref: lambda x: K.sum_kernel(x, ref, P.Kernel("rbf", gamma=0.5))))
 
 
-SPATIOTEMPORAL = f"WITH {CUTS} SELECT x.ep AS i, y.ep AS j, round(sum(exp(-power(x.t - y.t, 2) / 18.0) * exp(-0.5 * (power(x.a - y.a, 2) + power(x.b - y.b, 2)))), 5) AS k FROM p x, p y WHERE y.ep IN (SELECT ep FROM cap) GROUP BY 1, 2"
+SPATIOTEMPORAL = f"WITH {FEW_CUTS} SELECT x.ep AS i, y.ep AS j, round(sum(exp(-power(x.t - y.t, 2) / 18.0) * exp(-0.5 * (power(x.a - y.a, 2) + power(x.b - y.b, 2)))), 5) AS k FROM p x, p y WHERE y.ep IN (SELECT ep FROM cap) GROUP BY 1, 2"
 
 
 @query(SPATIOTEMPORAL)
 def spatiotemporal_kernel(spark, d):
     t = K.TemporalKernel.of("rbf", 3.0).matrix(np.arange(float(STEPS)))
-    return rounded(_against_some(spark, d, lambda ref: lambda x: K.spatiotemporal(x, ref, t, P.Kernel("rbf", gamma=0.5))), 5)
+    return rounded(_against_some(spark, d, lambda ref: lambda x: K.spatiotemporal(x, ref, t, P.Kernel("rbf", gamma=0.5)), FEW_REFERENCES), 5)
 
 
-SEQUENCE = f"""WITH {CUTS}, pr AS (SELECT e.ep AS i, c.ep AS j FROM eps e, cap c UNION SELECT ep, ep FROM eps),
+SEQUENCE = f"""WITH {FEW_CUTS}, pr AS (SELECT e.ep AS i, c.ep AS j FROM eps e, cap c UNION SELECT ep, ep FROM eps),
 g AS (SELECT i, j, x.t AS s, y.t AS t, exp(-0.5 * (power(x.a - y.a, 2) + power(x.b - y.b, 2))) AS k FROM pr JOIN p x ON x.ep = i JOIN p y ON y.ep = j),
 r AS (SELECT *, sum(k) OVER (PARTITION BY i, j, s ORDER BY t DESC) AS row_tail FROM g), q AS (SELECT *, sum(row_tail) OVER (PARTITION BY i, j, t ORDER BY s DESC) AS tail FROM r),
 raw AS (SELECT i, j, 0.5 + avg(k * (0.5 + tail / 1800)) / 2 AS v FROM q GROUP BY i, j)
@@ -222,7 +223,7 @@ SELECT a.i, a.j, round(greatest(-1, least(1, a.v / sqrt(b.v * c.v))), 6) AS k FR
 
 @query(SEQUENCE)
 def signature_kernel(spark, d):
-    return rounded(_against_some(spark, d, lambda ref: lambda x: R.sequence_kernel(x, ref, P.Kernel("rbf", gamma=0.5), 2)))
+    return rounded(_against_some(spark, d, lambda ref: lambda x: R.sequence_kernel(x, ref, P.Kernel("rbf", gamma=0.5), 2), FEW_REFERENCES))
 
 
 def _of_features(spark, d, fit):
