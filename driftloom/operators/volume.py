@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from .bases import ball_moment, gaussian_moment, total_degree
 from .pairs import median_distance, squared_distances
-from .reduction import Volume
 
 Score = Callable[[np.ndarray], np.ndarray]
 #: Draws of one seeded chunk: chunks are numbered, so any task can make any of them.
@@ -29,8 +28,8 @@ def _chunks(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(count).select("id", F.least(F.lit(CHUNK), F.lit(n) - F.col("id") * CHUNK).cast("long").alias("size"))
 
 
-def importance_volume(spark: SparkSession, score: Score, level: float, low: Sequence[float], high: Sequence[float], centres: np.ndarray, width: float, n: int, floor: float = 0.05, seed: int = 0) -> Volume:
-    """Volume of ``score <= level`` in a box from draws around the centres mixed with uniform ones.
+def importance_volume(spark: SparkSession, score: Score, level: float, low: Sequence[float], high: Sequence[float], centres: np.ndarray, width: float, n: int, floor: float = 0.05, seed: int = 0) -> DataFrame:
+    """One row (draws, inside, volume, standard_error) of ``score <= level`` in a box, from draws around the centres mixed with uniform ones.
 
     A draw in the set counts the inverse of the mixture's density; the uniform part
     bounds it.  Each chunk of draws returns three sums.
@@ -54,9 +53,9 @@ def importance_volume(spark: SparkSession, score: Score, level: float, low: Sequ
                 rows.append((len(x), weight.sum(), (weight**2).sum()))
             yield pd.DataFrame(rows, columns=["k", "w", "w2"])
 
-    k, w, w2 = _chunks(spark, n).mapInPandas(work, "k long, w double, w2 double").agg(F.sum("k"), F.sum("w"), F.sum("w2")).first()
-    value = w / n
-    return Volume(int(k), value, math.sqrt(max(w2 / n - value**2, 0) / n), math.log(value) if value > 0 else float("-inf"))
+    sums = _chunks(spark, n).mapInPandas(work, "k long, w double, w2 double").agg(F.sum("k").alias("inside"), F.sum("w").alias("w"), F.sum("w2").alias("w2"))
+    value = F.col("w") / n
+    return sums.select(F.lit(n).cast("long").alias("draws"), "inside", value.alias("volume"), F.sqrt(F.greatest(F.col("w2") / n - value * value, F.lit(0.0)) / n).alias("standard_error"))
 
 
 def proposals(spark: SparkSession, score: Score, level: float, n: int, *, base: np.ndarray | None = None, spread: float = 0.1, low: Sequence[float] = (), high: Sequence[float] = (), accept: Score | None = None, seed: int = 0) -> DataFrame:

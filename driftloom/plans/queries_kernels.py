@@ -343,8 +343,26 @@ def tucker_error(spark, d):
 
 @query()
 def acceptance_volume(spark, d):
-    v = R.acceptance_volume(spark, [-1, -1], [1, 1], lambda c: c[0] * c[0] + c[1] * c[1] <= 1, 100_000, 3)
-    return spark.createDataFrame([(v.n, v.value, v.se, v.log_value)], "n long, value double, se double, log_vol double")
+    """Volume, in the box of the states, of what a polynomial score fitted on them accepts at its mean."""
+    s = line_states(spark, d).select(((F.col("quantity") - 25.5) / 14.4).alias("a"), ((F.col("discount") - 0.05) / 0.0316).alias("b"))
+    model = D.CDPolynomial.fit(s, ["a", "b"], 2, "hermite", 1e-9)
+    box = R.bounding_box(s, ["a", "b"], 0.1).first()
+    low, high = ([box[f"{side}_{c}"] for c in "ab"] for side in ("low", "high"))
+
+    def accepts(c):
+        value = F.lit(0.0)
+        for i, x in enumerate(basis := _named_features(c)):
+            for j, y in enumerate(basis):
+                value = value + float(model.inverse[i, j]) * x * y
+        return value <= model.mean_score
+
+    return R.acceptance_volume(spark, low, high, accepts, 100_000, 3)
+
+
+def _named_features(c):
+    """Hermite products up to degree 2 of two Columns, in the order of the basis."""
+    one, (x, y) = F.lit(1.0), c
+    return [one, x, y, x * x - 1, x * y, y * y - 1]
 
 
 @query()
@@ -353,14 +371,26 @@ def random_fourier_embedding(spark, d):
     return R.map_vectors(vectors(spark, d), "v", f, "phi").groupBy("label").agg(F.avg(F.col("phi")[0]).alias("phi0"), F.count("*").alias("n"))
 
 
+def _ou_fit(spark, d):
+    """(episodes, theta, sigma) per step of the process that the events follow in units of their deviation."""
+    s = event_states(spark, d)
+    row = s.withColumn("nxt", F.lead("x").over(W.steps())).agg(F.countDistinct("ep"), F.regr_slope("nxt", "x"), F.stddev_pop("x")).first()
+    slope = min(max(row[1] or 0.0, 0.0), 0.999)
+    return row[0], 1 - slope, float(np.sqrt(max(1 - slope * slope, 1e-6)))
+
+
 @query()
 def ou_paths(spark, d):
-    return T.simulate_ou(spark, 20, 50)
+    """A path for each episode of the events, by the step and noise that fit them."""
+    n, theta, sigma = _ou_fit(spark, d)
+    return T.simulate_ou(spark, n, 50, theta, sigma, 1.0)
 
 
 @query()
 def van_der_pol_paths(spark, d):
-    return T.simulate_van_der_pol(spark, 20, 50)
+    """A noisy oscillator for each episode of the events, with their noise."""
+    n, _, sigma = _ou_fit(spark, d)
+    return T.simulate_van_der_pol(spark, n, 50, 1.0, 0.1 * sigma)
 
 
 @query(f"WITH {EVENTS}, e AS (SELECT ep, t, (x > 200)::INT AS terminal FROM states) SELECT ep AS run, t AS pos, t - coalesce(lag(t) OVER (PARTITION BY ep ORDER BY t), -1) AS length FROM e WHERE terminal = 1")

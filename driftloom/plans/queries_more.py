@@ -160,22 +160,39 @@ def rewards_to_long(spark, d):
     return long.withColumn("total", F.round(F.sum("reward").over(W.steps()), 2))
 
 
-@query(f"WITH {LINES}, c AS (SELECT t, quantity AS x FROM states WHERE ep = 1 AND t <= 8), v AS (SELECT k, cos(pi() * k / 8) AS node FROM generate_series(0, 8) g(k)) SELECT k, round(node * 4 + 4, 6) AS at FROM v WHERE EXISTS (SELECT 1 FROM c)")
+@query(f"WITH {EVENTS}, n AS (SELECT ep, k, round((n_steps - 1) / 2.0 * (1 + cos(pi() * k / 8)), 9) AS node FROM episodes, generate_series(0, 8) g(k)) "
+       "SELECT n.ep, n.k, round(node, 6) AS node, ceil(node - 0.5)::BIGINT AS t, s.x FROM n JOIN states s ON s.ep = n.ep AND s.t = ceil(node - 0.5)")
 def chebyshev_nodes(spark, d):
-    n = B.chebyshev_nodes(8, 0.0, 8.0)
-    return spark.createDataFrame([(k, round(float(v), 6)) for k, v in enumerate(n)], "k long, at double")
+    """The state nearest to each Chebyshev node of every episode."""
+    s = event_states(spark, d)
+    nodes = spark.createDataFrame([(k, float(v)) for k, v in enumerate(B.chebyshev_nodes(8))], "k long, u double")
+    last = event_episodes(s).select("ep", (F.col("n_steps") - 1).alias("last"))
+    asked = last.crossJoin(F.broadcast(nodes)).select("ep", "k", F.round(F.col("last") / 2 * (1 + F.col("u")), 9).alias("t"))  # nine nodes an episode
+    near = W.nearest_in_order(asked, s.select("ep", F.col("t").cast("double").alias("t")), "t", "ep")
+    picked = near.select("ep", "k", F.col("t").alias("node"), F.col("nearest_t").cast("long").alias("t"))
+    return rounded(picked.join(s.select("ep", "t", "x"), ["ep", "t"]).select("ep", "k", "node", "t", "x"))
 
 
-@query("SELECT k::BIGINT AS k, round(CASE WHEN k % 2 = 1 THEN 0 WHEN k = 0 THEN 1 WHEN k = 2 THEN 2.25 WHEN k = 4 THEN 15.1875 ELSE 170.859375 END::DOUBLE, 6) AS gaussian, round(CASE WHEN k % 2 = 1 THEN 0.0 ELSE 1.0 / (k + 1) END::DOUBLE, 6) AS ball FROM generate_series(0, 6) g(k)")
+@query("""WITH u AS (SELECT l_discount * 10 - avg(l_discount * 10) OVER () AS u FROM lineitem), m AS (SELECT stddev_pop(u) AS s, max(abs(u)) AS r FROM u)
+SELECT k::BIGINT AS k, (SELECT round(avg(power(u, k)), 6) FROM u) AS empirical, round(CASE WHEN k % 2 = 1 THEN 0 WHEN k = 0 THEN 1 WHEN k = 2 THEN power(s, 2) WHEN k = 4 THEN 3 * power(s, 4) ELSE 15 * power(s, 6) END::DOUBLE, 6) AS gaussian,
+round(CASE WHEN k % 2 = 1 THEN 0.0 ELSE power(r, k) / (k + 1) END::DOUBLE, 6) AS ball FROM generate_series(0, 6) g(k), m""")
 def analytic_moments(spark, d):
-    return spark.createDataFrame([(k, round(B.gaussian_moment(k, 1.5), 6), round(B.ball_moment((k,)), 6)) for k in range(7)], "k long, gaussian double, ball double")
+    """Moments of a column beside those of a normal variable of its deviation and of an interval of its reach."""
+    x = table(spark, d, "lineitem").select((F.col("l_discount") * 10).alias("x"))
+    mean = x.agg(F.avg("x")).first()[0]
+    u = F.col("x") - mean
+    row = x.agg(F.stddev_pop("x"), F.max(F.abs(u)), *[F.avg(F.pow(u, F.lit(k))) for k in range(7)]).first()
+    return spark.createDataFrame([(k, round(row[2 + k], 6) + 0.0, round(B.gaussian_moment(k, row[0]), 6), round(B.ball_moment((k,), row[1]), 6)) for k in range(7)], "k long, empirical double, gaussian double, ball double")
 
 
-@query("SELECT i::BIGINT AS i, j::BIGINT AS j, round(exp(-abs(i - j) / 4.0) + exp(-power(i - j, 2) / 18.0) * exp(-2 * power(sin(pi() * (i - j) / 5.0), 2)), 6) AS k FROM generate_series(0, 11) a(i), generate_series(0, 11) b(j)")
+@query(f"WITH {EVENTS} SELECT a.ep, a.t AS k, round(sum((exp(-abs(a.t - b.t) / 4.0) + exp(-power(a.t - b.t, 2) / 18.0) * exp(-2 * power(sin(pi() * (a.t - b.t) / 5.0), 2))) * b.x), 5) AS y FROM states a JOIN states b ON a.ep = b.ep GROUP BY a.ep, a.t")
 def temporal_kernels(spark, d):
+    """Every episode weighted by a composed temporal kernel at each of its steps."""
+    s = event_states(spark, d)
+    steps = s.agg(F.max("t")).first()[0] + 1
     k = K.TemporalKernel.of("matern12", 4.0) + K.TemporalKernel.of("rbf", 3.0) * K.TemporalKernel.of("periodic", 1.0, 5.0)
-    m = k.matrix(np.arange(12.0))
-    return spark.createDataFrame([(i, j, round(float(m[i, j]), 6)) for i in range(12) for j in range(12)], "i long, j long, k double")
+    y = B.coefficients(s, "x", k.matrix(np.arange(float(steps)))).withColumnRenamed("coef", "y")
+    return rounded(y.join(s.select("ep", F.col("t").alias("k")), ["ep", "k"]), 5)
 
 
 #: Steps of a window of the trajectory kernels.
@@ -355,11 +372,13 @@ def auroc_with_enough_positives(spark, d):
 
 @query()
 def synthetic_points(spark, d):
+    """As many points of each kind as there are vectors, with the noise of their first coordinate."""
     from ..sources.tables import make_points
 
+    n, noise = vectors(spark, d).agg(F.count("*"), F.stddev_pop(F.col("v")[0])).first()
     out = None
     for kind in ("blobs", "moons", "spiral", "disc"):
-        part = make_points(spark, kind, 400).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.max(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))).alias("reach")).withColumn("kind", F.lit(kind))
+        part = make_points(spark, kind, n, noise or 0.1).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.max(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))).alias("reach"), F.count("*").alias("n")).withColumn("kind", F.lit(kind))
         out = part if out is None else out.unionByName(part)
     return out
 

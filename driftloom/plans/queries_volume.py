@@ -13,24 +13,34 @@ from ..operators import reduction as R
 from ..operators import resampling as U
 from ..operators import volume as V
 from ..operators import windows as W
-from .base import EVENTS, LINES, VECTORS, event_episodes, event_states, line_states, query, rank_sql, rounded, vectors
+from .base import EVENTS, LINES, VECTORS, event_episodes, event_states, line_states, query, rank_sql, rounded, table, vectors
 from .queries_kernels import SQ
 
 
-def _disc(x: np.ndarray) -> np.ndarray:
-    return (x * x).sum(1)
+def _disc(level: float):
+    """Whether the first two coordinates lie in a disc whose size comes from the vectors."""
+    return lambda x: (x * x).sum(1) / level
+
+
+def _plane(spark, d):
+    """(points of the first two coordinates, at most a fit set; their mean squared length over all rows)."""
+    v = vectors(spark, d)
+    _, x = P.reference(v, "v", "vec_id", 1000)
+    level = v.agg(F.avg(F.col("v")[0] * F.col("v")[0] + F.col("v")[1] * F.col("v")[1])).first()[0]
+    return x[:, :2], float(level)
 
 
 @query()
 def importance_volume(spark, d):
-    centres = np.random.default_rng(1).normal(scale=0.5, size=(200, 2))
-    v = V.importance_volume(spark, _disc, 1.0, [-2, -2], [2, 2], centres, V.proposal_width(centres), 100_000)
-    return spark.createDataFrame([(v.n, v.value, v.se, v.log_value)], "n long, value double, se double, log_vol double")
+    centres, level = _plane(spark, d)
+    reach = 2 * float(np.sqrt(level))
+    return V.importance_volume(spark, _disc(level), 1.0, [-reach, -reach], [reach, reach], centres, V.proposal_width(centres), 100_000)
 
 
 @query()
 def proposals_in_set(spark, d):
-    return V.proposals(spark, _disc, 1.0, 2000, base=np.random.default_rng(1).normal(scale=0.5, size=(50, 2))).select("draw", F.col("x")[0].alias("a"), F.col("x")[1].alias("b"))
+    base, level = _plane(spark, d)
+    return V.proposals(spark, _disc(level), 1.0, 2000, base=base, spread=0.1 * float(np.sqrt(level))).select("draw", F.col("x")[0].alias("a"), F.col("x")[1].alias("b"))
 
 
 #: Points whose blurred moments are taken, at most; the operator holds them on the driver.
@@ -45,9 +55,13 @@ def smoothed_moment_matrix(spark, d):
     return spark.createDataFrame([(i, j, round(float(m[i, j]), 6)) for i in range(3) for j in range(3)], "i long, j long, m double")
 
 
-@query("SELECT m::DOUBLE AS m, round(exp(-0.5 * m * m / (1 + 2 * 0.5 * 1.5)) / sqrt(1 + 2 * 0.5 * 1.5), 6) AS value FROM generate_series(0, 5) g(m)")
+@query("""WITH g AS (SELECT l_returnflag || l_linestatus AS flag, avg(l_quantity) / 10 AS m, var_pop(l_quantity) / 100 AS v FROM lineitem GROUP BY 1)
+SELECT a.flag AS a, b.flag AS b, round(exp(-0.5 * power(a.m - b.m, 2) / (1 + (a.v + b.v))) / sqrt(1 + (a.v + b.v)), 6) AS value FROM g a, g b""")
 def exact_mean_embedding(spark, d):
-    return spark.createDataFrame([(float(m), round(V.gaussian_embedding_product(0.0, m, 1.0, 0.5, 0.5), 6)) for m in range(6)], "m double, value double")
+    """Products of the embeddings of the normal variables that have each group's mean and variance."""
+    rows = table(spark, d, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("flag")).agg((F.avg("l_quantity") / 10).alias("m"), (F.var_pop("l_quantity") / 100).alias("v")).collect()  # a row a flag
+    pairs = [(a["flag"], b["flag"], round(V.gaussian_embedding_product(a["m"], b["m"], a["v"], b["v"], 0.5), 6)) for a in rows for b in rows]
+    return spark.createDataFrame(pairs, "a string, b string, value double")
 
 
 @query(f"WITH {EVENTS} SELECT n::BIGINT AS n, round(avg(exp(-0.0001 * power(a.x - b.x, 2))), 6) AS value FROM (SELECT unnest([5, 10, 20]) AS n), states a, states b WHERE a.ep = 1 AND b.ep = 2 AND a.t < n AND b.t < n GROUP BY n")
