@@ -51,27 +51,49 @@ def ranked(df: DataFrame, value: str) -> DataFrame:
     return run  # rows of one value are alike but for their rank
 
 
-def quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> list[float | None]:
-    """Exact linear quantiles: ranks come from counts of slices, and only the values at the wanted ranks reach the driver."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    n = df.filter(F.col(value).isNotNull()).count()
-    if not n:
-        return [None] * len(shares)
-    wanted = sorted({r for s in shares for r in (math.floor(s * (n - 1) + 1e-12), min(math.floor(s * (n - 1) + 1e-12) + 1, n - 1))})
+def quantiles_of(df: DataFrame, columns: Sequence[str], shares: Sequence[float], n: int = 256) -> dict[str, list[float | None]]:
+    """Exact linear quantiles of several columns at once; nulls are skipped.
+
+    Rows become counts of (column, value), cut into slices at approximate quantiles of
+    each column.  Ranks come from the slices' sums and a window inside each, and only the
+    values at the wanted ranks reach the driver.
+    """
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*").filter("v is not null")
+    counts = long.groupBy("c", "v").agg(F.count("*").alias("k"))
+    cuts = {r["c"]: sorted(set(r["cuts"])) for r in counts.groupBy("c").agg(F.percentile_approx("v", [i / n for i in range(1, n)], 50 * n).alias("cuts")).collect()}
+    if not cuts:
+        return {c: [None] * len(shares) for c in columns}
+    edges = df.sparkSession.createDataFrame(list(cuts.items()), "c string, cuts array<double>")
+    cut = counts.join(F.broadcast(edges), "c").select("c", "v", "k", F.size(F.filter("cuts", lambda e: e < F.col("v"))).alias("slice"))
+    totals = cut.groupBy("c", "slice").agg(F.sum("k").alias("t"))
+    whole, before = Window.partitionBy("c"), Window.partitionBy("c").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # some hundred slices
+    starts = totals.select("c", "slice", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("start"), F.sum("t").over(whole).alias("n"))
+    run = cut.join(F.broadcast(starts), ["c", "slice"]).withColumn("run", F.col("start") + F.sum("k").over(Window.partitionBy("c", "slice").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
     holds = F.lit(False)
-    for r in wanted:
-        holds = holds | ((F.col("c_run") > r) & (F.col("c_run") - F.col("c") <= r))
-    found = sorted((row["c_run"], row["c"], row["v"]) for row in running(counts, "v", ["c"]).filter(holds).collect())
-    at = lambda r: next(v for run, c, v in found if run - c <= r < run)
-    out = []
     for s in shares:
-        pos = s * (n - 1)
-        lo = math.floor(pos + 1e-12)
-        a, b = at(lo), at(min(lo + 1, n - 1))
-        out.append(float(a + (b - a) * max(pos - lo, 0.0)))
+        low = F.floor(F.lit(s) * (F.col("n") - 1) + 1e-12)
+        for rank in (low, F.least(low + 1, F.col("n") - 1)):
+            holds = holds | ((F.col("run") > rank) & (F.col("run") - F.col("k") <= rank))
+    found: dict[str, list] = {}
+    for r in run.filter(holds).select("c", "v", "k", "run", "n").collect():
+        found.setdefault(r["c"], []).append((r["run"], r["k"], r["v"], r["n"]))
+    out: dict[str, list[float | None]] = {c: [None] * len(shares) for c in columns}
+    for c, rows in found.items():
+        rows.sort()
+        at = lambda rank: next(v for upto, k, v, _ in rows if upto - k <= rank < upto)  # noqa: E731, B023
+        for i, s in enumerate(shares):
+            place = s * (rows[0][3] - 1)
+            low = math.floor(place + 1e-12)
+            a, b = at(low), at(min(low + 1, rows[0][3] - 1))
+            out[c][i] = float(a + (b - a) * max(place - low, 0.0))
     return out
 
 
+def quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> list[float | None]:
+    """Exact linear quantiles of a column."""
+    return quantiles_of(df, [value], shares)[value]
+
+
 def znorm_by_end(reference: DataFrame) -> DataFrame:
     """(end, mean, sd): moments of the reference scores at each step; nulls are skipped."""
     return reference.groupBy("end").agg(F.avg("score").alias("mean"), (F.stddev_pop("score") + FLOOR).alias("sd"))
@@ -140,9 +162,10 @@ def edr_and_lead(leads: DataFrame) -> DataFrame:
 
 
 def channel_stats(states: DataFrame, channels: Sequence[str]) -> DataFrame:
-    """(channel, mean, sd, min, max, q25, q50, q75): one pass for the moments; quantiles by slices, a channel at a time."""
+    """(channel, mean, sd, min, max, q25, q50, q75): one pass for the moments, one for the quantiles of all channels."""
     row = states.agg(*[f(c).alias(f"{n}_{c}") for c in channels for n, f in (("mean", F.avg), ("sd", F.stddev_pop), ("min", F.min), ("max", F.max))]).first()
-    out = [(c, *[row[f"{n}_{c}"] for n in ("mean", "sd", "min", "max")], *quantiles(states, c, (0.25, 0.5, 0.75))) for c in channels]
+    middle = quantiles_of(states, channels, (0.25, 0.5, 0.75))
+    out = [(c, *[None if row[f"{n}_{c}"] is None else float(row[f"{n}_{c}"]) for n in ("mean", "sd", "min", "max")], *middle[c]) for c in channels]
     return states.sparkSession.createDataFrame(out, "channel string, mean double, sd double, min double, max double, q25 double, q50 double, q75 double")
 
 
@@ -179,13 +202,12 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score", by: Seq
 
 
 def tpr_at_fpr(df: DataFrame, fpr: float, label: str = "label", score: str = "score") -> DataFrame:
-    """TPR at a false positive rate, linear between the points of the curve."""
-    order = Window.orderBy("fpr", "tpr")
-    points = roc_curve(df, label, score).groupBy("fpr").agg(F.min("tpr").alias("lo"), F.max("tpr").alias("tpr"))
-    points = points.unionByName(df.sparkSession.createDataFrame([(0.0, 0.0, 0.0)], "fpr double, lo double, tpr double")).groupBy("fpr").agg(F.min("lo").alias("lo"), F.max("tpr").alias("tpr"))
-    seg = points.withColumns({"f0": F.lag("fpr").over(order), "t0": F.lag("tpr").over(order)})
-    at = F.when(F.col("fpr") == fpr, F.col("tpr")).otherwise(F.col("t0") + (F.col("lo") - F.col("t0")) * (fpr - F.col("f0")) / (F.col("fpr") - F.col("f0")))
-    return seg.filter((F.col("fpr") >= fpr) & (F.coalesce("f0", F.lit(-1.0)) < fpr)).agg(F.max(at).alias("tpr"))
+    """TPR at a false positive rate, linear between the points of the curve on either side of it: one aggregate over them."""
+    points = roc_curve(df, label, score).select("fpr", "tpr").unionByName(df.sparkSession.createDataFrame([(0.0, 0.0)], "fpr double, tpr double"))
+    near, at = F.struct("fpr", "tpr"), F.col("fpr")
+    ends = points.agg(F.max(F.when(at < fpr, near)).alias("a"), F.min(F.when(at >= fpr, near)).alias("b"), F.max(F.when(at == fpr, F.col("tpr"))).alias("exact"))
+    between = F.col("a.tpr") + (F.col("b.tpr") - F.col("a.tpr")) * (fpr - F.col("a.fpr")) / (F.col("b.fpr") - F.col("a.fpr"))
+    return ends.select(F.coalesce("exact", between).alias("tpr"))
 
 
 def precision_at_recall(df: DataFrame, recall: float, label: str = "label", score: str = "score") -> DataFrame:
@@ -193,10 +215,13 @@ def precision_at_recall(df: DataFrame, recall: float, label: str = "label", scor
 
 
 def pr_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """Area under precision over recall by trapezoids, from (0, 1)."""
-    order = Window.orderBy("tpr", F.desc("s"))
-    c = roc_curve(df, label, score).withColumns({"r0": F.coalesce(F.lag("tpr").over(order), F.lit(0.0)), "p0": F.coalesce(F.lag("precision").over(order), F.lit(1.0))})
-    return c.agg(F.sum((F.col("tpr") - F.col("r0")) * (F.col("precision") + F.col("p0")) / 2).alias("pr_auc"))
+    """Area under precision over recall by trapezoids, from (0, 1); a point's running counts give the point before it."""
+    c = _by_score(df, label, score, ())
+    run = running(c, "s", ["p", "n"], descending=True).crossJoin(F.broadcast(c.agg(F.sum("p").alias("all_p"))))  # one row
+    p, n = F.col("p_run"), F.col("n_run")
+    p0, n0 = p - F.col("p"), n - F.col("n")
+    before = F.coalesce(F.try_divide(p0, p0 + n0), F.lit(1.0))
+    return run.agg(F.sum(F.col("p") / F.col("all_p") * (p / (p + n) + before) / 2).alias("pr_auc"))
 
 
 def confusion(df: DataFrame, threshold: float, label: str = "label", score: str = "score") -> DataFrame:

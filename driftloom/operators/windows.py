@@ -18,11 +18,16 @@ def _full(width: int, stride: int) -> Column:
     return (F.col("t") >= width - 1) & ((F.col("t") - (width - 1)) % stride == 0)
 
 
-def sliding(states: DataFrame, channels: Sequence[str], width: int, stride: int = 1) -> DataFrame:
+def sliding(states: DataFrame, channels: Sequence[str], width: int, stride: int = 1, strict: bool = False) -> DataFrame:
     """windows(ep, end, w): right-closed, ``end = i * stride + width - 1``; none if the episode is shorter.
 
-    Windows with a missing value are left out.  One exchange on the episode.
+    Windows with a missing value are left out.  One exchange on the episode.  ``strict``
+    has episodes that are shorter than ``width`` raise, at the price of a count of steps.
     """
+    if strict:
+        short = states.groupBy("ep").agg((F.max("t") + 1).alias("n")).filter(F.col("n") < width).limit(1).collect()
+        if short:
+            raise ValueError(f"episode {short[0]['ep']} has {short[0]['n']} steps, a window {width}")
     frame = steps().rowsBetween(-(width - 1), 0)
     cell = F.col(channels[0]) if len(channels) == 1 else F.array(*channels)
     present = F.lit(1)

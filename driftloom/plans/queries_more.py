@@ -16,7 +16,10 @@ from ..operators import reduction as R
 from ..operators import signals as S
 from ..operators import trajectory_kernels as K
 from ..operators import windows as W
-from .base import EVENTS, LINES, event_episodes, event_states, line_states, query, rank_sql, rounded, table, vectors
+from ..sources import tables as T
+from . import experiment
+from .base import EVENTS, LINES, VECTORS, event_episodes, event_states, line_states, query, rank_sql, rounded, split_sql, table, vectors
+from .queries_kernels import SQ
 
 
 @query("""WITH r AS (SELECT c_custkey AS k, c_acctbal AS a, c_nationkey::DOUBLE AS b FROM customer WHERE c_custkey % 3 = 0), m AS (SELECT avg(a) ma, stddev_pop(a) sa, avg(b) mb, stddev_pop(b) sb FROM r),
@@ -131,8 +134,9 @@ def approximation_quality(spark, d):
 
 @query(f"WITH {EVENTS} SELECT round((quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / abs(median(x)), 6) AS spread, round(quantile_cont(x, 0.95) / avg(x), 6) AS p95_ratio FROM states")
 def score_spread(spark, d):
-    q = lambda v: F.percentile("x", F.lit(v))
-    return rounded(event_states(spark, d).agg(((q(0.75) - q(0.25)) / F.abs(q(0.5))).alias("spread"), (q(0.95) / F.avg("x")).alias("p95_ratio")))
+    s = event_states(spark, d)
+    low, middle, high, top = M.quantiles(s, "x", [0.25, 0.5, 0.75, 0.95])
+    return rounded(s.agg(F.lit((high - low) / abs(middle)).alias("spread"), (top / F.avg("x")).alias("p95_ratio")))
 
 
 @query(f"WITH {LINES}, st AS (SELECT ep, t, quantity - lag(quantity) OVER w AS a, tax * 100 - lag(tax * 100) OVER w AS b FROM states WINDOW w AS (PARTITION BY ep ORDER BY t)), c AS (SELECT avg(a * a) v, avg(a * b) c, avg(b * b) w FROM st WHERE a IS NOT NULL) "
@@ -424,3 +428,88 @@ def running_mean_deviation(spark, d):
 @query("SELECT json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1")
 def json_props(spark, d):
     return table(spark, d, "events").groupBy(F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {EVENTS}, {split_sql(3)}, m AS (SELECT s.ep, s.t, p.split, s.x, avg(s.x) FILTER (p.split = 'train') OVER () AS a, stddev_pop(s.x) FILTER (p.split = 'train') OVER () AS b FROM states s JOIN split p USING (ep) WHERE p.split IS NOT NULL) SELECT ep, t, split, round((x - a) / b, 6) AS x FROM m")
+def split_and_normalized(spark, d):
+    s = event_states(spark, d)
+    return rounded(T.split_and_normalize(s, event_episodes(s), ["x"], experiment.SIZES, ("train", "norm", "cal"), seed=3)[0].select("ep", "t", "split", "x"))
+
+
+@query(f"WITH {EVENTS}, r AS (SELECT ep, ('0x' || substr({rank_sql(5)}, 1, 8))::BIGINT AS h, least(fail - 4, n_steps - 1) - 5 AS last FROM episodes) SELECT ep, h % (last + 1) AS start, h % (last + 1) + 5 AS \"end\" FROM r WHERE last >= 0")
+def random_windows_before(spark, d):
+    """Windows that end at least four steps before the failure."""
+    return W.random_window(event_episodes(event_states(spark, d)), 6, 5, before=4)
+
+
+PROJECTIONS = f"""WITH {LINES}, c AS (SELECT ep * 100000 + t // 32 AS ep, t % 32 / 31.0 AS u, quantity AS x FROM states), k AS (SELECT unnest([0, 1, 2]) AS k)
+SELECT 'gaussian' AS basis, ep, k::BIGINT AS k, round(sum(x * exp(-0.5 * power((u - k / 2.0) * 3, 2))), 5) AS proj FROM c, k GROUP BY ep, k
+UNION ALL SELECT 'vonmises', ep, k, round(sum(x * exp(10 * (cos(2 * pi() * (u - k / 3.0)) - 1))), 5) FROM c, k GROUP BY ep, k
+UNION ALL SELECT 'fourier', ep, k, round(sum(x * CASE k WHEN 0 THEN 1 WHEN 1 THEN sin(2 * pi() * u) ELSE cos(2 * pi() * u) END), 5) FROM c, k GROUP BY ep, k"""
+
+
+@query(PROJECTIONS)
+def temporal_projections(spark, d):
+    cuts, out = S.windows(line_states(spark, d), 32), None
+    for kind in ("gaussian", "vonmises", "fourier"):
+        part = B.coefficients(cuts, "quantity", B.temporal_matrix(kind, 32, 3).T).select(F.lit(kind).alias("basis"), "ep", "k", F.col("coef").alias("proj"))
+        out = part if out is None else out.unionByName(part)
+    return rounded(out, 5)
+
+
+#: Threshold families of survivors with even ids, then how often each alarms on the others.
+RATES = f"""WITH {EVENTS}, c AS (SELECT s.t, s.x FROM states s JOIN episodes e USING (ep) WHERE ep % 2 = 0 AND fail = n_steps), m AS (SELECT median(x) AS m FROM c), q AS (SELECT quantile_cont(x, 0.9) AS q FROM c GROUP BY t),
+r AS (SELECT 'pooled' AS family, quantile_cont(x, 0.9) AS threshold FROM c UNION ALL SELECT 'per_step_mean', avg(q) FROM q UNION ALL SELECT 'per_step_max', max(q) FROM q UNION ALL SELECT 'gaussian', avg(x) + 1.2815515655446004 * stddev_pop(x) FROM c
+UNION ALL SELECT 'robust', (SELECT m FROM m) + 3 * 1.4826 * median(abs(x - (SELECT m FROM m))) FROM c), p AS (SELECT ep, fail, n_steps, max(x) AS top FROM states JOIN episodes USING (ep) WHERE ep % 2 = 1 AND t < fail GROUP BY ALL)
+SELECT family, round(avg((top > threshold)::INT) FILTER (fail = n_steps), 6) AS fpr, round(avg((top > threshold)::INT) FILTER (fail < n_steps), 6) AS detection_rate FROM p, r GROUP BY family"""
+
+
+@query(RATES)
+def alarm_rates_by_family(spark, d):
+    s = event_states(spark, d)
+    eps = event_episodes(s)
+    scores = s.select("ep", F.col("t").alias("end"), F.col("x").alias("score"))
+    calm = scores.filter("ep % 2 = 0").join(E.survived(eps).select("ep"), "ep", "left_semi")
+    return rounded(M.alarm_rates(scores.filter("ep % 2 = 1"), eps, M.thresholds(calm, 0.1)))
+
+
+@query(f"WITH {EVENTS}, v AS (SELECT s.ep, s.t, e.fail, e.n_steps, s.x / 50 AS a, (s.x - lag(s.x) OVER (PARTITION BY s.ep ORDER BY s.t)) / 50 AS b FROM states s JOIN episodes e USING (ep)), n AS (SELECT *, CASE WHEN t = fail THEN 'failure' WHEN t < fail THEN 'nominal' END AS kind FROM v WHERE b IS NOT NULL), "
+       "c AS (SELECT *, avg(a) FILTER (kind = 'nominal') OVER () AS ma, avg(b) FILTER (kind = 'nominal') OVER () AS mb, var_pop(a) FILTER (kind = 'nominal') OVER () AS va, var_pop(b) FILTER (kind = 'nominal') OVER () AS vb, covar_pop(a, b) FILTER (kind = 'nominal') OVER () AS cab FROM n) "
+       "SELECT kind, count(*) AS n, round(avg(sqrt((vb * power(a - ma, 2) - 2 * cab * (a - ma) * (b - mb) + va * power(b - mb, 2)) / (va * vb - cab * cab))), 5) AS distance FROM c WHERE kind IS NOT NULL GROUP BY kind")
+def mahalanobis_at_failure(spark, d):
+    """Mean Mahalanobis distance of states before a failure and at it, by the covariance of the former."""
+    s = event_states(spark, d)
+    v = s.select("ep", "t", (F.col("x") / 50).alias("a"), (W.difference("x") / 50).alias("b")).filter("b is not null").join(event_episodes(s).select("ep", "fail"), "ep")
+    v = v.withColumn("kind", F.when(F.col("t") == F.col("fail"), "failure").when(F.col("t") < F.col("fail"), "nominal")).filter("kind is not null")
+    row = v.filter("kind = 'nominal'").agg(F.avg("a"), F.avg("b"), F.var_pop("a"), F.var_pop("b"), F.covar_pop("a", "b")).first()
+    inv = np.linalg.inv(np.array([[row[2], row[4]], [row[4], row[3]]]))
+    a, b = F.col("a") - row[0], F.col("b") - row[1]
+    quad = float(inv[0, 0]) * a * a + 2 * float(inv[0, 1]) * a * b + float(inv[1, 1]) * b * b
+    return rounded(v.groupBy("kind").agg(F.count("*").alias("n"), F.avg(F.sqrt(quad)).alias("distance")), 5)
+
+
+@query(f"WITH {LINES}, m AS (SELECT ep, t, quantity / 10 - avg(quantity / 10) OVER () AS a, tax * 50 - avg(tax * 50) OVER () AS b, var_pop(quantity / 10) OVER () AS v, var_pop(tax * 50) OVER () AS w, covar_pop(quantity / 10, tax * 50) OVER () AS c FROM states), "
+       "r AS (SELECT *, 0.5 * atan2(2 * c, v - w) AS o FROM m) SELECT ep, t, round(abs(cos(o) * a + sin(o) * b), 5) AS z0, round(abs(cos(o) * b - sin(o) * a), 5) AS z1 FROM r")
+def principal_plane(spark, d):
+    """Both principal scores of two channels, but for their signs."""
+    v = line_states(spark, d).select("ep", "t", F.array(F.col("quantity") / 10, F.col("tax") * 50).alias("v"))
+    z = R.PCA.fit(v, "v", 2).transform(v, "v")
+    return rounded(z.select("ep", "t", *[F.abs(F.col("z")[i]).alias(f"z{i}") for i in range(2)]), 5)
+
+
+#: Two landmarks: squared features and Christoffel scores in closed form.
+PAIR = f"""WITH {VECTORS}, l AS (SELECT *, row_number() OVER (ORDER BY {rank_sql(0, 'vec_id')}, vec_id) AS r FROM vectors WHERE label < 5), k AS (SELECT a.vec_id, max(exp(-0.5 * {SQ})) FILTER (b.r = 1) AS p, max(exp(-0.5 * {SQ})) FILTER (b.r = 2) AS q FROM vectors a, l b WHERE b.r <= 2 GROUP BY a.vec_id),
+g AS (SELECT exp(-0.5 * {SQ}) AS g FROM l a, l b WHERE a.r = 1 AND b.r = 2)"""
+
+
+@query(f"{PAIR} SELECT vec_id, round((p * p + q * q - 2 * g * p * q) / (1 - g * g), 6) AS norm2 FROM k, g")
+def nystrom_of_two(spark, d):
+    _, x = P.reference(vectors(spark, d).filter("label < 5"), "v", "vec_id", 2)
+    phi = R.map_vectors(vectors(spark, d), "v", R.nystrom(x, P.Kernel("rbf", gamma=0.5)), "phi")
+    return rounded(phi.select("vec_id", F.aggregate("phi", F.lit(0.0), lambda a, p: a + p * p).alias("norm2")))
+
+
+@query(f"{PAIR} SELECT vec_id, round(1 - (1.2 * (p * p + q * q) - 2 * g * p * q) / (1.44 - g * g), 6) AS score FROM k, g")
+def kerncd_of_two(spark, d):
+    v = vectors(spark, d)
+    return rounded(D.KernCD.fit(v.filter("label < 5"), "v", "vec_id", P.Kernel("rbf", gamma=0.5), lam=0.1, n=2).score(v, "v").select("vec_id", "score"))

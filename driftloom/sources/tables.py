@@ -26,6 +26,25 @@ def load(spark: SparkSession, root: str, env: str, name: str, channels: Sequence
     return df if channels is None else df.select("ep", "t", *channels)
 
 
+def split_and_normalize(states: DataFrame, episodes: DataFrame, channels: Sequence[str], sizes: dict[str, float], no_fail: Sequence[str] = (), *, seed: int = 0, normalize: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(states, episodes) with ``split``: stratified parts, channels as z-scores by the moments of ``train``; other rows are left out."""
+    from ..operators.episodes import normalize_channels, stratified_split
+
+    if normalize and "train" not in sizes:
+        raise ValueError("normalizing needs a part named train")
+    parts = stratified_split(episodes, sizes, no_fail, seed)
+    marked = states.join(parts.select("ep", "split"), "ep")
+    return (normalize_channels(marked, channels, F.col("split") == "train") if normalize else marked), parts
+
+
+def load_splits(spark: SparkSession, root: str, key: str, sizes: dict[str, float], no_fail: Sequence[str] = (), *, channels: Sequence[str], seed: int = 0, normalize: bool = True) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """(states, episodes) of each part of the dataset ``env/name``, whose episodes lie beside it as ``name_episodes``."""
+    env, name = key.split("/")
+    states, parts = split_and_normalize(load(spark, root, env, name, channels), load(spark, root, env, f"{name}_episodes"), channels, sizes, no_fail, seed=seed, normalize=normalize)
+    of = lambda df, part: df.filter(F.col("split") == part).drop("split")
+    return {part: (of(states, part), of(parts, part)) for part in sizes}
+
+
 def save(df: DataFrame, root: str, env: str, name: str, overwrite: bool = False) -> str:
     path = dataset_path(root, env, name)
     df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
