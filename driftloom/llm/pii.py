@@ -2,8 +2,10 @@
 
 Detected entities are e-mail addresses, telephone numbers, social security numbers,
 IPv4 and IPv6 addresses, payment cards (valid check digit), IBANs, secrets that are
-assigned to a name, and persons: names after a form of address, listed given names
-before another name, and later mentions of a family name found in the same text.
+assigned to a name, and persons: names after a form of address, two capitalised words
+of which one is a listed given or family name or that stand where persons do (after
+"by" or "met", before "said", joined to another person), and later mentions of a family
+name found in the same text, possessives included.
 
 A surrogate is a keyed permutation of the entity within its own format: every position
 keeps its kind (digit, hex, letter of a script; in names vowel or consonant), check
@@ -15,7 +17,7 @@ result is checked all the same; entities that do share a surrogate get another k
 until none do.
 
 Null and empty texts stay as they are, texts of any length are read whole, repeated
-rows each get their result, other columns play no part, an empty table gives none.
+rows each get their result, of entities that tie for a place in the text the kind named first wins, other columns play no part, an empty table gives none.
 """
 
 from __future__ import annotations
@@ -36,13 +38,13 @@ from .common import Scratch
 
 #: Given names by script and gender, and family names by script.
 GIVEN = {
-    ("latin", "f"): "Anna Maria Laura Sophie Emma Julia Clara Elena Alice Marta Ingrid Camille Lucia Hannah Grace Olivia Nora Ruth Teresa Paula".split(),
-    ("latin", "m"): "Peter Paul Thomas Martin Lucas David Simon Hugo Carlos Miguel Hans Karl Pierre Louis James Robert Henry Oscar Felix Victor".split(),
+    ("latin", "f"): "Alice Amanda Amelia Andrea Anna Barbara Camille Carmen Caroline Catherine Charlotte Chiara Christine Clara Claire Daniela Elena Elizabeth Emily Emma Eva Grace Hannah Helen Ingrid Isabel Jane Jennifer Jessica Julia Karen Katharina Laura Linda Lisa Lucia Maria Marta Mary Nora Olivia Patricia Paula Rachel Ruth Sarah Sophie Susan Teresa Victoria".split(),
+    ("latin", "m"): "Adam Alexander Andrew Anthony Benjamin Carlos Charles Christopher Daniel David Edward Felix Francisco Frank George Giovanni Hans Henry Hugo Jack James Jan Jean John Jonas Joseph Juan Karl Kevin Louis Lucas Marco Mark Martin Matthew Michael Miguel Oscar Patrick Paul Peter Pierre Richard Robert Samuel Simon Stefan Thomas Victor William".split(),
     ("cyrillic", "f"): "Анна Мария Елена Ольга Ирина Наталья Татьяна Вера".split(),
     ("cyrillic", "m"): "Иван Пётр Павел Сергей Алексей Дмитрий Андрей Николай".split(),
 }
 FAMILY = {
-    "latin": "Smith Miller Schmidt Weber Fischer Wagner Becker Hoffmann Martin Bernard Dubois Laurent Moreau Garcia Lopez Sanchez Romero Torres Taylor Brown Wilson Walker Clark Baker".split(),
+    "latin": "Adams Allen Anderson Baker Becker Bernard Brown Campbell Carter Clark Cooper Davis Dubois Evans Ferrari Fischer Fernandez Garcia Gonzalez Green Hall Harris Hoffmann Jackson Johnson Jones Keller King Koch Laurent Lewis Lopez Martin Martinez Meyer Miller Mitchell Moore Moreau Morgan Müller Murphy Nelson Perez Roberts Robinson Rodriguez Romero Rossi Sanchez Schmidt Schneider Scott Smith Taylor Thompson Torres Turner Wagner Walker Weber White Williams Wilson Wright Young".split(),
     "cyrillic": "Иванов Петров Сидоров Кузнецов Попов Васильев Соколов Михайлов".split(),
 }
 #: Forms of address and the gender they tell.
@@ -69,7 +71,16 @@ SECRET = re.compile(r"(?i)\b(?:api[_-]?key|access[_-]?key|secret|token|password|
 NAME = r"[^\W\d_][^\W\d_'-]*(?:['-][^\W\d_]+)*"
 PERSON = re.compile(r"\b(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + rf")\b\.? ({NAME})(?: ({NAME}))?")
 GIVEN_NAMES = {n: k for k, names in GIVEN.items() for n in names}
-UNTITLED = re.compile(r"\b(" + "|".join(sorted(GIVEN_NAMES)) + rf") ({NAME})")
+FAMILY_NAMES = frozenset(n for names in FAMILY.values() for n in names)
+CAPITAL = "[" + "".join(chr(c) for c in range(0x41, 0x530) if chr(c).isupper()) + "]"
+#: Two capitalised words in a row; the second may be the first of the next pair.
+PAIR = re.compile(rf"(?<![\w'’-])({CAPITAL}[^\W\d_]+(?:['-][^\W\d_]+)*)(?= ({CAPITAL}[^\W\d_]+(?:['-][^\W\d_]+)*))")
+#: Words that stand before or after a person in prose, and between two.
+BEFORE = re.compile(r"\b(?:by|met|meet|meets|named|called|asked|told|dear|signed|author|contact|attn)[:,]? $", re.IGNORECASE)
+AFTER = re.compile(r" (?:said|says|wrote|writes|asked|told|met|meets|replied|called|сказала?|ответила?)\b")
+BETWEEN = re.compile(r",? (?:and|or|und|oder|et|ou|y|o|и|или) |, ")
+#: Endings of a family name that a later mention may have: it stays in the text.
+POSSESSIVE = ("'s", "’s", "'", "’", "s")
 WORD = re.compile(NAME)
 KINDS = ("email", "card", "iban", "ssn", "phone", "ip", "secret", "person")
 
@@ -193,11 +204,7 @@ class Keyed:
                 new = self.digits(new, "ssn")
             return new
         if kind == "ip" and ":" in text:
-            old = ipaddress.IPv6Address(text)
-            groups = [int(x, 16) for x in old.exploded.split(":")]
-            new = ipaddress.IPv6Address(":".join(f"{x:x}" for x in [groups[0], *self.permute(groups[1:], [1 << 16] * 7, f"ip6|{groups[0]}")]))
-            plain = new.compressed if "::" in text else ":".join(f"{int(x, 16):x}" for x in new.exploded.split(":"))
-            return plain.upper() if text.upper() == text and text.lower() != text else plain
+            return self.address(text)
         if kind == "ip":
             octets = [int(x) for x in text.split(".")]
             fixed = 1 if octets[0] == 10 else 2 if octets[:2] == [192, 168] else 0
@@ -215,6 +222,20 @@ class Keyed:
             return self.person(text)
         return text
 
+    def address(self, text: str) -> str:
+        """The surrogate of an IPv6 address: the first group and all zeros stay, the others keep their number of digits, so every way of writing it does too."""
+        groups = [int(x, 16) for x in ipaddress.IPv6Address(text).exploded.split(":")]
+        at = [i for i in range(1, 8) if groups[i]]
+        low = [16 ** (len(f"{groups[i]:x}") - 1) for i in at]
+        new = self.permute([groups[i] - a for i, a in zip(at, low, strict=True)], [15 * a for a in low], f"ip6|{groups[0]}|{at}")
+        for i, a, v in zip(at, low, new, strict=True):
+            groups[i] = v + a
+        head, gap, tail = text.partition("::")
+        before, after = ([p for p in part.split(":") if p] for part in (head, tail))
+        put = lambda parts, values: ":".join(f"{v:x}".zfill(len(p)) for p, v in zip(parts, values, strict=True))
+        made = put(before, groups[:len(before)]) + gap + put(after, groups[8 - len(after):] if after else [])
+        return made.upper() if text.upper() == text and text.lower() != text else made
+
     def person(self, text: str) -> str:
         """The surrogate of a given and a family name, or of a single name: the title plays no part, so mentions agree."""
         words = text.split(" ")
@@ -268,9 +289,15 @@ def _persons(text: str) -> Iterator[tuple[int, int, str]]:
     for m in PERSON.finditer(text):
         if is_name(m[1]):
             yield m.start(1), m.end(2) if is_name(m[2]) else m.end(1), "person"
-    for m in UNTITLED.finditer(text):
-        if m[2][0].isupper():
-            yield *m.span(), "person"
+    last = -1  # where the person before ends
+    for m in PAIR.finditer(text):
+        (start, end), (given, family) = (m.start(), m.end(2)), m.groups()
+        if start < last or given in TITLES:
+            continue
+        known = given in GIVEN_NAMES or family in FAMILY_NAMES
+        if known or BEFORE.search(text, max(0, start - 12), start) or AFTER.match(text, end) or (last >= 0 and BETWEEN.fullmatch(text, last, start)):
+            yield start, end, "person"
+            last = end
 
 
 def detect(text: str) -> list[tuple[int, int, str]]:
@@ -302,6 +329,10 @@ def detect(text: str) -> list[tuple[int, int, str]]:
         for m in WORD.finditer(text, first):
             if m[0] in families:
                 take((*m.span(), "person"))
+                continue
+            cut = next((len(p) for p in POSSESSIVE if m[0].endswith(p) and m[0][:-len(p)] in families), 0)
+            if cut:
+                take((m.start(), m.end() - cut, "person"))
     return out
 
 

@@ -433,3 +433,34 @@ def test_containment_equals_brute_force_at_any_set_size(spark, monkeypatch, rows
         want |= {(d, item) for d, x in docs if 5 * len(g & grams(x.split(), n)) >= 4 * len(g)}
     got = DC.contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+
+
+# 5: names without titles, possessives, written forms of addresses
+
+
+def test_untitled_names_and_possessives():
+    k = P.Keyed(b"k")
+    clean = lambda t: P.replace(t, k.surrogate)
+    text, log = clean("John Smith and Emily Johnson met Barack Obama. Obama's car, Smiths Haus, Johnson’s dog.")
+    assert [x[2] for x in log] == ["John Smith", "Emily Johnson", "Barack Obama", "Obama", "Smith", "Johnson"]
+    assert not any(w in text for w in ("John ", "Smith", "Emily", "Johnson", "Barack", "Obama"))
+    family = {x[2].split()[-1]: x[3].split()[-1] for x in log[:3]}
+    assert all(family[x[2]] == x[3] for x in log[3:]) and f"{family['Obama']}'s car" in text and f"{family['Smith']}s Haus" in text
+    assert clean("Herr Müller, Müllers Haus")[0].count("Müller") == 0
+    assert clean("Богдан Орлов сказал, и Иван Петров")[0].split()[:2] != ["Богдан", "Орлов"]
+    for t in ("New York City is Big. The United Nations", "Se que Osllra. Raque Doez", "Smith alone is a trade", "GIVEN NAMES"):
+        assert clean(t) == (t, [])
+    genders = {P.GIVEN_NAMES[n] for n in (clean(f"{g} Smith")[0].split()[0] for g in P.GIVEN["latin", "f"])}
+    assert genders == {("latin", "f")}
+
+
+def test_addresses_keep_the_way_they_are_written():
+    k = P.Keyed(b"k")
+    made = {t: k.address(t) for t in ("fe80::1", "2001:DB8::A3", "2001:db8:0:0:0:0:0:a3", "2001:0db8::00a3", "::7", "2001:db8:1:2:3:4:5:6", "fe80::")}
+    for t, m in made.items():
+        assert len(m) == len(t) and [c if c in ":" else "x" for c in m] == [c if c in ":" else "x" for c in t]
+    same = {P.canonical("ip", made[t]) for t in ("2001:DB8::A3", "2001:db8:0:0:0:0:0:a3", "2001:0db8::00a3")}
+    assert len(same) == 1 and made["2001:DB8::A3"].isupper() and made["fe80::"] == "fe80::"
+    rng = random.Random(12)
+    every = {f"2001:{rng.randrange(1, 300):x}::{rng.randrange(1, 300):x}" for _ in range(3000)}
+    assert len({P.canonical("ip", k.address(t)) for t in every}) == len({P.canonical("ip", t) for t in every})
