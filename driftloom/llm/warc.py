@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, qualified
+from .common import HOT_ROWS, Scratch, partitions, qualified
 
 #: Fixed values of the formats.
 DICT_MAGIC = 0x184D2A5D
@@ -169,11 +169,19 @@ def plan_records(pages: DataFrame) -> DataFrame:
     is a response too, and so are all rows of a group without any page_id.
     """
     keyed = pages.withColumn("__digest", F.sha1(F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")))
-    # only digests that two rows share need the join; it carries ids, not pages
-    last = (keyed.groupBy("__digest").agg(F.max("page_id").alias("__last"), F.count("*").alias("__n"))
-            .filter("__n > 1").drop("__n"))
-    return (keyed.join(last, "__digest", "left")
-            .withColumn("__refers", F.when(~F.col("page_id").eqNullSafe(F.col("__last")), F.col("__last"))))
+    # digests and ids alone tell which pages answer
+    found = keyed.select("page_id", "__digest").groupBy("__digest").agg(F.max("page_id").alias("__last"), F.count("*").alias("__n"))
+    last = Scratch(pages.sparkSession, "warc-digests").keep(found.filter("__n > 1"), "last")
+    total, top = last.agg(F.sum("__n"), F.max("__n")).first()
+    limit = max(HOT_ROWS, (total or 0) // (4 * partitions(pages.sparkSession)))
+    planned = keyed
+    if (top or 0) > limit:  # pages of a digest that very many share get it by broadcast: at most four such digests a partition
+        hot = F.broadcast(last.filter(F.col("__n") > limit).select("__digest", "__last"))
+        planned = keyed.join(hot.select("__digest"), "__digest", "left_anti")
+    planned = planned.join(last.filter(F.col("__n") <= limit).select("__digest", "__last"), "__digest", "left")
+    if (top or 0) > limit:
+        planned = planned.unionByName(keyed.join(hot, "__digest"))
+    return planned.withColumn("__refers", F.when(~F.col("page_id").eqNullSafe(F.col("__last")), F.col("__last")))
 
 
 def write_archives(pages: DataFrame, path: str) -> DataFrame:

@@ -464,3 +464,21 @@ def test_addresses_keep_the_way_they_are_written():
     rng = random.Random(12)
     every = {f"2001:{rng.randrange(1, 300):x}::{rng.randrange(1, 300):x}" for _ in range(3000)}
     assert len({P.canonical("ip", k.address(t)) for t in every}) == len({P.canonical("ip", t) for t in every})
+
+
+# 4: payloads that very many pages share
+
+
+def test_hot_payloads_refer_to_the_largest_page(spark, monkeypatch):
+    monkeypatch.setattr(W, "HOT_ROWS", 3)
+    rng = random.Random(13)
+    data = [(i, rng.choice([None, "", "error", "error", "error", f"page {i}", f"page {i // 2}"])) for i in range(120)] + [(None, "error"), (None, "alone"), (7, "error"), (7, "error")]
+    pages = spark.createDataFrame([(i, f"u{i}", h) for i, h in data], "page_id long, url string, html string").repartition(5)
+    groups = {}
+    for i, h in data:
+        groups.setdefault(h or "", []).append(i)
+    last = {h: max((i for i in ids if i is not None), default=None) for h, ids in groups.items()}
+    want = Counter((i, len((h or "").encode()), None if last[h or ""] is None or i == last[h or ""] else last[h or ""]) for i, h in data)
+    got = W.round_trip(pages).collect()
+    assert Counter((r["page_id"], r["payload_bytes"], r["refers_to"]) for r in got) == want
+    assert all((r["record_type"] == "revisit") == (r["refers_to"] is not None) for r in got)
