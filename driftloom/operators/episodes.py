@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Written
+
 
 def no_nan(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """NaN becomes null: comparisons and aggregates then skip it."""
@@ -240,12 +242,17 @@ def composite(states: DataFrame, channel: str, transforms: Sequence) -> DataFram
 
 
 def collect_survivors(draw, n: int, rounds: int = 20):
-    """Episodes that survive, from ``draw(round)`` until there are ``n``: rejection sampling with an error after ``rounds``."""
-    kept = None
+    """Episodes that survive, from ``draw(round)`` until there are ``n``: rejection sampling with an error after ``rounds``.
+
+    Each round is drawn, written and counted once.
+    """
+    kept, found, tables = None, 0, None
     for i in range(rounds):
-        more = survived(draw(i))
-        kept = more if kept is None else kept.unionByName(more)
-        if kept.count() >= n:
+        drawn = survived(draw(i))
+        tables = tables or Written(drawn.sparkSession, "survivors")
+        more = tables.keep(drawn)
+        kept, found = more if kept is None else kept.unionByName(more), found + more.count()
+        if found >= n:
             return kept.orderBy(shuffled("ep", 0), "ep").limit(n)
     raise ValueError(f"fewer than {n} survivors after {rounds} rounds")
 

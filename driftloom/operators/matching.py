@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Written
 from .pairs import BLOCK_ROWS as CAP
 from .pairs import Kernel, band_pairs, mmd2, squared_distances
 
@@ -41,11 +42,13 @@ def _cell(tree: list, x: np.ndarray) -> np.ndarray:
 
 
 def _nearest_in_cell(rows: DataFrame, points: DataFrame, key: str, kind: str) -> DataFrame:
-    """(key, v, match, d2) of each row and the points of its cell; a cell of many rows is met in parts."""
-    sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / CAP).alias("parts"))
-    left = rows.join(sizes, "cell").select("cell", F.pmod(F.xxhash64(key), F.col("parts")).alias("part"), key, "v")
-    ends = sizes.select(F.col("cell").alias("of"), F.col("parts").alias("ends"))
-    right = points.join(ends, F.col("cell") == F.col("of")).select(F.col("of").alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ends") - 1)).alias("slot"), "match", F.col("v").alias("y"))
+    """(key, v, match, d2) of each row and the points of its cell; many rows or points of a cell meet in parts."""
+    parts = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / CAP).alias(name))
+    sizes = parts(rows, "lefts").join(parts(points, "rights"), "cell")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = rows.join(sizes, "cell").select("cell", F.pmod(F.xxhash64(key), F.col("lefts")).alias("l"), key, "v", every("rights").alias("r"))
+    ends = sizes.withColumnRenamed("cell", "of")
+    right = points.join(ends, F.col("cell") == F.col("of")).select(F.col("of").alias("cell"), every("lefts").alias("l"), F.pmod(F.xxhash64("match"), F.col("rights")).alias("r"), "match", F.col("v").alias("y"))
 
     def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -58,13 +61,20 @@ def _nearest_in_cell(rows: DataFrame, points: DataFrame, key: str, kind: str) ->
             at[i:i + 256], d2[i:i + 256] = d.argmin(1), d.min(1)
         return pd.DataFrame({key: a[key], "v": a["v"], "match": b["match"].to_numpy()[at], "d2": d2})
 
-    return left.groupBy("cell", "part").cogroup(right.groupBy("at", "slot")).applyInPandas(work, f"{key} {kind}, v array<double>, match long, d2 double")
+    met = left.groupBy("cell", "l", "r").cogroup(right.groupBy("cell", "l", "r")).applyInPandas(work, f"{key} {kind}, v array<double>, match long, d2 double")
+    best = met.groupBy(key).agg(F.min(F.struct("d2", "match")).alias("best"), F.first("v").alias("v"))
+    return best.select(key, "v", "best.match", "best.d2")
+
+
+#: Points by which cells are cut, at most: they bound the cells, whatever the table's size.
+SAMPLE = 200_000
 
 
 def nearest_match(left: DataFrame, right: DataFrame, key: str, params: Sequence[str], n: int = CAP, scale: bool = True) -> DataFrame:
     """(key, match, distance): for each left row (one a key) the nearest of all right rows, parameters standardized by the right (``scale``).
 
-    The right rows are dealt to k-d cells of about ``n``, cut by a sample.  The nearest in a row's
+    The right rows are dealt to k-d cells of about ``n``, cut by a sample of at most ``SAMPLE`` points or so, so that
+    cells of a very large table hold more and are met in parts.  The nearest in a row's
     own cell bounds its distance; all cells within the bound are searched, so the result is exact.
     """
     moments = right.agg(*[F.avg(p) for p in params], *[F.stddev_pop(p) for p in params]).first()
@@ -73,7 +83,7 @@ def nearest_match(left: DataFrame, right: DataFrame, key: str, params: Sequence[
     scaled = lambda df: df.select(key, F.array(*[(F.col(p) - moments[i]) / (moments[k + i] or 1.0) for i, p in enumerate(params)]).alias("v")).filter(~F.exists("v", lambda x: x.isNull()))
     points = scaled(right).groupBy("v").agg(F.min(key).cast("long").alias("match"))  # equal points count once
     total, per_cell = points.count(), 64
-    share = min(1.0, per_cell / n)
+    share = min(1.0, per_cell / n, SAMPLE / max(total, 1))
     sample = points.filter(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < int(share * (1 << 20))) if total > n else points.limit(0)
     tree, corners = _split(np.array([r["v"] for r in sample.select("v").collect()], dtype=float).reshape(-1, k), per_cell)
     low, high = (np.array(c) for c in zip(*corners, strict=True))
@@ -92,9 +102,10 @@ def nearest_match(left: DataFrame, right: DataFrame, key: str, params: Sequence[
                 row, cell = np.nonzero(d2 <= part["d2"].to_numpy()[:, None])
                 yield pd.DataFrame({key: part[key].to_numpy()[row], "v": part["v"].to_numpy()[row], "cell": cell})
 
-    points = points.mapInPandas(own, "v array<double>, match long, cell long")
+    tables = Written(left.sparkSession, "nearest-match")
+    points = tables.keep(points.mapInPandas(own, "v array<double>, match long, cell long"))
     bound = _nearest_in_cell(scaled(left).mapInPandas(own, f"{key} {kind}, v array<double>, cell long"), points, key, kind)
-    rows = bound.mapInPandas(reached, f"{key} {kind}, v array<double>, cell long").cache()
+    rows = tables.keep(bound.mapInPandas(reached, f"{key} {kind}, v array<double>, cell long"))
     best = _nearest_in_cell(rows, points, key, kind).groupBy(key).agg(F.min(F.struct("d2", "match")).alias("best"))
     return best.select(key, F.col("best.match").alias("match"), F.sqrt("best.d2").alias("distance"))
 

@@ -12,6 +12,7 @@ from ..operators import episodes as E
 from ..operators import metrics as M
 from ..operators import sequences as Q
 from ..operators import windows as W
+from ..scratch import Written
 
 SIZES = {"train": 0.4, "norm": 0.2, "cal": 0.2, "test": 0.2}
 
@@ -37,14 +38,15 @@ def run_experiment(states: DataFrame, episodes: DataFrame, channels: str | Seque
     parted = states.join(split.select("ep", "split"), "ep")
     scaled = E.normalize_channels(parted, channels, F.col("split") == "train")
     wide = Q.as_sequence(W.sliding(scaled, channels, width, stride)).join(split, "ep")
-    wide = wide.select(F.concat_ws("/", "ep", "end").alias("key"), "ep", "end", "split", "fail", "n_steps", "w").cache()
+    tables = Written(states.sparkSession, "experiment")
+    wide = tables.keep(wide.select(F.concat_ws("/", "ep", "end").alias("key"), "ep", "end", "split", "fail", "n_steps", "w"))
     score = fit(wide.filter((F.col("split") == "train") & Q.in_training(horizon)))
-    scored = Q.scored(wide.filter((F.col("split") != "train") & (F.col("end") <= F.col("fail"))), score).select("ep", "end", "split", "score").cache()
+    scored = tables.keep(Q.scored(wide.filter((F.col("split") != "train") & (F.col("end") <= F.col("fail"))), score).select("ep", "end", "split", "score"))
     moments = M.znorm_by_end(scored.filter("split = 'norm'"))
     z = M.apply_znorm(scored, moments)
     threshold = M.max_conformal_threshold(z.filter("split = 'cal'"), alpha)
     test = z.filter("split = 'test'").drop("split")
-    wide.unpersist()
+    tables.clear(last=1)
     return Result(M.detection_metrics(test, episodes, threshold), test, threshold)
 
 
@@ -54,7 +56,7 @@ def run_survival(states: DataFrame, episodes: DataFrame, channels: Sequence[str]
     split = E.stratified_split(episodes, sizes, ("train", "norm", "cal"), seed)
     vector = lambda df: df.select(F.concat_ws("/", "ep", "t").alias("key"), "ep", F.col("t").alias("end"), *[c for c in df.columns if c == "split"], F.array(*channels).alias("w"))
     cut, _ = E.drop_last(states, episodes, horizon)
-    parted = vector(cut.join(split.select("ep", "split"), "ep")).cache()
+    parted = Written(states.sparkSession, "survival").keep(vector(cut.join(split.select("ep", "split"), "ep")))
     score = fit(parted.filter("split = 'train'"))
     run = lambda df: Q.scored(df, score).select("ep", "end", "score")
     threshold = M.max_conformal_threshold(run(parted.filter("split = 'cal'")), alpha, "score")
