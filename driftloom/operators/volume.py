@@ -75,28 +75,38 @@ def proposals(spark: SparkSession, score: Score, level: float, n: int, *, base:
     return _chunks(spark, n).mapInPandas(work, "draw long, x array<double>")
 
 
-def smoothed_moments(points: np.ndarray, degree: int, eps: float, shape: str = "gauss", mean: bool = False) -> np.ndarray:
-    """Monomial moment matrix of points blurred by a normal or a ball of radius ``eps``, summed over the points.
-
-    A shifted moment is the binomial sum of powers of the point and centred moments.
-    """
-    index = total_degree(points.shape[1], degree)
+def _blurred(raw: Callable[[tuple[int, ...]], float], alpha: Sequence[int], eps: float, shape: str) -> float:
+    """A moment after blurring: the binomial sum of raw moments and those of a centred normal variable or ball."""
 
     def centred(beta: Sequence[int]) -> float:
         return math.prod(gaussian_moment(b, eps) for b in beta) if shape == "gauss" else ball_moment(beta, eps)
 
-    def moment(alpha: Sequence[int]) -> float:
-        total = np.zeros(len(points))
-        for beta in np.ndindex(*[a + 1 for a in alpha]):
-            c = centred(beta)
-            if c:
-                term = np.full(len(points), c)
-                for d, (a, b) in enumerate(zip(alpha, beta, strict=True)):
-                    term = term * math.comb(a, b) * points[:, d] ** (a - b)
-                total += term
-        return float(total.mean() if mean else total.sum())
-
-    return np.array([[moment([a + b for a, b in zip(x, y, strict=True)]) for y in index] for x in index])
+    total = 0.0
+    for beta in np.ndindex(*[a + 1 for a in alpha]):
+        c = centred(beta)
+        if c:
+            total += c * math.prod(math.comb(a, b) for a, b in zip(alpha, beta, strict=True)) * raw(tuple(a - b for a, b in zip(alpha, beta, strict=True)))
+    return total
+
+
+def _moment_matrix(raw: Callable[[tuple[int, ...]], float], n_vars: int, degree: int, eps: float, shape: str) -> np.ndarray:
+    index = total_degree(n_vars, degree)
+    return np.array([[_blurred(raw, [a + b for a, b in zip(x, y, strict=True)], eps, shape) for y in index] for x in index])
+
+
+def smoothed_moments(points: np.ndarray, degree: int, eps: float, shape: str = "gauss", mean: bool = False) -> np.ndarray:
+    """Monomial moment matrix of points blurred by a normal or a ball of radius ``eps``, summed over the points."""
+    over = np.mean if mean else np.sum
+    return _moment_matrix(lambda a: float(over(np.prod(points ** np.array(a), axis=1))), points.shape[1], degree, eps, shape)
+
+
+def smoothed_moments_all(df: DataFrame, channels: Sequence[str], degree: int, eps: float, shape: str = "gauss", mean: bool = True) -> np.ndarray:
+    """The same over all rows of a table, from its raw moments up to twice the degree: one aggregate, no point on the driver."""
+    ok = df.dropna(subset=list(channels))
+    wanted = total_degree(len(channels), 2 * degree)
+    power = lambda a: math.prod((F.pow(F.col(c), F.lit(k)) for c, k in zip(channels, a, strict=True)), start=F.lit(1.0))
+    row = ok.agg(*[(F.avg if mean else F.sum)(power(a)) for a in wanted]).first()
+    return _moment_matrix(dict(zip(wanted, map(lambda v: v or 0.0, row), strict=True)).__getitem__, len(channels), degree, eps, shape)
 
 
 def gaussian_embedding_product(m1: float, m2: float, v1: float, v2: float, gamma: float) -> float:

@@ -18,16 +18,15 @@ from ..sources import tables as T
 from .base import EVENTS, LINES, VECTORS, event_states, line_states, query, rank_sql, rounded, table, vectors
 
 REF = f"{VECTORS}, ref AS (SELECT * FROM vectors)"
-#: Rows from which bandwidths are taken, at most.
-BANDWIDTH_ROWS = 3000
-SOME = f"{VECTORS}, ref AS (SELECT * FROM vectors ORDER BY {rank_sql(0, 'vec_id')}, vec_id LIMIT {BANDWIDTH_ROWS})"
+#: Rows that kernel methods are fitted on, at most.
+FIT_ROWS = 1000
 #: Dot product and distances of two list columns.
 DOT = "list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))"
 SQ = "list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
 L1 = "list_sum(list_transform(list_zip(a.v, b.v), lambda p: abs(p[1] - p[2])))"
 
 
-def _ref(spark, d, n=BANDWIDTH_ROWS):
+def _ref(spark, d, n=FIT_ROWS):
     return P.reference(vectors(spark, d), "v", "vec_id", n)
 
 
@@ -176,13 +175,13 @@ def cd_score_degree3(spark, d):
 @query()
 def kerncd_scores(spark, d):
     v = vectors(spark, d)
-    return D.KernCD.fit(v.filter("label < 5"), "v", "vec_id", "rbf", lam=1e-3, n=200).score(v, "v").select("vec_id", "label", "score")
+    return D.KernCD.fit(v.filter("label < 5"), "v", "vec_id", "rbf", lam=1e-3, n=FIT_ROWS).score(v, "v").select("vec_id", "label", "score")
 
 
 @query()
 def kerncd_low_rank(spark, d):
     v = vectors(spark, d)
-    return D.KernCD.fit(v.filter("label < 5"), "v", "vec_id", "rbf", lam=1e-3, n=200, rank=60, pivot="greedy").score(v, "v").select("vec_id", "label", "score")
+    return D.KernCD.fit(v.filter("label < 5"), "v", "vec_id", "rbf", lam=1e-3, n=FIT_ROWS, rank=60, pivot="greedy").score(v, "v").select("vec_id", "label", "score")
 
 
 @query()
@@ -210,7 +209,7 @@ def greedy_pivots(spark, d):
 @query()
 def kerncd_online(spark, d):
     v = vectors(spark, d)
-    m = D.KernCD.fit(v.filter("label < 5"), "v", "vec_id", "rbf", lam=1e-3, n=100)
+    m = D.KernCD.fit(v.filter("label < 5"), "v", "vec_id", "rbf", lam=1e-3, n=FIT_ROWS)
     _, extra = P.reference(v.filter("label = 5"), "v", "vec_id", 20)
     return m.batch_update(extra).score(v, "v").select("vec_id", "score")
 
@@ -224,7 +223,7 @@ def reconstruction_error(spark, d):
 @query()
 def rudi_support(spark, d):
     v = vectors(spark, d)
-    _, x = P.reference(v.filter("label < 5"), "v", "vec_id", 200)
+    _, x = P.reference(v.filter("label < 5"), "v", "vec_id", FIT_ROWS)
     m = D.RudiSupport.fit_points(x, P.Kernel("rbf", gamma=0.5), 40)
     return D._score_blocks(v, "v", m.score_points).select("vec_id", "score")
 
@@ -311,7 +310,7 @@ def principal_scores(spark, d):
 @query()
 def nystrom_features(spark, d):
     v = vectors(spark, d)
-    _, x = _ref(spark, d, 50)
+    _, x = _ref(spark, d, FIT_ROWS)
     f = R.nystrom(x, P.Kernel("rbf", gamma=0.5))
     return R.map_vectors(v, "v", f, "phi").select("vec_id", F.size("phi").cast("long").alias("rank"), F.aggregate("phi", F.lit(0.0), lambda a, p: a + p * p).alias("norm2"))
 
@@ -322,14 +321,12 @@ def kmeans_landmarks(spark, d):
     return spark.createDataFrame([(i, float(np.linalg.norm(r))) for i, r in enumerate(c)], "centre long, norm double")
 
 
-@query(f"""WITH RECURSIVE {SOME}, far AS (SELECT 0 AS r, a.vec_id, a.v, b.vec_id AS picked, sqrt({SQ}) AS d FROM ref a, (SELECT * FROM ref ORDER BY vec_id LIMIT 1) b
+@query(f"""WITH RECURSIVE {REF}, far AS (SELECT 0 AS r, a.vec_id, a.v, b.vec_id AS picked, sqrt({SQ}) AS d FROM ref a, (SELECT * FROM ref ORDER BY vec_id LIMIT 1) b
 UNION ALL SELECT r + 1, a.vec_id, a.v, b.vec_id, least(a.d, sqrt({SQ})) FROM far a, (SELECT vec_id, v FROM far ORDER BY d DESC, vec_id LIMIT 1) b WHERE r < 9)
 SELECT r::BIGINT AS r, any_value(picked) AS vec_id, round((SELECT max(d) FROM far WHERE r = 9), 6) AS fill FROM far GROUP BY r""")
 def farthest_point_centres(spark, d):
-    keys, x = _ref(spark, d)
-    picked, fill = R.farthest_points(x, 10)
-    fill = round(fill, 6)
-    return spark.createDataFrame([(r, int(keys[i]), fill) for r, i in enumerate(picked)], "r long, vec_id long, fill double")
+    keys, _, fill = R.farthest_points_all(vectors(spark, d), "v", "vec_id", 10)
+    return spark.createDataFrame([(r, int(key), round(fill, 6)) for r, key in enumerate(keys)], "r long, vec_id long, fill double")
 
 
 @query()

@@ -19,7 +19,7 @@ from ..operators import windows as W
 from ..sources import tables as T
 from . import experiment
 from .base import EVENTS, LINES, VECTORS, event_episodes, event_states, line_states, query, rank_sql, rounded, split_sql, table, vectors
-from .queries_kernels import SQ
+from .queries_kernels import FIT_ROWS, SQ
 
 
 @query("""WITH r AS (SELECT c_custkey AS k, c_acctbal AS a, c_nationkey::DOUBLE AS b FROM customer WHERE c_custkey % 3 = 0), m AS (SELECT avg(a) ma, stddev_pop(a) sa, avg(b) mb, stddev_pop(b) sb FROM r),
@@ -311,23 +311,23 @@ def pca_of_spectra(spark, d):
 
 @query()
 def kernel_spectrum_rank(spark, d):
-    _, x = P.reference(vectors(spark, d), "v", "vec_id", 200)
+    _, x = P.reference(vectors(spark, d), "v", "vec_id", FIT_ROWS)
     share, rank = R.spectrum_rank(P.Kernel("rbf", gamma=0.5)(x, x), 0.05)
     return spark.createDataFrame([(i + 1, float(s), rank) for i, s in enumerate(share[:40])], "r long, captured double, rank95 long")
 
 
 @query()
 def leave_one_out_sweep(spark, d):
-    _, x = P.reference(vectors(spark, d), "v", "vec_id", 150)
+    _, x = P.reference(vectors(spark, d), "v", "vec_id", FIT_ROWS)
     rows = [(g, *D.loo_objective(P.Kernel("rbf", gamma=g)(x, x), 1e-2)) for g in (0.1, 0.5, 1.0, 2.0)]
     return spark.createDataFrame(rows, "gamma double, loo double, logdet double")
 
 
 @query()
 def fit_size_sweep(spark, d):
-    v = vectors(spark, d).withColumn("y", (F.col("label") >= 5).cast("int")).cache()
+    v = vectors(spark, d).withColumn("y", (F.col("label") >= 5).cast("int"))
     out = None
-    for n in (25, 50, 100, 200):
+    for n in (50, 200, FIT_ROWS):
         s = D.KernCD.fit(v.filter("label < 5"), "v", "vec_id", "rbf", lam=1e-3, n=n).score(v, "v")
         row = M.auroc(s, "y").select(F.lit(n).cast("long").alias("n"), "auroc")
         out = row if out is None else out.unionByName(row)

@@ -13,8 +13,8 @@ from ..operators import reduction as R
 from ..operators import resampling as U
 from ..operators import volume as V
 from ..operators import windows as W
-from .base import EVENTS, LINES, VECTORS, event_episodes, event_states, line_states, query, rank_sql, rounded, table, vectors
-from .queries_kernels import SQ
+from .base import EVENTS, LINES, VECTORS, event_episodes, event_states, line_states, query, rounded, table, vectors
+from .queries_kernels import FIT_ROWS, SQ
 
 
 def _disc(level: float):
@@ -25,7 +25,7 @@ def _disc(level: float):
 def _plane(spark, d):
     """(points of the first two coordinates, at most a fit set; their mean squared length over all rows)."""
     v = vectors(spark, d)
-    _, x = P.reference(v, "v", "vec_id", 1000)
+    _, x = P.reference(v, "v", "vec_id", FIT_ROWS)
     level = v.agg(F.avg(F.col("v")[0] * F.col("v")[0] + F.col("v")[1] * F.col("v")[1])).first()[0]
     return x[:, :2], float(level)
 
@@ -43,15 +43,10 @@ def proposals_in_set(spark, d):
     return V.proposals(spark, _disc(level), 1.0, 2000, base=base, spread=0.1 * float(np.sqrt(level))).select("draw", F.col("x")[0].alias("a"), F.col("x")[1].alias("b"))
 
 
-#: Points whose blurred moments are taken, at most; the operator holds them on the driver.
-POINTS = 1000
-
-
-@query(f"""WITH {VECTORS}, x AS (SELECT v[1] AS x FROM vectors ORDER BY {rank_sql(0, 'vec_id')}, vec_id LIMIT {POINTS}), e AS (SELECT [1, avg(x), avg(x * x + 0.25), avg(x * x * x + 0.75 * x), avg(power(x, 4) + 1.5 * x * x + 0.1875)] AS e FROM x)
+@query(f"""WITH {VECTORS}, x AS (SELECT v[1] AS x FROM vectors), e AS (SELECT [1, avg(x), avg(x * x + 0.25), avg(x * x * x + 0.75 * x), avg(power(x, 4) + 1.5 * x * x + 0.1875)] AS e FROM x)
 SELECT i, j, round(e[i + j + 1], 6) AS m FROM e, generate_series(0, 2) a(i), generate_series(0, 2) b(j)""")
 def smoothed_moment_matrix(spark, d):
-    _, x = P.reference(vectors(spark, d), "v", "vec_id", POINTS)
-    m = V.smoothed_moments(x[:, :1], 2, 0.5, mean=True)
+    m = V.smoothed_moments_all(vectors(spark, d).select(F.col("v")[0].alias("x")), ["x"], 2, 0.5)
     return spark.createDataFrame([(i, j, round(float(m[i, j]), 6)) for i in range(3) for j in range(3)], "i long, j long, m double")
 
 
@@ -93,7 +88,7 @@ def phase_plane_alarm(spark, d):
 @query()
 def fixed_centre_scores(spark, d):
     v = vectors(spark, d)
-    _, x = P.reference(v.filter("label < 5"), "v", "vec_id", 200)
+    _, x = P.reference(v.filter("label < 5"), "v", "vec_id", FIT_ROWS)
     kernel = P.Kernel("rbf", gamma=0.5)
     f = R.nystrom(x[R.farthest_points(x, 40)[0]], kernel, 1e-10)
     phi = f(x)

@@ -444,3 +444,76 @@ def test_growing_models_equal_refits(spark, tmp_path):
             x = np.array([v])
             assert abs(r["score"] - (model.score_points(x)[0] if model else 1.0)) < 1e-9
             model = model.update(x[0]) if model else D.KernCD.fit_points(x, kernel, 1e-2)
+
+
+# centres and moments of all rows, several quantiles, curves
+
+
+def test_farthest_points_of_all_rows(spark, cloud):
+    from driftloom.operators.reduction import farthest_points, farthest_points_all
+
+    keys, centres, fill = farthest_points_all(points(spark, cloud), "v", "k", 9)
+    want, reach = farthest_points(cloud, 9)
+    assert keys == want and np.allclose(centres, cloud[want]) and abs(fill - reach) < 1e-9
+    few = points(spark, np.repeat(np.eye(2), 3, axis=0))
+    assert farthest_points_all(few, "v", "k", 5)[0] == [0, 3] and farthest_points_all(few.limit(0), "v", "k", 5)[0] == []
+
+
+def test_smoothed_moments_of_all_rows(spark, cloud):
+    from driftloom.operators.volume import smoothed_moments, smoothed_moments_all
+
+    df = spark.createDataFrame([(float(a), float(b)) for a, b, _ in cloud] + [(None, 1.0)], "a double, b double")
+    for shape in ("gauss", "ball"):
+        for mean in (True, False):
+            assert np.allclose(smoothed_moments_all(df, ["a", "b"], 2, 0.3, shape, mean), smoothed_moments(cloud[:, :2], 2, 0.3, shape, mean))
+
+
+def test_quantiles_of_several_columns(spark):
+    from driftloom.operators.metrics import quantiles, quantiles_of
+
+    rng = np.random.default_rng(17)
+    a, b = rng.normal(size=3001), rng.integers(0, 7, 3001).astype(float)
+    df = spark.createDataFrame([(float(x), float(y), None) for x, y in zip(a, b)] + [(None, 3.0, None)], "a double, b double, c double")
+    shares = [0.0, 0.1, 1 / 3, 0.5, 0.99, 1.0]
+    for n in (4, 256):
+        got = quantiles_of(df, ["a", "b", "c"], shares, n)
+        assert np.allclose(got["a"], np.quantile(a, shares)) and np.allclose(got["b"], np.quantile(np.append(b, 3.0), shares)) and got["c"] == [None] * 6
+    assert quantiles(df.limit(0), "a", [0.5]) == [None]
+
+
+def test_curves_at_the_ends(spark):
+    from driftloom.operators.metrics import pr_auc, tpr_at_fpr
+
+    rng = np.random.default_rng(18)
+    y = (rng.random(400) < 0.3).astype(int)
+    s = np.round(rng.normal(size=400) + y, 1)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s)], "label int, score double")
+    cuts = np.sort(np.unique(s))[::-1]
+    tpr, fpr, prec = (np.array([f(s >= c) for c in cuts]) for f in (lambda h: h[y == 1].mean(), lambda h: h[y == 0].mean(), lambda h: y[h].mean()))
+    for at in (0.0, 0.05, 0.3, float(fpr[5]), 1.0):
+        x, v = np.append(0, fpr), np.append(0, tpr)
+        exact = v[x == at]
+        below, above = max(i for i in range(len(x)) if x[i] < at) if at > 0 else 0, next((i for i in range(len(x)) if x[i] >= at), len(x) - 1)
+        want = exact.max() if len(exact) else v[below] + (v[above] - v[below]) * (at - x[below]) / (x[above] - x[below])
+        assert abs(tpr_at_fpr(df, at).first()["tpr"] - want) < 1e-9
+    area = sum((t - t0) * (p + p0) / 2 for t, t0, p, p0 in zip(tpr, np.append(0, tpr), prec, np.append(1, prec)))
+    assert abs(pr_auc(df).first()["pr_auc"] - area) < 1e-9
+
+
+def test_splits_are_normalized_by_train(spark, tmp_path):
+    from driftloom.sources import tables as T
+
+    states = spark.createDataFrame([(e, t, float(e + t)) for e in range(40) for t in range(5)], "ep long, t long, x double")
+    episodes = spark.createDataFrame([(e, 5 if e % 4 else 3, 5) for e in range(40)], "ep long, fail long, n_steps long")
+    T.save(states, str(tmp_path), "toy", "d")
+    T.save(episodes, str(tmp_path), "toy", "d_episodes")
+    got = T.load_splits(spark, str(tmp_path), "toy/d", {"train": 0.5, "test": 0.5}, ("train",), channels=["x"])
+    train, test = got["train"], got["test"]
+    row = train[0].agg(F.avg("x"), F.stddev_pop("x")).first()
+    assert abs(row[0]) < 1e-9 and abs(row[1] - 1) < 1e-9
+    assert train[1].filter("fail < n_steps").count() == 0 and test[1].filter("fail < n_steps").count() == 10
+    assert {r["ep"] for r in train[0].select("ep").distinct().collect()} == {r["ep"] for r in train[1].collect()}
+    with pytest.raises(ValueError):
+        T.split_and_normalize(states, episodes, ["x"], {"a": 1.0})
+    with pytest.raises(ValueError):
+        W.sliding(states, ["x"], 6, strict=True)
