@@ -239,10 +239,11 @@ def level_set_distance(grid: DataFrame, channels: Sequence[str], score_a: str, l
     Nearest points are searched in cells, so the grid may be of any size; the
     distance is null if a part is empty.
     """
-    marked = grid.withColumn("__id", F.monotonically_increasing_id()).select("__id", *channels, (F.col(score_a) <= level_a).alias("__in_a"), (F.col(score_b) <= level_b).alias("__in_b")).cache()
+    tables = Written(grid.sparkSession, "level-sets")
+    marked = tables.keep(grid.withColumn("__id", F.monotonically_increasing_id()).select("__id", *channels, (F.col(score_a) <= level_a).alias("__in_a"), (F.col(score_b) <= level_b).alias("__in_b")))
     a, b = marked.filter("__in_a"), marked.filter("__in_b")
     n_a, n_b, out = marked.agg(F.sum(F.col("__in_a").cast("int")), F.sum(F.col("__in_b").cast("int")), F.sum((F.col("__in_b") & ~F.col("__in_a")).cast("int"))).first()
     far = lambda p, q: nearest_match(p, q, "__id", channels, scale=False).agg(F.max("distance")).first()[0]
     distance = max(far(a, b), far(b, a)) if n_a and n_b else None
-    marked.unpersist()
+    tables.clear()
     return distance, (out or 0) / max(n_b or 0, 1)

@@ -14,6 +14,7 @@ from ..operators import reduction as R
 from ..operators import resampling as U
 from ..operators import signals as S
 from ..operators import windows as W
+from ..scratch import Written
 from ..sources import tables as T
 from .base import EVENTS, LINES, VECTORS, event_states, line_states, query, rank_sql, rounded, table, vectors
 
@@ -66,7 +67,7 @@ for _name, _kernel, _sql in (
 @query(f"WITH {REF}, s AS (SELECT a.vec_id, avg(exp(-0.5 * {SQ})) AS k FROM vectors a, ref b GROUP BY a.vec_id), m AS (SELECT avg(exp(-0.5 * {SQ})) AS kk FROM ref a, ref b) SELECT vec_id, round(1 - 2 * k + kk, 6) AS score FROM s, m")
 def mean_map_distance(spark, d):
     v = vectors(spark, d)
-    g = P.gram_all(v, v, "v", "vec_id", P.Kernel("rbf", gamma=0.5)).cache()
+    g = Written(spark, "mean-map").keep(P.gram_all(v, v, "v", "vec_id", P.Kernel("rbf", gamma=0.5)))
     level = g.agg(F.avg("k_mean")).first()[0]
     return rounded(g.select("vec_id", (F.col("k_self") - 2 * F.col("k_mean") + level).alias("score")))
 
