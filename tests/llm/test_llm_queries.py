@@ -15,7 +15,9 @@ def test_query_runs_over_its_whole_table(spark, name):
     out = Q.QUERIES[name](spark, SMALL)
     rows = out.count()
     table = "pages" if name == "op4_warc" else "documents"
-    if name != "op9_decontamination":
+    if name == "op11_lexical_search":
+        assert rows == 20 * spark.read.parquet(f"{SMALL}/benchmark.parquet").count()
+    elif name != "op9_decontamination":
         assert rows == spark.read.parquet(f"{SMALL}/{table}.parquet").count()
 
 
