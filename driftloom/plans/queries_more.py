@@ -16,6 +16,7 @@ from ..operators import reduction as R
 from ..operators import signals as S
 from ..operators import trajectory_kernels as K
 from ..operators import windows as W
+from ..scratch import Written
 from ..sources import tables as T
 from . import experiment
 from .base import EVENTS, LINES, VECTORS, event_episodes, event_states, line_states, query, rank_sql, rounded, split_sql, table, vectors
@@ -403,7 +404,7 @@ def bilinear_errors(spark, d):
     """Windows of four channels on six splines over time, by each strategy and number of directions."""
     w = W.sliding(line_states(spark, d), ["quantity", "price", "discount", "tax"], 20, 20)
     scale = np.array([1 / 50, 1 / 1e5, 10, 10])
-    w = w.select(F.flatten(F.transform("w", lambda s: F.array(*[s[i] * float(scale[i]) for i in range(4)]))).alias("w"))
+    w = Written(spark, "bilinear").keep(w.select(F.flatten(F.transform("w", lambda s: F.array(*[s[i] * float(scale[i]) for i in range(4)]))).alias("w")))  # nine fits read it
     basis, rows = B.temporal_matrix("bspline", 20, 6), []
     for strategy in ("space_first", "time_first", "joint"):
         for k in (1, 2, 3):

@@ -13,6 +13,7 @@ from ..operators import reduction as R
 from ..operators import resampling as U
 from ..operators import volume as V
 from ..operators import windows as W
+from ..scratch import Written
 from .base import EVENTS, LINES, VECTORS, event_episodes, event_states, line_states, query, rounded, table, vectors
 from .queries_kernels import FIT_ROWS, SQ
 
@@ -115,6 +116,7 @@ def cross_group_evaluation(spark, d):
     out = None
     for group in ((0, 1, 2), (3, 4, 5, 6)):
         s = D.KNN.fit(v.filter(F.col("label").isin(*group)), "v", "vec_id", 5).score(v, ["label", "y"]).withColumn("score", F.round("score", 9))
+        s = Written(spark, "cross-group").keep(s)
         row = M.auroc(s, "y").select(F.lit(str(group)).alias("fitted_on"), "auroc")
         out = row if out is None else out.unionByName(row)
     return rounded(out)

@@ -59,3 +59,31 @@ def test_both_rows_of_a_pair_get_its_value(spark, monkeypatch, size):
     for g in (0, 1):
         at = np.arange(30) % 2 == g
         assert abs(parts[g] - mmd(a[at], off[at][:, at])) < 1e-12
+
+
+def test_scores_are_made_of_bounded_blocks(spark, tmp_path):
+    from driftloom.operators import detectors as D
+
+    x = np.random.default_rng(3).normal(size=(1500, 2))
+    df = points(spark, x).coalesce(1)
+    rows = D._score_blocks(df, "v", lambda b: np.full(len(b), float(len(b)))).collect()
+    assert len(rows) == 1500 and max(r.score for r in rows) <= 256
+    met = P.against(df, "v", "k", lambda k, b: {"n": np.full(len(b), len(b))}, "n long").collect()
+    assert len(met) == 1500 and max(r.n for r in met) <= 256
+
+
+def test_band_pairs_meet_by_cells_of_all_parameters(spark):
+    rows = [(i, 0.01 * i, float(i % 40)) for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, a double, b double")
+    got = P.band_pairs(df, "k", ["a", "b"], [2.0, 1.0])
+    want = {(p[0], q[0]) for p in rows for q in rows if p[0] != q[0] and abs(p[1] - q[1]) <= 2.0 and abs(p[2] - q[2]) <= 1.0}
+    assert {tuple(r) for r in got.collect()} == want
+    assert "c_b" in got._jdf.queryExecution().toString()  # rows far apart in the second one don't meet
+
+
+def test_windows_of_nine_bilinear_fits_are_made_once(spark, monkeypatch):
+    from driftloom.plans import queries_more, registry
+
+    kept = []
+    monkeypatch.setattr(queries_more.Written, "keep", lambda self, df, keep=queries_more.Written.keep: kept.append(df) or keep(self, df))
+    assert len(registry.QUERIES["bilinear_errors"](spark, "/root/testdata/sf0.001").collect()) == 9 and len(kept) == 1
