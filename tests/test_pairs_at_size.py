@@ -87,3 +87,28 @@ def test_windows_of_nine_bilinear_fits_are_made_once(spark, monkeypatch):
     kept = []
     monkeypatch.setattr(queries_more.Written, "keep", lambda self, df, keep=queries_more.Written.keep: kept.append(df) or keep(self, df))
     assert len(registry.QUERIES["bilinear_errors"](spark, "/root/testdata/sf0.001").collect()) == 9 and len(kept) == 1
+
+
+def test_close_episodes_meet_without_their_pairs_laid_out(spark, monkeypatch):
+    from driftloom.operators import matching as X
+
+    rng = np.random.default_rng(5)
+    x, a, b = np.round(rng.normal(size=(40, 6)), 1), np.round(rng.uniform(0, 6, 40), 1), rng.integers(0, 3, 40).astype(float)
+    states = spark.createDataFrame([(i, t, float(x[i, t])) for i in range(40) for t in range(6)], "ep long, t long, x double")
+    eps = spark.createDataFrame([(i, 6, float(a[i]), float(b[i])) for i in range(40)], "ep long, n_steps long, a double, b double")
+    close = lambda i, j: abs(a[i] - a[j]) <= 1.0 and abs(b[i] - b[j]) <= 1.0
+    monkeypatch.setattr(X, "BAND_ROWS", 3)
+    monkeypatch.setattr(X, "CANDIDATES", 16)
+    curve = X.forward_divergence(states, eps, "x", ["a", "b"], [1.0, 1.0], 1, 4)
+    logs = {s: [np.log(abs(x[i, s + 1] - x[j, s + 1])) for i in range(40) for j in range(i) if close(i, j) and x[i, s + 1] != x[j, s + 1]] for s in range(4)}
+    got = {r.s: (r.mean_log, r.n) for r in curve.collect()}
+    assert all(got[s][1] == len(logs[s]) and abs(got[s][0] - np.mean(logs[s])) < 1e-9 for s in range(4))
+    near = X.matched_neighbours(states, eps, ["x"], ["a", "b"], [1.0, 1.0], 1, 1, 2)
+    usable, want = [(i, t) for i in range(40) for t in range(1, 4)], {}
+    for i, t in usable:
+        found = [(round((x[i, t] - x[j, u]) ** 2, 12), j, u) for j, u in usable if i != j and close(i, j) and abs(t - u) <= 1]
+        if found:
+            want[i, t] = min(found)
+    assert {(r.ep, r.t): (round(r.d2, 12), r.match, r.match_t) for r in near.collect()} == want
+    for df in (curve, near):
+        assert "FlatMapCoGroupsInPandas" in df._jdf.queryExecution().toString()
