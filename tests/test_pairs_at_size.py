@@ -112,3 +112,20 @@ def test_close_episodes_meet_without_their_pairs_laid_out(spark, monkeypatch):
     assert {(r.ep, r.t): (round(r.d2, 12), r.match, r.match_t) for r in near.collect()} == want
     for df in (curve, near):
         assert "FlatMapCoGroupsInPandas" in df._jdf.queryExecution().toString()
+
+
+def test_neighbours_of_short_windows_are_searched_in_cells(spark, monkeypatch):
+    from driftloom.operators import matching as X
+    from driftloom.operators import sequences as Q
+
+    rng = np.random.default_rng(6)
+    x, y = rng.exponential(size=(150, 3)), rng.exponential(size=(400, 3))
+    y[350:] = y[0]  # equal ones
+    table = lambda v, name: spark.createDataFrame([(f"{name}{i}", [float(c) for c in r]) for i, r in enumerate(v)], "key string, w array<double>")
+    monkeypatch.setattr(X, "CAP", 128)  # 400 rows are more than one cell's
+    monkeypatch.setattr(X, "SAMPLE", 10_000)
+    d = np.sort(np.sqrt(np.square(x[:, None] - y[None]).sum(2)), axis=1)[:, :5]
+    got = {r.key: r for r in X.nearest_in_cells(table(x, "x"), table(y, "y"), "w", "key", 5).collect()}
+    assert len(got) == 150 and all(np.allclose((got[f"x{i}"].score, got[f"x{i}"].kth, got[f"x{i}"].nearest), (r.mean(), r[4], r[0]), atol=1e-12) for i, r in enumerate(d))
+    monkeypatch.setattr(Q, "knn_all", None)  # all rows would meet all
+    assert Q.Neighbours(table(y, "y"), 5).table(table(x, "x")).count() == 150
