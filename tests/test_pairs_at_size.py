@@ -79,6 +79,7 @@ def test_band_pairs_meet_by_cells_of_all_parameters(spark):
     want = {(p[0], q[0]) for p in rows for q in rows if p[0] != q[0] and abs(p[1] - q[1]) <= 2.0 and abs(p[2] - q[2]) <= 1.0}
     assert {tuple(r) for r in got.collect()} == want
     assert "c_b" in got._jdf.queryExecution().toString()  # rows far apart in the second one don't meet
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()  # few scan tasks would make all pairs
 
 
 def test_windows_of_nine_bilinear_fits_are_made_once(spark, monkeypatch):
