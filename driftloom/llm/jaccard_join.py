@@ -7,8 +7,9 @@ Jaccard distance is a metric, and sets link within the radius 1 - num / den.
     about as many parts as a linked pair can differ in, plus one: of two linked sets
     at least one non-empty part is equal.  Of the sets with an equal part the least
     member is the pivot.  A parity sketch, which bounds the symmetric difference from
-    below, takes out what can't be near its pivot's other sets; what still hangs
-    together over common pivots is a region, and every link lies inside one region.
+    below, takes out what can't be near its pivot's other sets, whatever their number
+    (a line that many texts share is such a part); what still hangs together over
+    common pivots is a region, and every link lies inside one region.
 2.  *Voronoi cells.*  In a region some members become pivots, every member gets its
     exact distance to each and belongs to the cell of the nearest one.  Members within
     the radius of a pivot are linked through it and need no comparison.
@@ -40,6 +41,8 @@ from .components import components
 LEAF = 256
 #: Grams that make a text count once more.
 MEMBER_GRAMS = 8192
+#: Members of a pivot whose sketches a task holds, about; it meets two such blocks at most.
+SIEVE_ROWS = 2048
 #: Members up to which a cell is joined set by set.
 FEW = 24
 #: Blocks of a region that meet all others of it in one task.
@@ -279,20 +282,22 @@ def _forest(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def sieve_forest(sketches: list[bytes], sizes: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Spanning forest of the pairs that their sketches don't rule out; a pair is compared at the shorter sketch's length."""
+def sieve_forest(sketches: list[bytes], sizes: np.ndarray, num: int, den: int, split: int = 0) -> list[tuple[int, int]]:
+    """Spanning forest of the pairs that their sketches don't rule out, with ``split`` > 0 only of those across it; a pair is compared at the shorter sketch's length."""
     lengths, n = np.array([len(s) for s in sketches]), len(sketches)
     may = np.zeros((n, n), dtype=bool)
-    bound = (den - num) * np.minimum(sizes[:, None], sizes[None, :]) // num
+    left = np.arange(n) < (split or n)
     for length in np.unique(lengths):
-        mine, longer = np.flatnonzero(lengths == length), np.flatnonzero(lengths >= length)
-        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(sketches[i], np.uint8).reshape(-1, length), axis=0) for i in longer])
-        short, apart = folded[lengths[longer] == length], np.zeros((len(mine), len(longer)), dtype=np.float32)
-        for lo in range(0, length, 512):  # 4096 bits at a time
-            x, y = (np.unpackbits(s[:, lo:lo + 512], axis=1).astype(np.float32) for s in (short, folded))
-            apart += x.sum(1)[:, None] + y.sum(1)[None, :] - 2 * (x @ y.T)
-        at = np.ix_(mine, longer)
-        may[at] = apart <= bound[at]
+        for side, other in ((left, ~left), (~left, left)) if split else ((left, left),):
+            mine, longer = np.flatnonzero((lengths == length) & side), np.flatnonzero((lengths >= length) & other)
+            if not len(mine) or not len(longer):
+                continue
+            short, folded = (np.stack([np.bitwise_xor.reduce(np.frombuffer(sketches[i], np.uint8).reshape(-1, length), axis=0) for i in at]) for at in (mine, longer))
+            apart = np.zeros((len(mine), len(longer)), dtype=np.float32)
+            for lo in range(0, length, 512):  # 4096 bits at a time
+                x, y = (np.unpackbits(s[:, lo:lo + 512], axis=1).astype(np.float32) for s in (short, folded))
+                apart += x.sum(1)[:, None] + y.sum(1)[None, :] - 2 * (x @ y.T)
+            may[np.ix_(mine, longer)] = apart <= (den - num) * np.minimum(sizes[mine, None], sizes[None, longer]) // num
     return _forest(may | may.T)
 
 
@@ -447,15 +452,27 @@ def _leaves(num: int, den: int):
 
 
 def _sieve(num: int, den: int):
-    """Rows (lead, doc_id, n, sketch) of one leader to edges of what may be linked."""
+    """Rows (task, side, doc_id, n, sketch) of one task to edges of what may be linked."""
 
     def solve(rows: list[tuple]) -> list[tuple[int, int]]:
-        forest = sieve_forest([r[3] for r in rows], np.array([r[2] for r in rows]), num, den)
-        return [(rows[i][1], rows[j][1]) for i, j in forest]
+        rows.sort(key=lambda r: (r[1], r[2]))
+        if rows[0][1]:
+            return []
+        split = sum(r[1] == 0 for r in rows) if rows[-1][1] else 0
+        forest = sieve_forest([r[4] for r in rows], np.array([r[3] for r in rows]), num, den, split)
+        return [(rows[i][2], rows[j][2]) for i, j in forest]
 
     return _by_key(solve)
 
 
+def _sieve_tasks(members: DataFrame) -> DataFrame:
+    """Rows (task, side, doc_id, n, sketch) of ``members`` (lead, size, doc_id, n, sketch): the members of a lead in blocks by hash, each pair of blocks a task."""
+    blocks = F.ceil((F.col("size") + 1) / SIEVE_ROWS).cast("int")
+    dealt = members.withColumn("mine", F.pmod(F.xxhash64("doc_id", F.lit(5)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    task = F.concat_ws("/", F.col("lead").cast("string"), F.least("mine", "other").cast("string"), F.greatest("mine", "other").cast("string"))
+    return dealt.select(task.alias("task"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "doc_id", "n", "sketch")
+
+
 def _join_leaves(tasks: DataFrame, num: int, den: int) -> DataFrame:
     """``tasks``: rows (task, side, doc_id, grams), each task of two leaves at most."""
     return tasks.repartition(partitions(tasks.sparkSession), "task").sortWithinPartitions("task").select("task", "side", "doc_id", "grams").mapInArrow(_leaves(num, den), "a long, b long")
@@ -590,12 +607,9 @@ def _classes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     heads = tables.keep(texts.filter("sketch is not null").select("doc_id", "n", "sketch").join(classes.select("doc_id", "rep"), "doc_id").filter("doc_id = rep").drop("rep").dropDuplicates(["doc_id"]), "heads")
     groups = tables.keep(near.groupBy("lead").agg(F.count("*").alias("size")), "groups")
     sized = join_hot(near, groups, "lead", "size")
-    few = sized.filter(F.col("size") < LEAF).select("lead", "doc_id")
-    few = few.unionByName(groups.filter(F.col("size") < LEAF).select("lead", F.col("lead").alias("doc_id"))).join(heads, "doc_id").select("lead", "doc_id", "n", "sketch")
-    sieved = few.repartition(parts, "lead").sortWithinPartitions("lead").mapInArrow(_sieve(num, den), "a long, b long")
-    # a pivot of more than a leaf keeps its star; its region goes through blocks
-    many = sized.filter(F.col("size") >= LEAF).select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
-    families = components(tables.keep(sieved.unionByName(many), "sieved", batch=500)).select(F.col("node").alias("doc_id"), F.col("label").alias("family"))
+    members = sized.select("lead", "size", "doc_id").unionByName(groups.select("lead", "size", F.col("lead").alias("doc_id"))).join(heads, "doc_id")
+    sieved = _sieve_tasks(members).repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_sieve(num, den), "a long, b long")
+    families = components(tables.keep(sieved, "sieved", batch=500)).select(F.col("node").alias("doc_id"), F.col("label").alias("family"))
     tables.drop("near", "near-pivots", "led", "heads")
 
     def as_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -130,6 +130,32 @@ def test_jaccard_join_is_exact(spark, monkeypatch, leaf, cell, k, num, den):
     assert found == brute_components(rows, k, num, den)
 
 
+def test_texts_that_share_a_line_make_no_region(spark, monkeypatch):
+    monkeypatch.setattr(J, "LEAF", 8)
+    monkeypatch.setattr(J, "SIEVE_ROWS", 5)  # a pivot's members are several blocks
+    monkeypatch.setattr(J, "_block_tasks", lambda *a: pytest.fail("texts that only share a line are one region"))
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) + " one line of them all", "en", "a") for i in range(300)]
+    rows += [(300 + i, rows[i][1] + " more", "en", "a") for i in range(0, 300, 40)]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in J.join_classes(frame(spark, rows)).collect()}
+    assert found == brute_components(rows, 5, 8, 10) and len({c for _, c in found.values()}) == 300
+
+
+def test_sieve_in_blocks_keeps_every_link(spark, monkeypatch):
+    monkeypatch.setattr(J, "LEAF", 4)
+    monkeypatch.setattr(J, "SIEVE_ROWS", 3)
+    rows = corpus()
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in J.join_classes(frame(spark, rows)).collect()}
+    assert found == brute_components(rows, 5, 8, 10)
+    rng = np.random.default_rng(1)
+    sets = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (1000, 1500, 1500)]
+    sets += [s[5:] for s in sets]
+    sketches, sizes = [J.parity_sketch(s) for s in sets], np.array([len(s) for s in sets])
+    assert len({len(s) for s in sketches}) == 2
+    assert sorted(tuple(sorted(e)) for e in J.sieve_forest(sketches, sizes, 8, 10, 3)) == [(0, 3), (1, 4), (2, 5)]
+    assert J.sieve_forest(sketches, sizes, 8, 10, 5) == [(2, 5)] or J.sieve_forest(sketches, sizes, 8, 10, 5) == [(5, 2)]
+
+
 def test_jaccard_join_edges(spark):
     assert J.join_classes(empty(spark)).count() == 0
     rows = [(None, "a b c", "en", "s"), (5, "a b c", "en", "s"), (5, "a b c", "en", "s"), (9, "A B  C", "en", "s"), (2, None, "en", "s"), (1, "", "en", "s")]
