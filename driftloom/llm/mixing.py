@@ -67,15 +67,17 @@ def rake(cells: DataFrame, goal: dict[str, DataFrame], rounds: int = ROUNDS, tol
     """
     tables = Scratch(cells.sparkSession, "rake")
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    table, miss = cells.withColumn("weight", F.col("tokens") / F.lit(float(max(total, 1)))), 0.0
-    kept = {name: tables.keep(to, name) for name, to in goal.items()}
+    goals = [f"__t_{name}" for name in MARGINALS]
+    for name, to in goal.items():  # a cell keeps its targets, so a round joins nothing but its sums
+        cells = cells.join(tables.keep(to.withColumnRenamed("__t", f"__t_{name}"), name), name, "left")
+    table, miss = tables.keep(cells.withColumn("weight", F.col("tokens") / F.lit(float(max(total, 1)))), "start"), 0.0
     for i in range(rounds):
         for name in MARGINALS:
-            sums = table.groupBy(name).agg(F.sum("weight").alias("__w")).join(kept[name], name, "left")
-            table = (table.join(sums, name)
-                     .withColumn(f"__gap_{name}", F.abs(F.col("__w") - F.coalesce("__t", "__w")))
-                     .withColumn("weight", F.when(F.col("__w") > 0, F.col("weight") * F.coalesce("__t", "__w") / F.col("__w")).otherwise(0.0))
-                     .drop("__w", "__t"))
+            to = F.coalesce(f"__t_{name}", "__w")
+            table = (table.join(table.groupBy(name).agg(F.sum("weight").alias("__w")), name)
+                     .withColumn(f"__gap_{name}", F.abs(F.col("__w") - to))
+                     .withColumn("weight", F.when(F.col("__w") > 0, F.col("weight") * to / F.col("__w")).otherwise(0.0))
+                     .drop("__w"))
         seen = Observation()
         gap = F.greatest(*[f"__gap_{x}" for x in MARGINALS])
         table = tables.keep(table.observe(seen, F.max(gap).alias("miss")).drop(*[f"__gap_{x}" for x in MARGINALS]), f"round{i}")
@@ -86,7 +88,7 @@ def rake(cells: DataFrame, goal: dict[str, DataFrame], rounds: int = ROUNDS, tol
     else:
         if rounds:
             warnings.warn(f"raking misses a marginal by {miss:.3g} after {rounds} rounds", stacklevel=2)
-    return table, miss
+    return table.drop(*goals), miss
 
 
 def rate_scale(table: DataFrame, keep: float = KEEP) -> float:

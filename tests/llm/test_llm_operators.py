@@ -464,3 +464,17 @@ def test_toxicity_learns_and_keeps_clean(spark):
 
 def test_models_are_plain_data():
     assert json.dumps(T.Model().terms) == "{}"
+
+
+def test_a_round_of_raking_joins_its_sums_alone(spark, monkeypatch):
+    joins, keep = [], M.Scratch.keep
+
+    def kept(self, df, name, batch=None):
+        joins.extend([df._jdf.queryExecution().optimizedPlan().toString().count("Join")] if name.startswith("round") else [])
+        return keep(self, df, name, batch)
+
+    monkeypatch.setattr(M.Scratch, "keep", kept)
+    cells = spark.createDataFrame([(a, b, c, 10 + i) for i, (a, b, c) in enumerate((a, b, c) for a in "ab" for b in "xy" for c in "tu")], "source string, lang string, topic string, tokens long")
+    table, _ = M.rake(cells, M.targets(cells), rounds=2, tolerance=1.0)
+    assert set(table.columns) == {"source", "lang", "topic", "tokens", "weight"} and table.count() == 8
+    assert joins and max(joins) <= 7  # 14 with targets joined in each step
