@@ -27,6 +27,13 @@ def test_sides_are_cut_into_a_bounded_number_of_blocks(spark, monkeypatch):
     assert len(met()) == 100
 
 
+def test_copies_of_a_row_do_not_grow_with_the_table(spark):
+    import pandas as pd
+
+    pairs = lambda n: P.meet(df := spark.range(n).select(F.col("id").alias("k"), F.array(F.col("id").cast("double")).alias("v")), df, "v", "k", lambda p, x, q, y: pd.DataFrame({"n": [len(x)]}), "n long", once=True).count()
+    assert pairs(8_000) == pairs(80_000) == 36
+
+
 def test_laplace_kernel_lays_out_no_differences(monkeypatch):
     a, b = np.random.default_rng(1).normal(size=(2, 300, 64))
     want = np.exp(-0.2 * np.abs(a[:, None, :] - b[None, :, :]).sum(2))
