@@ -68,6 +68,23 @@ def test_both_rows_of_a_pair_get_its_value(spark, monkeypatch, size):
         assert abs(parts[g] - mmd(a[at], off[at][:, at])) < 1e-12
 
 
+@pytest.mark.parametrize("kernel", [P.Kernel("poly", gamma=0.5, c=c, degree=degree) for c, degree in ((1.0, 3), (-0.7, 4), (0.0, 1))], ids=str)
+def test_powers_of_dot_products_lay_out_no_pairs(spark, monkeypatch, kernel):
+    x, y = np.random.default_rng(4).normal(size=(2, 700, 5))
+    df, other = points(spark, x), points(spark, y[:300])
+    means = lambda fitted: P.gram_all(df, fitted, "v", "k", kernel).orderBy("k").collect()
+    want = {id(df): kernel(x, x).mean(1), id(other): kernel(x, y[:300]).mean(1)}
+    with monkeypatch.context() as m:
+        m.setattr(P, "meet", None)
+        for fitted in (df, other):
+            got = means(fitted)
+            assert np.allclose([r.k_mean for r in got], want[id(fitted)], rtol=1e-10, atol=1e-10) and np.allclose([r.k_self for r in got], kernel.diag(x))
+    monkeypatch.setattr(P, "MOMENTS", 1)  # too few for any of them: all rows meet
+    assert np.allclose([r.k_mean for r in means(df)], want[id(df)]) and not means(other.limit(0))
+    monkeypatch.undo()
+    assert not means(other.limit(0))
+
+
 def test_scores_are_made_of_bounded_blocks(spark, tmp_path):
     from driftloom.operators import detectors as D
 
