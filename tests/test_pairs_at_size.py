@@ -68,7 +68,7 @@ def test_both_rows_of_a_pair_get_its_value(spark, monkeypatch, size):
         assert abs(parts[g] - mmd(a[at], off[at][:, at])) < 1e-12
 
 
-@pytest.mark.parametrize("kernel", [P.Kernel("poly", gamma=0.5, c=c, degree=degree) for c, degree in ((1.0, 3), (-0.7, 4), (0.0, 1))] + [P.Kernel("linear", c=1.0)], ids=str)
+@pytest.mark.parametrize("kernel", [P.Kernel("poly", gamma=0.5, c=c, degree=degree) for c, degree in ((1.0, 3), (-0.7, 4), (0.0, 1))] + [P.Kernel("linear", c=1.0), P.Kernel("polyfft", degree=2)], ids=str)
 def test_powers_of_dot_products_lay_out_no_pairs(spark, monkeypatch, kernel):
     x, y = np.random.default_rng(4).normal(size=(2, 700, 5))
     df, other = points(spark, x), points(spark, y[:300])
