@@ -202,3 +202,24 @@ def test_spectrum_of_every_run(spark):
     for i in range(2):
         assert np.allclose([got[300000 + i, k] for k in range(5)], np.abs(np.fft.rfft(x[8 * i:8 * i + 8])))
     assert S.spectrum(S.windows(s.filter("t < 0"), 8), "x", 8).count() == 0
+
+
+def test_convolution_counts_are_whole_and_their_kernel_is_that_of_shares():
+    from driftloom.operators import trajectory_kernels as K
+    from driftloom.operators.sequences import KERNELS
+
+    rng = np.random.default_rng(21)
+    for length in (5, 60):
+        x = rng.exponential(size=(40, length, 1))
+        counts, shares = K.convolution_counts(x)(x), K.convolution_map(x)(x)
+        assert counts.dtype == (np.float32 if length == 5 else float) and (counts == np.round(counts)).all() and (counts / length == shares).all() | (length == 5)
+        want = np.square(shares[:, None] - shares[None]).sum(2) * length**2
+        got = P.squared_distances(counts, counts)
+        assert got.dtype == float and (got == np.round(want)).all() and np.allclose(got, want, atol=1e-6)
+    assert KERNELS["minirocket"].features is K.convolution_counts
+
+
+def test_windows_are_scored_by_all_tasks(spark):
+    windows = spark.range(1000).select(F.col("id").cast("string").alias("key"), F.array(F.col("id").cast("double")).alias("w")).coalesce(1)
+    tasks = Q.scored(windows, lambda x: x[:, 0]).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum("score").alias("s")).collect()
+    assert len(tasks) >= 4 and max(r.n for r in tasks) < 400 and sum(r.s for r in tasks) == 999 * 500
