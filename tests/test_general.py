@@ -223,3 +223,39 @@ def test_windows_are_scored_by_all_tasks(spark):
     windows = spark.range(1000).select(F.col("id").cast("string").alias("key"), F.array(F.col("id").cast("double")).alias("w")).coalesce(1)
     tasks = Q.scored(windows, lambda x: x[:, 0]).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum("score").alias("s")).collect()
     assert len(tasks) >= 4 and max(r.n for r in tasks) < 400 and sum(r.s for r in tasks) == 999 * 500
+
+
+def direct_sequence_score(x, z, width, gamma, lam=1e-7):
+    kernel = Q.SequenceKernel(width, P.Kernel("rbf", gamma=gamma))
+    half = np.linalg.inv(np.linalg.cholesky(kernel(x, x) + lam * len(x) * np.eye(len(x))))
+    return 1 - ((kernel(z, x) @ half.T) ** 2).sum(1)
+
+
+@pytest.mark.parametrize("channels", [1, 2])
+def test_sequence_method_is_fitted_on_all_windows(spark, monkeypatch, channels):
+    rng = np.random.default_rng(22)
+    n = 1300 if channels == 1 else 60  # more than a fit set of old
+    x, z = np.round(rng.exponential(size=(n, 3 * channels)), 2), np.vstack((rng.exponential(size=(30, 3 * channels)), np.full((1, 3 * channels), 60.0), np.full((1, 3 * channels), -9.0)))
+    windows = spark.createDataFrame([(str(i), [float(v) for v in r]) for i, r in enumerate(x)], "key string, w array<double>").repartition(3)
+    gamma = R.per_step_gamma(x.reshape(n, 3, channels))
+    assert abs(Q.steps_gamma(windows, 3) / gamma - 1) < 1e-12
+    want = direct_sequence_score(x, z, 3, gamma)
+    assert np.allclose(Q.sequence_method(3)(windows)(z), want, rtol=1e-4, atol=1e-6)
+    if channels == 1:  # pivots of all windows, where features would be too many
+        some, few = windows.filter("cast(key as int) < 60"), x[:60]
+        monkeypatch.setattr(Q, "SEQUENCE_FEATURES", 1)
+        monkeypatch.setattr(Q, "HELD_VALUES", 1)
+        assert np.allclose(Q.sequence_method(3)(some)(z), direct_sequence_score(few, z, 3, R.per_step_gamma(few[:, :, None])), rtol=1e-4, atol=1e-6)
+    assert (Q.sequence_method(3)(windows.limit(0))(z) == 1).all()
+
+
+@pytest.mark.parametrize("levels", [1, 2, 3])
+def test_sequence_features_make_the_kernel(levels):
+    x, static = RNG.normal(size=(20, 4)), P.Kernel("rbf", gamma=0.7)
+    wave = R.waves(x.min(), x.max(), 0.7)
+    assert np.allclose(wave(np.array([50.0, -50.0])) @ wave(x.ravel()).T, 0, atol=1e-12)
+    few = x[:, :, None] * 0.2
+    f = R.waves(few.min(), few.max(), 0.7, 1e-9)(few[:, :, 0])
+    got = R.sequence_features(f, levels)
+    assert np.allclose(got @ got.T, R.sequence_gram(few, few, static, levels), atol=1e-8)
+    assert np.allclose(R.sequence_own(few, static, levels), np.diag(got @ got.T), atol=1e-8)
