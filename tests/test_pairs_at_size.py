@@ -154,3 +154,24 @@ def test_neighbours_of_short_windows_are_searched_in_cells(spark, monkeypatch):
     assert len(got) == 150 and all(np.allclose((got[f"x{i}"].score, got[f"x{i}"].kth, got[f"x{i}"].nearest), (r.mean(), r[4], r[0]), atol=1e-12) for i, r in enumerate(d))
     monkeypatch.setattr(Q, "knn_all", None)  # all rows would meet all
     assert Q.Neighbours(table(y, "y"), 5).table(table(x, "x")).count() == 150
+
+
+@pytest.mark.parametrize("size", [7, 2000])
+def test_replicates_of_both_kinds_share_one_pass(spark, monkeypatch, size):
+    from driftloom.operators import resampling as U
+
+    rng = np.random.default_rng(7)
+    x, y, u = rng.normal(size=(50, 3)), (np.arange(50) % 3 == 0).astype(int), rng.integers(0, 2, (50, 4))
+    t, kernel = rng.integers(0, 2, (50, 3)), P.Kernel("rbf", gamma=0.3)
+    rows = spark.createDataFrame([(i, x[i].tolist(), int(y[i]), u[i].tolist(), t[i].tolist()) for i in range(50)], "k long, v array<double>, __y int, u array<tinyint>, t array<tinyint>")
+    monkeypatch.setattr(P.meet, "__defaults__", (size,))
+    monkeypatch.setattr(P, "TILE", 4)
+    g = kernel(x, x)
+    np.fill_diagonal(g, 0)
+    permuted, drawn = U.kernel_sums(rows, "v", "k", kernel)
+    for found, ones, zeros in ((permuted, u, 1 - u), (drawn, t * y[:, None], t * (1 - y)[:, None])):
+        want = [[(a * (g @ b)).sum(0) for a, b in ((ones, ones), (zeros, zeros), (ones, zeros))]]
+        assert np.allclose(found[["s11", "s00", "s10"]].to_numpy().T, want[0], rtol=1e-12)
+    met = []
+    monkeypatch.setattr(U, "meet", lambda *a, **kw: met.append(1) or P.meet(*a, **kw))
+    assert U.mmd_interval(points(spark, x, y=y.tolist()), "v", "k", F.col("y") == 1, kernel, 20).first()["z_low"] is not None and len(met) == 1
