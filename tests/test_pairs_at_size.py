@@ -175,3 +175,21 @@ def test_replicates_of_both_kinds_share_one_pass(spark, monkeypatch, size):
     met = []
     monkeypatch.setattr(U, "meet", lambda *a, **kw: met.append(1) or P.meet(*a, **kw))
     assert U.mmd_interval(points(spark, x, y=y.tolist()), "v", "k", F.col("y") == 1, kernel, 20).first()["z_low"] is not None and len(met) == 1
+
+
+def test_absolute_distances_of_odd_rows():
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(40, 5)), rng.normal(size=(60, 5))
+    a[3], b[7] = -1e12, 1e12  # only their own pairs are rounded to it
+    for x, y in ((a, b), (a[:, :1], b[:, :1]), (a + 1e6, b + 1e6), (a[:0], b), (a, b[:0])):
+        want = np.abs(x[:, None] - y[None]).sum(2)
+        got = P.absolute_distances(x, y)
+        assert got.shape == want.shape and np.allclose(got, want, rtol=1e-12, atol=1e-12)
+    a[0, 1], b[1, 2] = np.inf, -np.inf
+    assert (P.absolute_distances(a, b) == np.abs(a[:, None] - b[None]).sum(2)).all()
+
+
+def test_absolute_distances_pass_twice_over_a_coordinate(monkeypatch):
+    a, b = np.random.default_rng(9).normal(size=(2, 20, 6))
+    monkeypatch.setattr(np, "subtract", None)  # three passes of old: difference, absolute value, sum
+    assert np.allclose(P.absolute_distances(a, b), np.abs(a[:, None] - b[None]).sum(2))
